@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, shard
+from lodestone.llm import chat, dac, pack, repetition, shard
 from lodestone.llm.store import stored
 
 SHARDS = 40
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    codes = stored(dac.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2), "token-codes")
+    return dac.read_documents(codes).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -35,9 +42,24 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measure_texts(_table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
 QUERIES = {
+    "op3_token_codes": op3_token_codes,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 OP5_SQL = """
@@ -57,4 +79,26 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 FROM whole
 """
 
-ORACLE_SQL = {"op5_chat_formatting": OP5_SQL}
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, k, i, list_slice(words, i, i + k - 1) AS gram
+  FROM w, (VALUES (5), (8), (51)) AS sizes(k), unnest(range(1, len(words) - k + 2)) AS t(i)),
+twice AS (SELECT r, k, i FROM g QUALIFY count(*) OVER (PARTITION BY r, k, gram) > 1),
+spots AS (SELECT DISTINCT r, k, p FROM twice, unnest(range(i, i + k)) AS t(p)),
+n AS (SELECT r, count(*) FILTER (k = 5) AS covered, count(*) FILTER (k = 8) AS repeated, count(*) FILTER (k = 51) AS long
+  FROM spots GROUP BY r),
+j AS (SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  coalesce(repeated, 0) AS n_repeat_words, coalesce(covered, 0) AS n_covered, coalesce(long, 0) AS n_long
+  FROM d JOIN w USING (r) LEFT JOIN n USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM j)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, n_covered,
+  base_failed, NOT base_failed AND NOT (100 * n_covered > 30 * n_words OR n_long > 0) AS kept
+FROM b
+"""
+
+ORACLE_SQL = {"op5_chat_formatting": OP5_SQL, "op10_quality_rules": OP10_SQL}
