@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, dac, pack, repetition, shard
-from lodestone.llm.store import stored
+from lodestone.llm import chat, dac, linededup, pack, repetition, shard, simhash, warc
+from lodestone.llm.store import new_path, stored
 
 SHARDS = 40
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     codes = stored(dac.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2), "token-codes")
@@ -50,15 +55,37 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archive")
+    warc.write_archive(warc.with_revisits(_table(spark, sf_dir, "pages")), path)
+    records = warc.read_archive(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.regexp_extract(c, "page:(-?[0-9]+)", 1).cast("long")
+    return records.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.apply_bitmaps(docs, linededup.line_bitmaps(docs))
+    return kept.select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure_texts(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_token_codes": op3_token_codes,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -81,15 +108,15 @@ FROM whole
 
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+w AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 g AS (SELECT r, k, i, list_slice(words, i, i + k - 1) AS gram
   FROM w, (VALUES (5), (8), (51)) AS sizes(k), unnest(range(1, len(words) - k + 2)) AS t(i)),
 twice AS (SELECT r, k, i FROM g QUALIFY count(*) OVER (PARTITION BY r, k, gram) > 1),
 spots AS (SELECT DISTINCT r, k, p FROM twice, unnest(range(i, i + k)) AS t(p)),
 n AS (SELECT r, count(*) FILTER (k = 5) AS covered, count(*) FILTER (k = 8) AS repeated, count(*) FILTER (k = 51) AS long
   FROM spots GROUP BY r),
-j AS (SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS word_chars,
+j AS (SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   coalesce(repeated, 0) AS n_repeat_words, coalesce(covered, 0) AS n_covered, coalesce(long, 0) AS n_long
@@ -101,4 +128,28 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
-ORACLE_SQL = {"op5_chat_formatting": OP5_SQL, "op10_quality_rules": OP10_SQL}
+OP9_SQL = r"""
+WITH lines AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT r, keyed.doc_id, pos, line, keeper IS NOT NULL AND keyed.doc_id < keeper AS gone FROM keyed LEFT JOIN common USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+k AS (SELECT hex, max(page_id) AS kept FROM p GROUP BY hex),
+n AS (SELECT hex, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS INT), 5) AS BIGINT)) AS parts FROM k),
+d AS (SELECT hex, list_aggregate(list_transform(parts, lambda v: list_aggregate(list_transform([15, 10, 5, 0],
+  lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INT) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS digest FROM n)
+SELECT page_id, octet_length(payload) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM p JOIN k USING (hex) JOIN d USING (hex)
+"""
+
+ORACLE_SQL = {"op8_warc": OP8_SQL, "op9_line_dedup": OP9_SQL, "op5_chat_formatting": OP5_SQL, "op10_quality_rules": OP10_SQL}
