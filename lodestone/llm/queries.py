@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, dac, linededup, pack, repetition, shard, simhash, warc
+from lodestone.llm import chat, dac, decontaminate, linededup, nbsvm, pack, repetition, shard, simhash, warc
 from lodestone.llm.store import new_path, stored
 
 SHARDS = 40
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -27,6 +31,15 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(codes).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = nbsvm.score(docs, model)
+    return scored.select(
+        "doc_id", (nbsvm.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -79,8 +92,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op3_token_codes": op3_token_codes,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
