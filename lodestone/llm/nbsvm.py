@@ -194,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, doc_id: str =
         blob = model.weights.astype("<f4").tobytes()
         return pa.table({"weights": pa.array([blob], pa.binary()), "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
-    found = rows.select("id", "label", "text").mapInArrow(features, "id long, label int, found binary")
-    fitted = found.groupBy(F.lit(1)).applyInArrow(train, "weights binary, bias double, slope double, shift double").first()
+    found = rows.select("id", "label", "text").mapInArrow(features, "id long, label int, found binary").withColumn("all", F.lit(0))
+    fitted = found.groupBy("all").applyInArrow(train, "weights binary, bias double, slope double, shift double").first()
     if fitted is None:
         return fit_rows([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     return Model(np.frombuffer(fitted["weights"], "<f4"), fitted["bias"], fitted["slope"], fitted["shift"])
