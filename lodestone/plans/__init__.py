@@ -1 +1,13 @@
+"""Registered queries, a module per family."""
 
+from importlib import import_module
+from types import ModuleType
+
+FAMILIES = ("text_queries",)
+
+
+def load_all() -> ModuleType:
+    """The registry, once every family has added its queries."""
+    for family in FAMILIES:
+        import_module(f"lodestone.plans.{family}")
+    return import_module("lodestone.plans.registry")
