@@ -12,6 +12,16 @@ with ``distance`` blocks left out a bucket there can hold ``2 ** (4 *
 distance)`` distinct fingerprints at most (256 for distance 2), which bounds
 every task by construction and loses no pair.
 
+``keep_one`` is asked for documents of similarity 0.8 or more over 5-word
+shingles.  At that similarity fingerprints of 64 bits differ in 4 to 14 bits
+(measured on the test tables), which no number of blocks both finds and keeps
+apart, so it adds a second kind of block: the same shingle hashes give minima,
+bands of which are keys; members of a bucket are verified on sketches of
+``BINS`` bins, which hold the whole shingle set of most texts and estimate the
+similarity of longer ones to about 0.01 (``MARGIN``, by which the bound is
+lowered so that no link is lost).  Buckets beyond ``CHUNK`` members are
+compared chunk by chunk, each pair of chunks in a task of its own.
+
 Edge cases: a null text, or one without words, has fingerprint 0 and links like
 any other; texts of fewer words than a shingle are one shingle; a null id is
 the smallest id; rows that repeat are in one component, and ``keep_one`` keeps
@@ -25,7 +35,6 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -39,33 +48,85 @@ SEED = 42
 BUCKET = 256
 #: Blocks of the first keys, and of the keys whose buckets are bounded by construction (distance 2: 2 ** 8 = BUCKET).
 COARSE, FINE = 4, 16
+#: Bins of a sketch; bands of minima and minima in a band: two texts of similarity 0.8 share a band with probability 0.99.
+BINS, BANDS, ROWS = 1024, 9, 4
+#: What an estimate may be off by.
+MARGIN = 0.01
+#: Sketches that one task compares with each other, half as many of each of two chunks.
+CHUNK = 8192
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; one of the whole sequence if it is shorter, none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words), initial=-1))
     digest, width = xxhash.xxh64_intdigest, min(shingle, len(words))
-    hashes = [digest(joined[a + 1 : b], SEED) for a, b in zip(ends, ends[width:], strict=False)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = bits.sum(0, dtype=np.uint32) if len(bits) < 256 else np.add.reduce([part.sum(0, dtype=np.uint8) for part in np.array_split(bits, -(-len(bits) // 255))], axis=0, dtype=np.uint32)
+    return np.array([digest(joined[a + 1 : b], SEED) for a, b in zip(ends, ends[width:], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes; 0 without any."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    # counts of up to 255 rows fit into bytes, which is the fast sum
+    parts = [part.sum(0, dtype=np.uint8) for part in np.array_split(bits, -(-len(bits) // 255))]
+    counts = np.add.reduce(parts, axis=0, dtype=np.uint32)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, tag, fp``: the fingerprint as a signed long; ``tag`` tells rows of one id apart."""
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a text."""
+    return majority(shingle_hashes(text, shingle))
+
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of minima."""
+    if not len(hashes):
+        return [0] * BANDS
+    mixed = hashes ^ (hashes >> np.uint64(31))
+    low = np.array([(mixed * f).min() for f in _FACTORS], np.uint64).reshape(BANDS, ROWS)
+    keys = ((low >> np.uint64(16)) * _MIX).sum(1, dtype=np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def bins(hashes: np.ndarray) -> bytes:
+    """A byte for each bin of hash space: 0 if no shingle falls into it, else a byte of its smallest hash."""
+    out = np.zeros(BINS, np.uint8)
+    ordered = np.sort(hashes)
+    where, first = np.unique(ordered >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out[where] = 1 + (ordered[first] % np.uint64(255)).astype(np.uint8)
+    return out.tobytes()
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, sketched: bool = False) -> DataFrame:
+    """``doc_id, tag, fp``: the fingerprint as a signed long; ``tag`` tells rows of one id apart.  With ``sketched`` also ``bands, sketch``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(found)], names=["doc_id", "tag", "fp"])
+            fps, bands, sketches = [], [], []
+            for t in batch.column("text").to_pylist():
+                hashes = shingle_hashes(t, shingle)
+                fps.append(majority(hashes))
+                if sketched:
+                    bands.append(band_keys(hashes))
+                    sketches.append(bins(hashes))
+            columns = [batch.column("doc_id"), batch.column("tag"), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            if sketched:
+                columns += [pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "fp", "bands", "sketch"][: len(columns)])
 
     tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long" + ", bands array<long>, sketch binary" * sketched)
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -76,40 +137,58 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links within a bucket: (fingerprint, a linked one reached before it)."""
-    left, edges = fps.copy(), []
-    values = fps.view(np.uint64)
-    open_ = np.ones(len(fps), bool)
-    for start in range(len(fps)):
-        if not open_[start]:
-            continue
-        open_[start] = False
-        stack = [start]
-        while stack:
+def forest(n: int, near) -> list[tuple[int, int]]:
+    """Spanning forest of n members: (member, a linked one reached before it); ``near(i, open)`` says which of the open ones link to i."""
+    edges = []
+    open_ = np.arange(n)
+    while len(open_):
+        stack, open_ = [int(open_[0])], open_[1:]
+        while stack and len(open_):
             i = stack.pop()
-            near = np.flatnonzero(open_)
-            near = near[np.bitwise_count(values[near] ^ values[i]) <= distance]
-            open_[near] = False
-            edges += [(int(left[j]), int(left[i])) for j in near]
-            stack += near.tolist()
+            hit = near(i, open_)
+            found = open_[hit].tolist()
+            open_ = open_[~hit]
+            edges += [(j, i) for j in found]
+            stack += found
     return edges
 
 
+def close_bits(fps: np.ndarray, distance: int):
+    values = fps.view(np.uint64)
+    return lambda i, open_: np.bitwise_count(values[open_] ^ values[i]) <= distance
+
+
+def close_sketches(sketches: np.ndarray, similarity: float):
+    """Shared bins over bins filled in either, for rows of a matrix of sketches."""
+    filled = sketches > 0
+
+    def near(i: int, open_: np.ndarray) -> np.ndarray:
+        same = ((sketches[open_] == sketches[i]) & filled[i]).sum(1)
+        return same >= similarity * (filled[open_] | filled[i]).sum(1)
+
+    return near
+
+
 def _keyed(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
     masks = block_masks(blocks, distance)
     keys = F.array(*(F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
     return fps.select("fp", F.explode(keys).alias("at")).select("fp", "at.no", "at.key")
 
 
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _bucket_links(members: DataFrame, distance: int) -> DataFrame:
     """Links of buckets of at most ``BUCKET`` members."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edges = [e for fps in batch.column(0) for e in forest(np.array(fps.values.to_numpy(zero_copy_only=False), np.int64), distance)]
-            a, b = ([e[k] for e in edges] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            edges = []
+            for members in batch.column(0):
+                fps = np.array(members.values.to_numpy(zero_copy_only=False), np.int64)
+                edges += [(int(fps[j]), int(fps[i])) for j, i in forest(len(fps), close_bits(fps, distance))]
+            yield _edges(edges)
 
     buckets = members.groupBy("no", "key").agg(F.collect_list("fp").alias("fps"))
     return buckets.select("fps").mapInArrow(run, "a long, b long").distinct()
@@ -129,6 +208,28 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return found.unionByName(_bucket_links(fine.join(fine_sizes, ["no", "key"]), distance))
 
 
+def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links of ``rid`` that connect what all links of ``similarity`` or more in a bucket connect (``rid, bands, sketch``)."""
+    keyed = distinct.select("rid", F.posexplode("bands").alias("no", "key"))
+    sizes = keyed.groupBy("no", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = keyed.join(sizes, ["no", "key"]).withColumn("chunks", F.ceil(F.col("n") / (CHUNK // 2)).cast("int"))
+    own = F.pmod("rid", "chunks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    placed = met.withColumn("pair", F.explode(pairs)).join(distinct.select("rid", "sketch"), "rid")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = []
+            for members in batch.column(0):
+                rids = np.array(members.values.field("rid"))
+                sketches = np.frombuffer(b"".join(members.values.field("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+                edges += [(int(rids[j]), int(rids[i])) for j, i in forest(len(rids), close_sketches(sketches, similarity - MARGIN))]
+            yield _edges(edges)
+
+    groups = placed.groupBy("no", "key", "pair").agg(F.collect_list(F.struct("rid", "sketch")).alias("members"))
+    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """``doc_id, tag, fp, component_id, component_tag``: the smallest id reachable over links of ``distance`` bits, and its tag."""
     prints = stored(fingerprints(docs, doc_id, text, shingle), "fingerprints")
@@ -145,10 +246,30 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 2) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id."""
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 2, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, tag, component_id, component_tag`` over links of ``distance`` bits or of ``similarity``."""
+    prints = stored(fingerprints(docs, doc_id, text, shingle, sketched=True), "sketches")
+    named = prints.withColumn("rid", F.xxhash64("fp", "sketch"))
+    grouped = named.groupBy("rid").agg(
+        F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands"), F.min(F.struct("doc_id", "tag")).alias("first")
+    )
+    distinct = stored(grouped, "texts")
+    by_print = distinct.groupBy("fp").agg(F.min("rid").alias("head"))
+    same = distinct.join(by_print, "fp").select(F.col("rid").alias("a"), F.col("head").alias("b")).filter("a <> b")
+    close = links(by_print.select("fp"), distance)
+    left, right = (by_print.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b"))
+    close = close.join(left, "a").join(right, "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    roots = connected_components(similar_links(distinct, similarity).unionByName(same).unionByName(close)).withColumnRenamed("node", "rid")
+    classed = stored(distinct.join(roots, "rid", "left").select("rid", "first", F.coalesce("component", "rid").alias("component")), "classes")
+    lowest = classed.groupBy("component").agg(F.min("first").alias("lowest"))
+    ends = classed.join(lowest, "component").select("rid", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.tag").alias("component_tag"))
+    return named.select("doc_id", "tag", "rid").join(ends, "rid").select("doc_id", "tag", "component_id", "component_tag")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 2, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each component of near copies, that with the smallest id."""
     columns = docs.columns
-    found = components(docs, doc_id, text, shingle, distance)
+    found = similar_components(docs, doc_id, text, shingle, distance, similarity)
     kept = found.select(F.col("component_id").alias("__id"), F.col("component_tag").alias("__tag")).distinct()
     tagged = docs.withColumn("__tag", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__id", F.col(doc_id).cast("long"))
     left, right = tagged.alias("l"), kept.alias("r")
