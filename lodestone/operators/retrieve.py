@@ -128,9 +128,10 @@ def phrase_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str,
     first = F.slice(words(F.col("text")), 1, length)
     asked = questions.select("query_id", F.array_join(first, " ").alias("phrase"), F.size(first).alias("n")).filter(F.col("n") == length).drop("n")
     own = words(F.col(text))
-    grams = F.transform(F.sequence(F.lit(1), F.size(own) - length + 1), lambda i: F.array_join(F.slice(own, i, length), " "))
-    long_enough = docs.filter(F.size(own) >= length)
-    held = long_enough.select(F.col(doc_id).alias("id"), F.explode(grams).alias("phrase"))
+    grams = own
+    for i in range(1, length):  # neighbours are zipped, so the words are not split again for each place
+        grams = F.zip_with(grams, F.slice(own, i + 1, F.greatest(F.size(own), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    held = docs.select(F.col(doc_id).alias("id"), F.explode(grams).alias("phrase")).filter("phrase is not null")
     held = held.join(asked.select("phrase").distinct(), "phrase", "left_semi").groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("score"))
     return top_k(asked.join(held, "phrase").select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.col("id")], k)
 
