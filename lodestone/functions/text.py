@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Header and footer phrases, masks of personal data, risk patterns and injection patterns.
 BOILERPLATE = (
@@ -41,7 +42,7 @@ INJECTIONS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

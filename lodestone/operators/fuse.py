@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from lodestone.operators.rows import ranked, top_k
 
 QUERY = ["query_id"]
-BEST = [F.desc("score"), F.col("id")]
+
+
+def best() -> list[Column]:
+    """Highest score first, ties by id."""
+    return [F.desc("score"), F.col("id")]
 
 
 def clamp(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -71,7 +75,7 @@ def heuristic_rerank(hits: DataFrame, terms: Column, text: Column, official: Col
     signalled = F.when(F.col("__k") == 0, base).when(F.col("__s") == 0, base * 0.35).otherwise(base + F.least(F.col("__s") * 0.08, F.lit(0.35)))
     score = signalled + 0.05 * (1 - (F.col("rank") - 1) / F.col("__of")) + F.when(official, 0.05).otherwise(0.0)
     scored = rows.select("query_id", "id", F.round(clamp(score), 6).alias("score"))
-    return top_k(scored, QUERY, BEST, n)
+    return top_k(scored, QUERY, best(), n)
 
 
 def hybrid_rerank(hits: DataFrame, question: Column, title: Column, body: Column, n: int) -> DataFrame:
@@ -79,7 +83,7 @@ def hybrid_rerank(hits: DataFrame, question: Column, title: Column, body: Column
     shared = lambda other: F.size(F.array_intersect(question, other))
     keyword = F.least(shared(body) * 0.04, F.lit(0.2))
     heading = F.least(shared(title) / F.greatest(F.size(title), F.lit(1)) * 0.15, F.lit(0.15))
-    return top_k(hits.select("query_id", "id", F.round(clamp(F.col("score") + keyword + heading), 6).alias("score")), QUERY, BEST, n)
+    return top_k(hits.select("query_id", "id", F.round(clamp(F.col("score") + keyword + heading), 6).alias("score")), QUERY, best(), n)
 
 
 def reference_bonus(score: Column, n_ids: Column, n_articles: Column) -> Column:
@@ -89,8 +93,8 @@ def reference_bonus(score: Column, n_ids: Column, n_articles: Column) -> Column:
 
 def candidate_gate(hits: DataFrame, least: float = 0.03, limit: int = 30) -> DataFrame:
     """Best row of each id from ``least`` on, the first ``limit``."""
-    best = hits.filter(F.col("score") >= least).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return top_k(best, QUERY, BEST, limit)
+    merged = hits.filter(F.col("score") >= least).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top_k(merged, QUERY, best(), limit)
 
 
 def finalize_display(hits: DataFrame) -> DataFrame:

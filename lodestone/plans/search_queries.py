@@ -128,7 +128,7 @@ def rtv_8_article_lookup(spark, sf_dir):
     number = F.regexp_extract("text", r"([0-9]+\.[0-9]+)", 1)
     score = F.when(F.contains("text", F.lit("License")), 1.0).when(F.col("source") == "src0", 0.6).otherwise(0.1)
     rows = table(spark, sf_dir, "documents").select(number.alias("number"), F.col("doc_id").alias("id"), score.alias("score")).filter("number <> ''")
-    return top_k(rows, ["number"], fs.BEST, 5, "k").drop("k")
+    return top_k(rows, ["number"], fs.best(), 5, "k").drop("k")
 
 
 @query("""SELECT p_partkey, p_name, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey WHERE contains(lower(p_name), 'red') GROUP BY p_partkey, p_name ORDER BY p_name, p_partkey LIMIT 100""")
@@ -256,7 +256,7 @@ WHERE round(least(score + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END + least(label
 def fus_7_reference_bonus(spark, sf_dir):
     rows = labelled(spark, sf_dir, hits(spark, sf_dir))
     score = fs.reference_bonus(F.col("score"), (F.col("id") % 3 == 0).cast("int"), F.col("label"))
-    return top_k(rows.select("query_id", "id", F.round(score, 6).alias("score")).filter("score >= 0.3"), fs.QUERY, fs.BEST, 5)
+    return top_k(rows.select("query_id", "id", F.round(score, 6).alias("score")).filter("score >= 0.3"), fs.QUERY, fs.best(), 5)
 
 
 @query(f"WITH {HITS}, {OTHER} " + _top("SELECT query_id, id, max(score) AS score FROM (SELECT * FROM hits UNION ALL SELECT * FROM other) WHERE score >= 0.2 GROUP BY query_id, id", 15))
@@ -296,7 +296,7 @@ def fus_12_boosts(spark, sf_dir):
     s = F.col("score")
     boosted = F.when(F.col("label") == 3, s + 0.15).when(F.col("label").isin(1, 2), s * 0.72).when(F.col("id") % 7 == 0, s * 0.55).otherwise(s)
     rows = labelled(spark, sf_dir, hits(spark, sf_dir)).select("query_id", "id", F.round(fs.clamp(boosted), 6).alias("score"))
-    return top_k(rows, fs.QUERY, fs.BEST, 20)
+    return top_k(rows, fs.QUERY, fs.best(), 20)
 
 
 @query(f"""WITH {HITS}, t AS (SELECT query_id, id, score, rank, label FROM hits JOIN embeddings ON id = vec_id),
@@ -308,7 +308,7 @@ def fus_14_track_rerank(spark, sf_dir):
     rows = labelled(spark, sf_dir, hits(spark, sf_dir)).withColumns({"e": F.count_if(near & even).over(w), "o": F.count_if(near & ~even).over(w)})
     agrees = even == (F.col("e") >= F.col("o"))
     score = F.when(agrees, F.least(F.col("score") + 0.1, F.lit(1.0))).otherwise(F.col("score") * 0.8)
-    return top_k(rows.select("query_id", "id", F.round(score, 6).alias("score")), fs.QUERY, fs.BEST, 6)
+    return top_k(rows.select("query_id", "id", F.round(score, 6).alias("score")), fs.QUERY, fs.best(), 6)
 
 
 @query(f"""WITH {HITS}, j AS (SELECT query_id, id, score, rank, source, substr(text, 1, 80) AS snippet FROM hits JOIN documents ON id = doc_id)
@@ -324,7 +324,7 @@ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label O
 SELECT query_id, label, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 6""")
 def res_2_related(spark, sf_dir):
     rows = labelled(spark, sf_dir, hits(spark, sf_dir)).filter("score >= 0.1 and id % 5 <> 1").select("query_id", "label", "id", "score")
-    return top_k(first_per_key(rows, ["query_id", "label"], fs.BEST), fs.QUERY, fs.BEST, 6)
+    return top_k(first_per_key(rows, ["query_id", "label"], fs.best()), fs.QUERY, fs.best(), 6)
 
 
 SHOWN = f"""{HITS}, e AS (SELECT *, min(score) OVER w AS low, max(score) OVER w AS high, count(*) OVER w AS n FROM hits WINDOW w AS (PARTITION BY query_id)),
