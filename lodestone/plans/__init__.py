@@ -3,7 +3,7 @@
 from importlib import import_module
 from types import ModuleType
 
-FAMILIES = ("text_queries", "report_queries", "parse_queries", "search_queries", "pipeline_queries", "question_queries")
+FAMILIES = ("text_queries", "report_queries", "parse_queries", "search_queries", "pipeline_queries", "question_queries", "model_queries")
 
 
 def load_all() -> ModuleType:
