@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import collapse_space, snippet
 from lodestone.operators import fuse as fs
 from lodestone.operators import retrieve as rt
 from lodestone.operators.rows import best_by_key, first_per_key, keep_unless_empty, ranked, top_k
@@ -387,3 +388,15 @@ def res_10_strength_vote(spark, sf_dir):
     winner = first_per_key(votes, ["query_id"], [F.desc("s"), F.col("label")])
     strength = F.when(F.col("top") >= 0.7, "strong").when(F.col("top") >= 0.3, "weak").otherwise("none")
     return winner.join(top, "query_id").select("query_id", "label", strength.alias("strength"))
+
+
+@query()
+def answer_questions(spark, sf_dir):
+    """The whole path: full text and trigram lists of each question, fused, gated, cut to one citation a source."""
+    full, grams = rtv_4_full_text(spark, sf_dir), rtv_5_trigram(spark, sf_dir)
+    fused_lists = fs.reciprocal_rank_fusion(full, grams)
+    scored = fs.adaptive_score(fused_lists, full).select("query_id", "id", "score")
+    gated = fs.candidate_gate(scored)
+    rows = with_text(spark, sf_dir, gated).withColumn("snippet", snippet(collapse_space(F.col("text")))).drop("text")
+    cited = first_per_key(rows, ["query_id", "source"], [F.col("rank")])
+    return ranked(cited, fs.QUERY, [F.col("rank")], "place").select("query_id", "id", "place", "score", "source", "snippet")
