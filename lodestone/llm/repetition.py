@@ -155,7 +155,7 @@ def measure(texts: list[str], min_repeat: int) -> dict[str, list[int]]:
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
 
 
-def _slices(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+def _slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     part, size = [], 0
     for text in texts:
         part.append(text)

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces remembered by a worker before its memory starts afresh (about 200 MB).
+#: Pieces remembered by a worker (about 200 MB): half of them anew, the other half from before, of which those met again move over.
 MEMORY = 1_000_000
+#: Pieces that go to the library in one string.
+RUN = 500
 #: Longer pieces are encoded but not remembered.
 LONGEST = 48
 
@@ -31,12 +33,15 @@ class WordMemory(dict):
     """piece -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, keeps_space: bool):
+        """A vocabulary with at least one special token; ``keeps_space``: blanks belong to the piece after them."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
+        self.before: dict[str, bytes] = {}
+        self.mark_id, self.mark = next((i, str(t)) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
 
     def pieces(self, text: str) -> list[str]:
         marks = not _MARKS.search(text)
@@ -48,17 +53,38 @@ class WordMemory(dict):
         text = text.replace(" ", "\0 ").replace("\n", "\0\n")
         return (text.replace(".", "\0.").replace(",", "\0,") if marks else text).split("\0")
 
+    def encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of single pieces: strings of many, parted by a special token, on either side of which the library works apart."""
+        joined, alone = [], []
+        for piece in pieces:
+            (alone if self.mark in piece else joined).append(piece)
+        runs = [joined[at : at + RUN] for at in range(0, len(joined), RUN)]
+        found = self.tokenizer.encode_batch_fast([self.mark.join(run) for run in runs], add_special_tokens=False)
+        for run, one in zip(runs, found, strict=True):
+            ids = np.array(one.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(run, ends, strict=True):
+                yield piece, raw[4 * start : 4 * end]
+                start = end + 1
+        for piece, one in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield piece, np.array(one.ids, "<u4").tobytes()
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         cut = [self.pieces(text) for text in texts]
-        if len(self) > MEMORY:
+        if len(self) > MEMORY // 2:
+            self.before = dict(self)
             self.clear()
-        fresh = list(set().union(*cut).difference(self))
+        fresh, before = [], self.before
+        for piece in set().union(*cut).difference(self):
+            if piece in before:
+                self[piece] = before[piece]
+            else:
+                fresh.append(piece)
         once: dict[str, bytes] = {}
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self if len(piece) <= LONGEST else once)[piece] = np.array(found.ids, "<u4").tobytes()
+        for piece, found in self.encode_pieces(fresh):
+            (self if len(piece) <= LONGEST else once)[piece] = found
         if once:
             get = lambda piece: self[piece] if piece in self else once[piece]
         else:
