@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import small
 from lodestone.llm.tokens import memory, slices
 
 MAGIC = b"DAC1"
@@ -139,7 +140,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str =
             row = {"part": part, "seq": seq, "part_offset": offset, "n_tokens": size, "doc_ids": ids, "doc_ends": ends, "codes": codes}
             return pa.RecordBatch.from_pylist([row], schema=_ARROW_CODES)
 
-        for batch in batches:
+        for batch in small(batches):
             own, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for start, some in slices(texts):
                 for k, found in enumerate(words.encode(some)):

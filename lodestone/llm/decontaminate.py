@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.batches import small
+
 PRIME = 0x9E3779B97F4A7C15
 WRAP = (1 << 64) - 1
 #: Bits of the first filter's table.
@@ -241,7 +243,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("region_start", pa.int32()), ("region_end", pa.int32())]))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared, names=names, arrow=arrow) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 held = batch.column(names.index(column)).to_pylist()
                 found = search(batch.column(names.index(text)).to_pylist(), shared.value)
                 keys = ("item_id", "distance", "region_start", "region_end")

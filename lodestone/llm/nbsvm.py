@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import small
+
 #: Hashed n-gram space.
 DIMS = 1 << 18
 #: Runs of repeated word pairs that count as an n-gram of their own, and shares of words that repeat the one before them.
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, doc_id: str =
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer()
-        for batch in batches:
+        for batch in small(batches):
             found = [make(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "found"])
 
@@ -207,7 +209,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, model = Featurizer(), shared.value
-        for batch in batches:
+        for batch in small(batches):
             scores = [model.score(make(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

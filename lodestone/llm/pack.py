@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import small
 from lodestone.llm.tokens import memory, slices
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -105,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             out.clear()
             return made
 
-        for batch in batches:
+        for batch in small(batches):
             owners, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for at, some in slices(texts):
                 for k, found in enumerate(words.encode(some)):

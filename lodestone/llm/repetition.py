@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.batches import small
+
 #: Words of a window of the base rule, as a power of two (2 ** 3 = 8).
 WINDOW_LEVEL = 3
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -176,7 +178,7 @@ def measured(df: DataFrame, text: str = "text", prefix: str = "", limits: Limits
     source = text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(source)).to_pylist()]
             totals: dict[str, list[int]] = {name: [] for name in _NAMES}
             for part in _slices(texts):

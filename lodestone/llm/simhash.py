@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import small
 from lodestone.llm.components import connected_components
 from lodestone.llm.store import stored
 
@@ -111,7 +112,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """``doc_id, tag, fp``: the fingerprint as a signed long; ``tag`` tells rows of one id apart.  With ``sketched`` also ``bands, sketch``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps, bands, sketches = [], [], []
             for t in batch.column("text").to_pylist():
                 hashes = shingle_hashes(t, shingle)
