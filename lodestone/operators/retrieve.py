@@ -85,13 +85,14 @@ def full_text(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
     asked = question_terms(questions, most_terms)
     vocabulary = asked.select("term").distinct()
     title = F.regexp_extract(text, r"^([^\n]*)", 1)
-    split = docs.select(F.col(doc_id).alias("doc_id"), title.alias("__title"), F.expr(f"substring({text}, length(regexp_extract({text}, '^([^\\\\n]*)', 1)) + 1)").alias("__body"))
-    rows = split.select("doc_id", F.explode(words(F.col("__title"))).alias("term"), F.lit(title_weight).alias("w")).unionByName(
-        split.select("doc_id", F.explode(words(F.col("__body"))).alias("term"), F.lit(body_weight).alias("w"))
-    )
+    body = F.substring(F.col(text), F.length(title) + 1, F.length(text))
+    weighted = lambda t, w: F.transform(words(t), lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
+    both = F.concat(weighted(title, title_weight), weighted(body, body_weight))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(both).alias("x")).select("doc_id", "x.term", "x.w")
     held = rows.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.sum("w").alias("w"))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
-    rarity = held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).crossJoin(total)  # by one row
+    # counting a column that ``held`` has anyway keeps the plans alike, so that its exchange is made once
+    rarity = held.groupBy("term").agg(F.count("w").alias("n")).crossJoin(total)  # by one row
     idf = F.log(1 + (F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighed = held.join(rarity, "term").select("doc_id", "term", (idf * 2.2 * F.col("w") / (F.col("w") + 1.2)).alias("part"))
     met = asked.join(weighed, "term").groupBy("query_id", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("held"), F.sum("part").alias("sum"))
