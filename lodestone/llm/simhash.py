@@ -16,11 +16,17 @@ every task by construction and loses no pair.
 shingles.  At that similarity fingerprints of 64 bits differ in 4 to 14 bits
 (measured on the test tables), which no number of blocks both finds and keeps
 apart, so it adds a second kind of block: the same shingle hashes give minima,
-bands of which are keys; members of a bucket are verified on sketches of
-``BINS`` bins, which hold the whole shingle set of most texts and estimate the
-similarity of longer ones to about 0.01 (``MARGIN``, by which the bound is
-lowered so that no link is lost).  Buckets beyond ``CHUNK`` members are
-compared chunk by chunk, each pair of chunks in a task of its own.
+bands of which are keys.  Members of a bucket are compared on sketches of
+``BINS`` bins, whose estimate has a standard deviation of about 0.01; a bound
+lowered by ``MARGIN``, four of these, only chooses candidates.  Documents that
+candidates connect form a class, and links are decided within classes on the
+distinct 64-bit shingle hashes, so that no document is linked by an estimate.
+What can still be missed is a pair that shares no band and that no chain of
+candidates connects: at similarity 0.80 a pair shares none of ``BANDS`` bands
+with probability (1 - 0.8 ** 4) ** 24, 3 in a million, and at 0.85 or more less
+than 1 in 10 million.  Buckets beyond ``CHUNK`` members and classes beyond
+``CLASS_BYTES`` of hashes are compared chunk by chunk, each pair of chunks in a
+group of its own.
 
 Edge cases: a null text, or one without words, has fingerprint 0 and links like
 any other; texts of fewer words than a shingle are one shingle; a null id is
@@ -49,12 +55,16 @@ SEED = 42
 BUCKET = 256
 #: Blocks of the first keys, and of the keys whose buckets are bounded by construction (distance 2: 2 ** 8 = BUCKET).
 COARSE, FINE = 4, 16
-#: Bins of a sketch; bands of minima and minima in a band: two texts of similarity 0.8 share a band with probability 0.99.
-BINS, BANDS, ROWS = 1024, 9, 4
-#: What an estimate may be off by.
-MARGIN = 0.01
+#: Bins of a sketch; bands of minima and minima in a band: two texts of similarity 0.8 share a band with probability 0.999997.
+BINS, BANDS, ROWS = 1024, 24, 4
+#: What an estimate may be off by: four standard deviations and more.
+MARGIN = 0.05
 #: Sketches that one task compares with each other, half as many of each of two chunks.
 CHUNK = 8192
+#: Shingle hashes that one group compares with each other, half as many of each of two chunks.
+CLASS_BYTES = 16 << 20
+#: Bits for each document of the filter that keeps other texts out of the exact comparison, and bits at most.
+FILTER_BITS, FILTER_MOST = 16, 1 << 26
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -109,25 +119,28 @@ def bins(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, sketched: bool = False) -> DataFrame:
-    """``doc_id, tag, fp``: the fingerprint as a signed long; ``tag`` tells rows of one id apart.  With ``sketched`` also ``bands, sketch``."""
+    """``doc_id, tag, fp``: the fingerprint as a signed long; ``tag`` tells rows of one id apart.  With ``sketched`` also ``bands, sketch`` and ``whole, size``: a hash of the distinct shingle hashes and their number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            fps, bands, sketches = [], [], []
+            fps, bands, sketches, wholes, sizes = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 hashes = shingle_hashes(t, shingle)
                 fps.append(majority(hashes))
                 if sketched:
+                    hashes = np.unique(hashes)
                     bands.append(band_keys(hashes))
                     sketches.append(bins(hashes))
+                    wholes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                    sizes.append(len(hashes))
             columns = [batch.column("doc_id"), batch.column("tag"), pa.array(np.array(fps, np.uint64).view(np.int64))]
             if sketched:
-                columns += [pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "fp", "bands", "sketch"][: len(columns)])
+                columns += [pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.array(wholes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "fp", "bands", "sketch", "whole", "size"][: len(columns)])
 
     tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tag long, fp long" + ", bands array<long>, sketch binary" * sketched)
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long" + ", bands array<long>, sketch binary, whole long, size long" * sketched)
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -170,6 +183,27 @@ def close_sketches(sketches: np.ndarray, similarity: float):
     return near
 
 
+def close_sets(hashes: np.ndarray, sizes: np.ndarray, similarity: float):
+    """Shared hashes over hashes in either, for sets of distinct hashes that stand one after another."""
+    _, ids = np.unique(hashes, return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    mark = np.zeros(len(ids), bool)
+
+    def near(i: int, open_: np.ndarray) -> np.ndarray:
+        own = ids[starts[i] : ends[i]]
+        mark[own] = True
+        if len(open_) < 16:
+            same = np.array([np.count_nonzero(mark[ids[starts[j] : ends[j]]]) for j in open_.tolist()], np.int64)
+        else:
+            upto = np.concatenate(([0], np.cumsum(mark[ids], dtype=np.int64)))
+            same = upto[ends[open_]] - upto[starts[open_]]
+        mark[own] = False
+        return same + 1e-9 >= similarity * (sizes[open_] + sizes[i] - same)
+
+    return near
+
+
 def _keyed(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
     masks = block_masks(blocks, distance)
     keys = F.array(*(F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
@@ -209,14 +243,20 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return found.unionByName(_bucket_links(fine.join(fine_sizes, ["no", "key"]), distance))
 
 
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: links of ``rid`` that connect what all links of ``similarity`` or more in a bucket connect (``rid, bands, sketch``)."""
+def _chunk_pairs(rid: str, chunks: str) -> Column:
+    """The pairs of chunks, of ``chunks``, that a member belongs to: every two chunks meet in one."""
+    own = F.pmod(rid, chunks).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.col(chunks) - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+
+
+def candidate_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links of ``rid`` that connect what all links of an estimate of ``similarity - MARGIN`` or more in a bucket connect (``rid, bands, sketch``)."""
     keyed = distinct.select("rid", F.posexplode("bands").alias("no", "key"))
-    sizes = keyed.groupBy("no", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keyed.join(sizes, ["no", "key"]).withColumn("chunks", F.ceil(F.col("n") / (CHUNK // 2)).cast("int"))
-    own = F.pmod("rid", "chunks").cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    placed = met.withColumn("pair", F.explode(pairs)).join(distinct.select("rid", "sketch"), "rid")
+    sizes = keyed.groupBy("no", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rid")).alias("sign")).filter("n > 1")
+    # many bands give the same bucket, which is compared once
+    once = sizes.groupBy("n", "sign").agg(F.min(F.struct("no", "key")).alias("at")).select("at.no", "at.key", "n")
+    met = keyed.join(once, ["no", "key"]).withColumn("chunks", F.ceil(F.col("n") / (CHUNK // 2)).cast("int"))
+    placed = met.withColumn("pair", F.explode(_chunk_pairs("rid", "chunks"))).join(distinct.select("rid", "sketch"), "rid")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,6 +271,49 @@ def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
     return groups.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
+def _hashed(docs: DataFrame, members: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``pick, hashes``: distinct shingle hashes of the rows of ``docs(pick, text)`` that are in ``members(pick)``, and of a few others."""
+    bits = min(FILTER_MOST, max(1 << 10, FILTER_BITS * members.count()))
+    place = members.select(F.pmod("pick", F.lit(bits)).cast("int").alias("p"))
+    words = place.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, p % 64))").alias("b")).toArrow()
+    held = np.zeros(-(-bits // 64), np.uint64)
+    held[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in small(batches):
+            at = batch.column(0).to_numpy() % bits
+            batch = batch.filter(pa.array((held[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["pick", "hashes"])
+
+    return docs.select("pick", text).mapInArrow(run, "pick long, hashes binary")
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """``a, b``: links that connect what all links of ``similarity`` or more among candidates connect (``docs(pick, text)``, ``distinct(rid, pick, size, bands, sketch)``)."""
+    classes = connected_components(candidate_links(distinct, similarity)).withColumnRenamed("node", "rid")
+    members = stored(classes.join(distinct.select("rid", "pick", "size"), "rid"), "candidates")
+    total = members.groupBy("component").agg(F.sum("size").alias("total"))
+    chunks = F.ceil(F.col("total") * 8 / (CLASS_BYTES // 2)).cast("int")
+    placed = members.join(total, "component").select("pick", "rid", "component", F.when(F.col("total") * 8 <= CLASS_BYTES, 1).otherwise(chunks).alias("chunks"))
+    sets = placed.join(_hashed(docs, members, text, shingle), "pick").withColumn("pair", F.explode(_chunk_pairs("rid", "chunks")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = []
+            for members in batch.column(0):
+                rids = np.array(members.values.field("rid"))
+                parts = [np.frombuffer(h, np.uint64) for h in members.values.field("hashes").to_pylist()]
+                near = close_sets(np.concatenate(parts), np.array([len(p) for p in parts]), similarity)
+                edges += [(int(rids[j]), int(rids[i])) for j, i in forest(len(rids), near)]
+            yield _edges(edges)
+
+    groups = sets.groupBy("component", "pair").agg(F.collect_list(F.struct("rid", "hashes")).alias("members"))
+    return groups.select("members").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """``doc_id, tag, fp, component_id, component_tag``: the smallest id reachable over links of ``distance`` bits, and its tag."""
     prints = stored(fingerprints(docs, doc_id, text, shingle), "fingerprints")
@@ -250,17 +333,18 @@ def fingerprint_hex(fp: Column) -> Column:
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 2, similarity: float = 0.8) -> DataFrame:
     """``doc_id, tag, component_id, component_tag`` over links of ``distance`` bits or of ``similarity``."""
     prints = stored(fingerprints(docs, doc_id, text, shingle, sketched=True), "sketches")
-    named = prints.withColumn("rid", F.xxhash64("fp", "sketch"))
+    named = prints.withColumn("rid", F.xxhash64("fp", "whole"))
     grouped = named.groupBy("rid").agg(
-        F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands"), F.min(F.struct("doc_id", "tag")).alias("first")
+        F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands"), F.min("size").alias("size"), F.min(F.struct("doc_id", "tag")).alias("first")
     )
-    distinct = stored(grouped, "texts")
+    distinct = stored(grouped.withColumn("pick", F.xxhash64("first.doc_id", "first.tag")), "texts")
+    picked = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("pick"), F.col(text).alias("text"))
     by_print = distinct.groupBy("fp").agg(F.min("rid").alias("head"))
     same = distinct.join(by_print, "fp").select(F.col("rid").alias("a"), F.col("head").alias("b")).filter("a <> b")
     close = links(by_print.select("fp"), distance)
     left, right = (by_print.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b"))
     close = close.join(left, "a").join(right, "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    roots = connected_components(similar_links(distinct, similarity).unionByName(same).unionByName(close)).withColumnRenamed("node", "rid")
+    roots = connected_components(similar_links(picked, distinct, "text", shingle, similarity).unionByName(same).unionByName(close)).withColumnRenamed("node", "rid")
     classed = stored(distinct.join(roots, "rid", "left").select("rid", "first", F.coalesce("component", "rid").alias("component")), "classes")
     lowest = classed.groupBy("component").agg(F.min("first").alias("lowest"))
     ends = classed.join(lowest, "component").select("rid", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.tag").alias("component_tag"))

@@ -126,6 +126,40 @@ def test_near_copies_of_similarity_are_joined(spark, data):
             assert max(len(sets[d] & sets[x]) / len(sets[d] | sets[x]) for x in members if x != d) > 0.75
 
 
+def test_links_are_decided_on_whole_shingle_sets(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    rows, want = [], {}
+    for pair in range(160):
+        words = [word() for _ in range(rnd.choice([400, 1200, 4000]))]
+        shared, tail = len(words) - 4, 0
+        bound = pair % 2
+        while (shared - tail) / (shared + tail) >= 0.8:  # tail: changed words, each of which changes a shingle
+            tail += 1
+        tail -= bound  # the last tail at or above 0.8, or the first below
+        other = words[: len(words) - tail] + [word() for _ in range(tail)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+        want |= {2 * pair: 2 * pair, 2 * pair + 1: 2 * pair + (not bound)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()} == want
+
+
+def test_a_class_of_several_chunks_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CLASS_BYTES", 4000)
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(80):
+        words = list(words)
+        words[rnd.randrange(120)] = f"x{rnd.randrange(10**9)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    prints = [brute_print(t, 5) for t in texts]
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()} == brute_components(list(range(80)), close)
+
+
 def test_simhash_on_odd_tables(odd, none):
     rows = simhash.components(odd).collect()
     assert len(rows) == odd.count()
