@@ -135,9 +135,14 @@ def snippet(text: Column) -> Column:
     return truncate_at_sentence(text, 240)
 
 
+def clean(text: Column) -> Column:
+    """Boilerplate out, personal data masked, white space collapsed, of any length."""
+    return collapse_space(mask(remove_patterns(text)))
+
+
 def sanitize(text: Column, most: int) -> Column:
-    """Boilerplate out, personal data masked, white space collapsed, cut at a sentence."""
-    return truncate_at_sentence(collapse_space(mask(remove_patterns(text))), most)
+    """``clean``, cut at a sentence."""
+    return truncate_at_sentence(clean(text), most)
 
 
 #: Line filters and inline replacements for scanned text.

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.functions.text import sanitize
+from lodestone.functions.text import clean
 from lodestone.operators.chunk import windows
 
 
-def clean_batch(docs: DataFrame, least: int = 20, most: int = 2000) -> DataFrame:
-    """``doc_id, content_hash, text``: valid documents in clean form, the smallest id of equal texts."""
-    clean = docs.filter(F.length("text") >= least).select("doc_id", F.sha2("text", 256).alias("content_hash"), sanitize(F.col("text"), most).alias("text"))
-    return clean.groupBy("content_hash").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "content_hash", "d.text")
+def clean_batch(docs: DataFrame, least: int = 20) -> DataFrame:
+    """``doc_id, content_hash, text``: valid documents in clean form and whole, the smallest id of equal texts; only chunks have a length limit, that of ``windows``."""
+    rows = docs.filter(F.length("text") >= least).select("doc_id", F.sha2("text", 256).alias("content_hash"), clean(F.col("text")).alias("text"))
+    return rows.groupBy("content_hash").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "content_hash", "d.text")
 
 
 def write_batch(batch: DataFrame, number: int, target: str) -> None:

@@ -32,6 +32,16 @@ def test_stream_gives_the_batch_result(spark, data):
     assert rows("ing_11_stream") == rows("ing_11_batch")
 
 
+def test_long_texts_are_ingested_whole(spark, tmp_path):
+    text = " ".join(f"Sentence {chr(97 + i % 26)}{chr(97 + i // 26)} ends here." for i in range(400))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert ingest.clean_batch(docs).first()["text"] == text
+    ingest.write_batch(docs, 0, f"{tmp_path}/out")
+    rows = sorted(map(tuple, ingest.chunk_table(spark, f"{tmp_path}/out").select("char_start", "chunk").collect()))
+    assert all(len(chunk) <= 600 for _, chunk in rows)
+    assert rows[-1][1].endswith(text[-20:]) and rows[-1][0] + 600 >= len(text)
+
+
 def test_a_second_run_takes_new_files_only(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     source, target, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "check"))
