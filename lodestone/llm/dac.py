@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import small
-from lodestone.llm.tokens import memory, slices
+from lodestone.llm.tokens import encoded, memory
 
 MAGIC = b"DAC1"
 #: Bits from one count of the rank directory to the next.
@@ -105,6 +105,25 @@ class Segment:
             i, shift = self._rank(bits, counts, i), shift + 8
         return value
 
+    def take(self, positions: np.ndarray) -> np.ndarray:
+        """The ids at ``positions``: one step a level for all of them."""
+        at = np.asarray(positions, np.int64)
+        ids, on = np.zeros(len(at), np.uint32), np.arange(len(at))
+        for level, (chunks, bits, counts) in enumerate(self.levels):
+            ids[on] |= chunks[at].astype(np.uint32) << np.uint32(8 * level)
+            if bits is None or not len(on):
+                break
+            more = (bits[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
+            on, at = on[more], at[more]
+            # set bits before each: the count of its block, whole bytes since, and bits of its own byte
+            first, last = at // BLOCK * (BLOCK // 8), at // 8
+            within = np.arange(BLOCK // 8)
+            spread = first[:, None] + within
+            whole = np.bitwise_count(bits[np.minimum(spread, len(bits) - 1)]) * (spread < last[:, None])
+            own = np.bitwise_count(bits[last] & ((1 << (at % 8)) - 1).astype(np.uint8))
+            at = counts[at // BLOCK].astype(np.int64) + whole.sum(1, dtype=np.int64) + own
+        return ids
+
     def range(self, start: int, end: int, level: int = 0) -> np.ndarray:
         """The ids from ``start`` to before ``end``."""
         chunks, bits, counts = self.levels[level]
@@ -129,24 +148,25 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str =
     dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, end = memory(tokenizer), TaskContext.get().partitionId(), struct.pack("<I", end_id)
+        words, part = memory(tokenizer), TaskContext.get().partitionId()
         seq = offset = size = 0
         ids: list[int | None] = []
         ends: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            codes = encode(np.frombuffer(b"".join(held), "<u4"))
+            codes = encode(np.concatenate(held))
             row = {"part": part, "seq": seq, "part_offset": offset, "n_tokens": size, "doc_ids": ids, "doc_ends": ends, "codes": codes}
             return pa.RecordBatch.from_pylist([row], schema=_ARROW_CODES)
 
         for batch in small(batches):
-            own, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for start, some in slices(texts):
-                for k, found in enumerate(words.encode(some)):
-                    held.append(found + end)
-                    size += len(found) // 4 + 1
-                    ids.append(own[start + k])
+            for own, found, stops in encoded(words, batch.column("doc_id"), batch.column("text"), end_id):
+                begin = 0
+                for owner, stop in zip(own, stops.tolist(), strict=True):
+                    held.append(found[begin:stop])
+                    size += stop - begin
+                    begin = stop
+                    ids.append(owner)
                     ends.append(size)
                     if size >= SEGMENT_TOKENS or len(ids) >= SEGMENT_DOCS:
                         yield flush()
@@ -198,24 +218,32 @@ def read_documents(codes: DataFrame) -> DataFrame:
 
 
 def read_tokens(codes: DataFrame, positions: DataFrame, position: str = "position") -> DataFrame:
-    """The id at each global position of ``positions``: ``position, token``, by random access.
+    """The id at each global position of ``positions``: ``position, token``, by random access; positions outside give no row.
 
     Positions meet their segments in a join on buckets of ``SEGMENT_TOKENS``
-    positions; a segment stands in each bucket that it overlaps.
+    positions; a segment stands in each bucket that it overlaps.  A position
+    asked for many times is looked up once, so that what meets at a segment is
+    no more than the segment has ids.
     """
     spans = with_starts(codes).withColumn("end", F.col("start") + F.col("n_tokens"))
     bucket = lambda c: F.floor(c / F.lit(SEGMENT_TOKENS))
     spans = spans.filter("n_tokens > 0").withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end") - 1))))
-    asked = positions.select(F.col(position).cast("long").alias("position")).withColumn("bucket", bucket(F.col("position")))
-    met = asked.join(spans.select("bucket", "part", "seq", "start", "end"), "bucket").filter("position >= start and position < end")
-    lists = met.groupBy("part", "seq", "start").agg(F.collect_list("position").alias("positions"))
-    wanted = codes.join(lists, ["part", "seq"]).select("codes", "start", "positions")
+    asked = positions.select(F.col(position).cast("long").alias("position")).groupBy("position").agg(F.count(F.lit(1)).alias("times"))
+    met = asked.withColumn("bucket", bucket(F.col("position"))).join(spans.select("bucket", "part", "seq", "start", "end"), "bucket").filter("position >= start and position < end")
+    lists = met.groupBy("part", "seq", "start").agg(F.collect_list(F.struct("position", "times")).alias("asked"))
+    wanted = codes.join(lists, ["part", "seq"]).select("codes", "start", "asked")
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(row["codes"])
-                tokens = [segment[p - row["start"]] for p in row["positions"]]
-                yield pa.RecordBatch.from_pydict({"position": pa.array(row["positions"], pa.int64()), "token": pa.array(tokens, pa.int64())})
-
-    return wanted.mapInArrow(pick, "position long, token long")
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                segment, start = Segment(one.column("codes")[0].as_py()), one.column("start")[0].as_py()
+                rows = one.column("asked")[0].values
+                places, times = (rows.field(k).to_numpy() for k in ("position", "times"))
+                for at in range(0, len(places), 5000):
+                    part = slice(at, at + 5000)
+                    columns = [places[part], segment.take(places[part] - start).astype(np.int64), times[part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["position", "token", "times"])
+
+    found = wanted.mapInArrow(pick, "position long, token long, times long")
+    return found.select("position", "token", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col")

@@ -21,7 +21,6 @@ Columns other than the two named are not read.
 from __future__ import annotations
 
 import heapq
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,31 +30,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import small
-from lodestone.llm.tokens import memory, slices
+from lodestone.llm.tokens import encoded, memory
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([*((name, pa.int64()) for name in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
 
 def differencing(lengths: list[int], windows: int) -> tuple[list[int], list[list[int]]]:
-    """Near-equal partition of ``lengths`` into ``windows``: sums, and the positions in each."""
-    if not lengths:
-        return [0] * windows, [[] for _ in range(windows)]
-    blank = [(0, None)] * (windows - 1)
-    heap = [(-n, i, [*blank, (n, i)]) for i, n in enumerate(lengths)]  # windows of a partial partition by ascending sum
+    """Near-equal partition of ``lengths`` (none of them 0) into ``windows``: sums in ascending order, and the positions in each.
+
+    A partial partition lists its filled windows only, by ascending sum; the
+    others are empty.  As the fullest windows of one meet the emptiest of the
+    other, no sums are added up while the filled windows of both find room.
+    """
+    heap = [(-n, i, [(n, i)]) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
     tie = len(lengths)
     first = lambda pair: pair[0]
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        merged = [(x + y, q if p is None else p if q is None else (p, q)) for (x, p), (y, q) in zip(a, reversed(b), strict=True)]
+        free_a, free_b = windows - len(b), windows - len(a)  # lowest windows that stay alone: of a where b is empty, and the reverse
+        if free_a >= len(a):
+            merged = a + b
+        else:
+            a_low, b_low = len(a) - max(free_a, 0), len(b) - max(free_b, 0)
+            merged = [(x + y, (p, q)) for (x, p), (y, q) in zip(a[:a_low], reversed(b[:b_low]), strict=True)] + a[a_low:] + b[b_low:]
         merged.sort(key=first)
-        heapq.heappush(heap, (merged[0][0] - merged[-1][0], tie, merged))
+        spread = merged[-1][0] - (merged[0][0] if len(merged) == windows else 0)
+        heapq.heappush(heap, (-spread, tie, merged))
         tie += 1
-    sums, members = [], []
-    for total, tree in heap[0][2]:
-        found, stack = [], [] if tree is None else [tree]
+    filled = heap[0][2] if heap else []
+    sums, members = [0] * (windows - len(filled)), [[] for _ in range(windows - len(filled))]
+    for total, tree in filled:
+        found, stack = [], [tree]
         while stack:
             node = stack.pop()
             if isinstance(node, tuple):
@@ -88,7 +96,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     wide = 4 * capacity
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = memory(tokenizer), struct.pack("<I", end_id)
+        words = memory(tokenizer)
         number, held, size, out = TaskContext.get().partitionId() << 40, [], 0, []
 
         def place() -> None:
@@ -107,16 +115,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             return made
 
         for batch in small(batches):
-            owners, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at, some in slices(texts):
-                for k, found in enumerate(words.encode(some)):
-                    ids = found + end
+            for owners, found, ends in encoded(words, batch.column("doc_id"), batch.column("text"), end_id):
+                raw, begin = found.tobytes(), 0
+                for owner, stop in zip(owners, ends.tolist(), strict=True):
+                    ids, begin = raw[4 * begin : 4 * stop], stop
                     total, full = len(ids) // 4, len(ids) // wide * wide
                     for start in range(0, full, wide):
-                        out.append((owners[at + k], start // 4, capacity, total, number, 0, ids[start : start + wide]))
+                        out.append((owner, start // 4, capacity, total, number, 0, ids[start : start + wide]))
                         number += 1
                     for start in range(full, len(ids), 4 * piece):
-                        held.append((owners[at + k], start // 4, total, ids[start : start + 4 * piece]))
+                        held.append((owner, start // 4, total, ids[start : start + 4 * piece]))
                         size += len(held[-1][3]) // 4
                         if size >= enough:
                             place()
