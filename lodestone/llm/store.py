@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a new temporary folder is set only where it is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a new temporary folder in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get().rstrip("/")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         context.setCheckpointDir(folder)
         return context._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -35,3 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """A name for each of ``names`` that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
