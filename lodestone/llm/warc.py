@@ -1,15 +1,19 @@
 """WARC archives as a PySpark data source (format ``warc``).
 
 Writing: each task writes gzip members, one a record, into files of bounded
-size; the names it wrote reach the driver, which commits them in a manifest, so
-files of failed or repeated attempts are never read.  A member's gzip header
-carries its lengths (the ``sl`` field of the WARC annex).
+size; the names it wrote reach the driver, which commits them in a manifest of
+this write, so files of failed or repeated attempts are never read.  Appending
+adds a manifest; overwriting puts one in place of all others and removes their
+files.  A member's gzip header carries its lengths (the ``sl`` field of the
+WARC annex).
 
 Reading: a partition is a file.  Filters on the record type and on headers are
 pushed down; the reader inflates a record's head first and, when the filters
 turn it down or payloads are not asked for (option ``payload=false``), jumps to
 the next member without inflating the rest.  Archives without the field, or not
-compressed, are read too.
+compressed, are read too, also beside files of this writer.  An archive that
+ends within a record or member, or whose checksums do not hold, is an error
+that names file and offset.
 
 Rows: ``record_id, record_type, target_uri, payload_digest, refers_to,
 payload_bytes, payload``.  A revisit has no payload of its own; its digest and
@@ -26,6 +30,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,7 +48,9 @@ SCHEMA = "record_id string, record_type string, target_uri string, payload_diges
 _ARROW = pa.schema([*((n, pa.string()) for n in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 #: Columns that record heads can answer for.
 HEADERS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
+#: Names of this writer's files; others in a folder are archives from elsewhere.
+OWN = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed once it has so many bytes, so that a reading task is bounded.
 ROLL_BYTES = 64 << 20
@@ -86,7 +93,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.overwrite = overwrite
         self.path, self.date = options["path"].rstrip("/"), options.get("date", "1970-01-01T00:00:00Z")
         self.roll = int(options.get("rollbytes", ROLL_BYTES))
 
@@ -114,12 +122,30 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
+        old = manifests(store, folder) if self.overwrite else []
         names = sorted(f for m in messages if m is not None for f in m.files)
-        with store.open_output_stream(f"{folder}/{MANIFEST}", compression=None) as out:
+        with store.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(names).encode())
+        for manifest in old:
+            gone = listed(store, manifest)
+            store.delete_file(manifest)
+            for name in gone:
+                store.delete_file(f"{folder}/{name}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Uncommitted files stay unread: they are in no manifest."""
+        store, folder = store_of(self.path)
+        for name in (f for m in messages if m is not None for f in m.files):
+            store.delete_file(f"{folder}/{name}")
+
+
+def manifests(store: pafs.FileSystem, folder: str) -> list[str]:
+    infos = store.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return sorted(i.path for i in infos if i.base_name.startswith(MANIFEST))
+
+
+def listed(store: pafs.FileSystem, manifest: str) -> list[str]:
+    with store.open_input_stream(manifest, compression=None) as file:
+        return json.loads(file.read())
 
 
 @dataclass
@@ -148,7 +174,7 @@ class _Plain:
     """Records of an archive without usable member lengths, one after another, read in pieces."""
 
     def __init__(self, stream: pa.NativeFile):
-        self.stream, self.buffer = stream, b""
+        self.stream, self.buffer, self.inside = stream, b"", False
         start = stream.read(2)
         self.unzip = zlib.decompressobj(31) if start == b"\x1f\x8b" else None
         self._feed(start)
@@ -156,19 +182,23 @@ class _Plain:
     def _feed(self, raw: bytes) -> None:
         while raw and self.unzip:
             self.buffer += self.unzip.decompress(raw)
-            raw = self.unzip.unused_data
+            raw, self.inside = self.unzip.unused_data, not self.unzip.eof
             if self.unzip.eof:
                 self.unzip = zlib.decompressobj(31)
         self.buffer += raw
 
     def _more(self) -> bool:
         raw = self.stream.read(1 << 20)
+        if not raw and self.inside:
+            raise ValueError("archive ends within a member")
         self._feed(raw)
         return bool(raw)
 
     def head(self) -> bytes | None:
         while (end := self.buffer.find(b"\r\n\r\n")) < 0:
             if not self._more():
+                if self.buffer.strip():
+                    raise ValueError("archive ends within a record's head")
                 return None
         found, self.buffer = self.buffer[:end], self.buffer[end + 4 :]
         return found.lstrip(b"\r\n")
@@ -216,15 +246,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[ArchiveFile]:
         store, folder = store_of(self.path)
-        if store.get_file_info(f"{folder}/{MANIFEST}").type == pafs.FileType.File:
-            with store.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as file:
-                names = [f"{folder}/{n}" for n in json.loads(file.read())]
-        elif store.get_file_info(folder).type == pafs.FileType.File:
-            names = [folder]
-        else:
-            infos = store.get_file_info(pafs.FileSelector(folder, recursive=True))
-            names = sorted(i.path for i in infos if i.path.endswith((".warc", ".warc.gz")))
-        return [ArchiveFile(n) for n in names]
+        if store.get_file_info(folder).type == pafs.FileType.File:
+            return [ArchiveFile(folder)]
+        own = [f"{folder}/{name}" for manifest in manifests(store, folder) for name in listed(store, manifest)]
+        infos = store.get_file_info(pafs.FileSelector(folder, recursive=True))
+        others = sorted(i.path for i in infos if i.path.endswith((".warc", ".warc.gz")) and not OWN.fullmatch(i.base_name))
+        return [ArchiveFile(name) for name in own + others]
 
     def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -232,7 +259,7 @@ class WarcReader(DataSourceReader):
         store, _ = store_of(self.path)
         rows, size = [], 0
         with store.open_input_file(partition.path) as file:
-            for row in self.records(file):
+            for row in self.records(file, partition.path):
                 rows.append(row)
                 size += len(row["payload"] or b"") + 200
                 if size >= 4 << 20 or len(rows) >= 5000:
@@ -241,32 +268,51 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    def records(self, file: pa.NativeFile) -> Iterator[dict]:
+    def records(self, file: pa.NativeFile, name: str = "archive") -> Iterator[dict]:
         at, end = 0, file.size()
         while at < end:
             file.seek(at)
             start = file.read(HEAD)
-            if start[:4] != b"\x1f\x8b\x08\x04" or start[12:14] != b"sl" or start[16:20] == b"\xff" * 4:
-                file.seek(at)
-                yield from self.plain(_Plain(file))
-                return
-            length = int.from_bytes(start[16:20], "little")
-            unzip = zlib.decompressobj(-15)
-            packed = start[24:length] if length <= HEAD else start[24:]
-            data = unzip.decompress(packed, HEAD)
-            while (cut := data.find(b"\r\n\r\n")) < 0:  # a head longer than usual
-                packed = unzip.unconsumed_tail or file.read(HEAD)
-                data += unzip.decompress(packed, HEAD)
-            fields = parse_head(data[:cut])
-            head = heads(fields)
-            if self.wanted(head):
-                block = None
-                if self.payload and head["record_type"] != "revisit":
-                    rest = unzip.unconsumed_tail + (file.read(at + length - file.tell()) if file.tell() < at + length else b"")
-                    block = (data + unzip.decompress(rest))[cut + 4 :][: int(fields["content-length"])]
-                yield self.row(head, fields, block)
+            try:
+                if start[:4] != b"\x1f\x8b\x08\x04" or start[12:14] != b"sl" or start[16:20] == b"\xff" * 4:
+                    file.seek(at)
+                    yield from self.plain(_Plain(file))
+                    return
+                length = int.from_bytes(start[16:20], "little")
+                if length < 32 or at + length > end:
+                    raise ValueError(f"a member of {length} bytes, {end - at} left")
+                row = self.member(file, start, at, length)
+            except (ValueError, KeyError, zlib.error) as why:
+                raise ValueError(f"{name}, member at {at}: {why}") from why
+            if row is not None:
+                yield row
             at += length
 
+    def member(self, file: pa.NativeFile, start: bytes, at: int, length: int) -> dict | None:
+        """The record of a member whose first bytes are ``start``, or None if it is turned down by its head."""
+        unzip = zlib.decompressobj(-15)
+        data = unzip.decompress(start[24:length], HEAD)
+        while (cut := data.find(b"\r\n\r\n")) < 0:  # a head longer than usual
+            packed = unzip.unconsumed_tail or file.read(min(HEAD, at + length - file.tell()))
+            if not packed or unzip.eof:
+                raise ValueError("it ends within the record's head")
+            data += unzip.decompress(packed, HEAD)
+        fields = parse_head(data[:cut])
+        head = heads(fields)
+        if not self.wanted(head):
+            return None
+        block = None
+        if self.payload and head["record_type"] != "revisit":
+            rest = unzip.unconsumed_tail + (file.read(at + length - file.tell()) if file.tell() < at + length else b"")
+            data += unzip.decompress(rest)
+            tail = unzip.unused_data[:8]
+            if not unzip.eof or tail[:4] != zlib.crc32(data).to_bytes(4, "little"):
+                raise ValueError("its end is missing or its checksum does not hold")
+            block = data[cut + 4 :][: int(fields["content-length"])]
+            if len(block) < int(fields["content-length"]):
+                raise ValueError("its block is shorter than its head says")
+        return self.row(head, fields, block)
+
     def plain(self, source: _Plain) -> Iterator[dict]:
         while (raw := source.head()) is not None:
             fields = parse_head(raw)
@@ -300,7 +346,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -331,9 +377,10 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     )
 
 
-def write_archive(records: DataFrame, path: str) -> None:
+def write_archive(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Write ``records`` beside (``append``) or in place of (``overwrite``) what was written to ``path`` before."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode(mode).save(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
