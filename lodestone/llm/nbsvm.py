@@ -1,22 +1,23 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text is a set of n-grams: byte 1- to 3-grams, and n-grams of repetition marks
-(runs of word pairs that stood in the text before, shares of words that echo the
-one before).  Indicators are scaled by
+A text is a set of n-grams: byte 1- to 3-grams, and n-grams over two sequences
+that tell of recurrence: whether each word pair stood in the text before (n-grams
+of ``ORDERS`` such pairs), and the 2-gram of a word and the same word again, by
+how often it is seen (``COUNTS``).  Indicators are scaled by
 the log ratio of their smoothed shares in the two classes, and a linear
 hinge-loss model is fitted to the scaled vectors by dual coordinate descent.  A
 logistic curve fitted on a fold that the model did not see turns margins into
 scores.
 
 The model is fitted on at most ``sample`` labelled rows, chosen by a hash of
-their id, in one task; its size is fixed.  Scoring reads every whole text and
+their id, and at most ``sample_bytes`` of their n-grams, in one task; its size is fixed.  Scoring reads every whole text and
 shuffles nothing.
 
 Edge cases: a null text is empty; an empty text is scored by the bias alone;
 rows without a label are not learned from; if one class has no rows, every
 score is the share of label 1 (0.5 without rows); a null id is never learned
-from and is scored; repeated rows are scored each; an empty table gives no
-rows.  Columns other than the named ones are not read.
+from and is scored; repeated rows are scored each, and one row of an id is
+learned from; an empty table gives no rows.  Columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import small
 
 #: Hashed n-gram space.
 DIMS = 1 << 18
-#: Runs of repeated word pairs that count as an n-gram of their own, and shares of words that repeat the one before them.
-RUNS, ECHOES = (1, 2, 4, 8, 16, 32, 64), (0.02, 0.1, 0.25, 0.5, 0.75)
+#: Orders of the n-grams of recurring word pairs, and numbers of words repeated at once from which on there is an indicator.
+ORDERS, COUNTS = (1, 2, 4, 8, 16, 32, 64), (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 
 class Featurizer:
@@ -45,7 +46,8 @@ class Featurizer:
         self.seen = np.zeros(DIMS, bool)
 
     @staticmethod
-    def repeated_runs(raw: bytes) -> list[int]:
+    def recurrences(raw: bytes) -> list[int]:
+        """Numbers of the n-grams over the recurrence of word pairs and of words."""
         words = raw.split()
         if len(words) < 2:
             return []
@@ -53,8 +55,8 @@ class Featurizer:
         ids.default_factory = ids.__len__
         own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
         pairs = own[:-1] * len(ids) + own[1:]
-        echo = float((own[1:] == own[:-1]).mean())
-        found = [len(RUNS) + k for k, share in enumerate(ECHOES) if echo >= share]
+        echoed = int((own[1:] == own[:-1]).sum())
+        found = [len(ORDERS) + k for k, n in enumerate(COUNTS) if echoed >= n]
         _, first = np.unique(pairs, return_index=True)
         if len(first) == len(pairs):
             return found
@@ -63,7 +65,7 @@ class Featurizer:
         old[0] = old[-1] = 0
         edges = np.flatnonzero(np.diff(old))
         longest = int((edges[1::2] - edges[::2]).max())
-        return found + [k for k, run in enumerate(RUNS) if longest >= run]
+        return found + [k for k, n in enumerate(ORDERS) if longest >= n]
 
     def __call__(self, text: str | None) -> np.ndarray:
         raw = (text or "").encode()
@@ -76,7 +78,7 @@ class Featurizer:
             grams.append(0x20000 + (three >> 15))
         for g in grams:
             self.seen[g] = True
-        for k in self.repeated_runs(raw):
+        for k in self.recurrences(raw):
             self.seen[512 + k] = True
         found = np.flatnonzero(self.seen)
         self.seen[found] = False
@@ -173,13 +175,13 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fit on at most ``sample`` rows of ``labels`` outside the held-out fold (``fold`` 0)."""
+def chosen(docs: DataFrame, labels: DataFrame, sample: int = 12_000, sample_bytes: int = 256 << 20, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """``id, label, found``: the n-grams of the rows to learn from, outside the held-out fold (``fold`` 0)."""
     key = F.col(doc_id)
     known = labels.filter(key.isNotNull() & F.col(label).isin(0, 1) & (fold(key) != 0)).select(key.cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     # bounded by ``sample`` rows of 12 bytes, so it fits to broadcast
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(key.cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    some = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    rows = docs.select(key.cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), "id")
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer()
@@ -187,6 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, doc_id: str =
             found = [make(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "found"])
 
+    found = rows.select("id", "label", "text").mapInArrow(features, "id long, label int, found binary")
+    # rows that share an id would multiply in the join: one of them is kept, so ``sample`` bounds the rows of the task that trains
+    single = found.groupBy("id").agg(F.min(F.struct("label", "found")).alias("row")).select("id", "row.label", "row.found")
+    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = single.withColumn("bytes", F.sum(F.octet_length("found").cast("long")).over(upto))
+    return held.filter(F.col("bytes") <= sample_bytes).select("id", "label", "found")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, sample_bytes: int = 256 << 20, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """Fit on at most ``sample`` rows of ``labels`` outside the held-out fold, as long as their n-grams fill at most ``sample_bytes``."""
+
     def train(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("label", "ascending")])
         rows = [np.frombuffer(x, np.uint32) for x in table.column("found").to_pylist()]
@@ -196,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, doc_id: str =
         blob = model.weights.astype("<f4").tobytes()
         return pa.table({"weights": pa.array([blob], pa.binary()), "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
-    found = rows.select("id", "label", "text").mapInArrow(features, "id long, label int, found binary").withColumn("all", F.lit(0))
-    fitted = found.groupBy("all").applyInArrow(train, "weights binary, bias double, slope double, shift double").first()
+    rows = chosen(docs, labels, sample, sample_bytes, doc_id, text, label).withColumn("all", F.lit(0))
+    fitted = rows.groupBy("all").applyInArrow(train, "weights binary, bias double, slope double, shift double").first()
     if fitted is None:
         return fit_rows([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     return Model(np.frombuffer(fitted["weights"], "<f4"), fitted["bias"], fitted["slope"], fitted["shift"])
