@@ -61,26 +61,32 @@ def write_shards(df: DataFrame, key: str, shards: int, path: str) -> None:
 def shard_index(docs: DataFrame, key: str, text: str, shards: int, buckets: int = 64) -> DataFrame:
     """Directory of the shards: ``key, size, text_crc32, shard, slot, grown_shard``.
 
-    ``slot`` numbers the rows of a shard from 0 without gaps.  A shard is dealt
-    into ``buckets`` hash buckets, each numbered by its own task and shifted by
-    the rows in the buckets before it, so no task holds a whole shard.  The
-    table of shifts has ``shards * buckets`` rows at most, whatever the input,
-    which is what makes it fit to broadcast.
+    ``slot`` numbers the rows of a shard from 0 without gaps.  Equal rows are
+    counted before anything is sorted, so that a key or text of a third of all
+    rows is one row to number.  A shard is dealt into ``buckets`` by a hash of
+    key and text, each numbered by its own task and shifted by the rows in the
+    buckets before it, so no task holds a whole shard.  The table of shifts has
+    ``shards * buckets`` rows at most, whatever the input, which is what makes
+    it fit to broadcast.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).alias("key"),
         (F.octet_length(content) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(content).alias("text_crc32"),
-        jump_shard(F.col(key), shards).alias("shard"),
-        jump_shard(F.col(key), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int").alias("bucket"),
     )
-    filled = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    equal = rows.groupBy("key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "shard": jump_shard(F.col("key"), shards),
+        "grown_shard": jump_shard(F.col("key"), shards + 1),
+        "bucket": F.pmod(F.xxhash64(F.lit("slot"), "key", "size", "text_crc32"), F.lit(buckets)).cast("int"),
+    })
+    filled = equal.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = filled.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    within = Window.partitionBy("shard", "bucket").orderBy("key", "text_crc32", "size")
-    numbered = rows.withColumn("place", F.row_number().over(within))
-    return numbered.join(F.broadcast(shifts), ["shard", "bucket"]).select(
-        F.col("key"), "size", "text_crc32", "shard", (F.col("shift") + F.col("place") - 1).alias("slot"), "grown_shard"
-    )
+    within = Window.partitionBy("shard", "bucket").orderBy("key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = equal.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    first = numbered.join(F.broadcast(shifts), ["shard", "bucket"]).withColumn("first", F.col("shift") + F.col("place"))
+    step = F.lit(10_000).cast("long")  # equal rows come back in short arrays
+    parts = first.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)))
+    spread = parts.withColumn("i", F.explode(F.sequence("at", F.least(F.col("at") + step, F.col("n")) - 1)))
+    return spread.select("key", "size", "text_crc32", "shard", (F.col("first") + F.col("i")).alias("slot"), "grown_shard")
