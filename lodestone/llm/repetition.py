@@ -204,5 +204,7 @@ def measure_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 def keep_good(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The documents that pass all rules, with the columns they came with."""
     columns = docs.columns
-    prefix = "__rule_"
+    prefix = "rule_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
     return measured(docs, text, prefix, limits).filter(F.col(prefix + "kept")).select(*columns)

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import small
 from lodestone.llm.components import connected_components
-from lodestone.llm.store import stored
+from lodestone.llm.store import fresh, stored
 
 SEED = 42
 #: Distinct fingerprints that one bucket may compare with each other.
@@ -353,10 +353,14 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 2, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each component of near copies, that with the smallest id."""
-    columns = docs.columns
+    known, own, tag = fresh(docs, "kept_known", "kept_id", "kept_tag")
     found = similar_components(docs, doc_id, text, shingle, distance, similarity)
-    kept = found.select(F.col("component_id").alias("__id"), F.col("component_tag").alias("__tag")).distinct()
-    tagged = docs.withColumn("__tag", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__id", F.col(doc_id).cast("long"))
-    left, right = tagged.alias("l"), kept.alias("r")
-    same = F.col("l.__id").eqNullSafe(F.col("r.__id")) & (F.col("l.__tag") == F.col("r.__tag"))
-    return left.join(right, same, "left_semi").dropDuplicates(["__id", "__tag"]).select(*columns)
+    # neither key is null, so that the join and the choice of one among repeated rows share a shuffle
+    kept = found.select(F.col("component_id").isNotNull().alias(known), F.coalesce("component_id", F.lit(0)).alias(own), F.col("component_tag").alias(tag)).distinct()
+    tagged = docs.withColumns({
+        known: F.col(doc_id).isNotNull(),
+        own: F.coalesce(F.col(doc_id).cast("long"), F.lit(0)),
+        tag: F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+    })
+    keys = [known, own, tag]
+    return tagged.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
