@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import stored
+from lodestone.llm.store import fresh, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,11 +53,12 @@ def line_keys(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFr
         text_tag(F.col(text)).alias("tag"),
         F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"),
     )
-    key = F.translate(F.btrim("line", F.lit(BLANKS)), UPPER, LOWER)
-    keyed = lines.select("known", "doc", "tag", "pos", key.alias("key")).filter(F.length("key") >= min_chars)
-    return keyed.select(
-        F.xxhash64("key").alias("a"), F.xxhash64(F.concat(F.lit("2"), F.reverse("key"))).alias("b"), "known", "doc", "tag", "pos"
-    )
+    bare = F.btrim("line", F.lit(BLANKS))
+    # folding A-Z keeps the length, so short lines go before it; on ASCII text it is ``lower``, which is faster
+    long = lines.filter(F.length(bare) >= min_chars).select("known", "doc", "tag", "pos", bare.alias("bare"))
+    key = F.when(F.octet_length("bare") == F.length("bare"), F.lower("bare")).otherwise(F.translate("bare", UPPER, LOWER))
+    keyed = long.select("known", "doc", "tag", "pos", key.alias("key"))
+    return keyed.select(F.xxhash64("key").alias("a"), F.xxhash64(F.lit("second"), "key").alias("b"), "known", "doc", "tag", "pos")
 
 
 _STREAMED = "kind int, a long, b long, known boolean, doc long, tag long, pos int"
@@ -130,7 +131,9 @@ def stream_runs(min_docs: int):
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``known, doc, tag, pos`` of every line that goes."""
     order = [F.col("a"), F.col("b"), F.col("known").desc(), F.col("doc").desc(), F.col("tag"), F.col("pos")]
-    dealt = line_keys(docs, doc_id, text, min_chars).repartitionByRange(*order).sortWithinPartitions(*order)
+    # written first, as finding the ranges reads the keys once more
+    keys = stored(line_keys(docs, doc_id, text, min_chars), "line-keys")
+    dealt = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     streamed = stored(dealt.mapInArrow(stream_runs(min_docs), _STREAMED), "line-runs")
     who = F.struct("known", "doc")
     reports = streamed.filter(F.col("kind") == REPORT).groupBy("a", "b").agg(F.max(who).alias("keeper"), F.count_distinct(who).alias("n"))
@@ -165,18 +168,12 @@ def line_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     return lists.select("known", "doc", "tag", packed("positions").alias("keep"))
 
 
-def _joined(docs: DataFrame, bitmaps: DataFrame, doc_id: str, text: str) -> DataFrame:
-    keyed = docs.withColumns({
-        "__known": F.col(doc_id).isNotNull(),
-        "__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)),
-        "__tag": text_tag(F.col(text)),
-    })
-    named = bitmaps.select(F.col("known").alias("__known"), F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("keep").alias("__keep"))
-    return keyed.join(named, ["__known", "__doc", "__tag"], "left")
-
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: str | None = None, dropped: str | None = None) -> DataFrame:
+    """``docs`` with kept lines only in ``text`` (untouched texts, null ones too, stay as they are).
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with kept lines only in ``text`` (untouched texts, null ones too, stay as they are), and ``__lines`` and ``__dropped``."""
+    ``lines`` and ``dropped`` name new columns for the lines before dropping and those that went.
+    """
+    known, doc, tag, keep, done = fresh(docs, "known", "doc", "tag", "keep", "kept")
 
     @F.pandas_udf("text string, lines long, dropped long")
     def kept(texts: pd.Series, bitmaps: pd.Series) -> pd.DataFrame:
@@ -185,17 +182,23 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", t
             if bitmap is None:
                 out.append((t, 1 if t is None else t.count("\n") + 1, 0))
                 continue
-            lines, keep = t.split("\n"), unpack_bitmap(bitmap)
-            left = [line for line, k in zip(lines, keep, strict=False) if k] + lines[len(keep) :]
-            out.append(("\n".join(left), len(lines), len(lines) - len(left)))
+            own, keep = t.split("\n"), unpack_bitmap(bitmap)
+            left = [line for line, k in zip(own, keep, strict=False) if k] + own[len(keep) :]
+            out.append(("\n".join(left), len(own), len(own) - len(left)))
         return pd.DataFrame(out, columns=["text", "lines", "dropped"])
 
-    done = _joined(docs, bitmaps, doc_id, text).withColumn("__kept", kept(F.col(text), F.col("__keep")))
-    columns = [F.col("__kept.text").alias(c) if c == text else F.col(c) for c in docs.columns]
-    return done.select(*columns, F.col("__kept.lines").alias("__lines"), F.col("__kept.dropped").alias("__dropped"))
+    keyed = docs.withColumns({
+        known: F.col(doc_id).isNotNull(),
+        doc: F.coalesce(F.col(doc_id).cast("long"), F.lit(0)),
+        tag: text_tag(F.col(text)),
+    })
+    named = bitmaps.select(F.col("known").alias(known), F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("keep").alias(keep))
+    result = keyed.join(named, [known, doc, tag], "left").withColumn(done, kept(F.col(text), F.col(keep)))
+    columns = [F.col(done)["text"].alias(c) if c == text else F.col(c) for c in docs.columns]
+    counts = [F.col(done)[of].alias(name) for of, name in (("lines", lines), ("dropped", dropped)) if name]
+    return result.select(*columns, *counts)
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` without the lines that go; same columns."""
-    bitmaps = line_bitmaps(docs, doc_id, text, min_chars, min_docs)
-    return apply_bitmaps(docs, bitmaps, doc_id, text).select(*docs.columns)
+    return apply_bitmaps(docs, line_bitmaps(docs, doc_id, text, min_chars, min_docs), doc_id, text)

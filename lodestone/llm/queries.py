@@ -80,11 +80,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = linededup.apply_bitmaps(docs, linededup.line_bitmaps(docs))
-    return kept.select(
-        "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    kept = linededup.apply_bitmaps(docs, linededup.line_bitmaps(docs), lines="n_lines", dropped="n_dropped")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
