@@ -5,13 +5,15 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, tag string, shard string, keep string"
+#: Columns whose names operators use themselves.
+CLASHING = ("score", "tag", "shard", "keep", "known", "doc", "kept", "matches", "a", "b", "kept_id", "kept_tag", "place", "n_words", "rule_kept", "rule_n_words")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 LONG = " ".join(f"w{i}" for i in range(30_000))
 PARAGRAPH = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew strong coffee under a pale moon tonight"
 
 
 def rows_of(texts):
-    return [(i, t, "en", "s", None if t is None else len(t), "x", "x", "x", "x") for i, t in texts]
+    return [(i, t, "en", "s", None if t is None else len(t), *CLASHING) for i, t in texts]
 
 
 @pytest.fixture(scope="session")

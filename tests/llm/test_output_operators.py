@@ -1,15 +1,22 @@
 """Token codes, packing, classifier, chat, sharding, archives and the pipeline: round trips, laws and held-out accuracy."""
 
+import base64
+import gzip
+import hashlib
+import math
 import random
 import struct
+import unicodedata
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 from tokenizers import Tokenizer
 
 from lodestone.llm import chat, dac, nbsvm, pack, queries, shard, store, tokens, warc
@@ -17,15 +24,32 @@ from lodestone.llm import chat, dac, nbsvm, pack, queries, shard, store, tokens,
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
+def assert_library_ids(path, texts):
+    want = [[*e.ids, 7] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    memory = tokens.WordMemory(path, keeps_space=path == BYTES)
+    got = []
+    for _, ids, ends in tokens.encoded(memory, pa.array(range(len(texts))), pa.array(texts, pa.string()), 7, 500):
+        got += [part.tolist() for part in np.split(ids, ends[:-1])]
+    wrong = [t for t, x, y in zip(texts, want, got, strict=True) if x != y]
+    assert not wrong, wrong[:5]
+
+
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_remembered_pieces_give_the_library_ids(path):
     rnd = random.Random(4)
-    marks = ["a", "b", "É", " ", " ", "\n", ".", ",", "'", "s", "t", "1", "_", "\t", "!", " ", "é", "ß", "\x1c", "́", "<|endoftext|>", "Σ", "漢", "\x00"]
-    texts = ["".join(rnd.choice(marks) for _ in range(rnd.randint(0, 24))) for _ in range(4000)]
-    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    memory = tokens.WordMemory(path, keeps_space=path == BYTES)
-    got = [np.frombuffer(x, "<u4").tolist() for _, part in tokens.slices(texts, 500) for x in memory.encode(part)]
-    assert got == want
+    marks = ["a", "b", "É", " ", " ", "\n", ".", ",", "'", "s", "t", "1", "_", "\t", "!", "\u00a0", "é", "ß", "\x1c", "\u0301", "<|endoftext|>", "Σ", "漢", "\x00", "\u09df", "\u0130", "H", "\u0331", "\u180e", "\u3000", "<|ENDOFTEXT|>", "<|endoftext", "\u2028"]
+    assert_library_ids(path, ["", "."] + ["".join(rnd.choice(marks) for _ in range(rnd.randint(0, 24))) for _ in range(8000)])
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_every_code_point_gives_the_library_ids(path):
+    """Each assigned code point before, between and after what texts are cut at, and in random company."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    points = [c for c in points if not 0x4E10 <= ord(c) < 0x9FF0 and not 0xAC10 <= ord(c) < 0xD790 and ord(c) < 0x17000]
+    assert_library_ids(path, [f"{c}. {c}, a{c}. {c}a,\n{c}.{c} {c}" for c in points])
+    rnd = random.Random(9)
+    around = [" ", " ", ".", ",", "\n", "a", "1", "'s"]
+    assert_library_ids(path, ["".join(rnd.choice(points if rnd.random() < 0.5 else around) for _ in range(rnd.randint(2, 16))) for _ in range(20_000)])
 
 
 def test_codes_give_random_access():
@@ -34,7 +58,9 @@ def test_codes_give_random_access():
         ids = (rnd.integers(0, 1 << 32, n) >> rnd.integers(0, 32, n)).astype(np.uint32)
         segment = dac.Segment(dac.encode(ids))
         assert len(segment) == n and segment.range(0, n).tolist() == ids.tolist()
-        for i in rnd.integers(0, max(n, 1), 60 if n else 0).tolist():
+        some = rnd.integers(0, max(n, 1), 60 if n else 0)
+        assert segment.take(some).tolist() == ids[some].tolist()
+        for i in some.tolist():
             assert segment[i] == ids[i]
             assert segment.range(i, min(n, i + 70)).tolist() == ids[i : i + 70].tolist()
 
@@ -56,8 +82,9 @@ def test_token_codes_round_trip(spark, data, odd, none):
         if start:
             flat = [t for r in got for t in np.frombuffer(r["ids"], "<u4").tolist()]
             asked = spark.range(0, start, max(1, start // 50)).withColumnRenamed("id", "position")
-            read = {r["position"]: r["token"] for r in dac.read_tokens(codes, asked).collect()}
-            assert read == {p: flat[p] for p in range(0, start, max(1, start // 50))}
+            read = sorted((r["position"], r["token"]) for r in dac.read_tokens(codes, asked.union(asked.limit(3))).collect())
+            places = [*range(0, start, max(1, start // 50))]
+            assert read == sorted((p, flat[p]) for p in places + [r["position"] for r in asked.limit(3).collect()])
 
 
 def test_differencing_is_a_partition():
@@ -131,6 +158,47 @@ def test_dual_coordinate_descent_separates():
     assert all((model.score(f) > 0.5) == bool(y) for f, y in zip(rows, labels, strict=True))
 
 
+def test_count_ratios_match_a_plain_count():
+    rnd = random.Random(2)
+    rows = [sorted(rnd.sample(range(50), 8)) for _ in range(40)]
+    labels = [rnd.randrange(2) for _ in rows]
+    got = nbsvm.log_count_ratios([np.array(r, np.uint32) for r in rows], np.array(labels))
+    for gram in range(50):
+        share = [(1 + sum(gram in r for r, y in zip(rows, labels, strict=True) if y == label)) / (1 + labels.count(label)) for label in (0, 1)]
+        assert math.isclose(got[gram], math.log(share[1] / share[0]), abs_tol=1e-12)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rnd = np.random.default_rng(4)
+    labels = (np.arange(60) % 3 > 0).astype(int)
+    rows = [np.unique(np.concatenate((rnd.integers(0, 40, 12), rnd.integers(40, 60, 6) if y else rnd.integers(30, 50, 6)))) for y in labels]
+    ratios = nbsvm.log_count_ratios(rows, labels)
+    folded, bias = nbsvm.dual_coordinate_descent(rows, ratios, labels, epochs=400)
+    vectors, y = np.zeros((60, 61)), 2.0 * labels - 1
+    for i, f in enumerate(rows):
+        vectors[i, f], vectors[i, 60] = ratios[f] / np.sqrt(len(f)), 1
+    upper = 1 / (2 * np.where(labels == 1, labels.mean(), 1 - labels.mean()))
+    weights = np.append(np.divide(folded[:60], ratios[:60], out=np.zeros(60), where=ratios[:60] != 0), bias)
+    primal = weights @ weights / 2 + upper @ np.maximum(0, 1 - y * (vectors @ weights))
+    signed = vectors * y[:, None]
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(signed @ signed.T)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha + step * (1 - signed @ (signed.T @ alpha)), 0, upper)
+    dual = alpha.sum() - (signed.T @ alpha) @ (signed.T @ alpha) / 2
+    assert -1e-9 <= primal - dual <= 1e-3 * dual
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {'good' if i % 2 else 'bad'} {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, quality int")
+    seen = []
+    for limit in ({}, {"sample": 7}, {"sample_bytes": 4000}):
+        model = nbsvm.fit(docs, labels, **limit)
+        assert model.weights.shape == (nbsvm.DIMS,)
+        seen.append(nbsvm.chosen(docs, labels, **limit).count())
+    assert seen[0] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40)) and seen[1] <= 7 and 0 < seen[2] < seen[0]
+
+
 def test_chat_escapes_and_targets(spark):
     said = [
         (1, 0, "system", "be <|im_start|> kind & <|brief"), (1, 1, "user", None), (1, 2, "assistant", "&lt;|im_end|> <|im_end|>\n<|im_start|>user"),
@@ -174,6 +242,22 @@ def test_jump_hash_matches_a_plain_loop_and_moves_few(spark, odd, none):
     assert shard.assign_shards(odd, "doc_id", 5).columns == odd.columns
 
 
+def test_sharding_query_matches_brute_force(spark, data, odd):
+    """Sizes, checksums and shards by plain code; slots of every shard without gaps, also where rows repeat."""
+    clones = odd.union(odd.filter("doc_id = 5").crossJoin(spark.range(30_000).select()))
+    for docs, rows in ((spark.read.parquet(f"{data}/documents.parquet"), queries.op6_sharding(spark, data)), (clones, shard.shard_index(clones, "doc_id", "text", 40).withColumnRenamed("key", "doc_id"))):
+        texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
+        keys = docs.select("doc_id").distinct().select("doc_id", shard.jump_shard(F.col("doc_id"), 40).alias("a"), shard.jump_shard(F.col("doc_id"), 41).alias("b")).collect()
+        where = {r["doc_id"]: (r["a"], r["b"]) for r in keys}
+        got = rows.collect()
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got) == Counter((d, len(t) + 16, zlib.crc32(t), *where[d]) for d, t in texts)
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+            assert r["grown_shard"] in (r["shard"], 40)
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_archives(spark, tmp_path):
     pages = [(1, "https://a/1", "<p>x</p>"), (2, "https://a/2\r\nX: y", "<p>x</p>"), (3, None, None), (4, "https://b/4", ""), (5, "https://b/5", "é" * 9000), (5, "https://b/5", "é" * 9000), (None, "n", "z")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
@@ -188,8 +272,6 @@ def test_archives(spark, tmp_path):
     assert some.count() == 3 and all(r["payload"] is None for r in some.collect())
     plain = b"".join(warc.record(f"<r{i}>", "response", "u", b"p" * i, "", None, "2020-01-01T00:00:00Z").replace(b"WARC-Payload-Digest: sha1:\r\n", b"") for i in range(4))
     (tmp_path / "b.warc").write_bytes(plain)
-    import gzip
-
     (tmp_path / "c.warc.gz").write_bytes(gzip.compress(plain[:400]) + gzip.compress(plain[400:]))
     for name in ("b.warc", "c.warc.gz"):
         assert sorted(len(r["payload"]) for r in warc.read_archive(spark, f"file://{tmp_path}/{name}").collect()) == [0, 1, 2, 3]
@@ -197,6 +279,89 @@ def test_archives(spark, tmp_path):
     assert warc.read_archive(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def archive_rows(spark, path):
+    return sorted((r["record_id"], r["payload"]) for r in warc.read_archive(spark, path).collect())
+
+
+def test_archives_append_and_overwrite(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    first, second, third = ([(f"<{k}{i}>", bytes(f"{k}{i}", "ascii")) for i in range(3)] for k in "abc")
+    records = lambda rows: warc.with_revisits(spark.createDataFrame([], "page_id long, url string, html string")).unionByName(
+        spark.createDataFrame([(i, "response", "u", p, None) for i, p in rows], "record_id string, record_type string, target_uri string, payload binary, refers_to string")
+    )
+    warc.write_archive(records(first), path)
+    warc.write_archive(records(second), path)
+    assert archive_rows(spark, path) == first + second
+    (tmp_path / "a" / "foreign.warc").write_bytes(warc.record("<f>", "response", "u", b"f", "", None, "2020-01-01T00:00:00Z").replace(b"WARC-Payload-Digest: sha1:\r\n", b""))
+    (tmp_path / "a" / f"part-{'0' * 32}.warc.gz").write_bytes(b"of an attempt that was never committed")
+    assert archive_rows(spark, path) == first + second + [("<f>", b"f")]
+    warc.write_archive(records(third), path, mode="overwrite")
+    assert archive_rows(spark, path) == third + [("<f>", b"f")]
+    writer = warc.WarcWriter({"path": path})
+    done = writer.write(iter([pa.RecordBatch.from_pylist([{"record_id": "<x>", "record_type": "response", "target_uri": "u", "payload": b"x", "refers_to": None}])]))
+    writer.abort([done, None])
+    assert archive_rows(spark, path) == third + [("<f>", b"f")] and len(list((tmp_path / "a").glob("part-*"))) <= 4
+
+
+def test_damaged_archives_raise(tmp_path):
+    digest = lambda p: base64.b32encode(hashlib.sha1(p).digest()).decode()
+    noise = random.Random(3).randbytes(30_000)
+    raw = [warc.record(f"<r{i}>", "response", "u", p, digest(p), None, "2020-01-01T00:00:00Z") for i, p in enumerate((b"a", noise, b"c"))]
+    whole = b"".join(map(warc.member, raw))
+    reader = warc.WarcReader({"path": str(tmp_path)})
+
+    def read(data):
+        path = tmp_path / "x.warc.gz"
+        path.write_bytes(data)
+        return [r for b in reader.read(warc.ArchiveFile(str(path))) for r in b.to_pylist()]
+
+    assert len(read(whole)) == 3
+    first = len(warc.member(raw[0]))
+    for damaged in (whole[:-1], whole[: first + 40], whole[: first + 10_000], whole[: first + 9000] + b"\0" * 50 + whole[first + 9050 :], whole[:16] + b"\0\0\0\0" + whole[20:]):
+        with pytest.raises(ValueError, match="x.warc.gz, member at"):
+            read(damaged)
+    plain, packed = b"".join(raw), gzip.compress(b"".join(raw))
+    assert len(read(plain)) == len(read(packed)) == 3
+    for damaged in (plain[:-40], plain[: len(raw[0]) + 60], packed[:-20], packed[: len(packed) // 2]):
+        with pytest.raises(ValueError, match="x.warc.gz, member at"):
+            read(damaged)
+
+
+def test_payloads_that_heads_turn_down_are_not_inflated(tmp_path, monkeypatch):
+    inflated = [0]
+    make = zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.own = make(bits)
+
+        def decompress(self, *args):
+            out = self.own.decompress(*args)
+            inflated[0] += len(out)
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    body = random.Random(8).randbytes(200_000)
+    kinds = ["response", "metadata", "response", "request"]
+    path = tmp_path / "y.warc.gz"
+    path.write_bytes(b"".join(warc.member(warc.record(f"<r{i}>", k, f"https://{k[0]}/{i}", body, base64.b32encode(hashlib.sha1(body).digest()).decode(), None, "2020-01-01T00:00:00Z")) for i, k in enumerate(kinds)))
+    for filters, options, rows, payloads in (
+        ([], {}, 4, 4),
+        ([EqualTo(("record_type",), "request")], {}, 1, 1),
+        ([In(("record_type",), ("request", "metadata")), StringStartsWith(("target_uri",), "https://m")], {}, 1, 1),
+        ([EqualTo(("record_type",), "none")], {}, 0, 0),
+        ([], {"payload": "false"}, 4, 0),
+    ):
+        reader = warc.WarcReader({"path": str(path)} | options)
+        assert list(reader.pushFilters(filters)) == []
+        inflated[0] = 0
+        assert sum(b.num_rows for b in reader.read(warc.ArchiveFile(str(path)))) == rows
+        assert payloads * len(body) <= inflated[0] <= payloads * len(body) + 4 * (warc.HEAD + 1000)
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as cp
 

@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from comparing import compare
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, linededup, queries, repetition, simhash
 from lodestone.llm.components import connected_components
@@ -42,6 +44,72 @@ def test_items_with_edits_are_found_exactly_within_the_budget():
         assert found.get(i) == (want if want <= table.edits[i] else None)
 
 
+def test_repeated_q_grams_cost_no_memory(monkeypatch):
+    rnd = random.Random(12)
+    dashes = "a heading " + "-" * 60 + " and what stands below it in the item"
+    items = [dashes, "x" * 45, " ".join(f"word{i}" for i in range(20))]
+    table = decontaminate.build([0, 1, 2], items, 8, 0.1)
+    tracemalloc.start()
+    found = next(decontaminate.search(["-" * 1_000_000], table))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [] and peak < 300e6
+    text = "-" * 3000 + " " + items[2] + " " + "x" * 2000 + " a heading " + "-" * 58 + " and what stands below it in the item " + "-" * 500
+    whole = next(decontaminate.search([text], table))
+    monkeypatch.setattr(decontaminate, "STEP", 97)
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    assert next(decontaminate.search([text], table)) == whole and [m[:2] for m in whole] == [(0, 2), (1, 0), (2, 0)]
+    for _ in range(30):
+        mixed = "".join(rnd.choice(["-", "x", "--------", "word1 ", items[2][:40]]) for _ in range(60))
+        monkeypatch.setattr(decontaminate, "STEP", 1 << 20)
+        monkeypatch.setattr(decontaminate, "PAIRS", 1 << 20)
+        points = decontaminate.codes(decontaminate.normal(mixed))
+        want = decontaminate.regions(points, table)
+        monkeypatch.setattr(decontaminate, "STEP", 31)
+        monkeypatch.setattr(decontaminate, "PAIRS", 7)
+        assert decontaminate.regions(points, table) == want
+
+
+def test_short_items_are_found_exactly(spark):
+    bench = spark.createDataFrame([(1, "Who was Ada?"), (2, "Paris"), (3, "a  CAT sat"), (4, "")], "item_id long, text string")
+    texts = ["so who was  ada? she", "who was adam?", "paris", "in paris", "a cat sat.", "a cat sats; a cat sat", "xa cat sat", "who was ad?", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs, bench).collect()) == [(0, 1), (2, 2), (4, 3), (5, 3)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [1, 3, 6, 7, 8]
+
+
+def test_blocks_of_items_find_the_same(spark, data, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{data}/{name}.parquet") for name in ("documents", "benchmark"))
+    docs = docs.withColumn("matches", F.lit("own"))
+    one = decontaminate.find_items(docs, bench).collect(), decontaminate.drop_contaminated(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", bench.agg(F.sum(F.length("text"))).first()[0] // 3)
+    three = decontaminate.find_items(docs, bench).collect(), decontaminate.drop_contaminated(docs, bench).collect()
+    assert [sorted(map(str, x)) for x in one] == [sorted(map(str, x)) for x in three]
+    found = {r["doc_id"] for r in one[0]}
+    assert found and {r["doc_id"] for r in one[1]} == {r["doc_id"] for r in docs.collect()} - found and {r["matches"] for r in one[1]} == {"own"}
+
+
+def test_decontamination_query_matches_brute_force(spark, data):
+    """Every document and item of the tables by full edit distance, where a shared 8-gram makes a match possible at all."""
+    items = {r["item_id"]: decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    grams = {i: {t[j : j + 8] for j in range(len(t) - 7)} for i, t in items.items()}
+    want = set()
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        text = decontaminate.normal(r["text"] or "")
+        own = {text[j : j + 8] for j in range(len(text) - 7)}
+        for i, item in items.items():
+            k = min(len(item) // 10, (len(item) - 8) // 8)
+            if len(grams[i] & own) >= len(grams[i]) - 8 * k:
+                row = np.zeros(len(text) + 1, np.int64)
+                for c in item:
+                    new = np.minimum(row + 1, np.concatenate(([row[0] + 1], row[:-1] + (np.array(list(text)) != c))))
+                    row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+                if row.min() <= k:
+                    want.add((r["doc_id"], i, int(row.min())))
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in queries.op1_decontamination(spark, data).collect()}
+    assert want and got == want
+
+
 def test_decontamination_on_odd_tables(spark, odd, none):
     bench = spark.createDataFrame([(1, "The quick  BROWN fox jumps over the lazy dog while seven wizards"), (2, None), (3, "short"), (4, "the quick brown fox jumps over the lazy dog while seven wizards")], "item_id long, text string")
     found = sorted((r["doc_id"] or 0, r["item_id"], r["distance"]) for r in decontaminate.find_items(odd, bench).collect())
@@ -189,8 +257,8 @@ def brute_lines(docs, min_chars=20, min_docs=3):
 
 
 def dropped(df):
-    kept = linededup.apply_bitmaps(df, linededup.line_bitmaps(df))
-    return Counter((r["doc_id"], r["__lines"], r["__dropped"], r["text"] or "") for r in kept.collect())
+    kept = linededup.apply_bitmaps(df, linededup.line_bitmaps(df), lines="n_lines", dropped="n_dropped")
+    return Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in kept.collect())
 
 
 @pytest.mark.parametrize("batch", ["3", "10000"])
