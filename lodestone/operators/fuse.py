@@ -46,7 +46,7 @@ def adaptive_score(fused: DataFrame, vector: DataFrame, weak: float = 0.5, very_
     )
     raw = F.when(F.col("mean").isNull(), clamp(k)).otherwise(F.greatest(v, k, capped(10, 0.85)))
     joined = fused.join(mean, "query_id", "left")
-    return joined.select("query_id", "id", F.round(score, 6).alias("score"), F.round(raw, 6).alias("raw_score"))
+    return joined.select("query_id", "id", F.round(score, 9).alias("score"), F.round(raw, 9).alias("raw_score"))
 
 
 def score_distribution(hits: DataFrame) -> DataFrame:

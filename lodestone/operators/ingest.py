@@ -46,3 +46,10 @@ def resized(vector: Column, dimensions: int) -> Column:
     finite = F.transform(vector, lambda x: F.when(x.isNull() | F.isnan(x) | x.isin(inf, -inf), F.lit(0.0)).otherwise(x.cast("double")))
     padded = F.concat(finite, F.array_repeat(F.lit(0.0), F.greatest(F.lit(dimensions) - F.size(vector), F.lit(0))))
     return F.slice(padded, 1, dimensions)
+
+
+def pending(found: DataFrame, checkpoint: DataFrame, key: str) -> DataFrame:
+    """Keys of ``found`` that the checkpoint (``key, state``) does not hold as completed, and whether they ``failed_before``."""
+    open_ = found.select(key).join(checkpoint.filter("state = 'completed'").select(key), key, "left_anti")
+    failed = checkpoint.filter("state = 'failed'").select(key).distinct().withColumn("failed_before", F.lit(True))
+    return open_.join(failed, key, "left").select(key, F.coalesce("failed_before", F.lit(False)).alias("failed_before"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from lodestone.operators.rows import top_k
 #: Questions that one pass over the corpus answers; their vectors are what is broadcast.
 QUESTION_BLOCK = 4096
 WORD = r"[\p{L}\p{N}]+"
+#: Article numbers: figures parted by full stops.
+NUMBER = r"[0-9]+(?:\.[0-9]+)+"
 
 
 def question_blocks(questions: DataFrame, columns: list[str], block: int = QUESTION_BLOCK) -> Iterator[list]:
@@ -67,37 +70,152 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def question_terms(questions: DataFrame, most: int) -> DataFrame:
-    """``query_id, term, n_terms``: the first ``most`` distinct words of each question."""
-    terms = F.slice(F.array_distinct(words(F.col("text"))), 1, most)
-    return questions.select("query_id", F.explode(terms).alias("term"), F.size(terms).alias("n_terms"))
+class TermIndex:
+    """Terms of a block of questions: which questions hold each of them."""
+
+    def __init__(self, rows: list):
+        self.ids = np.array([r["query_id"] for r in rows], np.int64)
+        self.sizes = np.array([len(r["terms"]) for r in rows], np.int64)
+        known: dict[str, list[int]] = {}
+        for q, r in enumerate(rows):
+            for term in r["terms"]:
+                known.setdefault(term, []).append(q)
+        self.terms = list(known)
+        self.vocabulary = pa.array(self.terms, pa.string())
+        self.many = np.array([len(q) for q in known.values()], np.int64)
+        self.first = np.cumsum(self.many) - self.many
+        self.holders = np.array([q for held in known.values() for q in held], np.int64)
+
+    def occurrences(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, times) of the known terms in each list."""
+        found = pc.index_in(lists.flatten(), self.vocabulary)
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        keys, times = np.unique(row[known] * max(len(self.terms), 1) + found.drop_null().to_numpy(), return_counts=True)
+        return keys // max(len(self.terms), 1), keys % max(len(self.terms), 1), times
+
+    def summed(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Matrix of rows and questions: the weights of the terms that both hold."""
+        many = self.many[term]
+        holder = self.holders[np.repeat(self.first[term] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        key = np.repeat(row, many) * len(self.ids) + holder
+        return np.bincount(key, weights=np.repeat(weight, many), minlength=n * len(self.ids)).reshape(n, len(self.ids))
+
+
+class Best:
+    """The k best ids of each question seen by a task, an id with its highest score."""
+
+    def __init__(self, questions: np.ndarray, k: int):
+        self.questions, self.k = questions, k
+        self.held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def add(self, question: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        question, ids, score = (np.concatenate(pair) for pair in zip(self.held, (question, ids, score), strict=True))
+        order = np.lexsort((-score, ids, question))
+        question, ids, score = question[order], ids[order], score[order]
+        first = np.ones(len(ids), bool)
+        first[1:] = (question[1:] != question[:-1]) | (ids[1:] != ids[:-1])
+        question, ids, score = question[first], ids[first], score[first]
+        order = np.lexsort((ids, -score, question))
+        question, ids, score = question[order], ids[order], score[order]
+        place = np.arange(len(ids)) - np.searchsorted(question, question, "left")
+        self.held = [x[place < self.k] for x in (question, ids, score)]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.questions[self.held[0]]), pa.array(self.held[1]), pa.array(self.held[2])], names=["query_id", "id", "score"])
+
+
+def score_blocks(questions: DataFrame, docs: DataFrame, k: int, scored: Callable[[TermIndex, list, pa.RecordBatch], np.ndarray], extra: Callable[[TermIndex], object] = lambda index: None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``query_id, id, score, rank``: the k best documents of each question.
+
+    ``questions(query_id, terms, *columns)`` go in blocks, as index of their
+    terms, to all ``docs(id, terms, ...)``.  ``scored`` gives, for an index,
+    what ``extra`` made of it, and some documents, the matrix of their scores
+    for each question of the block, NaN for no hit.  Each task passes on its
+    best k for each question: nothing else is shuffled, whatever terms are
+    common.
+    """
+    out = None
+    for rows in question_blocks(questions, ["query_id", "terms", *columns]):
+        index = TermIndex(rows)
+        shared = docs.sparkSession.sparkContext.broadcast((index, [tuple(r[c] for c in columns) for r in rows], extra(index)))
 
+        def best(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, asked, more = shared.value
+            found = Best(index.ids, k)
+            step = max(1, 2_000_000 // max(len(index.ids), 1))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    scores = scored(index, (asked, more), part)
+                    row, question = np.nonzero(~np.isnan(scores))
+                    found.add(question, part.column("id").to_numpy()[row], scores[row, question])
+            yield found.batch()
+
+        part = docs.mapInArrow(best, "query_id long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return questions.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    # an id that several tasks hold parts of counts once, with its best part
+    single = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top_k(single, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def _terms(questions: DataFrame, most: int | None = None, least_chars: int = 0) -> DataFrame:
+    terms = F.array_distinct(words(F.col("text")))
+    if most is not None:
+        terms = F.slice(terms, 1, most)
+    return questions.select("query_id", F.filter(terms, lambda t: F.length(t) > least_chars).alias("terms"))
 
-def full_text(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, most_terms: int = 3, title_weight: float = 1.0, body_weight: float = 0.4) -> DataFrame:
-    """``query_id, id, score, rank``: documents that hold all terms of a question, by a closed form of BM25F.
+
+def full_text(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, most_terms: int | None = None, title_weight: float = 1.0, body_weight: float = 0.4) -> DataFrame:
+    """``query_id, id, score, rank``: documents that hold all terms of a question (its first ``most_terms``), by a closed form of BM25F.
 
     The title is the first line.  A term's weighted count w adds
     ``ln(1 + (N - n + 0.5) / (n + 0.5)) * 2.2 w / (w + 1.2)``; the sum over 10,
-    at most 1, is the score.  Only postings of asked terms are shuffled: the
-    question side is a join key set, and documents are cut to (id, term) rows
-    before it.
+    at most 1, is the score.  One pass counts the documents n of each asked
+    term, a second one scores.
     """
-    asked = question_terms(questions, most_terms)
-    vocabulary = asked.select("term").distinct()
-    title = F.regexp_extract(text, r"^([^\n]*)", 1)
-    body = F.substring(F.col(text), F.length(title) + 1, F.length(text))
-    weighted = lambda t, w: F.transform(words(t), lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
-    both = F.concat(weighted(title, title_weight), weighted(body, body_weight))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(both).alias("x")).select("doc_id", "x.term", "x.w")
-    held = rows.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.sum("w").alias("w"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    # counting a column that ``held`` has anyway keeps the plans alike, so that its exchange is made once
-    rarity = held.groupBy("term").agg(F.count("w").alias("n")).crossJoin(total)  # by one row
-    idf = F.log(1 + (F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighed = held.join(rarity, "term").select("doc_id", "term", (idf * 2.2 * F.col("w") / (F.col("w") + 1.2)).alias("part"))
-    met = asked.join(weighed, "term").groupBy("query_id", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("held"), F.sum("part").alias("sum"))
-    scored = met.filter("held = n_terms").select("query_id", F.col("doc_id").alias("id"), F.round(F.least(F.col("sum") / 10, F.lit(1.0)), 6).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
+    asked = _terms(questions, most_terms)
+    both = words(F.col(text))
+    title = words(F.regexp_extract(text, r"^([^\n]*)", 1))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), both.alias("terms"), title.alias("title"))
+    total = docs.count()
+
+    def rarity(index: TermIndex) -> np.ndarray:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
+
+        def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(vocabulary.value), np.int64)
+            for batch in batches:
+                lists = batch.column(0)
+                found = pc.index_in(lists.flatten(), vocabulary.value)
+                row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                pairs = np.unique(row[known] * max(len(n), 1) + found.drop_null().to_numpy())
+                n += np.bincount(pairs % max(len(n), 1), minlength=len(n))[: len(n)]
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
+
+        counts = rows.select("terms").mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        n = np.zeros(len(index.terms))
+        n[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+        return np.log(1 + (total - n + 0.5) / (n + 0.5))
+
+    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> np.ndarray:
+        n, idf = batch.num_rows, asked[1]
+        row, term, times = index.occurrences(batch.column("terms"))
+        head_row, head_term, head_times = index.occurrences(batch.column("title"))
+        width = max(len(index.terms), 1)
+        in_title = np.zeros(len(row), np.int64)
+        in_title[np.searchsorted(row * width + term, head_row * width + head_term)] = head_times
+        weight = in_title * title_weight + (times - in_title) * body_weight
+        part = idf[term] * 2.2 * weight / (weight + 1.2)
+        sums = index.summed(n, row, term, part)
+        met = index.summed(n, row, term, np.ones(len(row)))
+        return np.where((met == index.sizes) & (index.sizes > 0), np.round(np.minimum(sums / 10, 1), 6), np.nan)
+
+    return score_blocks(asked, rows, k, scored, rarity)
 
 
 def trigrams(text: Column) -> Column:
@@ -108,43 +226,73 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, threshold: float = 0.3) -> DataFrame:
-    """``query_id, id, score, rank``: trigram similarity (shared over all distinct trigrams) above ``threshold``.
+    """``query_id, id, score, rank``: the k ids of highest trigram similarity (shared over all distinct trigrams), the best row of an id counting.
 
-    Candidates come from an inverted index; a document whose trigram count lets
-    no question of its size reach the threshold never meets it.
+    A row is a hit above ``threshold``, or if it contains the question, in any case.
     """
-    asked = questions.select("query_id", trigrams(F.col("text")).alias("g")).select("query_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    held = docs.select(F.col(doc_id).alias("id"), trigrams(F.col(text)).alias("g")).select("id", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    bounds = asked.agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    # shared <= min(n, m), so shared / (n + m - shared) > t needs min > t * max
-    near = held.crossJoin(bounds).filter((F.col("m") > F.col("low") * threshold) & (F.col("high") > F.col("m") * threshold)).select("id", "m", "gram")
-    met = asked.join(near, "gram").filter((F.col("n") > F.col("m") * threshold) & (F.col("m") > F.col("n") * threshold))
-    shared = met.groupBy("query_id", "id", "n", "m").agg(F.count(F.lit(1)).alias("s"))
-    scored = shared.select("query_id", "id", F.round(F.col("s") / (F.col("n") + F.col("m") - F.col("s")), 6).alias("score")).filter(F.col("score") > threshold)
+    asked = questions.select("query_id", trigrams(F.col("text")).alias("terms"), F.lower("text").alias("low"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), trigrams(F.col(text)).alias("terms"), F.lower(text).alias("low"))
+    #: Trigrams of a question that a text which contains it may lack: its outer words may go on there.
+    outer = 6
+
+    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> np.ndarray:
+        row, term, _ = index.occurrences(batch.column("terms"))
+        shared = index.summed(batch.num_rows, row, term, np.ones(len(row)))
+        own = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False)[:, None]
+        score = np.round(shared / np.maximum(own + index.sizes - shared, 1), 6)
+        hit = score > threshold
+        near_row, near_question = np.nonzero(~hit & (shared >= index.sizes - outer))
+        texts = batch.column("low")
+        for r, q in zip(near_row.tolist(), near_question.tolist(), strict=True):
+            low = asked[0][q][0]
+            hit[r, q] = bool(low) and low in (texts[r].as_py() or "")
+        return np.where(hit, score, np.nan)
+
+    return score_blocks(asked, rows, k, scored, columns=("low",))
+
+
+def phrase_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """``query_id, id, score, rank``: documents that hold the words of the question side by side, by number of places (without overlap).
+
+    Candidates hold the question's first two words side by side (its only word,
+    if it has one); the whole phrase is then looked for in them.
+    """
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(words(t), "  "), F.lit(" "))
+    own = words(F.col("text"))
+    asked = questions.select("query_id", F.array_join(F.slice(own, 1, 2), " ").alias("start"), spaced(F.col("text")).alias("phrase")).filter("start <> ''")
+    held = words(F.col(text))
+    pairs = F.zip_with(held, F.slice(held, 2, F.greatest(F.size(held), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    starts = docs.select(F.col(doc_id).alias("id"), F.explode(F.array_distinct(F.concat(held, F.array_compact(pairs)))).alias("start"))
+    met = starts.join(asked, "start").select("query_id", "id", "phrase")
+    found = met.join(docs.select(F.col(doc_id).alias("id"), spaced(F.col(text)).alias("whole")), "id")
+    places = (F.length("whole") - F.length(F.replace("whole", "phrase", F.lit("")))) / F.length("phrase")
+    scored = found.select("query_id", "id", places.cast("long").alias("score")).filter("score > 0")
     return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def phrase_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, length: int = 2) -> DataFrame:
-    """``query_id, id, score, rank``: documents with the first ``length`` words of the question side by side, by number of places."""
-    first = F.slice(words(F.col("text")), 1, length)
-    asked = questions.select("query_id", F.array_join(first, " ").alias("phrase"), F.size(first).alias("n")).filter(F.col("n") == length).drop("n")
-    own = words(F.col(text))
-    grams = own
-    for i in range(1, length):  # neighbours are zipped, so the words are not split again for each place
-        grams = F.zip_with(grams, F.slice(own, i + 1, F.greatest(F.size(own), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    held = docs.select(F.col(doc_id).alias("id"), F.explode(grams).alias("phrase")).filter("phrase is not null")
-    held = held.join(asked.select("phrase").distinct(), "phrase", "left_semi").groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("score"))
-    return top_k(asked.join(held, "phrase").select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.col("id")], k)
-
-
-def term_frequency_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, most_terms: int = 8) -> DataFrame:
-    """``query_id, id, score, rank``: sum of count times length over terms longer than two characters, over 100, at most 1."""
-    asked = question_terms(questions, most_terms).filter(F.length("term") > 2)
-    exploded = docs.select(F.col(doc_id).alias("id"), F.explode(words(F.col(text))).alias("term"))
-    held = exploded.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = asked.join(held, "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.length("term")).alias("sum"))
-    scored = met.select("query_id", "id", F.round(F.least(F.col("sum") / 100, F.lit(1.0)), 6).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
+def term_frequency_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """``query_id, id, score, rank``: sum of count times length over the distinct terms longer than two characters, over 100, at most 1."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), words(F.col(text)).alias("terms"))
+
+    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> np.ndarray:
+        row, term, times = index.occurrences(batch.column("terms"))
+        sums = index.summed(batch.num_rows, row, term, (times * asked[1][term]).astype(float))
+        return np.where(sums > 0, np.round(np.minimum(sums / 100, 1), 6), np.nan)
+
+    return score_blocks(_terms(questions, least_chars=2), rows, k, scored, lambda index: np.array([len(t) for t in index.terms], np.int64))
+
+
+def article_lookup(numbers: DataFrame, texts: DataFrame, article: Column, law: Column, text: Column, id: Column, first: int = 10, most: int = 5) -> DataFrame:
+    """``number, id, score, rank``: texts by article number: 1 where it is the text's article, 0.6 where the text contains it.
+
+    ``first`` rows of each number, of these one of each law, article and first
+    60 characters, and of these ``most``.
+    """
+    held = texts.select(id.alias("id"), law.alias("law"), article.alias("article"), F.substring(text, 1, 60).alias("head"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))).alias("number"))
+    met = held.join(numbers.select("number").distinct(), "number").withColumn("score", F.when(F.col("article") == F.col("number"), 1.0).otherwise(0.6))
+    order = [F.desc("score"), F.col("id")]
+    single = top_k(top_k(met, ["number"], order, first, "place"), ["number", "law", "article", "head"], order, 1, "copy")
+    return top_k(single, ["number"], order, most).select("number", "id", "score", "rank")
 
 
 def fallback(primary: DataFrame, secondary: DataFrame, fewest: int = 1) -> DataFrame:

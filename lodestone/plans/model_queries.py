@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestone.operators import models
 from lodestone.operators.chunk import windows
 from lodestone.operators.retrieve import fallback
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, scratch, table
 from lodestone.plans.search_queries import _vectors, hits, rtv_5_trigram, rtv_7_term_frequency, with_text
 from lodestone.sources import html
 from lodestone.streaming import ingest
 
 
-def scratch(spark) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 @query()
 def txt_4_clean_html(spark, sf_dir):
     return html.clean_html(table(spark, sf_dir, "pages"))

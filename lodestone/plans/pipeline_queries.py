@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators.evaluate import answer_quality, citation_accuracy, faithfulness, latency_summary
-from lodestone.operators.ingest import failing_stage, fail_fast, prepare_for_model, resized
+from lodestone.operators.ingest import failing_stage, fail_fast, pending, prepare_for_model, resized
 from lodestone.operators.rows import replace_children, top_k, upsert
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, scratch, table
 from lodestone.plans.report_queries import CHUNKS_SQL, chunks
 from lodestone.plans.search_queries import HITS, OTHER, hits, labelled
 from lodestone.sources.jsonl import validated
@@ -21,15 +21,16 @@ def _docs(spark, sf_dir):
 
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN 'bad_json' WHEN doc_id % 11 = 2 THEN 'missing_source' WHEN trim(text) = '' THEN 'missing_text' END AS error,
-CASE WHEN doc_id % 11 > 2 AND trim(text) <> '' THEN length(text) END AS chars FROM documents WHERE doc_id % 11 <> 0""")
+@query("""SELECT doc_id, kind, CASE WHEN kind = 'broken' THEN 'bad_json' WHEN kind = 'partial' THEN 'missing_source' WHEN trim(text) = '' THEN 'missing_text' END AS error,
+CASE WHEN kind = 'whole' AND trim(text) <> '' THEN length(text) END AS chars FROM documents, (VALUES ('whole'), ('broken'), ('partial')) AS k(kind)""")
 def src_1_jsonl(spark, sf_dir):
-    k = F.col("doc_id") % 11
+    """The lines of a file: every document whole, and beside it a broken, a partial and a blank line."""
     whole = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "lang", "source", "text"))
     part = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "lang"))
-    line = F.when(k == 0, "").when(k == 1, "{broken").when(k == 2, part).otherwise(whole)
-    rows = validated(_docs(spark, sf_dir).select("doc_id", line.alias("value")), "value", ["id", "lang", "source", "text"])
-    return rows.select("doc_id", "error", F.when(F.col("error").isNull(), F.length("record.text")).alias("chars"))
+    written = {"whole": whole, "broken": F.substring(whole, 1, 9), "partial": part, "blank": F.lit(" ")}
+    lines = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), line.alias("value")) for kind, line in written.items())))
+    rows = validated(_docs(spark, sf_dir).select("doc_id", lines.alias("l")).select("doc_id", "l.*"), "value", ["id", "lang", "source", "text"])
+    return rows.select("doc_id", "kind", "error", F.when(F.col("error").isNull(), F.length("record.text")).alias("chars"))
 
 
 @query("SELECT page_id, length(html) AS chars, regexp_extract(url, '/([0-9]+)', 1) AS external_id FROM pages WHERE length(html) >= 800")
@@ -38,10 +39,14 @@ def src_2_pages(spark, sf_dir):
     return pages.select("page_id", F.length("html").alias("chars"), F.regexp_extract("url", "/([0-9]+)", 1).alias("external_id"))
 
 
-@query("SELECT trim(url) AS url FROM pages WHERE page_id % 2 = 0 AND trim(url) <> '' UNION SELECT trim(url) FROM pages WHERE page_id % 3 = 0 AND trim(url) <> ''")
+@query("""SELECT trim(url) AS url FROM pages WHERE trim(url) <> '' UNION SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1)) FROM pages""")
 def src_3_seed_merge(spark, sf_dir):
-    urls = table(spark, sf_dir, "pages").select("page_id", F.trim("url").alias("url")).filter("url <> ''")
-    return urls.filter("page_id % 2 = 0").select("url").union(urls.filter("page_id % 3 = 0").select("url")).distinct()
+    """The pages' own addresses and all addresses they link to, each once."""
+    pages = table(spark, sf_dir, "pages")
+    own = pages.select(F.trim("url").alias("url")).filter("url <> ''")
+    host = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    linked = pages.select(host.alias("host"), F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"#]*)"'), F.lit(1))).alias("path"))
+    return own.union(linked.select(F.concat("host", "path"))).distinct()
 
 
 @query(rf"""WITH {CHUNKS_SQL} SELECT c.doc_id, chunk_index, lang, substr(c.text, 1, 200) AS snippet,
@@ -105,12 +110,14 @@ def ing_2_dead_letters(spark, sf_dir):
     return checked.filter("f.stage is not null").select("page_id", F.col("f.stage").alias("stage"), F.lit(1).alias("attempt"))
 
 
-@query("SELECT doc_id, doc_id % 5 = 1 AS failed_before FROM documents WHERE doc_id % 3 <> 0")
+@query("""SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS failed_before FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def ing_3_resume(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id")
-    pending = docs.join(docs.filter("doc_id % 3 = 0"), "doc_id", "left_anti")
-    failed = docs.filter("doc_id % 5 = 1").withColumn("failed_before", F.lit(True))
-    return pending.join(failed, "doc_id", "left").select("doc_id", F.coalesce("failed_before", F.lit(False)).alias("failed_before"))
+    """A checkpoint is written and read back: what has a vector is completed, what has a bad label failed before; the rest is pending."""
+    path = scratch(spark)
+    done = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit("completed").alias("state"))
+    bad = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id", F.lit("failed").alias("state"))
+    done.unionByName(bad).write.partitionBy("state").parquet(path)
+    return pending(_docs(spark, sf_dir).select("doc_id"), spark.read.parquet(path), "doc_id")
 
 
 @query("""SELECT coalesce(source, '(all)') AS source, count(*) AS discovered, count(*) FILTER (length(text) >= 200) AS parsed, count(*) FILTER (length(text) < 200) AS skipped, CAST(sum(length(text)) AS BIGINT) AS chars

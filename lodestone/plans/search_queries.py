@@ -1,7 +1,7 @@
 """Retrieval, fusion and result queries.
 
 Vector questions are the embeddings whose id is divisible by 50, searched
-against all; text questions are the first words of the benchmark passages.
+against all; text questions are the whole benchmark passages.
 ``hits`` (top 20) come from whole vectors, ``other`` from their first 32
 dimensions, which stands for a second, independent list.
 """
@@ -15,7 +15,8 @@ from lodestone.functions.text import collapse_space, snippet
 from lodestone.operators import fuse as fs
 from lodestone.operators import retrieve as rt
 from lodestone.operators.rows import best_by_key, first_per_key, keep_unless_empty, ranked, top_k
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, stored, table
+from lodestone.plans.report_queries import CHUNKS_SQL, chunks
 
 
 def _cos(a, b, dims=""):
@@ -63,9 +64,9 @@ def rtv_3_merge_variants(spark, sf_dir):
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+', 0)"
 
 
-def _asked(n):
+def _asked(name="asked", n=100_000):
     ws = WORDS_SQL.format("text")
-    return f"""asked AS (SELECT query_id, unnest(l) AS term, len(l) AS n_terms FROM (SELECT item_id AS query_id,
+    return f"""{name} AS (SELECT query_id, unnest(l) AS term, len(l) AS n_terms FROM (SELECT item_id AS query_id,
 list_slice(list_filter({ws}, lambda x, i: list_position({ws}, x) = i), 1, {n}) AS l FROM benchmark))"""
 
 
@@ -77,44 +78,49 @@ def _top(body, k):
     return f"SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({body})) WHERE rank <= {k}"
 
 
-FULL_SQL = rf"""{_asked(3)}, split AS (SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS title, text FROM documents),
+FULL_SQL = rf"""{_asked()}, {_asked("short", 3)}, split AS (SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS title, text FROM documents),
 w AS (SELECT doc_id, unnest({WORDS_SQL.format("title")}) AS term, 1.0::DOUBLE AS w FROM split UNION ALL SELECT doc_id, unnest({WORDS_SQL.format("substr(text, length(title) + 1)")}), 0.4::DOUBLE FROM split),
 held AS (SELECT doc_id, term, sum(w) AS w FROM w WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
 idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM held GROUP BY term)"""
-FULL_HITS = _top(
-    """SELECT query_id, doc_id AS id, round(least(sum(idf * 2.2 * w / (w + 1.2)) / 10, 1), 6) AS score FROM asked JOIN held USING (term) JOIN idf USING (term)
-GROUP BY query_id, doc_id, n_terms HAVING count(*) = n_terms""", 20)
+_FULL = """SELECT query_id, doc_id AS id, round(least(sum(idf * 2.2 * w / (w + 1.2)) / 10, 1), 6) AS score FROM {0} JOIN held USING (term) JOIN idf USING (term)
+GROUP BY query_id, doc_id, n_terms HAVING count(*) = n_terms"""
+FULL_HITS = _top(f"""SELECT * FROM ({_FULL.format("asked")}) UNION ALL SELECT * FROM ({_FULL.format("short")})
+WHERE query_id NOT IN (SELECT query_id FROM ({_FULL.format("asked")}))""", 20)
 
 
 @query(f"WITH {FULL_SQL} {FULL_HITS}")
 def rtv_4_full_text(spark, sf_dir):
-    return rt.full_text(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", 20)
+    """Documents with all terms of a question; for questions without any, those with its first three terms."""
+    questions, docs = _questions(spark, sf_dir), table(spark, sf_dir, "documents")
+    whole = stored(rt.full_text(questions, docs, "doc_id", "text", 20))
+    open_ = questions.join(whole.select("query_id"), "query_id", "left_anti")
+    return whole.unionByName(rt.full_text(open_, docs, "doc_id", "text", 20, most_terms=3))
 
 
 GRAMS_SQL = f"""list_distinct(flatten(list_transform({WORDS_SQL}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INT), 3)))))"""
-#: Trigram search is over first lines, which are as short as questions.
-TRIGRAM_SQL = rf"""q AS (SELECT item_id AS query_id, {GRAMS_SQL.format("split_part(text, '.', 1)")} AS g FROM benchmark),
-d AS (SELECT doc_id AS id, {GRAMS_SQL.format("split_part(text, '.', 1)")} AS g FROM documents),
-s AS (SELECT query_id, id, count(*) AS s, n, m FROM (SELECT query_id, len(g) AS n, unnest(g) AS x FROM q) JOIN (SELECT id, len(g) AS m, unnest(g) AS x FROM d) USING (x) GROUP BY query_id, id, n, m)"""
+#: Trigram search is over all chunks of all documents; the best chunk of a document counts.
+TRIGRAM_SQL = rf"""{CHUNKS_SQL}, q AS (SELECT item_id AS query_id, lower(text) AS low, {GRAMS_SQL.format("text")} AS g FROM benchmark),
+d AS (SELECT doc_id AS id, chunk_index, lower(text) AS text, {GRAMS_SQL.format("text")} AS g FROM chunks),
+s AS (SELECT query_id, id, chunk_index, count(*) AS s, n, m FROM (SELECT query_id, len(g) AS n, unnest(g) AS x FROM q) JOIN (SELECT id, chunk_index, len(g) AS m, unnest(g) AS x FROM d) USING (x) GROUP BY query_id, id, chunk_index, n, m),
+found AS (SELECT query_id, id, max(round(s / (n + m - s), 6)) AS score FROM s JOIN q USING (query_id) JOIN d USING (id, chunk_index) WHERE round(s / (n + m - s), 6) > 0.3 OR contains(d.text, q.low) GROUP BY query_id, id)"""
 
 
-@query(f"WITH {TRIGRAM_SQL} " + _top("SELECT query_id, id, round(s / (n + m - s), 6) AS score FROM s WHERE round(s / (n + m - s), 6) > 0.3", 20))
+@query(f"WITH {TRIGRAM_SQL} " + _top("SELECT * FROM found", 20))
 def rtv_5_trigram(spark, sf_dir):
-    first = F.substring_index("text", ".", 1)
-    questions = _questions(spark, sf_dir).withColumn("text", first)
-    docs = table(spark, sf_dir, "documents").select("doc_id", first.alias("title"))
-    return rt.trigram_search(questions, docs, "doc_id", "title", 20)
+    return rt.trigram_search(_questions(spark, sf_dir), chunks(spark, sf_dir), "doc_id", "text", 20)
 
 
-@query(rf"""WITH q AS (SELECT item_id AS query_id, array_to_string(list_slice({WORDS_SQL.format("text")}, 1, 2), ' ') AS phrase FROM benchmark),
-g AS (SELECT doc_id AS id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS phrase FROM (SELECT doc_id, {WORDS_SQL.format("text")} AS l FROM documents))
-""" + _top("SELECT query_id, id, count(*) AS score FROM q JOIN g USING (phrase) GROUP BY query_id, id", 20))
+_SPACED_SQL = "' ' || array_to_string(" + WORDS_SQL + ", '  ') || ' '"
+
+
+@query(rf"""WITH q AS (SELECT item_id AS query_id, {_SPACED_SQL.format("text")} AS phrase FROM benchmark), d AS (SELECT doc_id AS id, {_SPACED_SQL.format("text")} AS whole FROM documents)
+""" + _top("SELECT query_id, id, CAST((length(whole) - length(replace(whole, phrase, ''))) / length(phrase) AS BIGINT) AS score FROM q JOIN d ON contains(whole, phrase) WHERE trim(phrase) <> ''", 20))
 def rtv_6_phrase(spark, sf_dir):
     return rt.phrase_search(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", 20)
 
 
-TF_SQL = f"{_asked(8)}, t AS (SELECT doc_id AS id, unnest({WORDS_SQL.format('text')}) AS term FROM documents)"
-TF_HITS = _top("SELECT query_id, id, round(least(sum(length(term)) / 100, 1), 6) AS score FROM asked JOIN t USING (term) WHERE length(term) > 2 GROUP BY query_id, id", 20)
+TF_SQL = f"{_asked('every')}, t AS (SELECT doc_id AS id, unnest({WORDS_SQL.format('text')}) AS term FROM documents)"
+TF_HITS = _top("SELECT query_id, id, round(least(sum(length(term)) / 100, 1), 6) AS score FROM every JOIN t USING (term) WHERE length(term) > 2 GROUP BY query_id, id", 20)
 
 
 @query(f"WITH {TF_SQL} {TF_HITS}")
@@ -122,14 +128,20 @@ def rtv_7_term_frequency(spark, sf_dir):
     return rt.term_frequency_search(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", 20)
 
 
-@query(r"""WITH m AS (SELECT doc_id AS id, source, regexp_extract(text, '([0-9]+\.[0-9]+)', 1) AS number, contains(text, 'License') AS named FROM documents)
-SELECT number, id, score FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, id) AS k FROM (SELECT number, id, greatest(CASE WHEN named THEN 1.0 WHEN source = 'src0' THEN 0.6 ELSE 0.1 END, 0.1)::DOUBLE AS score
-FROM m WHERE number <> '')) WHERE k <= 5""")
+_NUMBERS_SQL = r"regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+', 0)"
+
+
+@query(rf"""WITH m AS (SELECT doc_id AS id, source AS law, {_NUMBERS_SQL}[1] AS article, substr(text, 1, 60) AS head, unnest(list_distinct({_NUMBERS_SQL})) AS number FROM documents),
+s AS (SELECT *, CASE WHEN article = number THEN 1.0 ELSE 0.6 END::DOUBLE AS score FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, id) AS place FROM s),
+c AS (SELECT *, row_number() OVER (PARTITION BY number, law, article, head ORDER BY score DESC, id) AS copy FROM p WHERE place <= 10)
+SELECT number, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, id) AS rank FROM c WHERE copy = 1) WHERE rank <= 5""")
 def rtv_8_article_lookup(spark, sf_dir):
-    number = F.regexp_extract("text", r"([0-9]+\.[0-9]+)", 1)
-    score = F.when(F.contains("text", F.lit("License")), 1.0).when(F.col("source") == "src0", 0.6).otherwise(0.1)
-    rows = table(spark, sf_dir, "documents").select(number.alias("number"), F.col("doc_id").alias("id"), score.alias("score")).filter("number <> ''")
-    return top_k(rows, ["number"], fs.best(), 5, "k").drop("k")
+    """Every number that any document holds is asked for."""
+    docs = table(spark, sf_dir, "documents")
+    found = F.regexp_extract_all("text", F.lit(rt.NUMBER), F.lit(0))
+    numbers = docs.select(F.explode(found).alias("number")).distinct()
+    return rt.article_lookup(numbers, docs, F.get(found, F.lit(0)), F.col("source"), F.col("text"), F.col("doc_id"))
 
 
 @query("""SELECT p_partkey, p_name, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey WHERE contains(lower(p_name), 'red') GROUP BY p_partkey, p_name ORDER BY p_name, p_partkey LIMIT 100""")
@@ -160,11 +172,11 @@ def rtv_11_overlay(spark, sf_dir):
     )
 
 
-@query(f"""WITH {FULL_SQL}, p AS ({FULL_HITS}), {TF_SQL.split(", t AS", 1)[0].replace("asked", "asked8")}, t AS{TF_SQL.split(", t AS", 1)[1]}, s AS ({TF_HITS.replace("asked", "asked8")}),
+@query(f"""WITH {FULL_SQL}, p AS ({FULL_HITS}), {TF_SQL}, s AS ({TF_HITS}),
 n AS (SELECT query_id, (SELECT count(*) FROM p WHERE p.query_id = q.query_id) AS np, (SELECT count(*) FROM s WHERE s.query_id = q.query_id) AS ns FROM (SELECT item_id AS query_id FROM benchmark) q)
 SELECT p.* FROM p JOIN n USING (query_id) WHERE np >= 3 OR np >= ns UNION ALL SELECT s.* FROM s JOIN n USING (query_id) WHERE NOT (np >= 3 OR np >= ns)""")
 def rtv_12_fallback(spark, sf_dir):
-    return rt.fallback(rtv_4_full_text(spark, sf_dir), rtv_7_term_frequency(spark, sf_dir), 3)
+    return rt.fallback(stored(rtv_4_full_text(spark, sf_dir)), stored(rtv_7_term_frequency(spark, sf_dir)), 3)
 
 
 MARKERS = [("licence", "license", 0.9), ("licence", "copyright", 0.7), ("language", "heit", 0.6), ("language", "eaux", 0.5), ("noise", "###", 0.8)]
@@ -177,10 +189,10 @@ def rtv_13_rules(spark, sf_dir):
     return rt.rules_search(table(spark, sf_dir, "documents"), MARKERS, "text", "doc_id", 25)
 
 
-@query(f"WITH {HITS}, {OTHER} SELECT query_id, id, max(score) AS score, max(source) AS source FROM (SELECT query_id, id, round(score * 0.9, 6) AS score, 'v' AS source FROM hits WHERE rank <= 10 UNION ALL SELECT query_id, id, round(score * 0.8, 6), 'v' FROM other) GROUP BY query_id, id")
+@query(f"WITH {HITS}, {OTHER} SELECT query_id, id, max(score) AS score, max(source) AS source FROM (SELECT query_id, id, round(score * 0.9, 9) AS score, 'v' AS source FROM hits WHERE rank <= 10 UNION ALL SELECT query_id, id, round(score * 0.8, 9), 'v' FROM other) GROUP BY query_id, id")
 def rtv_15_merge_fallback(spark, sf_dir):
-    a = hits(spark, sf_dir).filter("rank <= 10").select("query_id", "id", F.round(F.col("score") * 0.9, 6).alias("score"))
-    b = hits(spark, sf_dir, dims=32).select("query_id", "id", F.round(F.col("score") * 0.8, 6).alias("score"))
+    a = hits(spark, sf_dir).filter("rank <= 10").select("query_id", "id", F.round(F.col("score") * 0.9, 9).alias("score"))
+    b = hits(spark, sf_dir, dims=32).select("query_id", "id", F.round(F.col("score") * 0.8, 9).alias("score"))
     return best_by_key(a.unionByName(b).withColumn("source", F.lit("v")), ["query_id", "id"], "score")
 
 
@@ -217,7 +229,7 @@ def fus_1_rrf(spark, sf_dir):
 
 @query(f"""WITH {FUSED}, m AS (SELECT query_id, round(avg(score), 6) AS mean FROM hits GROUP BY query_id)
 SELECT query_id, id, round(CASE WHEN mean < 0.2 THEN greatest(keyword_score * 1.5, vector_score * 0.5, least(rrf_score * 15, 1)) WHEN mean < 0.5 THEN greatest(keyword_score * 1.3, vector_score, least(rrf_score * 12, 1))
-ELSE greatest(vector_score * 1.1, keyword_score, least(rrf_score * 10, 1)) END, 6) AS score, round(greatest(vector_score, keyword_score, least(rrf_score * 10, 0.85)), 6) AS raw_score FROM fused JOIN m USING (query_id)""")
+ELSE greatest(vector_score * 1.1, keyword_score, least(rrf_score * 10, 1)) END, 9) AS score, round(greatest(vector_score, keyword_score, least(rrf_score * 10, 0.85)), 9) AS raw_score FROM fused JOIN m USING (query_id)""")
 def fus_2_adaptive(spark, sf_dir):
     return fs.adaptive_score(fused(spark, sf_dir), hits(spark, sf_dir))
 
@@ -320,11 +332,11 @@ def res_1_citations(spark, sf_dir):
     return ranked(first, fs.QUERY, [F.col("rank")], "place").select("query_id", "source", "id", "snippet", "place")
 
 
-@query(f"""WITH {HITS}, j AS (SELECT query_id, label, id, score FROM hits JOIN embeddings ON id = vec_id WHERE score >= 0.1 AND id % 5 <> 1),
+@query(f"""WITH {HITS}, j AS (SELECT query_id, label, id, score FROM hits JOIN embeddings ON id = vec_id WHERE score >= 0.1 AND label <> 0),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS k FROM j) WHERE k = 1)
 SELECT query_id, label, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 6""")
 def res_2_related(spark, sf_dir):
-    rows = labelled(spark, sf_dir, hits(spark, sf_dir)).filter("score >= 0.1 and id % 5 <> 1").select("query_id", "label", "id", "score")
+    rows = labelled(spark, sf_dir, hits(spark, sf_dir)).filter("score >= 0.1 and label <> 0").select("query_id", "label", "id", "score")
     return top_k(first_per_key(rows, ["query_id", "label"], fs.best()), fs.QUERY, fs.best(), 6)
 
 
@@ -393,7 +405,7 @@ def res_10_strength_vote(spark, sf_dir):
 @query()
 def answer_questions(spark, sf_dir):
     """The whole path: full text and trigram lists of each question, fused, gated, cut to one citation a source."""
-    full, grams = rtv_4_full_text(spark, sf_dir), rtv_5_trigram(spark, sf_dir)
+    full, grams = stored(rtv_4_full_text(spark, sf_dir)), stored(rtv_5_trigram(spark, sf_dir))
     fused_lists = fs.reciprocal_rank_fusion(full, grams)
     scored = fs.adaptive_score(fused_lists, full).select("query_id", "id", "score")
     gated = fs.candidate_gate(scored)

@@ -5,7 +5,7 @@ def plain(value):
     if value is None or (isinstance(value, float) and value != value):
         return "NULL"
     if isinstance(value, float):
-        return repr(round(value, 5)).removesuffix(".0")
+        return repr(round(value, 8)).removesuffix(".0")
     if isinstance(value, (list, tuple)):
         return str([plain(v) for v in value])
     return str(value)
