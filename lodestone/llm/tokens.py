@@ -28,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered by a worker (about 120 MB): half of them anew, the other half from before, of which those met again move over.
-MEMORY = 600_000
+#: Pieces remembered by a worker (about 80 MB): half of them anew, the other half from before, of which those met again move over.
+MEMORY = 400_000
 #: Pieces that go to the library in one string.
 RUN = 500
 #: Longer pieces are encoded but not remembered.
