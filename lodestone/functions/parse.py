@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +21,9 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(found != "", found)
 
 
+# Values that must match: years 1990 to 2050, article numbers to 500.
+
+
 def law_ids(text: Column) -> Column:
     """Distinct ``year/number`` references, years 1990 to 2050, in order."""
     pairs = F.transform(all_matches(text, r"([0-9]{4}[/-][0-9]{2,3})"), lambda x: F.translate(x, "-", "/"))
@@ -39,20 +47,61 @@ def article_number(text: Column, word: str = "article") -> Column:
     return F.when(~plain | ((F.length(number) <= 3) & (F.lpad(number, 3, "0") <= "500")), number)
 
 
+#: Separators of a date, the first kind that a text holds wins.
+DATE_KINDS = ("--", "..", "yearmonth")
+DATE = r"\b20[0-9]{2}(?:-|\.|\s*year\s*)[0-9]{1,2}(?:-|\.|\s*month\s*)[0-9]{1,2}\b"
+
+
 def iso_date(text: Column) -> Column:
-    """First date of the text: ISO, dotted, then worded (``2024 year 5 month 3``), as yyyy-mm-dd; empty if none."""
+    """First date of the text as yyyy-mm-dd, empty if none: ISO before dotted before worded (``2024 year 5 month 3``).
+
+    One scan finds what looks like a date; the separators of a find tell its
+    kind, its figures are the fields.
+    """
+
+    def read(found: Column) -> Column:
+        figures = F.regexp_extract_all(found, F.lit("[0-9]+"), F.lit(0))
+        kind = F.array_position(F.array(*map(F.lit, DATE_KINDS)), F.regexp_replace(found, r"[0-9\s]+", ""))
+        short = (kind == 1) & (F.length(found) < 10)  # ISO fields have two figures
+        iso = F.concat_ws("-", F.get(figures, F.lit(0)), F.lpad(F.get(figures, F.lit(1)), 2, "0"), F.lpad(F.get(figures, F.lit(2)), 2, "0"))
+        return F.struct(F.when((kind > 0) & ~short, kind).alias("kind"), iso.alias("iso"))
+
+    dates = F.filter(F.transform(all_matches(text, DATE, 0), read), lambda d: d["kind"].isNotNull())
+    first = F.filter(dates, lambda d: d["kind"] == F.array_min(F.transform(dates, lambda x: x["kind"])))
+    return F.coalesce(F.get(first, F.lit(0))["iso"], F.lit(""))
+
+
+def marker_places(text: Column, marker: str, apart: int = 6) -> Column:
+    """Offsets of ``marker`` in the text, without those at most ``apart`` characters after the one before."""
+
+    @F.pandas_udf("array<long>")
+    def places(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            found = [m.start() for m in re.finditer(re.escape(marker), text or "")]
+            out.append([x for k, x in enumerate(found) if not k or x - found[k - 1] > apart])
+        return pd.Series(out)
+
+    return places(text)
+
+
+def keywords(text: Column, suffix: str, stop: Sequence[str], least: int = 3, most: int = 12) -> Column:
+    """The ``most`` frequent terms of a text with their number and rank: runs of ``least`` or more of a-z, 0-9 and full stops, without suffix and stop words; ties by term."""
+    word, cut = re.compile(rf"[a-z0-9.]{{{least},}}"), re.compile(suffix)
 
-    def parts(pattern: str) -> Column:
-        month, day = F.regexp_extract(text, pattern, 2), F.regexp_extract(text, pattern, 3)
-        year = F.regexp_extract(text, pattern, 1)
-        return F.when(year != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+    @F.pandas_udf("array<struct<term: string, n: long, rank: int>>")
+    def counted(texts: pd.Series) -> pd.Series:
+        out = []
+        for low in texts:
+            raw = Counter(word.findall(low or ""))
+            terms: Counter[str] = Counter()
+            for term, n in raw.items():
+                terms[cut.sub("", term)] += n
+            best = sorted(((t, n) for t, n in terms.items() if len(t) >= least and t not in stop), key=lambda x: (-x[1], x[0]))[:most]
+            out.append([{"term": t, "n": n, "rank": k} for k, (t, n) in enumerate(best, 1)])
+        return pd.Series(out)
 
-    patterns = (
-        r"\b(20[0-9]{2})-([0-9]{2})-([0-9]{2})\b",
-        r"\b(20[0-9]{2})\.([0-9]{1,2})\.([0-9]{1,2})\b",
-        r"(20[0-9]{2})\s*year\s*([0-9]{1,2})\s*month\s*([0-9]{1,2})",
-    )
-    return F.coalesce(*(parts(p) for p in patterns), F.lit(""))
+    return counted(F.lower(text))
 
 
 def by_precedence(text: Column, rules: list[tuple[str, str]], default: str = "other") -> Column:
@@ -83,6 +132,9 @@ def url_id(url: Column) -> Column:
 
 
 def confidence(text: Column) -> Column:
-    """Trailing ``confidence: x`` clamped to 0..1; 0.5 if there is none."""
-    found = F.regexp_extract(text, r"(?i)confidence:\s*([0-9]+(?:\.[0-9]+)?)\s*$", 1)
-    return F.when(found == "", F.lit(0.5)).otherwise(F.least(F.greatest(found.try_cast("double"), F.lit(0.0)), F.lit(1.0)))
+    """What stands after the last colon, clamped to 0..1, if it is a number and ``confidence`` stands before the colon; else 0.5."""
+    bare = F.regexp_replace(text, r"\s+$", "")
+    value = F.substring_index(bare, ":", -1)
+    named = F.endswith(F.lower(F.substring(bare, F.lit(1), F.length(bare) - F.length(value) - 1)), F.lit("confidence"))
+    number = F.when(F.trim(value).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.trim(value).cast("double"))
+    return F.when(named & number.isNotNull(), F.least(number, F.lit(1.0))).otherwise(F.lit(0.5))

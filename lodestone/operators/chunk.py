@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse_space
 
+#: Values that must match: characters of a chunk, of the overlap of two, and below which a piece joins its neighbour.
 MAX_CHARS, OVERLAP_CHARS, MERGE_CHARS = 600, 120, 200
 
 
@@ -24,45 +27,121 @@ def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
 
 
+def places(lines: Column, opens: Callable[[Column], Column], first: int = 0) -> Column:
+    """Indices of the lines, from ``first`` on, for which ``opens`` holds."""
+    every = F.when(F.size(lines) > first, F.sequence(F.lit(first), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: opens(F.trim(F.get(lines, i))))
+
+
+def part(lines: Column, at: Column, k: Column) -> Column:
+    """Lines of part ``k``: from the k-th place of ``at`` to the next one; part 0 is what stands before the first."""
+    start = F.when(k == 0, 0).otherwise(F.get(at, k - 1))
+    end = F.when(k < F.size(at), F.get(at, k)).otherwise(F.size(lines))
+    return F.slice(lines, start + 1, end - start)
+
+
 def segments(docs: DataFrame, article: str, chapter: str, doc_id: str = "doc_id", text: str = "text", least: int = 20, preamble: int = MERGE_CHARS) -> DataFrame:
     """Articles: ``doc_id, article_index, chapter, heading, body``.
 
     A line that matches ``article`` opens an article, which runs to the next
     one; its chapter is the last line before it that matches ``chapter``.  The
     text before the first article is article 0, kept from ``preamble``
-    characters on; articles below ``least`` characters are dropped.
+    characters on; articles below ``least`` characters are dropped.  A document
+    is cut within its row: nothing is shuffled.
     """
-    order = Window.partitionBy(doc_id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    line = F.trim("line")
-    marked = lines(docs, doc_id, text).withColumns({"is_article": line.rlike(article), "is_chapter": line.rlike(chapter)})
-    placed = marked.withColumns({
-        "article_index": F.sum(F.col("is_article").cast("int")).over(order),
-        "chapter": F.last(F.when(F.col("is_chapter"), line), ignorenulls=True).over(order),
-    })
-    bodies = placed.groupBy(doc_id, "article_index").agg(
-        F.max(F.when(F.col("is_article"), F.col("chapter"))).alias("chapter"),
-        F.max(F.when(F.col("is_article"), line)).alias("heading"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"),
-    )
+    cut = docs.select(F.col(doc_id), F.split(text, "\n", -1).alias("lines"))
+    marked = cut.withColumns({"at": places(F.col("lines"), lambda x: x.rlike(article)), "chapters": places(F.col("lines"), lambda x: x.rlike(chapter))})
+    lines, at, chapters = F.col("lines"), F.col("at"), F.col("chapters")
+
+    def one(k: Column) -> Column:
+        start = F.get(at, k - 1)
+        above = F.array_max(F.filter(chapters, lambda c: c <= start))
+        return F.struct(
+            k.cast("long").alias("article_index"),
+            F.when(k > 0, F.trim(F.get(lines, above))).alias("chapter"),
+            F.when(k > 0, F.trim(F.get(lines, start))).alias("heading"),
+            F.array_join(part(lines, at, k), "\n").alias("body"),
+        )
+
+    rows = marked.select(doc_id, F.explode(F.transform(F.sequence(F.lit(0), F.size(at)), one)).alias("s")).select(doc_id, "s.*")
     kept = F.length(F.trim("body")) >= F.when(F.col("article_index") == 0, preamble).otherwise(least)
-    return bodies.filter(kept).withColumn("body", F.btrim("body", F.lit(" \n")))
-
-
-def clauses(articles: DataFrame, keys: list[str], clause: str = r"^([0-9]+(?:\.[0-9]+){1,3})\.? ", body: str = "body", fewest: int = 3, most: int = MAX_CHARS) -> DataFrame:
-    """Articles with ``fewest`` clauses or over ``most`` characters split at clause lines: keys, ``clause_index, clause_no, clause``; others whole."""
-    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = articles.select(*keys, F.length(body).alias("chars"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
-    number = F.regexp_extract("line", clause, 1)
-    marked = rows.withColumn("number", F.when(number != "", number))
-    total = F.count("number").over(Window.partitionBy(*keys))
-    splits = (total >= fewest) | (F.col("chars") > most)
-    placed = marked.withColumn("splits", splits).withColumn(
-        "clause_index", F.when(F.col("splits"), F.count("number").over(order)).otherwise(F.lit(0))
-    )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return placed.groupBy(*keys, "clause_index").agg(
-        F.max(F.when(F.col("splits"), F.col("number"))).alias("clause_no"), joined.alias("clause")
-    )
+    return rows.filter(kept).withColumn("body", F.btrim("body", F.lit(" \n")))
+
+
+def sections(docs: DataFrame, article: str, chapter: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, section, body``: documents without articles, cut at chapter lines; section 0 is what stands before the first."""
+    cut = docs.select(F.col(doc_id), F.split(text, "\n", -1).alias("lines")).filter(~F.exists("lines", lambda x: F.trim(x).rlike(article)))
+    marked = cut.withColumn("at", places(F.col("lines"), lambda x: x.rlike(chapter)))
+    parts = F.transform(F.sequence(F.lit(0), F.size("at")), lambda k: F.struct(k.cast("long").alias("section"), part(F.col("lines"), F.col("at"), k).alias("own")))
+    rows = marked.select(doc_id, F.explode(parts).alias("s")).filter(F.size("s.own") > 0)
+    return rows.select(doc_id, "s.section", F.array_join("s.own", "\n").alias("body"))
+
+
+#: Values that must match: a clause number at the start of a line; a local number or a letter before a slash, full stop or bracket.
+CLAUSE_START = r"^([0-9]+(?:\.[0-9]+){1,3})\.?\s"
+LABEL_START = r"^([0-9]+|\p{L})(?:[.)]|/)\s"
+
+
+def clauses(articles: DataFrame, keys: list[str], clause: str = CLAUSE_START, body: str = "body", fewest: int = 3, most: int = MAX_CHARS, extends: Column | None = None, first: int = 0) -> DataFrame:
+    """Articles with ``fewest`` clauses or over ``most`` characters split at clause lines: keys, ``clause_index, clause_no, clause``; others whole.
+
+    With ``extends``, the number of the article, a clause's number must go on
+    from it.  Lines before ``first`` open no clause.
+    """
+
+    def opens(line: Column) -> Column:
+        number = F.regexp_extract(line, clause, 1)
+        return (number != "") & (F.startswith(number, F.concat(F.col("__number"), F.lit("."))) if extends is not None else F.lit(True))
+
+    rows = articles.select(*keys, F.length(body).alias("__chars"), F.split(body, "\n", -1).alias("__lines"), (F.lit(None).cast("string") if extends is None else extends.cast("string")).alias("__number"))
+    marked = rows.withColumn("__at", places(F.col("__lines"), opens, first))
+    lines, at = F.col("__lines"), F.col("__at")
+    splits = (F.size(at) >= fewest) | (F.col("__chars") > most)
+
+    def one(k: Column) -> Column:
+        number = F.when(k > 0, F.regexp_extract(F.trim(F.get(lines, F.get(at, k - 1))), clause, 1))
+        return F.struct(k.cast("long").alias("clause_index"), number.alias("clause_no"), part(lines, at, k).alias("own"))
+
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("clause_index"), F.lit(None).cast("string").alias("clause_no"), lines.alias("own")))
+    pieces = F.when(splits, F.transform(F.sequence(F.lit(0), F.size(at)), one)).otherwise(whole)
+    found = marked.select(*keys, F.explode(pieces).alias("p")).filter(F.size("p.own") > 0)
+    return found.select(*keys, "p.clause_index", "p.clause_no", F.array_join("p.own", "\n").alias("clause"))
+
+
+def legal_pieces(articles: DataFrame, keys: list[str], number: Column, label: str = LABEL_START) -> DataFrame:
+    """Articles in pieces: keys, ``kind`` (article, clause, subclause), ``clause_no, subclause_no, heading_path, piece``.
+
+    ``articles`` as ``segments`` gives them, ``number`` the number of each.
+    Clauses must go on from it; a clause with lines that begin with a label is
+    cut at these, each piece under the clause's first line; every piece but a
+    whole article stands under the article's heading.  Clauses below 10 and
+    labelled parts below 8 characters are dropped.
+    """
+    held = articles.withColumn("__no", number)
+    cut = clauses(held, [*keys, "chapter", "heading"], extends=F.col("__no"), first=1)
+    # what stands before the first clause is the heading, which every clause carries
+    with_clauses = F.max(F.col("clause_no").isNotNull().cast("int")).over(Window.partitionBy(*keys)) == 1
+    kept = cut.withColumn("__has", with_clauses).filter(F.col("clause_no").isNotNull() | ~F.col("__has"))
+    kept = kept.filter(F.col("clause_no").isNull() | (F.length(F.trim("clause")) >= 10))
+    lines = F.split(F.trim("clause"), "\n", -1)
+    marked = kept.withColumn("__lines", lines).withColumn("__at", F.when(F.col("clause_no").isNotNull(), places(F.col("__lines"), lambda x: x.rlike(label), 1)).otherwise(F.array().cast("array<int>")))
+
+    def one(k: Column) -> Column:
+        own = F.trim(F.array_join(part(F.col("__lines"), F.col("__at"), k), "\n"))
+        name = F.lower(F.regexp_extract(own, label, 1))
+        return F.struct(F.concat_ws(".", "clause_no", name).alias("subclause_no"), own.alias("own"))
+
+    labelled = F.filter(F.transform(F.sequence(F.lit(1), F.size("__at")), one), lambda x: F.length(x["own"]) >= 8)
+    single = F.array(F.struct(F.lit(None).cast("string").alias("subclause_no"), F.trim("clause").alias("own")))
+    rows = marked.select(*keys, "chapter", "heading", "clause_no", F.get("__lines", F.lit(0)).alias("__lead"), F.explode(F.when(F.size("__at") > 0, labelled).otherwise(single)).alias("p"))
+    sub = F.col("p.subclause_no")
+    return rows.select(
+        *keys,
+        F.when(sub.isNotNull(), "subclause").when(F.col("clause_no").isNotNull(), "clause").otherwise("article").alias("kind"),
+        "clause_no", sub.alias("subclause_no"),
+        F.concat_ws(" > ", "chapter", "heading", "clause_no", sub).alias("heading_path"),
+        F.concat_ws("\n", F.when(F.col("clause_no").isNotNull(), F.col("heading")), F.when(sub.isNotNull(), F.col("__lead")), "p.own").alias("piece"),
+    )
 
 
 def fold_pack(parts: Column, most: int, overlap: int, glue: str, least: int = 0) -> Column:

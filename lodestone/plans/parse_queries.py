@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import parse as ps
 
 from lodestone.operators import chunk as ck
-from lodestone.operators.rows import first_per_key, top_k
+from lodestone.operators.rows import first_per_key
 from lodestone.plans.registry import query, table
 from lodestone.plans.report_queries import CHUNKS_SQL, chunks
 
@@ -52,13 +51,12 @@ def prs_5_links(spark, sf_dir):
     return pages.select("page_id", host.alias("host"), F.explode(found).alias("path")).select("page_id", F.concat("host", "path").alias("link"))
 
 
-_DATE_SQL = "CASE WHEN regexp_extract(t, '{0}', 1) <> '' THEN regexp_extract(t, '{0}', 1) || '-' || lpad(regexp_extract(t, '{0}', 2), 2, '0') || '-' || lpad(regexp_extract(t, '{0}', 3), 2, '0') END"
-_DATES = (r"\b(20[0-9]{2})-([0-9]{2})-([0-9]{2})\b", r"\b(20[0-9]{2})\.([0-9]{1,2})\.([0-9]{1,2})\b", r"(20[0-9]{2})\s*year\s*([0-9]{1,2})\s*month\s*([0-9]{1,2})")
-
-
-@query(f"""SELECT o_orderkey, coalesce({", ".join(_DATE_SQL.format(d) for d in _DATES)}, '') AS iso FROM (SELECT o_orderkey, CASE o_orderkey % 4
+@query(r"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4
 WHEN 0 THEN 'on ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate + INTERVAL 25 YEAR, '%Y-%m-%d.')
-WHEN 2 THEN 'of ' || (2000 + o_orderkey % 50) || '.' || (1 + o_orderkey % 12) || '.7' ELSE (2000 + o_orderkey % 50) || ' year ' || (1 + o_orderkey % 12) || ' month 9' END AS t FROM orders)""")
+WHEN 2 THEN 'of ' || (2000 + o_orderkey % 50) || '.' || (1 + o_orderkey % 12) || '.7' ELSE (2000 + o_orderkey % 50) || ' year ' || (1 + o_orderkey % 12) || ' month 9' END AS t FROM orders),
+w AS (SELECT o_orderkey, list_filter(string_split(replace(t, '.', '-'), ' '), lambda x: regexp_matches(x, '^20[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}-?$'))[1] AS d, string_split(t, ' ') AS f FROM t)
+SELECT o_orderkey, CASE WHEN f[2] = 'year' THEN f[1] || '-' || lpad(f[3], 2, '0') || '-' || lpad(f[5], 2, '0')
+WHEN d IS NULL THEN '' ELSE string_split(d, '-')[1] || '-' || lpad(string_split(d, '-')[2], 2, '0') || '-' || lpad(string_split(d, '-')[3], 2, '0') END AS iso FROM w""")
 def prs_6_iso_date(spark, sf_dir):
     k = F.col("o_orderkey")
     year, month = (2000 + k % 50).cast("string"), (1 + k % 12).cast("string")
@@ -121,11 +119,7 @@ e AS (SELECT doc_id, unnest(list_slice(parts, 1, len(parts) - 1)) AS part, gener
 o AS (SELECT doc_id, i, sum(length(part)) OVER w + 4 * (i - 1) AS place FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i))
 SELECT doc_id, CAST(place AS BIGINT) AS "offset" FROM (SELECT *, lag(place) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM o) WHERE before IS NULL OR place - before > 6""")
 def prs_11_markers(spark, sf_dir):
-    marker = "The "
-    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", marker, -1)).alias("i", "part"), F.size(F.split("text", marker, -1)).alias("n"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    placed = cut.filter("i < n - 1").withColumn("offset", F.sum(F.length("part").cast("long")).over(order) + len(marker) * F.col("i"))
-    return placed.withColumn("before", F.lag("offset").over(order)).filter("before is null or offset - before > 6").select("doc_id", "offset")
+    return _docs(spark, sf_dir).select("doc_id", F.explode(ps.marker_places(F.col("text"), "The ")).alias("offset"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_slice(list_distinct_ordered, 1, 4), '|') AS headings FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered
@@ -157,12 +151,7 @@ STOP = ("the", "and", "les", "der", "die", "que", "los")
 c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE length(term) >= 3 AND term NOT IN {STOP} GROUP BY doc_id, term)
 SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 12""")
 def prs_15_keywords(spark, sf_dir):
-    # counted per document, so the shuffle carries one row for each document and term
-    terms = _docs(spark, sf_dir).select("doc_id", F.explode(ps.all_matches(F.lower("text"), r"[a-z0-9.]{3,}", 0)).alias("raw"))
-    stems = terms.select("doc_id", F.regexp_replace("raw", "(ing|tion|heit|ment)$", "").alias("term"))
-    stems = stems.filter((F.length("term") >= 3) & ~F.col("term").isin(*STOP))
-    counts = stems.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return top_k(counts, ["doc_id"], [F.desc("n"), F.col("term")], 12).select("doc_id", "term", "n", "rank")
+    return _docs(spark, sf_dir).select("doc_id", F.explode(ps.keywords(F.col("text"), "(ing|tion|heit|ment)$", STOP)).alias("k")).select("doc_id", "k.*")
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY chunk_index)) AS whole, count(*) AS n FROM chunks GROUP BY doc_id")
@@ -240,15 +229,7 @@ def chk_3_clauses(spark, sf_dir):
 max(regexp_matches(trim(line), '{ARTICLE}')::INT) OVER (PARTITION BY doc_id) AS has_article FROM l)
 SELECT doc_id, CAST(section AS BIGINT) AS section, string_agg(line, chr(10) ORDER BY pos) AS body FROM m WHERE has_article = 0 GROUP BY doc_id, section"""))
 def chk_4_sections(spark, sf_dir):
-    whole = Window.partitionBy("doc_id")
-    lines = ck.lines(_docs(spark, sf_dir), "doc_id", "text")
-    order = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumns({
-        "section": F.sum(F.trim("line").rlike(CHAPTER).cast("int")).over(order),
-        "has_article": F.max(F.trim("line").rlike(ARTICLE).cast("int")).over(whole),
-    }).filter("has_article = 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return marked.groupBy("doc_id", "section").agg(body.alias("body"))
+    return ck.sections(_docs(spark, sf_dir), ARTICLE, CHAPTER)
 
 
 @query()
