@@ -78,12 +78,50 @@ def heuristic_rerank(hits: DataFrame, terms: Column, text: Column, official: Col
     return top_k(scored, QUERY, best(), n)
 
 
-def hybrid_rerank(hits: DataFrame, question: Column, title: Column, body: Column, n: int) -> DataFrame:
-    """``query_id, id, score, rank``: the old score plus capped bonuses for shared body words and the share of title words in the question."""
-    shared = lambda other: F.size(F.array_intersect(question, other))
-    keyword = F.least(shared(body) * 0.04, F.lit(0.2))
-    heading = F.least(shared(title) / F.greatest(F.size(title), F.lit(1)) * 0.15, F.lit(0.15))
-    return top_k(hits.select("query_id", "id", F.round(clamp(F.col("score") + keyword + heading), 6).alias("score")), QUERY, best(), n)
+def hybrid_rerank(
+    hits: DataFrame, terms: Column, title: Column, body: Column, n: int, law: Column | None = None, knowledge: Column | None = None, expansions: Column | None = None, stored: Column | None = None, chars: int = 1600
+) -> DataFrame:
+    """``query_id, id, score, rank``: the old score plus six capped bonuses, the first n.
+
+    Matches are terms that stand anywhere in the title and the first ``chars``
+    of the body, in lower case: the question's ``terms`` (0.08 each, four at
+    most; 0.2 for the share of them in the title), ``knowledge`` of its domain
+    (0.12 for the share), ``expansions`` that are no terms (0.15 for any).
+    ``law``: a law it asks for is named (0.15); ``stored`` keywords of the row
+    that are terms (0.06 for any).
+    """
+    none = F.array().cast("array<string>")
+    law = F.lit(False) if law is None else law
+    knowledge, expansions, stored = (none if c is None else c for c in (knowledge, expansions, stored))
+    corpus = F.lower(F.concat(title, F.lit(" "), F.substring(body, 1, chars)))
+    rows = hits.select("query_id", "id", "score", corpus.alias("__c"), F.lower(title).alias("__t"), terms.alias("__q"), law.alias("__l"), knowledge.alias("__k"), F.array_except(expansions, terms).alias("__e"), stored.alias("__s"))
+    matches = lambda words, where: F.size(F.filter(words, lambda w: F.contains(F.col(where), w)))
+    share = lambda found, words: F.least(F.lit(1.0), found / F.greatest(F.size(words), F.lit(1)))
+    score = (
+        clamp(F.col("score"))
+        + F.least(matches("__q", "__c"), F.lit(4)) * 0.08
+        + share(matches("__q", "__t"), F.col("__q")) * 0.2
+        + F.when(F.col("__l"), 0.15).otherwise(0.0)
+        + share(matches("__k", "__c"), F.col("__k")) * 0.12
+        + F.least(matches("__e", "__c"), F.lit(1)) * 0.15
+        + F.least(F.size(F.array_intersect("__s", "__q")), F.lit(1)) * 0.06
+    )
+    return top_k(rows.select("query_id", "id", F.round(clamp(score), 6).alias("score")), QUERY, best(), n)
+
+
+def scenario_fallback(hits: DataFrame, extra: DataFrame, relevant: DataFrame, within: int = 12, fewest: int = 3, floor: float = 0.5, boost: float = 0.1) -> DataFrame:
+    """``query_id, id, score``: where fewer than ``fewest`` of a question's first ``within`` hits are relevant, its ``extra`` hits come in.
+
+    ``relevant(query_id, id)`` names the pairs that suit the scenario.  Of the
+    extra hits the relevant ones are kept, boosted and raised to ``floor``; an
+    id in both lists has its higher score.  A question without hits counts as
+    one without relevant ones.
+    """
+    good = relevant.select("query_id", "id").distinct()
+    enough = hits.filter(F.col("rank") <= within).join(good, ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewest)
+    added = extra.join(enough.select("query_id"), "query_id", "left_anti").join(good, ["query_id", "id"], "left_semi")
+    raised = added.select("query_id", "id", F.round(clamp(F.greatest(F.col("score") + boost, F.lit(floor))), 6).alias("score"))
+    return hits.select("query_id", "id", "score").unionByName(raised).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
 def reference_bonus(score: Column, n_ids: Column, n_articles: Column) -> Column:

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import models
 from lodestone.operators.chunk import windows
-from lodestone.operators.retrieve import fallback
 from lodestone.plans.registry import query, scratch, table
-from lodestone.plans.search_queries import _vectors, hits, rtv_5_trigram, rtv_7_term_frequency, with_text
+from lodestone.plans.search_queries import _vectors, hits, with_text
 from lodestone.sources import html
 from lodestone.streaming import ingest
 
@@ -39,11 +38,6 @@ def rtv_2_index_top_k(spark, sf_dir):
     return models.indexed_top_k(items.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), items, 10)
 
 
-@query()
-def rtv_14_scenario_fallback(spark, sf_dir):
-    return fallback(rtv_5_trigram(spark, sf_dir).filter("score >= 0.35"), rtv_7_term_frequency(spark, sf_dir).filter("rank <= 12"), 3)
-
-
 @query()
 def fus_6_cross_encoder(spark, sf_dir):
     asked = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("question"))

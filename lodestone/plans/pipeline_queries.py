@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators.evaluate import answer_quality, citation_accuracy, faithfulness, latency_summary
+from lodestone.operators.evaluate import answer_quality, citation_accuracy, faithfulness, latency_summary, regression_gate, run_summary
 from lodestone.operators.ingest import failing_stage, fail_fast, pending, prepare_for_model, resized
 from lodestone.operators.rows import replace_children, top_k, upsert
 from lodestone.plans.registry import query, scratch, table
@@ -192,16 +192,32 @@ def evl_2_citations(spark, sf_dir):
     return citation_accuracy(rows, "query_id", F.when(F.col("label").isin(1, 3), F.col("label")), 2, F.coalesce("retrieved", F.lit(False)))
 
 
-FAITH = r"""trim(text) AS a, regexp_matches(text, '(?i)(source|license|version|according)') AS backed, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)*', 0) AS numbers"""
+#: Wording of the test tables: what counts as backing, as having nothing to say, and as the name of a law.
+BACKING, NO_INFO, LAW_TITLE = r"(?i)(license|version|laut|selon)", r"(?i)(no information|nichts gefunden)", r"[A-Z][a-z]{2,} [a-z]{2,} [a-z]{2,}"
+_NORMAL_SQL = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+#: Replies with the turn before them, which stands for the retrieved text; its long words are what is cited.
+REPLIES_SQL = rf"""replies AS (SELECT conv_id, turn, text, n, context, sources, cited, list_filter(list_transform(regexp_extract_all(text, '{LAW_TITLE}', 0), lambda x: {_NORMAL_SQL.format("x")}), lambda x: length(x) > 5 AND NOT contains(context, x))[1] AS title,
+list_filter(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)*', 0), lambda x: NOT contains(context, x))[1] AS article FROM (SELECT conv_id, turn, role, text, {_NORMAL_SQL.format("text")} AS n, {_NORMAL_SQL.format("before")} AS context, (before <> '')::INT AS sources,
+list_distinct(regexp_extract_all(lower(before), '[a-z]{{9,}}', 0)) AS cited FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM conversations)) WHERE role = 'assistant')"""
 
 
-@query(f"""SELECT conv_id, turn, score, score >= 0.7 AS faithful, array_to_string(notes, ',') AS notes FROM (SELECT conv_id, turn, round(greatest(0, 1 - 0.7 * (a = '')::INT - 0.2 * (NOT backed)::INT - 0.15 * (len(numbers) > 0 AND NOT contains(before, numbers[1]))::INT), 3)::DOUBLE AS score,
-list_filter([CASE WHEN a = '' THEN 'empty_answer' END, CASE WHEN NOT backed THEN 'missing_citation_backed_wording' END, CASE WHEN len(numbers) > 0 AND NOT contains(before, numbers[1]) THEN 'unsupported_article' END], lambda x: x IS NOT NULL) AS notes
-FROM (SELECT conv_id, turn, role, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before, {FAITH} FROM conversations) WHERE role = 'assistant')""")
-def evl_3_faithfulness(spark, sf_dir):
+def replies(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("before", F.coalesce(F.lag("text").over(w), F.lit(""))).filter("role = 'assistant'")
-    return faithfulness(rows, ["conv_id", "turn"], F.col("text"), F.col("before"))
+    return rows.withColumns({
+        "n": tx.collapse_space(F.lower("text")), "context": tx.collapse_space(F.lower("before")), "sources": (F.col("before") != "").cast("int"),
+        "cited": F.array_distinct(F.regexp_extract_all(F.lower("before"), F.lit("[a-z]{9,}"), F.lit(0))),
+    })
+
+
+@query(rf"""WITH {REPLIES_SQL}, h AS (SELECT *, n = '' AS a, sources = 0 AND n <> '' AND NOT regexp_matches(text, '{NO_INFO}') AS b,
+sources > 0 AND NOT (len(cited) > 0 AND (regexp_matches(text, '{BACKING}') OR len(list_filter(cited, lambda c: contains(n, c))) > 0)) AS c, title IS NOT NULL AS d, article IS NOT NULL AS e, sources > 0 AND len(cited) = 0 AS f FROM replies),
+s AS (SELECT conv_id, turn, round(greatest(0, round(1 - 0.7 * a::INT - 0.45 * b::INT - 0.2 * c::INT - 0.25 * d::INT - 0.15 * e::INT - 0.15 * f::INT, 9)), 3)::DOUBLE AS score, array_to_string(list_filter([CASE WHEN a THEN 'empty_answer' END,
+CASE WHEN b THEN 'legal_claim_without_retrieved_context' END, CASE WHEN c THEN 'missing_citation_backed_wording' END, CASE WHEN d THEN 'unsupported_law_title:' || title END, CASE WHEN e THEN 'unsupported_article:' || article END,
+CASE WHEN f THEN 'no_returned_citations' END], lambda x: x IS NOT NULL), ',') AS notes FROM h)
+SELECT conv_id, turn, score, score >= 0.7 AS faithful, CASE WHEN notes = '' THEN 'ok' ELSE notes END AS notes FROM s""")
+def evl_3_faithfulness(spark, sf_dir):
+    return faithfulness(replies(spark, sf_dir), ["conv_id", "turn"], F.col("text"), F.col("context"), F.col("sources"), F.col("cited"), BACKING, NO_INFO, LAW_TITLE)
 
 
 @query("""SELECT event_type, round(avg(value)) AS mean_ms, round(quantile_disc(value, 0.5)) AS p50_ms, round(quantile_disc(value, 0.95)) AS p95_ms, round(max(value)) AS max_ms FROM events WHERE value >= 0 GROUP BY event_type""")
@@ -209,36 +225,45 @@ def evl_4_latency(spark, sf_dir):
     return latency_summary(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
-@query("""SELECT user_id, count(*) AS cases, count(*) FILTER (event_type = 'error') AS failed, round(avg(value) FILTER (event_type <> 'error'), 4) AS mean_value FROM events GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS cases, count(*) FILTER (NOT bad) AS completed, count(*) FILTER (bad OR NOT (value >= 10 AND k <> '')) AS failed, count(*) FILTER (NOT bad AND NOT value >= 10) AS failed_value,
+count(*) FILTER (NOT bad AND NOT k <> '') AS failed_key, round(avg(value) FILTER (NOT bad), 4) AS mean_value, round(avg((value >= 10)::INT) FILTER (NOT bad), 4) AS mean_hit
+FROM (SELECT user_id, value, event_type = 'error' AS bad, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events) GROUP BY user_id""")
 def evl_5_run_summary(spark, sf_dir):
-    bad = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("cases"), F.count_if(bad).alias("failed"), F.round(F.avg(F.when(~bad, F.col("value"))), 4).alias("mean_value")
-    )
+    events = table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")))
+    hit = F.col("value") >= 10
+    return run_summary(events, ["user_id"], F.col("event_type") == "error", {"value": hit, "key": F.col("k") != ""}, {"value": F.col("value"), "hit": hit.cast("int")})
 
 
-@query("""SELECT conv_id, turn, round(greatest(0, least(1, 0.3 * 0.7 + 0.25 * citation + 0.3 * faith + 0.15 * latency)), 3)::DOUBLE AS overall, array_to_string(list_filter([CASE WHEN length(n) < 80 THEN 'answer_too_short' END,
+@query(f"""WITH {REPLIES_SQL} SELECT conv_id, turn, round(greatest(0, least(1, 0.3 * retrieval + 0.25 * citation + 0.3 * faith + 0.15 * latency)), 3)::DOUBLE AS overall, array_to_string(list_filter([CASE WHEN length(n) < 80 THEN 'answer_too_short' END,
 CASE WHEN contains(n, 'idiot') THEN 'internal_word_leak' END, CASE WHEN citation < 0.6 THEN 'no_citations' END, CASE WHEN latency < 1 THEN 'latency_budget_exceeded' END], lambda x: x IS NOT NULL), ',') AS issues
-FROM (SELECT conv_id, turn, n, 1 - 0.35 * (length(n) < 80)::INT - 0.25 * contains(n, 'idiot')::INT AS faith, CASE WHEN regexp_matches(n, 'https?://') THEN 1.0 ELSE 0.55 END AS citation,
-CASE WHEN length(n) <= 1000 THEN 1.0 ELSE 1000.0 / length(n) END AS latency FROM (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS n FROM conversations WHERE role = 'assistant'))""".replace("\\\\s", "\\s"))
+FROM (SELECT conv_id, turn, n, len(list_filter(cited, lambda c: contains(n, c))) / greatest(len(cited), 1) AS retrieval, 1 - 0.35 * (length(n) < 80)::INT - 0.25 * contains(n, 'idiot')::INT AS faith, CASE WHEN regexp_matches(n, 'https?://') THEN 1.0 ELSE 0.55 END AS citation,
+CASE WHEN length(n) <= 1000 THEN 1.0 ELSE 1000.0 / length(n) END AS latency FROM replies)""")
 def evl_6_answer_quality(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    text = tx.collapse_space(F.lower("text"))
-    return answer_quality(rows, ["conv_id", "turn"], text, F.lit(0.7), F.when(text.rlike("https?://"), 1.0).otherwise(0.55), F.length(text), 1000, ["idiot"])
-
-
-@query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN NOT (contains(t, 'the') OR contains(t, 'que') OR contains(t, 'die')) THEN 'must_contain' END, CASE WHEN contains(t, 'idiot') OR contains(t, 'pathetic') THEN 'forbidden' END,
-CASE WHEN length(t) < CASE WHEN turn > 3 THEN 50 ELSE 100 END THEN 'too_short' END], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'assistant')""")
+    """Retrieval is the share of the cited words that the reply takes up."""
+    rows = replies(spark, sf_dir)
+    text = F.col("n")
+    share = F.size(F.filter("cited", lambda c: F.contains(text, c))) / F.greatest(F.size("cited"), F.lit(1))
+    return answer_quality(rows, ["conv_id", "turn"], text, share, F.when(text.rlike("https?://"), 1.0).otherwise(0.55), F.length(text), 1000, ["idiot"])
+
+
+@query(rf"""WITH {REPLIES_SQL}, v AS (SELECT *, lower(text) AS t, CASE WHEN turn > 3 THEN ['la', 'der', 'the'] ELSE ['que', 'die', 'of'] END AS must, list_concat(['idiot', 'pathetic'], CASE WHEN turn = 1 THEN ['zu zu'] ELSE [] END) AS forbidden,
+len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{{3,}}', 0))) AS laws, CASE WHEN turn > 3 THEN 3 ELSE 1 END AS least, len(list_filter(cited, lambda c: contains(n, c))) / greatest(len(cited), 1) AS share FROM replies),
+i AS (SELECT conv_id, turn, list_filter([CASE WHEN len(list_filter(must, lambda w: contains(t, w))) = 0 THEN 'must_contain' END, CASE WHEN len(list_filter(forbidden, lambda w: contains(t, w))) > 0 THEN 'forbidden' END,
+CASE WHEN regexp_matches(t, '{NO_INFO}') AND least > 0 THEN 'no_info' END, CASE WHEN laws < least THEN 'too_few_laws' END, CASE WHEN length(text) > 1500 THEN 'latency' END, CASE WHEN share < CASE WHEN turn > 3 THEN 0.01 ELSE 0.05 END THEN 'retrieval' END], lambda x: x IS NOT NULL) AS l FROM v)
+SELECT conv_id, turn, len(l) = 0 AS passed, array_to_string(l, ',') AS issues FROM i""")
 def evl_7_regression_gate(spark, sf_dir):
-    t = F.lower("text")
-    some = lambda words: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
-    override = F.when(F.col("turn") > 3, F.lit(50))
-    issues = F.array_compact(F.array(
-        F.when(~some(["the", "que", "die"]), "must_contain"), F.when(some(["idiot", "pathetic"]), "forbidden"),
-        F.when(F.length(t) < F.coalesce(override, F.lit(100)), "too_short"),
-    ))
-    rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return rows.select("conv_id", "turn", F.array_join(issues, ",").alias("issues"))
+    """Expectations differ by turn; the length of a reply stands for its latency."""
+    rows = replies(spark, sf_dir)
+    late = F.col("turn") > 3
+    some = lambda *words: F.array(*map(F.lit, words))
+    must = F.when(late, some("la", "der", "the")).otherwise(some("que", "die", "of"))
+    forbidden = F.concat(some("idiot", "pathetic"), F.when(F.col("turn") == 1, some("zu zu")).otherwise(F.array().cast("array<string>")))
+    laws = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))))
+    share = F.size(F.filter("cited", lambda c: F.contains(F.col("n"), c))) / F.greatest(F.size("cited"), F.lit(1))
+    threshold = F.coalesce(F.when(late, 0.01), F.lit(0.05))
+    return regression_gate(
+        rows, ["conv_id", "turn"], F.lower("text"), must, forbidden, NO_INFO, laws, F.when(late, 3).otherwise(1), F.length("text"), F.lit(1500), {"retrieval": (share, threshold)}
+    )
 
 
 @query(f"""WITH {HITS}, {OTHER} SELECT query_id, 'chunk' AS kind, id, score, rank FROM hits UNION ALL SELECT query_id, 'law', id, NULL, rank FROM other WHERE rank <= 4 UNION ALL SELECT query_id, 'source', id, score, NULL FROM other WHERE rank <= 3""")

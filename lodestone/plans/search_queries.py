@@ -252,16 +252,38 @@ def fus_4_heuristic_rerank(spark, sf_dir):
     return fs.heuristic_rerank(rows, terms, F.col("text"), F.col("source") == "src0", ["the"], 5)
 
 
-@query(f"""WITH {HITS}, j AS (SELECT h.query_id, h.id, h.score, list_distinct({WORDS_SQL.format("substr(q.text, 1, 120)")}) AS question, list_distinct({WORDS_SQL.format("substr(d.text, 1, 60)")}) AS title, list_distinct({WORDS_SQL.format("substr(d.text, 1, 600)")}) AS body
-FROM hits h JOIN documents d ON h.id = d.doc_id JOIN documents q ON h.query_id = q.doc_id)
-""" + _top("""SELECT query_id, id, round(least(1, score + least(len(list_intersect(question, body)) * 0.04, 0.2) + least(len(list_intersect(question, title)) / greatest(len(title), 1) * 0.15, 0.15)), 6)::DOUBLE AS score FROM j""", 5))
+_FOLD = lambda words, where: f"len(list_filter({words}, lambda w: contains({where}, w)))"
+DOMAIN = ["tion", "heit", "able", "ment"]
+
+
+@query(f"""WITH {HITS}, w AS (SELECT doc_id, source, text, list_distinct({WORDS_SQL.format("substr(text, 1, 120)")}) AS terms, list_distinct({WORDS_SQL.format("substr(text, 121, 120)")}) AS more,
+lower(regexp_extract(text, '^([^\\n]*)', 1)) AS title, list_distinct({WORDS_SQL.format("substr(text, 601, 200)")}) AS kept FROM documents),
+j AS (SELECT h.query_id, h.id, h.score, q.terms, list_filter(q.more, lambda x: NOT list_contains(q.terms, x)) AS more, q.source = d.source AS law, d.title, d.title || ' ' || lower(substr(d.text, 1, 1600)) AS corpus, d.kept
+FROM hits h JOIN w d ON h.id = d.doc_id JOIN w q ON h.query_id = q.doc_id)
+""" + _top(f"""SELECT query_id, id, round(least(1, score + least({_FOLD("terms", "corpus")}, 4) * 0.08 + least(1, {_FOLD("terms", "title")} / greatest(len(terms), 1)) * 0.2 + CASE WHEN law THEN 0.15 ELSE 0 END
++ least(1, {_FOLD(DOMAIN, "corpus")} / {len(DOMAIN)}) * 0.12 + least({_FOLD("more", "corpus")}, 1) * 0.15 + least(len(list_intersect(kept, terms)), 1) * 0.06), 6)::DOUBLE AS score FROM j""", 5))
 def fus_5_hybrid_rerank(spark, sf_dir):
+    """Questions are documents: their first words are terms, the next ones expansions; a hit of the same source stands for a named law."""
     docs = table(spark, sf_dir, "documents")
-    cut = lambda n: F.array_distinct(rt.words(F.substring("text", 1, n)))
-    items = docs.select(F.col("doc_id").alias("id"), cut(60).alias("title"), cut(600).alias("body"))
-    asked = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), cut(120).alias("question"))
+    cut = lambda first, n: F.array_distinct(rt.words(F.substring("text", first, n)))
+    items = docs.select(F.col("doc_id").alias("id"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.col("text").alias("body"), cut(601, 200).alias("kept"), F.col("source").alias("law"))
+    asked = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), cut(1, 120).alias("terms"), cut(121, 120).alias("more"), F.col("source").alias("asked_law"))
     rows = hits(spark, sf_dir).join(items, "id").join(asked, "query_id")
-    return fs.hybrid_rerank(rows, F.col("question"), F.col("title"), F.col("body"), 5)
+    domain = F.array(*map(F.lit, DOMAIN))
+    return fs.hybrid_rerank(rows, F.col("terms"), F.col("title"), F.col("body"), 5, F.col("law") == F.col("asked_law"), domain, F.col("more"), F.col("kept"))
+
+
+@query(f"""WITH {HITS}, {OTHER}, good AS (SELECT q.vec_id AS query_id, i.vec_id AS id FROM embeddings q JOIN embeddings i USING (label) WHERE q.vec_id % 50 = 0),
+enough AS (SELECT query_id FROM hits JOIN good USING (query_id, id) WHERE rank <= 12 GROUP BY query_id HAVING count(*) >= 6),
+raised AS (SELECT query_id, id, round(least(1, greatest(score + 0.1, 0.3)), 6)::DOUBLE AS score FROM other JOIN good USING (query_id, id) WHERE query_id NOT IN (SELECT query_id FROM enough))
+SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM hits UNION ALL SELECT * FROM raised) GROUP BY query_id, id""")
+def rtv_14_scenario_fallback(spark, sf_dir):
+    """A hit suits the scenario if it has the question's label; the second list is what the set query finds."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    first, extra = stored(hits(spark, sf_dir)), stored(hits(spark, sf_dir, dims=32))
+    pairs = first.select("query_id", "id").union(extra.select("query_id", "id")).distinct()
+    relevant = labelled(spark, sf_dir, pairs).join(labels, "query_id").filter("label = wanted")
+    return fs.scenario_fallback(first, extra, relevant, fewest=6, floor=0.3)
 
 
 @query(f"""WITH {HITS} """ + _top("""SELECT query_id, id, round(least(score + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END + least(label * 0.05, 0.15), 1), 6)::DOUBLE AS score FROM hits JOIN embeddings ON id = vec_id
