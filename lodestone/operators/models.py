@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -9,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.retrieve import Best, question_blocks
 from lodestone.operators.rows import top_k
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -41,37 +43,82 @@ def embed(rows: DataFrame, key: str, text: str, model: Embedder = feature_hashin
     return rows.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, vector array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
+    """Unit vectors of a batch as rows."""
+    rows = np.array(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def unit(vector: Column) -> Column:
-    v = vector.cast("array<double>")
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / norm)
+def cells_of(items: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 7, most: int = 4096) -> np.ndarray:
+    """Centres of clusters of unit vectors: as many as the square root of the items (16 to ``most``, which bounds what is broadcast), fitted on at most ``sample`` rows chosen by a hash of their id."""
+    n = cells or min(most, max(16, math.isqrt(items.count())))
+    norm = F.greatest(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(1e-12))
+    part = items.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm)).alias("features"))
+    return np.array([c for c in KMeans(k=n, seed=seed, maxIter=10).fit(part).clusterCenters()])
 
 
-def cells_of(items: DataFrame, cells: int = 16, sample: int = 20_000, seed: int = 7) -> list[list[float]]:
-    """Centres of ``cells`` clusters of unit vectors, fitted on at most ``sample`` rows chosen by a hash of their id."""
-    part = items.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector(unit(F.col("vector"))).alias("features"))
-    return [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=10).fit(part).clusterCenters()]
+def probes_for(items: DataFrame, centres: np.ndarray, k: int, recall: float = 0.97, sample: int = 4000, asked: int = 64) -> int:
+    """Cells to probe so that, within a sample of items, ``recall`` of the k nearest of some of them lie in the probed cells; at most ``sample`` rows reach the driver."""
+    part = items.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow().column("vector").combine_chunks()
+    if not len(part):
+        return 1
+    rows, half = _matrix(part, len(part)), (centres**2).sum(1) / 2
+    near = np.argsort(-(rows[:asked] @ rows.T), axis=1)[:, :k]
+    cell = np.argmax(rows @ centres.T - half, axis=1)
+    place = np.argsort(np.argsort(half - rows[:asked] @ centres.T, axis=1), axis=1)  # of each cell in the order of a question
+    needed = np.take_along_axis(place, cell[near], 1) + 1
+    return int(np.quantile(needed, recall, method="higher"))
 
 
-def nearest_cells(vector: Column, centres: list[list[float]], n: int) -> Column:
-    """Numbers of the n nearest centres (their list is bounded by the number of cells)."""
-    far = lambda c: F.lit(sum(x * x for x in c)) - 2 * dot(vector, F.array(*(F.lit(x) for x in c)))
-    by = F.array_sort(F.array(*(F.struct(far(c).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres))))
-    return F.transform(F.slice(by, 1, n), lambda x: x["cell"])
+def placed_in_cells(items: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The index: ``id, vector, cell`` of every item, in tasks' own order by cell, so that batches hold few cells."""
+    shared = items.sparkSession.sparkContext.broadcast(centres)
 
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (shared.value**2).sum(1) / 2
+        for batch in batches:
+            rows = _matrix(batch.column(1), batch.num_rows) if batch.num_rows else np.zeros((0, shared.value.shape[1]))
+            cell = np.argmax(rows @ shared.value.T - half, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(rows), pa.list_(pa.float64())), pa.array(cell, pa.int32())], names=["id", "vector", "cell"])
+
+    return items.select(F.col("id").cast("long"), "vector").mapInArrow(place, "id long, vector array<double>, cell int").sortWithinPartitions("cell")
+
+
+def indexed_top_k(questions: DataFrame, items: DataFrame, k: int, cells: int | None = None, probes: int | None = None, sample: int = 20_000) -> DataFrame:
+    """``query_id, id, score, rank``: exact cosine among the items of the ``probes`` cells nearest to a question (by default as many as a sample needs); every item is in the index.
 
-def indexed_top_k(questions: DataFrame, items: DataFrame, k: int, cells: int = 16, probes: int = 8, sample: int = 20_000) -> DataFrame:
-    """``query_id, id, score, rank``: exact cosine among the items of the ``probes`` cells nearest to a question; every item is in the index."""
+    Questions go in blocks to the index; each task passes on its best k, so no
+    cell is a join key and none is hot.
+    """
     centres = cells_of(items, cells, sample)
-    placed = items.select("id", unit(F.col("vector")).alias("v")).withColumn("cell", F.element_at(nearest_cells(F.col("v"), centres, 1), 1))
-    asked = questions.select("query_id", unit(F.col("vector")).alias("q")).withColumn("cell", F.explode(nearest_cells(F.col("q"), centres, probes)))
-    score = F.round(F.least(F.greatest(dot(F.col("q"), F.col("v")), F.lit(0.0)), F.lit(1.0)), 6)
-    met = asked.join(placed, "cell").select("query_id", "id", score.alias("score"))
-    return top_k(met, ["query_id"], [F.desc("score"), F.col("id")], k)
+    near = min(len(centres), probes or probes_for(items, centres, k))
+    index, half = placed_in_cells(items, centres), (centres**2).sum(1) / 2
+    out = None
+    for rows in question_blocks(questions, ["query_id", "vector"]):
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        asked = np.array([r["vector"] for r in rows], np.float64)
+        asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-12)
+        probed = np.zeros((len(ids), len(centres)), bool)
+        np.put_along_axis(probed, np.argsort(half - asked @ centres.T, axis=1)[:, :near], True, 1)
+        shared = items.sparkSession.sparkContext.broadcast((ids, asked, probed))
+
+        def best(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, asked, probed = shared.value
+            found = Best(ids, k)
+            for batch in batches:
+                cell = batch.column("cell").to_numpy()
+                for c in np.unique(cell).tolist():
+                    own, who = np.flatnonzero(cell == c), np.flatnonzero(probed[:, c])
+                    if len(who):
+                        scores = np.round(np.clip(asked[who] @ _matrix(batch.column("vector").take(pa.array(own)), len(own)).T, 0, 1), 6)
+                        found.add(np.repeat(who, len(own)), np.tile(batch.column("id").to_numpy()[own], len(who)), scores.ravel())
+            yield found.batch()
+
+        part = index.mapInArrow(best, "query_id long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return questions.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def cross_encoder_blend(hits: DataFrame, question: str, text: str, scorer: Callable[[list[str], list[str]], np.ndarray], n: int = 10) -> DataFrame:

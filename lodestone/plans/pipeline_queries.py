@@ -13,6 +13,7 @@ from lodestone.plans.registry import query, scratch, table
 from lodestone.plans.report_queries import CHUNKS_SQL, chunks
 from lodestone.plans.search_queries import HITS, OTHER, hits, labelled
 from lodestone.sources.jsonl import validated
+from lodestone.sources.pages import page_files
 
 
 def _docs(spark, sf_dir):
@@ -33,10 +34,14 @@ def src_1_jsonl(spark, sf_dir):
     return rows.select("doc_id", "kind", "error", F.when(F.col("error").isNull(), F.length("record.text")).alias("chars"))
 
 
-@query("SELECT page_id, length(html) AS chars, regexp_extract(url, '/([0-9]+)', 1) AS external_id FROM pages WHERE length(html) >= 800")
+@query(r"""SELECT external_id, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars, min(length(html)) AS shortest FROM (SELECT html, 'p' || (page_id % 997) AS external_id FROM pages) WHERE length(html) >= 800 GROUP BY external_id""")
 def src_2_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").filter(F.length("html") >= 800)
-    return pages.select("page_id", F.length("html").alias("chars"), F.regexp_extract("url", "/([0-9]+)", 1).alias("external_id"))
+    """Pages land as files in folders, and are read back as a directory of files; the id is in the file's path."""
+    path = scratch(spark)
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id") % 997).alias("external_id"), F.to_json(F.struct("html")).alias("value"))
+    pages.repartition("external_id").write.partitionBy("external_id").text(path)
+    read = page_files(spark, path, r"external_id=([^/]+)/", whole=False).withColumn("html", F.from_json("value", "html string")["html"])
+    return read.filter(F.length("html") >= 800).groupBy("external_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("html")).alias("chars"), F.min(F.length("html")).alias("shortest"))
 
 
 @query("""SELECT trim(url) AS url FROM pages WHERE trim(url) <> '' UNION SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1)) FROM pages""")
@@ -57,13 +62,20 @@ def src_4_chunk_export(spark, sf_dir):
     return pieces.select("doc_id", "chunk_index", "lang", F.substring("text", 1, 200).alias("snippet"), keywords.alias("keywords"))
 
 
-@query(f"""WITH {CHUNKS_SQL} SELECT d.doc_id, d.source, '"' || replace(substr(d.text, 1, 40), '"', '""') || '"' AS csv_title, count(c.doc_id) AS chunks
-FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id, d.source, d.text""")
+@query(f"""WITH {CHUNKS_SQL} SELECT form, d.doc_id, d.source, substr(d.text, 1, 40) AS title, n AS chunks
+FROM (SELECT d.doc_id, d.source, d.text, count(c.doc_id) AS n FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id, d.source, d.text) d, (VALUES ('csv'), ('json')) AS f(form)""")
 def src_5_document_export(spark, sf_dir):
+    """Documents with their chunk counts, written as CSV and as JSON, newest (largest id) first, and read back."""
     counts = chunks(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    title = F.concat(F.lit('"'), F.replace(F.substring("text", 1, 40), F.lit('"'), F.lit('""')), F.lit('"'))
-    docs = _docs(spark, sf_dir).select("doc_id", "source", title.alias("csv_title"))
-    return docs.join(counts, "doc_id", "left").select("doc_id", "source", "csv_title", F.coalesce("n", F.lit(0)).alias("chunks"))
+    docs = _docs(spark, sf_dir).select("doc_id", "source", F.substring("text", 1, 40).alias("title"))
+    rows = docs.join(counts, "doc_id", "left").select("doc_id", "source", "title", F.coalesce("n", F.lit(0)).alias("chunks"))
+    path, schema = scratch(spark), "doc_id long, source string, title string, chunks long"
+    csv = {"header": True, "multiLine": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ordered = rows.orderBy(F.desc("doc_id"))
+    ordered.write.options(**csv).csv(f"{path}/csv")
+    ordered.write.json(f"{path}/json")
+    read = spark.read.schema(schema).options(**csv).csv(f"{path}/csv").withColumn("form", F.lit("csv")).unionByName(spark.read.schema(schema).json(f"{path}/json").withColumn("form", F.lit("json")))
+    return read.select("form", "doc_id", "source", "title", "chunks")
 
 
 @query(f"""WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, CASE WHEN doc_id % 9 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS hash FROM chunks
@@ -104,10 +116,21 @@ def ing_1_stage_validation(spark, sf_dir):
     return pages.select("page_id", "html", failing_stage(F.col("html")).alias("f")).select("page_id", F.col("f.stage").alias("stage"), F.col("f.retriable").alias("retriable"))
 
 
-@query("""SELECT page_id, stage, 1 AS attempt FROM (SELECT page_id, CASE WHEN length(html) < 900 THEN 'fetch' WHEN NOT contains(html, '<article>') THEN 'parse' WHEN regexp_extract(html, '<title>([^<]*)', 1) = '' THEN 'title' WHEN length(html) > 20000 THEN 'chunk' END AS stage FROM pages) WHERE stage IS NOT NULL""")
+STAGE_SQL = """CASE WHEN length(html) < {0} THEN 'fetch' WHEN NOT contains(html, '<article>') THEN 'parse' WHEN regexp_extract(html, '<title>([^<]*)', 1) = '' THEN 'title' WHEN length(html) > 20000 THEN 'chunk' END"""
+
+
+@query(f"""WITH a AS (SELECT page_id, 1 AS attempt, {STAGE_SQL.format(900)} AS stage FROM pages UNION ALL SELECT page_id, 2, {STAGE_SQL.format(700)} FROM pages WHERE length(html) < 900)
+SELECT page_id, stage, attempt FROM a WHERE stage IS NOT NULL AND (attempt = 2 OR stage <> 'fetch')""")
 def ing_2_dead_letters(spark, sf_dir):
-    checked = table(spark, sf_dir, "pages").select("page_id", failing_stage(F.col("html")).alias("f"))
-    return checked.filter("f.stage is not null").select("page_id", F.col("f.stage").alias("stage"), F.lit(1).alias("attempt"))
+    """Pages that fail for good go to a dead-letter table by stage; what may be tried again is, with a smaller floor, once."""
+    path = scratch(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    for attempt, least in ((1, 900), (2, 700)):
+        checked = pages.withColumn("f", failing_stage(F.col("html"), least))
+        final = checked.filter(F.col("f.stage").isNotNull() & (~F.col("f.retriable") | F.lit(attempt == 2)))
+        final.select("page_id", F.col("f.stage").alias("stage"), F.lit(attempt).alias("attempt")).write.mode("append").partitionBy("stage").parquet(path)
+        pages = checked.filter("f.retriable").select("page_id", "html")
+    return spark.read.schema("page_id long, attempt int, stage string").parquet(path).select("page_id", "stage", "attempt")
 
 
 @query("""SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS failed_before FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")

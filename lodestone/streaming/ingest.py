@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,15 +16,19 @@ def clean_batch(docs: DataFrame, least: int = 20) -> DataFrame:
     return rows.groupBy("content_hash").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "content_hash", "d.text")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is written at ``path``; any other fault of a store is an error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def write_batch(batch: DataFrame, number: int, target: str) -> None:
     """Chunks of a batch's new documents into ``target/batch=<number>``; a batch that runs again replaces its own folder."""
     fresh = clean_batch(batch)
     spark = batch.sparkSession
-    try:
+    if exists(spark, target):
         known = spark.read.parquet(target).filter(F.col("batch") != number).select("content_hash")
         fresh = fresh.join(known, "content_hash", "left_anti")
-    except AnalysisException:
-        pass  # nothing is written yet
     windows(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
 
