@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.parse import all_matches
 from lodestone.operators import questions as qs
 from lodestone.operators.fuse import occurrences
+from lodestone.operators.retrieve import words
 from lodestone.operators.rows import first_per_key, top_k
 from lodestone.plans.registry import query, table
 from lodestone.plans.search_queries import HITS, WORDS_SQL, hits, with_text
@@ -61,29 +62,39 @@ def _loose_sql(keyword):
     return " AND ".join(f"len(list_filter({W}, lambda w: abs(length(w) - {len(p)}) <= 3 AND (starts_with(w, '{p}') OR starts_with('{p}', w)))) > 0" for p in keyword.split())
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN length(text) < 40 THEN 'short' {' '.join(f"WHEN {_loose_sql(k)} THEN '{i}'" for i, k in INTENTS)} ELSE 'unknown' END AS intent FROM conversations WHERE role = 'user'""")
+#: Patterns that come before any keyword.
+OVERRIDES = [("listing", r"(?s)\n.*\n.*\n"), ("short", r"(?s)^.{0,39}$"), ("asked", r"^(?:Qu|Wer|Wh)[a-z]* ")]
+
+
+def _label_sql(rules, default):
+    return f"CASE {' '.join(f"WHEN regexp_matches(text, '{p}') THEN '{label}'" for label, p in rules)} ELSE {default} END"
+
+
+@query(f"""SELECT conv_id, turn, {_label_sql(OVERRIDES, "CASE " + " ".join(f"WHEN {_loose_sql(k)} THEN '{i}'" for i, k in INTENTS) + " ELSE 'unknown' END")} AS intent FROM conversations WHERE role = 'user'""")
 def que_4_intent(spark, sf_dir):
-    text = F.col("text")
-    intent = F.when(F.length(text) < 40, "short")
-    for name, keyword in INTENTS:
-        intent = intent.when(qs.loose_match(text, keyword), name)
-    return _users(spark, sf_dir).select("conv_id", "turn", intent.otherwise("unknown").alias("intent"))
+    return _users(spark, sf_dir).select("conv_id", "turn", qs.intent(F.col("text"), OVERRIDES, INTENTS).alias("intent"))
+
 
+GREETINGS = ["the", "der", "la"]
 
-@query(f"""SELECT conv_id, turn, CASE WHEN s >= 2 THEN 'in_scope' WHEN length(text) < 30 THEN 'greeting' ELSE 'out_of_scope' END AS scope, s
-FROM (SELECT conv_id, turn, text, 2 * ({_score_sql(DOMAINS["north"])}) + ({_score_sql(DOMAINS["west"])}) AS s FROM conversations WHERE role = 'user')""")
+
+@query(f"""SELECT conv_id, turn, CASE WHEN s >= 2 THEN 'in_scope' WHEN length(text) < 30 OR (g > 0 AND s = 0) THEN 'greeting' ELSE 'out_of_scope' END AS scope, s
+FROM (SELECT conv_id, turn, text, 2 * ({_score_sql(DOMAINS["north"])}) + ({_score_sql(DOMAINS["west"])}) AS s, {_score_sql(GREETINGS)} AS g FROM conversations WHERE role = 'user')""")
 def que_5_scope(spark, sf_dir):
-    s = 2 * qs.lexicon_hits(F.col("text"), DOMAINS["north"]) + qs.lexicon_hits(F.col("text"), DOMAINS["west"])
-    rows = _users(spark, sf_dir).withColumn("s", s)
-    scope = F.when(F.col("s") >= 2, "in_scope").when(F.length("text") < 30, "greeting").otherwise("out_of_scope")
-    return rows.select("conv_id", "turn", scope.alias("scope"), "s")
+    label, score = qs.scope(F.col("text"), [(2, DOMAINS["north"]), (1, DOMAINS["west"])], GREETINGS)
+    return _users(spark, sf_dir).select("conv_id", "turn", label.alias("scope"), score.alias("s"))
+
+
+MODES = [("article", "(?i)^(?:the|le|das) "), ("document", r"\n")]
+SCENARIOS = [("contract", "(?i)heit.*ung"), ("family", "(?i)eau.*tion"), ("court", "(?i)ment[.]")]
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^(the|le|das) ') THEN 'article' WHEN contains(text, chr(10)) THEN 'document' ELSE 'qa' END AS mode,
-regexp_matches(text, '^[^ ]+ [^ ]+ [^ ]+\\.') AS broad FROM conversations WHERE role = 'user'""")
+@query(rf"""SELECT conv_id, turn, {_label_sql(MODES, "'qa'")} AS mode, {_label_sql(SCENARIOS, "NULL")} AS scenario, regexp_matches(text, '^[^ ]+ [^ ]+ [^ ]+\.') AS broad FROM conversations WHERE role = 'user'""")
 def que_6_mode(spark, sf_dir):
-    mode = F.when(F.col("text").rlike("(?i)^(the|le|das) "), "article").when(F.contains("text", F.lit("\n")), "document").otherwise("qa")
-    return _users(spark, sf_dir).select("conv_id", "turn", mode.alias("mode"), F.col("text").rlike(r"^[^ ]+ [^ ]+ [^ ]+\.").alias("broad"))
+    text = F.col("text")
+    return _users(spark, sf_dir).select(
+        "conv_id", "turn", qs.ordered_label(text, MODES, "qa").alias("mode"), qs.ordered_label(text, SCENARIOS).alias("scenario"), text.rlike(r"^[^ ]+ [^ ]+ [^ ]+\.").alias("broad")
+    )
 
 
 RULES = [("heit", ["norm", "regel"]), ("tion", ["rule"]), ("eau", ["norme", "norm"])]
@@ -95,50 +106,78 @@ def que_7_expansion(spark, sf_dir):
     return _users(spark, sf_dir).select("conv_id", "turn", F.array_join(qs.expansions(F.col("text"), RULES, 4), "|").alias("queries"))
 
 
-@query("""SELECT item_id, mode, CASE mode WHEN 'long' THEN 40 WHEN 'normal' THEN 30 ELSE 20 END AS vector_k, CASE mode WHEN 'long' THEN 12 ELSE 24 END AS keyword_k
-FROM (SELECT item_id, CASE WHEN length(text) > 250 THEN 'long' WHEN length(text) > 120 THEN 'normal' ELSE 'short' END AS mode FROM benchmark)""")
+SIZES = [("long", 250, 40, 12), ("normal", 120, 30, 24), ("short", 0, 20, 24)]
+
+
+@query(f"""SELECT item_id, mode, {", ".join(f"CASE WHEN scenario IS NOT NULL THEN least({k}, 16) ELSE {k} END AS {k}" for k in ("vector_k", "keyword_k"))} FROM (SELECT item_id, mode, scenario,
+{", ".join(f"CASE WHEN fast THEN CAST(floor({k} * 0.5) AS INT) ELSE {k} END AS {k}" for k in ("vector_k", "keyword_k"))} FROM (SELECT item_id, contains(text, chr(10)) AS fast, {_label_sql(SCENARIOS, "NULL")} AS scenario,
+CASE WHEN length(text) > 250 THEN 'long' WHEN length(text) > 120 THEN 'normal' ELSE 'short' END AS mode FROM benchmark) JOIN (VALUES ('long', 40, 12), ('normal', 30, 24), ('short', 20, 24)) AS z(mode, vector_k, keyword_k) USING (mode))""")
 def que_8_settings(spark, sf_dir):
-    mode = F.when(F.length("text") > 250, "long").when(F.length("text") > 120, "normal").otherwise("short")
-    rows = table(spark, sf_dir, "benchmark").select("item_id", mode.alias("mode"))
-    k = F.when(F.col("mode") == "long", 40).when(F.col("mode") == "normal", 30).otherwise(20)
-    return rows.select("item_id", "mode", k.alias("vector_k"), F.when(F.col("mode") == "long", 12).otherwise(24).alias("keyword_k"))
+    """A passage of several lines is asked in fast mode."""
+    text = F.col("text")
+    speed = F.when(F.contains(text, F.lit("\n")), "fast").otherwise("full")
+    chosen = qs.settings(text, speed, qs.ordered_label(text, SCENARIOS), SIZES)
+    return table(spark, sf_dir, "benchmark").select("item_id", chosen.alias("s")).select("item_id", "s.*")
+
+
+FOLLOW, CLARIFY = r"^(?:Et|Le|The|Die|De) ", r"^[^ ]{1,3} "
+OPPOSED = [("north", "south"), ("west", "island"), ("north", "west")]
+_LONG = f"list_distinct(list_filter({W}, lambda w: length(w) >= 4))"
+
 
+def _topic(text):
+    return qs.best_domain(_scores(text))
 
-@query(f"""WITH w AS (SELECT conv_id, turn, role, text, list_distinct(list_filter({W}, lambda w: length(w) >= 4)) AS w FROM conversations),
-h AS (SELECT *, coalesce(flatten(list(w) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)), []) AS h FROM w)
-SELECT conv_id, turn, len(list_intersect(w, list_distinct(h))) AS shared, len(list_intersect(w, list_distinct(h))) >= 2 AS follow_up FROM h WHERE role = 'user'""")
+
+@query(f"""WITH h AS (SELECT *, count(*) OVER w AS n, array_to_string(list_filter(list(CASE WHEN role = 'user' THEN text END) OVER w, lambda x: x IS NOT NULL), ' ') AS h FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+own AS (SELECT conv_id, turn, n, regexp_matches(text, '{FOLLOW}') AS follow_up, {_LONG} AS words, {_DOMAIN.format(1)} AS topic FROM (SELECT *, {_SCORES} FROM h) WHERE role = 'user'),
+past AS (SELECT conv_id, turn, {_LONG} AS words, {_DOMAIN.format(1)} AS topic FROM (SELECT *, {_SCORES} FROM (SELECT conv_id, turn, role, coalesce(h, '') AS text FROM h)) WHERE role = 'user'),
+j AS (SELECT o.conv_id, o.turn, o.n, follow_up, len(list_intersect(o.words, p.words)) AS shared, o.topic <> 'unknown' AND p.topic <> 'unknown' AND o.topic <> p.topic AS other FROM own o JOIN past p USING (conv_id, turn))
+SELECT conv_id, turn, shared, follow_up, CASE WHEN follow_up THEN least(n, 6) WHEN other THEN 0 WHEN shared >= 2 THEN least(n, 6) ELSE 0 END AS kept FROM j""")
 def que_9_follow_up(spark, sf_dir):
-    rows = qs.overlap_with_history(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "text")
-    return rows.filter("role = 'user'").select("conv_id", "turn", F.col("shared").cast("long").alias("shared"), (F.col("shared") >= 2).alias("follow_up"))
+    return qs.history_choice(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), _topic, FOLLOW)
+
+
+def _opposed_sql(a, b):
+    return "coalesce(" + " OR ".join(f"({a} = '{x}' AND {b} = '{y}') OR ({a} = '{y}' AND {b} = '{x}')" for x, y in OPPOSED) + ", false)"
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, length(text) < 60 AS short, {_DOMAIN.format(1)} AS topic FROM (SELECT conv_id, turn, text, {_SCORES} FROM conversations WHERE role = 'user'))
-SELECT conv_id, turn, short, topic, coalesce(topic <> lag(topic) OVER (PARTITION BY conv_id ORDER BY turn) AND topic <> 'unknown', false) AS drift FROM t""")
+@query(f"""WITH t AS (SELECT conv_id, turn, length(text) < 8 AND NOT regexp_matches(text, '[0-9]') AS ambiguous, {_label_sql(SCENARIOS, "'general'")} AS sub_intent, {_DOMAIN.format(1)} AS topic FROM (SELECT conv_id, turn, text, {_SCORES} FROM conversations WHERE role = 'user')),
+l AS (SELECT *, lag(topic) OVER (PARTITION BY conv_id ORDER BY turn) AS past FROM t) SELECT conv_id, turn, ambiguous, sub_intent, topic, {_opposed_sql("topic", "past")} AS drift FROM l""")
 def que_10_drift(spark, sf_dir):
+    w, text = Window.partitionBy("conv_id").orderBy("turn"), F.col("text")
+    ambiguous = (F.length(text) < 8) & ~text.rlike("[0-9]")
+    rows = _users(spark, sf_dir).select("conv_id", "turn", ambiguous.alias("ambiguous"), qs.ordered_label(text, SCENARIOS, "general").alias("sub_intent"), _topic(text).alias("topic"))
+    return rows.withColumn("drift", qs.opposed(F.col("topic"), F.lag("topic").over(w), OPPOSED))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, text, {_LONG} AS words, len({W}) AS n_words, {_DOMAIN.format(1)} AS topic FROM (SELECT conv_id, turn, role, text, {_SCORES} FROM conversations)),
+s AS (SELECT *, lag(topic) OVER w AS past, lag(words) OVER w AS had_words, regexp_matches(text, '{FOLLOW}') AS follow, regexp_matches(text, '{CLARIFY}') AS clarify FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT *, coalesce(len(list_filter(had_words, lambda x: length(x) >= 9)), 0) AS n, len(list_intersect(words, coalesce(had_words, []))) AS shared FROM s WHERE role = 'user'),
+k AS (SELECT conv_id, turn, n, CASE WHEN n = 0 THEN 0 WHEN {_opposed_sql("topic", "past")} AND n_words >= 3 AND NOT follow THEN 0 WHEN clarify OR follow THEN least(n, greatest(2, (n + 1) // 2))
+WHEN coalesce(topic <> 'unknown' AND past <> 'unknown' AND topic <> past AND n_words >= 4, false) THEN 0 WHEN topic = past AND shared > 0 THEN n ELSE 0 END AS kept FROM c)
+SELECT conv_id, turn, CASE WHEN kept > 0 THEN 'reuse' ELSE 'refresh' END AS carry, CAST(kept AS BIGINT) AS kept FROM k""")
+def que_11_carry_forward(spark, sf_dir):
+    """The long words of the turn before stand for its hits."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = _users(spark, sf_dir).select("conv_id", "turn", (F.length("text") < 60).alias("short"), qs.best_domain(_scores(F.col("text"))).alias("topic"))
-    drift = F.coalesce((F.col("topic") != F.lag("topic").over(w)) & (F.col("topic") != "unknown"), F.lit(False))
-    return rows.withColumn("drift", drift)
+    own = words(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", _topic(F.col("text")).alias("topic"), F.size(own).alias("n_words"), F.array_distinct(F.filter(own, lambda x: F.length(x) >= 4)).alias("words"))
+    rows = rows.withColumns({"past": F.lag("topic").over(w), "had_words": F.lag("words").over(w)}).filter("role = 'user'")
+    had = F.size(F.filter("had_words", lambda x: F.length(x) >= 9))
+    shared = F.coalesce(F.size(F.array_intersect("words", "had_words")), F.lit(0))
+    carried = qs.carry_forward(F.greatest(had, F.lit(0)), F.col("topic"), F.col("past"), F.col("text").rlike(FOLLOW), F.col("text").rlike(CLARIFY), F.col("n_words"), shared, OPPOSED)
+    return rows.select("conv_id", "turn", carried.alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, role, length(text) AS n, {_DOMAIN.format(1)} AS topic FROM (SELECT conv_id, turn, role, text, {_SCORES} FROM conversations)),
-s AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN topic END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS snapshot FROM t)
-SELECT conv_id, turn, CASE WHEN snapshot IS NULL THEN 'refresh' WHEN n < 80 THEN 'reuse' WHEN snapshot <> topic THEN 'refresh' ELSE 'reuse' END AS carry FROM s WHERE role = 'user'""")
-def que_11_carry_forward(spark, sf_dir):
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"), qs.best_domain(_scores(F.col("text"))).alias("topic"))
-    rows = rows.withColumn("snapshot", F.last(F.when(F.col("role") == "assistant", F.col("topic")), ignorenulls=True).over(before))
-    carry = F.when(F.col("snapshot").isNull(), "refresh").when(F.col("n") < 80, "reuse").when(F.col("snapshot") != F.col("topic"), "refresh").otherwise("reuse")
-    return rows.filter("role = 'user'").select("conv_id", "turn", carry.alias("carry"))
+TITLES = ["chkeit", "eaux", "mente"]
 
 
-@query(r"""WITH i AS (SELECT conv_id, turn, role, regexp_extract_all(text, '([A-Z][a-z]{5,})', 1) AS ids FROM conversations)
-SELECT conv_id, turn, len(list_distinct(coalesce(flatten(list(ids) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []))) AS known FROM i QUALIFY role = 'user'""".replace("QUALIFY role = 'user'", ""))
+@query(rf"""WITH i AS (SELECT conv_id, turn, list_concat(regexp_extract_all(text, '([A-Z][a-z]{{5,}})', 1), list_filter({TITLES}, lambda t: contains(lower(text), t))) AS ids FROM conversations)
+SELECT conv_id, turn, len(list_distinct(coalesce(flatten(list(ids) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []))) AS known FROM i""")
 def que_12_ids_from_history(spark, sf_dir):
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", all_matches(F.col("text"), "([A-Z][a-z]{5,})").alias("ids"))
-    known = F.size(F.array_distinct(F.flatten(F.collect_list("ids").over(before))))
-    return rows.select("conv_id", "turn", known.cast("long").alias("known"))
+    """Ids by pattern, and the titles of a list that a turn names."""
+    named = F.filter(F.array(*map(F.lit, TITLES)), lambda t: F.contains(F.lower("text"), t))
+    return qs.known_before(table(spark, sf_dir, "conversations"), F.concat(all_matches(F.col("text"), "([A-Z][a-z]{5,})"), named))
 
 
 @query(f"""WITH {HITS}, d AS (SELECT query_id, id, rank, string_split(text, 'The ') AS p FROM hits JOIN documents ON id = doc_id WHERE rank <= 5),
