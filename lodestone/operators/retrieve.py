@@ -66,6 +66,12 @@ def vector_top_k(questions: DataFrame, items: DataFrame, k: int, dims: int | Non
     return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where they come in fewer partitions than there are (small files of one row group); tables of many partitions stay as they are."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -179,7 +185,7 @@ def full_text(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
     asked = _terms(questions, most_terms)
     both = words(F.col(text))
     title = words(F.regexp_extract(text, r"^([^\n]*)", 1))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), both.alias("terms"), title.alias("title"))
+    rows = spread(docs.select(doc_id, text)).select(F.col(doc_id).cast("long").alias("id"), both.alias("terms"), title.alias("title"))
     total = docs.count()
 
     def rarity(index: TermIndex) -> np.ndarray:
@@ -211,9 +217,11 @@ def full_text(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
         in_title[np.searchsorted(row * width + term, head_row * width + head_term)] = head_times
         weight = in_title * title_weight + (times - in_title) * body_weight
         part = idf[term] * 2.2 * weight / (weight + 1.2)
-        sums = index.summed(n, row, term, part)
         met = index.summed(n, row, term, np.ones(len(row)))
-        return np.where((met == index.sizes) & (index.sizes > 0), np.round(np.minimum(sums / 10, 1), 6), np.nan)
+        hit = (met == index.sizes) & (index.sizes > 0)
+        some = hit.any(1)[row]  # few texts hold all terms of a question
+        sums = index.summed(n, row[some], term[some], part[some])
+        return np.where(hit, np.round(np.minimum(sums / 10, 1), 6), np.nan)
 
     return score_blocks(asked, rows, k, scored, rarity)
 
@@ -231,7 +239,7 @@ def trigram_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str
     A row is a hit above ``threshold``, or if it contains the question, in any case.
     """
     asked = questions.select("query_id", trigrams(F.col("text")).alias("terms"), F.lower("text").alias("low"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), trigrams(F.col(text)).alias("terms"), F.lower(text).alias("low"))
+    rows = spread(docs.select(doc_id, text)).select(F.col(doc_id).cast("long").alias("id"), trigrams(F.col(text)).alias("terms"), F.lower(text).alias("low"))
     #: Trigrams of a question that a text which contains it may lack: its outer words may go on there.
     outer = 6
 
@@ -262,6 +270,7 @@ def phrase_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str,
     asked = questions.select("query_id", F.array_join(F.slice(own, 1, 2), " ").alias("start"), spaced(F.col("text")).alias("phrase")).filter("start <> ''")
     held = words(F.col(text))
     pairs = F.zip_with(held, F.slice(held, 2, F.greatest(F.size(held), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    docs = spread(docs.select(doc_id, text))
     starts = docs.select(F.col(doc_id).alias("id"), F.explode(F.array_distinct(F.concat(held, F.array_compact(pairs)))).alias("start"))
     met = starts.join(asked, "start").select("query_id", "id", "phrase")
     found = met.join(docs.select(F.col(doc_id).alias("id"), spaced(F.col(text)).alias("whole")), "id")
@@ -272,7 +281,7 @@ def phrase_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str,
 
 def term_frequency_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """``query_id, id, score, rank``: sum of count times length over the distinct terms longer than two characters, over 100, at most 1."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), words(F.col(text)).alias("terms"))
+    rows = spread(docs.select(doc_id, text)).select(F.col(doc_id).cast("long").alias("id"), words(F.col(text)).alias("terms"))
 
     def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> np.ndarray:
         row, term, times = index.occurrences(batch.column("terms"))
