@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, dac, decontaminate, linededup, nbsvm, pack, repetition, shard, simhash, warc
+from lodestone.llm import centroids, chat, dac, decontaminate, divergence, linededup, nbsvm, pack, repetition, shard, simhash, topk, warc
 from lodestone.llm.store import new_path, stored
 
 SHARDS = 40
@@ -88,6 +88,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure_texts(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(items.filter("vec_id % 50 = 0"), items, k=5, scale=256)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centres = centroids.cluster(_table(spark, sf_dir, "embeddings"), clusters=16, rounds=3, dims=64, scale=64, seed="1")
+    return centroids.with_inertia(found, centres)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), fewest=30, smoothing=5, most_terms=50)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -99,6 +113,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 OP5_SQL = """
@@ -164,4 +181,50 @@ SELECT page_id, octet_length(payload) AS payload_bytes, digest AS payload_digest
 FROM p JOIN k USING (hex) JOIN d USING (hex)
 """
 
-ORACLE_SQL = {"op8_warc": OP8_SQL, "op9_line_dedup": OP9_SQL, "op5_chat_formatting": OP5_SQL, "op10_quality_rules": OP10_SQL}
+_PLAIN = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE {_PLAIN}),
+s AS (SELECT q.r, q.vec_id AS query_id, i.vec_id, CAST(list_inner_product(q.x, i.x) AS BIGINT) AS score
+  FROM v q JOIN v i ON q.vec_id % 50 = 0 AND q.r <> i.r AND len(q.x) = len(i.x))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def _op12_sql(rounds: int = 3) -> str:
+    """A round is one assignment and one table of floored means."""
+    nearest = """a{0} AS MATERIALIZED (SELECT vec_id, r, k, d FROM (SELECT v.vec_id, v.r, c.k, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+  FROM v, c{0} c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)"""
+    means = """c{1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{0} c LEFT JOIN (SELECT k, list(m ORDER BY j) AS x FROM
+  (SELECT a.k, j, CAST(floor(sum(CAST(v.x[j] AS HUGEINT)) / count(*)) AS BIGINT) AS m FROM a{0} a JOIN v USING (r), range(1, 65) AS t(j) GROUP BY a.k, j) GROUP BY k) m USING (k))"""
+    steps = [s for i in range(rounds) for s in (nearest.format(i), means.format(i, i + 1))]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {_PLAIN} AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 16)),
+{", ".join([*steps, nearest.format(rounds)])}
+SELECT vec_id, CAST(a.k AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (k)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang) USING (lang)),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS MATERIALIZED (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (g.n + 5 * l.v) AS p, 1 + (1000000000 * (k.n + 5)::HUGEINT) // (l.n + 5 * l.v) AS q
+  FROM g JOIN l USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS s FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL = {"op11_exact_top_k": OP11_SQL, "op12_centroid_clustering": OP12_SQL, "op13_source_divergence": OP13_SQL, "op8_warc": OP8_SQL, "op9_line_dedup": OP9_SQL, "op5_chat_formatting": OP5_SQL, "op10_quality_rules": OP10_SQL}
