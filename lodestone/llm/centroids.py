@@ -106,7 +106,7 @@ def first_centroids(kept: DataFrame, clusters: int, seed: str, item_id: str = "v
     """The vectors with the smallest SHA-256 of ``<seed>:<id>``, in order."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(item_id).cast("string"), F.lit(""))), 256)
     rows = kept.select(key.alias("key"), "cells").orderBy("key", "cells").limit(clusters).collect()
-    return np.array([r["cells"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["cells"] for r in rows], np.int64)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
