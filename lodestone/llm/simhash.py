@@ -272,7 +272,11 @@ def candidate_links(distinct: DataFrame, similarity: float) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, members: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``pick, hashes``: distinct shingle hashes of the rows of ``docs(pick, text)`` that are in ``members(pick)``, and of a few others."""
+    """``pick, hashes``: distinct shingle hashes of the texts of ``docs(pick, text)`` that are in ``members(pick)``, and of a few others.
+
+    Rows of one pick have equal texts: a task hashes and passes on the first of
+    them, and of those that several tasks pass on one is kept.
+    """
     bits = min(FILTER_MOST, max(1 << 10, FILTER_BITS * members.count()))
     place = members.select(F.pmod("pick", F.lit(bits)).cast("int").alias("p"))
     words = place.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, p % 64))").alias("b")).toArrow()
@@ -281,14 +285,17 @@ def _hashed(docs: DataFrame, members: DataFrame, text: str, shingle: int) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        held, seen = shared.value, set()
         for batch in small(batches):
-            at = batch.column(0).to_numpy() % bits
-            batch = batch.filter(pa.array((held[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            picks = batch.column(0).to_numpy()
+            at = picks % bits
+            wanted = np.flatnonzero(held[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
+            wanted = [i for i, p in zip(wanted.tolist(), picks[wanted].tolist(), strict=True) if not (p in seen or seen.add(p))]
+            batch = batch.take(pa.array(wanted, pa.int64()))
             sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["pick", "hashes"])
 
-    return docs.select("pick", text).mapInArrow(run, "pick long, hashes binary")
+    return docs.select("pick", text).mapInArrow(run, "pick long, hashes binary").groupBy("pick").agg(F.first("hashes").alias("hashes"))
 
 
 def similar_links(docs: DataFrame, distinct: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:

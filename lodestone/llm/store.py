@@ -31,14 +31,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of intermediate tables in the order of their making, so that they can be removed once nothing reads them.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """Paths of the intermediate tables that have not been removed."""
+    return list(_made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediate tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        _made.remove(path)
+
+
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     """A name for each of ``names`` that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ import xxhash
 from comparing import compare
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, linededup, queries, repetition, simhash
+from lodestone.llm import decontaminate, linededup, queries, repetition, simhash, store
 from lodestone.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -325,3 +325,24 @@ def test_repetition_on_odd_tables(odd, none):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_sql(name, spark, duck, data):
     compare(queries.QUERIES[name](spark, data), duck.sql(queries.ORACLE_SQL[name]))
+
+
+def test_rows_that_repeat_are_hashed_once(spark):
+    """100,000 rows of one text, half without an id, beside a near copy: each task passes on one set of hashes for each document."""
+    words = [f"word{i}" for i in range(120)]
+    text, close = " ".join(words), " ".join([*words[:-1], "other"])
+    many = spark.range(0, 100_000, 1, 8).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = many.unionByName(spark.createDataFrame([(9, close)], "doc_id long, text string"))
+    assert [tuple(r) for r in simhash.keep_one(docs).collect()] == [(None, text)]
+    picked = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("pick"), "text")
+    found = simhash._hashed(picked, picked.distinct(), "text", 5)
+    assert found.count() == 3 and all(len(r["hashes"]) == 8 * 116 for r in found.collect())
+
+
+def test_rounds_of_components_replace_each_other(spark):
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    before = store.made()
+    found = connected_components(chain)
+    assert len(store.made()) == len(before) + 1 and found.filter("component = 0").count() == 201
+    store.remove(spark, store.made()[-1:])
+    assert store.made() == before
