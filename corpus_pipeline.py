@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, linededup, pack, repetition, simhash
-from lodestone.llm.store import stored
+from lodestone.llm.store import made, remove, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,5 +81,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = made()[-1:] if name != STAGES[0][0] else []
+        known = made()
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # what the stage itself wrote, and what it read, is of no more use
+        remove(spark, before + [path for path in made()[:-1] if path not in known])
     return STAGES[-1][1](spark, docs, sf_dir)
