@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as tx
 from lodestone.operators import models
 from lodestone.operators.chunk import windows
 from lodestone.plans.registry import query, scratch, table
 from lodestone.plans.search_queries import _vectors, hits, with_text
+from lodestone.plans.text_queries import sql_chain
 from lodestone.sources import html
 from lodestone.streaming import ingest
 
@@ -57,17 +59,48 @@ def src_6_stage_snapshots(spark, sf_dir):
     return read.select("page_id", named.alias("lang"), F.length("html").alias("chars"))
 
 
-@query()
-def ing_11_stream(spark, sf_dir):
-    """Documents land in files, two of which make a batch of the stream."""
+_CLEAN_SQL = rf"trim(regexp_replace({sql_chain(sql_chain('text', [(p, '') for p in tx.BOILERPLATE]), tx.MASKS)}, '\s+', ' ', 'g'))"
+INGEST_SQL = rf"""WITH c AS (SELECT sha256(text) AS content_hash, any_value({_CLEAN_SQL}) AS t FROM documents WHERE length(text) >= {ingest.LEAST} GROUP BY sha256(text))
+SELECT content_hash, chunk_index, chunk FROM (SELECT content_hash, CAST(s / 480 AS INT) AS chunk_index, trim(substr(t, CAST(s AS BIGINT) + 1, 600)) AS chunk FROM c, unnest(range(0, greatest(length(t) - 121, 0) + 1, 480)) AS x(s)) WHERE chunk <> ''"""
+
+
+def _ingested(spark, sf_dir):
+    """Documents land in files, two of which make a batch of the stream.
+
+    Those that have a label come as a draft first and in their last form
+    later, together with texts that are known already; the second run goes on
+    where the first one ended.
+    """
     target = scratch(spark)
-    docs = table(spark, sf_dir, "documents")
-    docs.repartition(6, "doc_id").write.parquet(f"{target}/landing")
-    ingest.ingest(spark, f"{target}/landing", docs.schema, f"{target}/chunks", f"{target}/checkpoint", files_per_batch=2)
-    return ingest.chunk_table(spark, f"{target}/chunks").select("content_hash", "chunk_index", "chunk")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drafted = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("drafted", F.lit(True)), "doc_id", "left")
+    draft = F.when(F.col("drafted"), F.concat(F.lit("Draft. "), "text")).otherwise(F.col("text"))
+    for wave, rows in ((1, drafted.select("doc_id", draft.alias("text"))), (2, drafted.filter("drafted or length(text) > 3000").select("doc_id", "text"))):
+        rows.repartition(3, "doc_id").write.mode("append").parquet(f"{target}/landing")
+        ingest.ingest(spark, f"{target}/landing", docs.schema, target, f"{target}/checkpoint", files_per_batch=2 if wave == 1 else None)
+    return target
 
 
-@query()
+@query(INGEST_SQL)
+def ing_11_stream(spark, sf_dir):
+    return ingest.chunk_table(spark, _ingested(spark, sf_dir)).select("content_hash", "chunk_index", "chunk")
+
+
+@query(f"SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE length(text) >= {ingest.LEAST}")
+def ing_11_versions(spark, sf_dir):
+    """The latest version of each document after both runs."""
+    return ingest.documents(spark, _ingested(spark, sf_dir)).select("doc_id", "content_hash")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels) AS drafted FROM documents),
+v AS (SELECT doc_id, CASE WHEN drafted THEN 'Draft. ' || text ELSE text END AS text FROM d UNION ALL SELECT doc_id, text FROM d WHERE drafted OR length(text) > 3000),
+f AS (SELECT doc_id, CASE WHEN length(text) < {ingest.LEAST} THEN 'parse-validate' WHEN {_CLEAN_SQL} = '' THEN 'chunk' END AS stage, length(text) AS n FROM v)
+SELECT doc_id, stage, CASE stage WHEN 'chunk' THEN 'Chunking produced zero chunks' ELSE 'Parsed text too short (' || n || ' < {ingest.LEAST})' END AS reason, count(*) AS attempts FROM f WHERE stage IS NOT NULL GROUP BY ALL""")
+def ing_11_dead_letters(spark, sf_dir):
+    return ingest.dead_letters(spark, _ingested(spark, sf_dir)).drop("arrived")
+
+
+@query(INGEST_SQL)
 def ing_11_batch(spark, sf_dir):
     """The batch form of the same ingest; the stream must give equal rows."""
     return windows(ingest.clean_batch(table(spark, sf_dir, "documents"))).select("content_hash", "chunk_index", "chunk")

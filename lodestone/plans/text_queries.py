@@ -58,7 +58,7 @@ def txt_3_strip_html(spark, sf_dir):
     )
 
 
-def _sql_chain(column, patterns):
+def sql_chain(column, patterns):
     for pattern, to in patterns:
         column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
     return column
@@ -67,12 +67,12 @@ def _sql_chain(column, patterns):
 _BOILER = [(p, "") for p in tx.BOILERPLATE]
 
 
-@query(f"SELECT doc_id, {_sql_chain('text', _BOILER)} AS cleaned FROM documents")
+@query(f"SELECT doc_id, {sql_chain('text', _BOILER)} AS cleaned FROM documents")
 def txt_5_boilerplate(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.remove_patterns(F.col("text")).alias("cleaned"))
 
 
-@query(f"SELECT doc_id, masked, masked <> text AS changed FROM (SELECT doc_id, text, {_sql_chain('text', tx.MASKS)} AS masked FROM documents)")
+@query(f"SELECT doc_id, masked, masked <> text AS changed FROM (SELECT doc_id, text, {sql_chain('text', tx.MASKS)} AS masked FROM documents)")
 def txt_6_mask(spark, sf_dir):
     masked = _docs(spark, sf_dir).withColumn("masked", tx.mask(F.col("text")))
     return masked.select("doc_id", "masked", (F.col("masked") != F.col("text")).alias("changed"))
@@ -108,8 +108,8 @@ def txt_8_truncate_sentence(spark, sf_dir):
 
 @query(
     rf"""
-WITH a AS (SELECT doc_id, {_sql_chain("text", _BOILER)} AS t FROM documents),
-b AS (SELECT doc_id, trim(regexp_replace({_sql_chain("t", tx.MASKS)}, '\s+', ' ', 'g')) AS t FROM a)
+WITH a AS (SELECT doc_id, {sql_chain("text", _BOILER)} AS t FROM documents),
+b AS (SELECT doc_id, trim(regexp_replace({sql_chain("t", tx.MASKS)}, '\s+', ' ', 'g')) AS t FROM a)
 SELECT doc_id, {_sql_sentence("t", 600)} AS clean FROM b
 """
 )
@@ -126,7 +126,7 @@ def txt_10_injection(spark, sf_dir):
     rf"""
 SELECT doc_id, array_to_string(list_filter(list_transform(
   list_filter(string_split(text, chr(10)), lambda l: NOT ({_sql_any("l", tx.NOISE_LINES)})),
-  lambda l: trim(regexp_replace({_sql_chain("l", [(p, "") for p in tx.NOISE_INLINE])}, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS clean
+  lambda l: trim(regexp_replace({sql_chain("l", [(p, "") for p in tx.NOISE_INLINE])}, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS clean
 FROM documents
 """
 )

@@ -32,25 +32,68 @@ def test_stream_gives_the_batch_result(spark, data):
     assert rows("ing_11_stream") == rows("ing_11_batch")
 
 
-def test_long_texts_are_ingested_whole(spark, tmp_path):
+def test_long_texts_are_ingested_whole(spark):
     text = " ".join(f"Sentence {chr(97 + i % 26)}{chr(97 + i // 26)} ends here." for i in range(400))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert ingest.clean_batch(docs).first()["text"] == text
-    ingest.write_batch(docs, 0, f"{tmp_path}/out")
-    rows = sorted(map(tuple, ingest.chunk_table(spark, f"{tmp_path}/out").select("char_start", "chunk").collect()))
+    rows = sorted(map(tuple, ingest.windows(ingest.clean_batch(docs)).select("char_start", "chunk").collect()))
     assert all(len(chunk) <= 600 for _, chunk in rows)
     assert rows[-1][1].endswith(text[-20:]) and rows[-1][0] + 600 >= len(text)
 
 
-def test_a_second_run_takes_new_files_only(spark, data, tmp_path):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    source, target, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "check"))
-    for part in (0, 1):
-        docs.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(source)
-        ingest.ingest(spark, source, docs.schema, target, checkpoint)
-    once = ingest.chunk_table(spark, target).select("content_hash", "chunk_index")
-    assert once.count() == once.distinct().count()
-    assert once.select("content_hash").distinct().count() == ingest.clean_batch(docs).count()
+def deliver(spark, folder, *rows):
+    """A file of documents, taken in."""
+    docs = spark.createDataFrame(list(rows), "doc_id long, text string")
+    docs.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ingest.ingest(spark, f"{folder}/in", docs.schema, f"{folder}/out", f"{folder}/check")
+
+
+def taken(spark, folder):
+    return {r["doc_id"]: r["content_hash"] for r in ingest.documents(spark, f"{folder}/out").collect()}, sorted(r["chunk"] for r in ingest.chunk_table(spark, f"{folder}/out").collect())
+
+
+def test_changed_documents_replace_their_chunks(spark, tmp_path):
+    old, new, same = "the old text of a document", "the new text of a document", "a text that two documents share"
+    deliver(spark, tmp_path, (1, old), (2, same), (3, "short"), (None, same))
+    assert taken(spark, tmp_path)[1] == [same, old]
+    deliver(spark, tmp_path, (1, new), (4, same), (3, "short"))
+    versions, chunks = taken(spark, tmp_path)
+    assert chunks == [same, new] and versions[2] == versions[4] and set(versions) == {1, 2, 4}
+    deliver(spark, tmp_path, (1, old))  # an earlier text comes back, whose chunks are still there
+    assert taken(spark, tmp_path)[1] == [same, old]
+    assert ingest.held(spark, f"{tmp_path}/out", "chunks").count() == 3
+    letters = {(r["doc_id"], r["stage"], r["reason"], r["attempts"]) for r in ingest.dead_letters(spark, f"{tmp_path}/out").collect()}
+    assert letters == {(3, "parse-validate", "Parsed text too short (5 < 20)", 2), (None, "parse-validate", "Missing parsed externalId", 1)}
+
+
+def test_a_killed_batch_runs_again_without_a_row_twice(spark, tmp_path):
+    deliver(spark, tmp_path, (1, "the first text of a document"), (2, "another text of a document"))
+    deliver(spark, tmp_path, (1, "the second text of a document"), (3, "too short"))
+    before = taken(spark, tmp_path), [ingest.held(spark, f"{tmp_path}/out", name).count() for name in ingest.HELD]
+    for name in ingest.HELD:  # as if the driver had been lost before it noted that the last batch was done
+        commits = sorted((tmp_path / "check" / name / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        commits[-1].unlink()
+        (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    ingest.ingest(spark, f"{tmp_path}/in", docs.schema, f"{tmp_path}/out", f"{tmp_path}/check")
+    assert (taken(spark, tmp_path), [ingest.held(spark, f"{tmp_path}/out", name).count() for name in ingest.HELD]) == before
+
+
+def test_contents_expire_from_the_state(spark, tmp_path):
+    """A content that comes again after its time is cut again, and readers take one copy."""
+    docs = spark.createDataFrame([(1, "a text that comes twice"), (2, "a text to move time on")], "doc_id long, text string")
+    for rows in (docs.filter("doc_id = 1"), docs.filter("doc_id = 2"), docs.filter("doc_id = 2"), docs.filter("doc_id = 1")):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.ingest(spark, f"{tmp_path}/in", docs.schema, f"{tmp_path}/out", f"{tmp_path}/check", keep="0 seconds")
+    assert ingest.held(spark, f"{tmp_path}/out", "chunks").filter("chunk like '%twice'").count() == 2
+    assert taken(spark, tmp_path)[1] == ["a text that comes twice", "a text to move time on"]
+
+
+def test_streams_do_not_read_what_they_wrote(spark, tmp_path):
+    deliver(spark, tmp_path, (1, "the first text of a document"))
+    fed = ingest.sinks(ingest.deliveries(spark, f"{tmp_path}/in", spark.createDataFrame([], "doc_id long, text string").schema, None), "1 day")
+    for rows in fed.values():
+        assert "/out" not in rows._jdf.queryExecution().toString() and rows.isStreaming
 
 
 def test_index_recall(spark):
