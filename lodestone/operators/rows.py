@@ -40,9 +40,10 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], keep: Sequenc
     return kept.unionByName(delta.select(*base.columns))
 
 
-def replace_children(children: DataFrame, delta: DataFrame, new_children: DataFrame, parent: str) -> DataFrame:
+def replace_children(children: DataFrame, delta: DataFrame, new_children: DataFrame, parent: str | list[str]) -> DataFrame:
     """Children of parents in ``delta`` give way to ``new_children``."""
-    return children.join(delta.select(parent), parent, "left_anti").unionByName(new_children.select(*children.columns))
+    keys = [parent] if isinstance(parent, str) else parent
+    return children.join(delta.select(*keys), keys, "left_anti").unionByName(new_children.select(*children.columns))
 
 
 def keep_unless_empty(df: DataFrame, keys: Sequence[str], passes: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from lodestone.functions import text as tx
 from lodestone.operators.evaluate import answer_quality, citation_accuracy, faithfulness, latency_summary, regression_gate, run_summary
 from lodestone.operators.ingest import failing_stage, fail_fast, pending, prepare_for_model, resized
 from lodestone.operators.rows import replace_children, top_k, upsert
+from lodestone.operators.store import Store, cascade, upsert_documents
 from lodestone.plans.registry import query, scratch, table
 from lodestone.plans.report_queries import CHUNKS_SQL, chunks
 from lodestone.plans.search_queries import HITS, OTHER, hits, labelled
@@ -97,6 +98,40 @@ def src_8_upsert(spark, sf_dir):
     return upsert(base, delta, ["doc_id"], keep=["state"])
 
 
+#: A store of documents from before: those with a good label are missing, English ones have ids of an older kind; then all labelled ones are delivered with a new text.
+STORE_SQL = f"""{CHUNKS_SQL}, l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (SELECT source, CAST(doc_id AS VARCHAR) AS source_id, d.doc_id, lang, text, l.doc_id IS NOT NULL AS delivered, coalesce(quality, 0) <> 1 AS known, sha256(source || chr(31) || d.doc_id) AS h FROM documents d LEFT JOIN l USING (doc_id)),
+s AS (SELECT *, CASE WHEN known AND lang = 'en' THEN 'old-' || source_id ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INT) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS id FROM d)"""
+
+
+def _stored_documents(spark, sf_dir):
+    """``documents, chunks``: the store after the delivery."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("delivered", F.lit(True))
+    docs = _docs(spark, sf_dir).join(labels, "doc_id", "left").withColumns({"source_id": F.col("doc_id").cast("string"), "known": F.coalesce(F.col("quality"), F.lit(0)) != 1})
+    keys, path = ["source", "source_id"], scratch(spark)
+    documents = Store(spark, f"{path}/documents", "source string, source_id string, id string, chars long", keys)
+    pieces = Store(spark, f"{path}/chunks", "source string, source_id string, chunk_index long, hash string", keys)
+    cut = chunks(spark, sf_dir).select("doc_id", "chunk_index", F.sha2("text", 256).alias("hash")).join(docs.select("doc_id", *keys, "known", "delivered"), "doc_id")
+    old_id = F.when(F.col("lang") == "en", F.concat(F.lit("old-"), "source_id")).otherwise(tx.stable_uuid(F.concat_ws("\x1f", *keys)))
+    documents.create(docs.filter("known").select(*keys, old_id.alias("id"), F.length("text").cast("long").alias("chars")))
+    pieces.create(cut.filter("known").select(*keys, "chunk_index", "hash"))
+    delta = docs.filter("delivered").select(*keys, (F.length("text") + 9).cast("long").alias("chars"))
+    upsert_documents(documents, pieces, delta, cut.filter("delivered and chunk_index < 3").select(*keys, "chunk_index", F.concat(F.lit("new "), "hash").alias("hash")))
+    return documents, pieces
+
+
+@query(f"""WITH {STORE_SQL} SELECT id, source_id, chunk_index, CASE WHEN delivered THEN 'new ' || sha256(c.text) ELSE sha256(c.text) END AS hash FROM s JOIN chunks c USING (doc_id) WHERE (known OR delivered) AND (NOT delivered OR chunk_index < 3)""")
+def src_7_upsert_documents(spark, sf_dir):
+    """Documents keep their stored ids and all chunks of those delivered are replaced; partitions that nothing touches are not rewritten."""
+    documents, pieces = _stored_documents(spark, sf_dir)
+    return pieces.read().join(documents.read().select("source", "source_id", "id"), ["source", "source_id"]).select("id", "source_id", "chunk_index", "hash")
+
+
+@query(f"WITH {STORE_SQL} SELECT id, source, source_id, CAST(length(text) + CASE WHEN delivered THEN 9 ELSE 0 END AS BIGINT) AS chars FROM s WHERE known OR delivered")
+def src_8_key_upsert(spark, sf_dir):
+    return _stored_documents(spark, sf_dir)[0].read().select("id", "source", "source_id", "chars")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def src_9_not_indexed(spark, sf_dir):
     known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
@@ -109,6 +144,38 @@ def src_10_cascade_delete(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(left, "l_orderkey", "left_semi")
 
 
+#: Foreign keys of the tables: child, its columns, parent, the columns they refer to.
+LINKS = [
+    ("nation", ["n_regionkey"], "region", ["r_regionkey"]), ("customer", ["c_nationkey"], "nation", ["n_nationkey"]), ("supplier", ["s_nationkey"], "nation", ["n_nationkey"]),
+    ("orders", ["o_custkey"], "customer", ["c_custkey"]), ("lineitem", ["l_orderkey"], "orders", ["o_orderkey"]), ("lineitem", ["l_suppkey"], "supplier", ["s_suppkey"]),
+    ("chunks", ["doc_id"], "documents", ["doc_id"]), ("embeddings", ["vec_id"], "documents", ["doc_id"]), ("labels", ["doc_id"], "documents", ["doc_id"]), ("messages", ["conv_id"], "conversations", ["conv_id"]),
+]
+
+
+@query(f"""WITH {CHUNKS_SQL}, n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 3), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n)), s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (FROM n)),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c)), d AS (SELECT doc_id FROM documents WHERE source = 'src0'), v AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system')
+SELECT 'region' AS tbl, 3 AS a, NULL::BIGINT AS b UNION ALL SELECT 'nation', n_nationkey, NULL FROM n UNION ALL SELECT 'customer', c_custkey, NULL FROM c UNION ALL SELECT 'supplier', s_suppkey, NULL FROM s UNION ALL SELECT 'orders', o_orderkey, NULL FROM o
+UNION ALL SELECT DISTINCT 'lineitem', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (FROM o) OR l_suppkey IN (FROM s) UNION ALL SELECT 'documents', doc_id, NULL FROM d
+UNION ALL SELECT 'chunks', doc_id, chunk_index FROM chunks WHERE doc_id IN (FROM d) UNION ALL SELECT 'embeddings', vec_id, NULL FROM embeddings WHERE vec_id IN (FROM d) UNION ALL SELECT DISTINCT 'labels', doc_id, NULL::BIGINT FROM labels WHERE doc_id IN (FROM d)
+UNION ALL SELECT 'conversations', conv_id, NULL FROM v UNION ALL SELECT DISTINCT 'messages', conv_id, turn FROM conversations WHERE conv_id IN (FROM v)""")
+def src_10_cascade_graph(spark, sf_dir):
+    """All keys that go with a region, a source and the conversations that hold a system turn: five, two and two levels, with two ways to a line."""
+    named = {
+        "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],
+        "documents": ["doc_id"], "embeddings": ["vec_id"], "labels": ["doc_id"],
+    }
+    tables = {name: (table(spark, sf_dir, name), keys) for name, keys in named.items()}
+    turns = table(spark, sf_dir, "conversations")
+    tables |= {"chunks": (chunks(spark, sf_dir), ["doc_id", "chunk_index"]), "conversations": (turns.select("conv_id").distinct(), ["conv_id"]), "messages": (turns, ["conv_id", "turn"])}
+    doomed = {"region": tables["region"][0].filter("r_regionkey = 3"), "documents": tables["documents"][0].filter("source = 'src0'"), "conversations": turns.filter("role = 'system'")}
+    out = None
+    for name, keys in cascade(tables, LINKS, doomed).items():
+        a, b = [*tables[name][1], None][:2]
+        part = keys.select(F.lit(name).alias("tbl"), F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(None)).cast("long").alias("b"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("""SELECT page_id, CASE WHEN length(html) < 900 THEN 'fetch' WHEN NOT contains(html, '<article>') THEN 'parse' WHEN regexp_extract(html, '<title>([^<]*)', 1) = '' THEN 'title' WHEN length(html) > 20000 THEN 'chunk' END AS stage,
 coalesce(length(html) < 900, false) AS retriable FROM pages""")
 def ing_1_stage_validation(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import cache
 from lodestone.operators.rows import upsert
 from lodestone.plans.registry import query, table
 
@@ -207,6 +208,45 @@ def cnv_8_cache_upsert(spark, sf_dir):
     return upsert(cache_table(spark, sf_dir), fresh, ["cache_key"], keep=["hits"])
 
 
+#: The log of events as that of a cache: a purchase writes an answer, a signup one under an older form of key; views, clicks and errors look answers up.
+CACHE_TTL = 2 * 86_400
+LOG_SQL = f"""log AS (SELECT event_id, event_type, ts, user_id, json_extract_string(props, '$.k') AS question, 'v' || (user_id % 3) AS version FROM events),
+entries AS (SELECT CASE event_type WHEN 'purchase' THEN sha256(question || chr(31) || version) ELSE sha256(question || '|' || version) END AS cache_key, question, version, ts AS created_at,
+  ts + INTERVAL {CACHE_TTL} SECOND AS expires_at, event_id AS answer, epoch_us(ts)::HUGEINT * 1000000000 + event_id AS o FROM log WHERE event_type IN ('purchase', 'signup')),
+asked AS (SELECT event_id, ts AS asked_at, sha256(question || chr(31) || version) AS cache_key, question, version, epoch_us(ts)::HUGEINT * 1000000000 + 999999999 AS o FROM log WHERE event_type NOT IN ('purchase', 'signup')),
+p AS (SELECT a.*, e.created_at AS p_created, e.expires_at > a.asked_at AS p_live, e.answer AS p_answer FROM asked a ASOF LEFT JOIN entries e ON a.cache_key = e.cache_key AND a.o >= e.o),
+f AS (SELECT p.*, e.cache_key AS f_key, e.created_at AS f_created, e.expires_at > p.asked_at AS f_live, e.answer AS f_answer FROM p ASOF LEFT JOIN entries e ON p.question = e.question AND p.version = e.version AND p.o >= e.o),
+found AS (SELECT event_id, asked_at, CASE WHEN p_live THEN 'primary' WHEN f_live THEN 'fallback' END AS mode, CASE WHEN p_live THEN cache_key WHEN f_live THEN f_key END AS hit_key,
+  CASE WHEN p_live THEN p_answer WHEN f_live THEN f_answer END AS answer FROM f)"""
+
+
+def cache_log(spark, sf_dir):
+    """``asked, entries``, as ``LOG_SQL`` says."""
+    log = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.get_json_object("props", "$.k").alias("question"), F.concat(F.lit("v"), F.col("user_id") % 3).alias("version"))
+    key = lambda glue: F.sha2(F.concat("question", F.lit(glue), "version"), 256)
+    written = log.filter("event_type in ('purchase', 'signup')").withColumn("cache_key", F.when(F.col("event_type") == "purchase", key("\x1f")).otherwise(key("|")))
+    entries = cache.with_expiry(written, "ts", CACHE_TTL).select("cache_key", "question", "version", "created_at", "expires_at", F.col("event_id").alias("answer"))
+    asked = log.filter("event_type not in ('purchase', 'signup')").select("event_id", F.col("ts").alias("asked_at"), key("\x1f").alias("cache_key"), "question", "version")
+    return asked, entries
+
+
+@query(f"""WITH {LOG_SQL} SELECT event_id, mode, answer, CASE WHEN mode IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY hit_key ORDER BY asked_at, event_id) END AS hits FROM found""")
+def cnv_7_cache_as_of(spark, sf_dir):
+    """What each lookup of the log found: the newest entry of its key that had not expired, else that of its question and version."""
+    return cache.lookup(*cache_log(spark, sf_dir), "event_id").select("event_id", "mode", "answer", "hits")
+
+
+@query(f"""WITH {LOG_SQL}, now AS (SELECT cache_key, arg_max(struct_pack(question, version, created_at, expires_at, answer), o) AS e FROM entries WHERE created_at <= TIMESTAMP '2024-01-16' GROUP BY cache_key),
+h AS (SELECT hit_key, count(*) AS n, max(asked_at) AS last_hit_at FROM found WHERE hit_key IS NOT NULL AND asked_at <= TIMESTAMP '2024-01-16' GROUP BY hit_key)
+SELECT cache_key, e.question AS question, e.version AS version, e.answer AS answer, coalesce(n, 0) AS hit_count, strftime(last_hit_at, '%Y-%m-%d %H:%M:%S') AS last_hit_at, e.expires_at <= TIMESTAMP '2024-01-16' AS expired FROM now LEFT JOIN h ON hit_key = cache_key""")
+def cnv_8_cache_state(spark, sf_dir):
+    """The cache as upserts and lookups had left it in the middle of the month."""
+    asked, entries = cache_log(spark, sf_dir)
+    moment = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
+    state = cache.upserted(entries, cache.lookup(asked, entries, "event_id"), moment)
+    return state.select("cache_key", "question", "version", "answer", "hit_count", F.date_format("last_hit_at", "yyyy-MM-dd HH:mm:ss").alias("last_hit_at"), "expired")
+
+
 @query(f"""SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 'not_a_question' WHEN length({QUESTION_SQL.format("text")}) < 12 THEN 'too_short'
 WHEN regexp_matches(text, '[0-9]{{9,16}}') THEN 'personal_data' WHEN turn = 0 THEN NULL ELSE 'has_history' END AS reason FROM conversations""")
 def cnv_9_cache_eligibility(spark, sf_dir):
