@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import parse as ps
-
 from lodestone.operators import chunk as ck
+from lodestone.operators import lexicon as lx
 from lodestone.operators.rows import first_per_key
 from lodestone.plans.registry import query, table
 from lodestone.plans.report_queries import CHUNKS_SQL, chunks
@@ -108,6 +108,29 @@ def prs_9_references(spark, sf_dir):
     )
 
 
+#: Wording of the test texts: what a case number and a court are called, and words that matter.
+CASE_WORD, COURT_WORD, MATTERS = "Case", "court", ("license", "copyright", "version", "heit", "mente", "eaux", "anstth", "tzung")
+_COURTS = rf"(?i)([^,\n.!?]{{3,50}}?)\s+(?:high|district)\s+{COURT_WORD}"
+#: A document that also names a case and a court.
+LEGAL_SQL = f"(SELECT doc_id, 'Case No ' || (90000 + doc_id * 7 % 200000) || ', heard at Northern ' || lang || ' high court. ' || t AS t FROM (SELECT doc_id, lang FROM documents) JOIN {REF_SQL} USING (doc_id))"
+
+
+@query(rf"""WITH d AS {LEGAL_SQL}, k AS (SELECT unnest([{", ".join(f"'{m}'" for m in MATTERS)}]) AS term)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '([0-9]{{4}}[/-][0-9]{{2,3}})', 1), lambda x: replace(x, '-', '/')), lambda x: substr(x, 1, 4)::INT BETWEEN 1990 AND 2050 AND substr(x, 6, 3)::INT >= 1))), '|') AS laws,
+array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(t, '(?i)article\s+([0-9]+)', 1), regexp_extract_all(t, '(?i)([0-9]+)\.?\s+article', 1)), lambda x: length(x) <= 3 AND TRY_CAST(x AS INT) BETWEEN 1 AND 500))), '|') AS articles,
+array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(t, '(?i){CASE_WORD}\s+No\s*([0-9]{{5,6}})', 1), lambda x: CAST(x AS INT) >= 100000))), '|') AS cases,
+array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '{_COURTS}', 1), lambda x: trim(x)), lambda x: length(x) BETWEEN 4 AND 99))), '|') AS courts,
+coalesce((SELECT string_agg(term, '|' ORDER BY term) FROM k WHERE contains(lower(t), term)), '') AS keywords FROM d""")
+def prs_9_legal_references(spark, sf_dir):
+    """Laws, articles, cases, courts and keywords of each document; keywords come from one pass with an automaton."""
+    i = F.col("doc_id")
+    docs = _referring(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    t = F.concat(F.lit("Case No "), 90_000 + i * 7 % 200_000, F.lit(", heard at Northern "), "lang", F.lit(" high court. "), "t")
+    lexicon = spark.createDataFrame([(n, m, "part") for n, m in enumerate(MATTERS)], "entry long, term string, how string")
+    found = lx.legal_references(docs.select("doc_id", t.alias("t")), lexicon, "doc_id", "t", case_word=CASE_WORD, courts=_COURTS)
+    return found.select("doc_id", *(F.array_join(F.array_sort(c), "|").alias(c) for c in ("laws", "articles", "cases", "courts", "keywords")))
+
+
 @query(rf"""SELECT doc_id, CASE WHEN NOT regexp_matches(n, '^[0-9]+$') OR (length(n) <= 3 AND lpad(n, 3, '0') <= '500') THEN n END AS article FROM (SELECT doc_id,
 coalesce(nullif(regexp_extract(t, '(?i)article\s*([0-9]+(?:\.[0-9]+)*)', 1), ''), nullif(regexp_extract(t, '(?i)([0-9]+(?:\.[0-9]+)*)\s*article', 1), '')) AS n FROM {REF_SQL})""")
 def prs_10_article_number(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.parse import all_matches
+from lodestone.operators import lexicon as lx
 from lodestone.operators import questions as qs
 from lodestone.operators.fuse import occurrences
 from lodestone.operators.retrieve import words
@@ -49,6 +50,59 @@ def que_2_lexicon_scores(spark, sf_dir):
     return rows.withColumn("best", qs.best_domain({d: F.col(d) for d in DOMAINS}))
 
 
+#: Lexicon of the passages: each passage is a group, its distinct words of four letters or more its terms.
+_LONG_WORDS = f"list_distinct(list_filter({W}, lambda w: length(w) >= 4))"
+LEXICON_SQL = f"lexicon AS (SELECT item_id, unnest({_LONG_WORDS}) AS term FROM benchmark)"
+
+
+def passage_lexicon(spark, sf_dir):
+    terms = F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 4))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(terms).alias("term"))
+
+
+@query(f"""WITH {LEXICON_SQL}, s AS (SELECT doc_id, item_id, count(*) AS score FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN lexicon ON contains(low, term) GROUP BY doc_id, item_id)
+SELECT doc_id, arg_min(item_id, o) AS item_id, arg_min(score, o) AS score FROM (SELECT *, (-score)::HUGEINT * 1000000000 + item_id AS o FROM s) GROUP BY doc_id""")
+def que_2_lexicon_table(spark, sf_dir):
+    """The passage whose words a document holds most of; all words of all passages are looked for in one pass."""
+    scores = lx.group_scores(table(spark, sf_dir, "documents"), passage_lexicon(spark, sf_dir), "item_id")
+    return lx.best_group(scores, "item_id")
+
+
+#: Terms of a profile: phrases and what they are called, titles, signals, and domains.
+PROFILE = [
+    ("phrase", "of the", "belonging"), ("phrase", "in der", "inside"), ("phrase", "de la", "origin"), ("hint", "license", "Licence act"), ("hint", "copyright", "Copyright act"), ("hint", "und", "Union act"),
+    ("signal", "tion", "tion"), ("signal", "the", "the"), ("signal", "eau", "eau"), ("signal", "heit", "heit"), *(("domain", t, d) for d, ts in DOMAINS.items() for t in ts),
+]
+_PROFILE_VALUES = ", ".join(f"({i}, '{k}', '{t}', '{n}')" for i, (k, t, n) in enumerate(PROFILE))
+ARTICLE_REF = r"(?i)(?:article|version)\s*([0-9]+(?:\.[0-9]+)*)"
+
+
+def _ordered_distinct(l):
+    return f"list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+
+
+_STEMS = f"list_filter(list_transform({W}, lambda w: regexp_replace(w, '{SUFFIX}', '')), lambda w: length(w) >= 2 AND NOT list_contains({STOP}, w))"
+
+
+@query(rf"""WITH lx AS (SELECT * FROM (VALUES {_PROFILE_VALUES}) AS v(entry, kind, term, label)),
+q AS (SELECT item_id, text, lower(text) AS low, {W} AS ws, {_ordered_distinct(_STEMS)} AS stems FROM benchmark),
+p AS (SELECT *, list_slice(list_filter(stems, lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+$')), 1, 18) AS topical, {_ordered_distinct(f"regexp_extract_all(text, '{ARTICLE_REF}', 1)")} AS articles FROM q),
+t AS (SELECT entry, list_distinct(list_filter(list_transform({WORDS_SQL.format("term")}, lambda w: regexp_replace(w, '{SUFFIX}', '')), lambda w: length(w) >= 2)) AS own FROM lx),
+f AS (SELECT DISTINCT item_id, kind, label, lx.entry FROM p, lx JOIN t USING (entry) WHERE CASE WHEN regexp_matches(term, '^[\p{{L}}\p{{N}}]{{1,3}}$') THEN list_contains(ws, term) ELSE contains(low, term) END
+  OR (kind = 'domain' AND len(own) > 0 AND len(list_filter(own, lambda w: list_contains(stems, w))) = len(own))),
+a AS (SELECT item_id, list_sort(coalesce(list(DISTINCT label) FILTER (kind = 'phrase'), [])) AS phrases, list_sort(coalesce(list(DISTINCT label) FILTER (kind = 'hint'), [])) AS hints, count(*) FILTER (kind = 'signal') AS signals FROM f GROUP BY item_id),
+d AS (SELECT item_id, label AS domain, n FROM (SELECT item_id, label, count(*) AS n FROM f WHERE kind = 'domain' GROUP BY item_id, label) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, label) = 1),
+j AS (SELECT p.*, coalesce(phrases, []) AS phrases, coalesce(hints, []) AS hints, coalesce(signals, 0) AS signals, coalesce(domain, 'unknown') AS domain, coalesce(n, 0) AS domain_score FROM p LEFT JOIN a USING (item_id) LEFT JOIN d USING (item_id)),
+x AS (SELECT *, list_concat(phrases, hints, list_transform(articles, lambda n: 'article ' || n), [array_to_string(list_slice(topical, 1, 8), ' ')]) AS wide FROM j)
+SELECT item_id, array_to_string(topical, ' ') AS topical, array_to_string(phrases, '|') AS phrases, array_to_string(hints, '|') AS hints, array_to_string(articles, '|') AS articles,
+array_to_string(list_filter({_ordered_distinct("wide")}, lambda e: length(trim(e)) >= 3), '|') AS expansions, domain, domain_score, signals + len(phrases) + 2 * len(hints) AS signal_score FROM x""")
+def que_1_keyword_profile(spark, sf_dir):
+    lexicon = spark.createDataFrame([(i, *row) for i, row in enumerate(PROFILE)], "entry long, kind string, term string, label string")
+    found = lx.keyword_profile(table(spark, sf_dir, "benchmark"), lexicon, STOP, SUFFIX, ARTICLE_REF, key="item_id")
+    text = lambda c, glue="|": F.array_join(c, glue).alias(c)
+    return found.select("item_id", text("topical", " "), text("phrases"), text("hints"), text("articles"), text("expansions"), "domain", "domain_score", "signal_score")
+
+
 @query(f"SELECT doc_id, {_DOMAIN.format(3)} AS domain FROM (SELECT doc_id, {_SCORES} FROM documents)")
 def que_3_domain_with_floor(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", *(s.alias(d) for d, s in _scores(F.col("text")).items()))

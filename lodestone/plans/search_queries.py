@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse_space, snippet
 from lodestone.operators import fuse as fs
+from lodestone.operators import lexicon as lx
 from lodestone.operators import retrieve as rt
 from lodestone.operators.rows import best_by_key, first_per_key, keep_unless_empty, ranked, top_k
 from lodestone.plans.registry import query, stored, table
@@ -189,6 +190,25 @@ def rtv_13_rules(spark, sf_dir):
     return rt.rules_search(table(spark, sf_dir, "documents"), MARKERS, "text", "doc_id", 25)
 
 
+#: Rules of a fallback search: name, kind, field, value, score.
+RULES = [
+    ("licence", "contains", "text", "license", 0.9), ("licence", "contains", "text", "copyright", 0.7), ("licence", "equals", "source", "src3", 0.2), ("language", "contains", "text", "heit", 0.6),
+    ("language", "equals", "lang", "de", 0.55), ("language", "contains", "text", "eaux", 0.5), ("trusted", "equals", "good", "true", 0.8), ("trusted", "prefix", "source", "src1", 0.4), ("trusted", "prefix", "lang", "e", 0.1),
+]
+_RULE_VALUES = ", ".join(f"('{r}', '{k}', '{f}', '{v}', {s}::DOUBLE)" for r, k, f, v, s in RULES)
+
+
+@query(f"""WITH r AS (SELECT * FROM (VALUES {_RULE_VALUES}) AS v(rule, kind, field, value, score)),
+d AS (SELECT doc_id, lower(text) AS low, length(text) AS chars, MAP {{'source': source, 'lang': lang, 'good': CASE WHEN quality = 1 THEN 'true' WHEN quality = 0 THEN 'false' END}} AS f FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+h AS (SELECT rule, doc_id, chars, max(score) AS score FROM d JOIN r ON CASE kind WHEN 'contains' THEN contains(low, value) WHEN 'equals' THEN f[field] = value ELSE starts_with(f[field], value) END GROUP BY rule, doc_id, chars)
+SELECT rule, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY score DESC, chars, doc_id) AS rank FROM h) WHERE rank <= 25""")
+def rtv_13_rule_table(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    docs = table(spark, sf_dir, "documents").join(good, "doc_id", "left")
+    rules = spark.createDataFrame(RULES, "rule string, kind string, field string, value string, score double")
+    return lx.rule_search(docs, rules, 25)
+
+
 @query(f"WITH {HITS}, {OTHER} SELECT query_id, id, max(score) AS score, max(source) AS source FROM (SELECT query_id, id, round(score * 0.9, 9) AS score, 'v' AS source FROM hits WHERE rank <= 10 UNION ALL SELECT query_id, id, round(score * 0.8, 9), 'v' FROM other) GROUP BY query_id, id")
 def rtv_15_merge_fallback(spark, sf_dir):
     a = hits(spark, sf_dir).filter("rank <= 10").select("query_id", "id", F.round(F.col("score") * 0.9, 9).alias("score"))
@@ -326,6 +346,19 @@ def fus_11_scenarios(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(F.array_compact(F.array(*held))).alias("scenario"), "doc_id")
 
 
+#: Scenarios as rows: name, part, term, how many of the needed terms.
+SCENARIO_RULES = [("german", "need", t, 2) for t in ("heit", "ung", "und ", "keit")] + [("german", "veto", "###", 2)] + [("french", "need", t, 3) for t in ("eau", "les ", "eux", "elle")] + [("french", "veto", t, 3) for t in ("|", "license")] + [("noise", "need", t, 1) for t in ("###", "%%%", "!!")]
+_SCENARIO_VALUES = ", ".join(f"('{n}', '{p}', '{t}', {k})" for n, p, t, k in SCENARIO_RULES)
+
+
+@query(f"""WITH r AS (SELECT * FROM (VALUES {_SCENARIO_VALUES}) AS v(scenario, part, term, fewest))
+SELECT scenario, doc_id, count(*) FILTER (part = 'need') AS met FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN r ON contains(low, trim(lower(term))) GROUP BY scenario, doc_id
+HAVING count(*) FILTER (part = 'need') >= max(fewest) AND count(*) FILTER (part = 'veto') = 0""")
+def fus_11_scenario_table(spark, sf_dir):
+    rules = spark.createDataFrame(SCENARIO_RULES, "scenario string, part string, term string, fewest int")
+    return lx.scenarios(table(spark, sf_dir, "documents"), rules)
+
+
 @query(f"""WITH {HITS} {_top("SELECT query_id, id, round(greatest(0, least(1, CASE WHEN label = 3 THEN score + 0.15 WHEN label IN (1, 2) THEN score * 0.72 WHEN id % 7 = 0 THEN score * 0.55 ELSE score END)), 6)::DOUBLE AS score FROM hits JOIN embeddings ON id = vec_id", 20)}""")
 def fus_12_boosts(spark, sf_dir):
     s = F.col("score")
