@@ -1,9 +1,9 @@
 """Exact top-k by inner product, with no-random-access aggregation over sorted lists.
 
 Vectors become integers, ``floor(scale * x)``.  A task cuts its items into
-blocks and sorts each dimension of a block once.  For a question it reads the
-lists side by side, from the end where the question's component gives the
-larger products.  An item's score is at least what was read of it plus the
+blocks and sorts each dimension of a block once, into a list for either sign of
+a question's component.  The lists are read side by side, for all questions of
+a group at once.  An item's score is at least what was read of it plus the
 least product of every list that it was not met in, and at most that plus the
 product read last there.  Items never met are bounded by the products read last.
 Reading stops when no more than ``RESOLVE`` items can reach the k-th best
@@ -36,8 +36,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.batches import small
 from lodestone.llm.store import new_path
 
-#: Items of a block; items left open at which reading stops; entries of a list read between two looks at the bounds, as a share of it.
-BLOCK, RESOLVE, STEPS = 4096, 128, 16
+#: Items of a task's first block and of its largest; blocks double, as later ones start with a better floor.
+FIRST, BLOCK = 256, 4096
+#: Items left open at which reading stops; questions that read a block together.
+RESOLVE, TOGETHER = 256, 512
+#: How far lists have been read at each look at the bounds.
+STOPS = np.array([0.25, 0.5, 0.625, 0.75, 0.875, 1])
 #: Questions that one pass over the items answers.
 QUESTIONS = 4096
 #: Stands for a null id in a task.
@@ -51,47 +55,45 @@ def finite(vector: Column) -> Column:
 
 
 class Lists:
-    """A block of items of equal length, each dimension sorted both ways."""
+    """A block of items of equal length; each dimension as a list from the largest value down, and one from the smallest up."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids, self.matrix = ids, matrix
-        n, dims = matrix.shape
-        order = np.argsort(matrix, axis=0, kind="stable").T
-        values = np.take_along_axis(matrix.T, order, 1).astype(np.float64)
-        self.row = np.ascontiguousarray(np.stack((order, order[:, ::-1])).astype(np.int32))
-        self.spot = self.row * dims + np.arange(dims, dtype=np.int32)[None, :, None]
-        self.value = np.ascontiguousarray(np.stack((values, values[:, ::-1])))
-        self.stops = np.unique(np.ceil(np.arange(1, STEPS + 1) * n / STEPS).astype(int))
-        self.last = self.value[:, :, self.stops - 1]
-
-    def best(self, asked: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """``ids, scores``: items that hold the k best of this block that reach ``floor``, and few others."""
+        up = np.argsort(matrix, axis=0, kind="stable").T
+        self.item = np.concatenate((up[:, ::-1], up))
+        self.value = np.take_along_axis(np.concatenate((matrix.T, matrix.T)), self.item, 1)
+
+    def best(self, asked: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``question, ids, scores`` for each row of ``asked``: items that hold the k best of this block that reach its floor, and few others.
+
+        All questions share the reading: a step goes on in all lists, and a
+        question takes of each dimension the list whose products begin high.
+        """
         n, dims = self.matrix.shape
-        used = np.flatnonzero(asked)
-        weight, way = asked[used].astype(np.float64), (asked[used] > 0).astype(int)
-        if not len(used):
-            open_ = np.argsort(self.ids, kind="stable")[:k]
-            return self.ids[open_], np.zeros(len(open_), np.int64)
-        total, unmet, depth = np.zeros(n), np.ones(n * dims, np.uint8), 0
-        bounds = np.zeros((dims, 2))
-        bounds[used, 1] = weight * self.value[way, used, -1]
-        # no item may go unmet that could reach the floor, so that far the lists are read in one go
-        outside = weight @ self.last[way, used]
-        first = int(np.argmax(outside < floor)) if (outside < floor).any() else 0
-        for at in range(first, len(self.stops)):
-            stop = self.stops[at]
-            products = weight[:, None] * self.value[way, used, depth:stop]
-            total += np.bincount(self.row[way, used, depth:stop].ravel(), products.ravel(), n)
-            unmet[self.spot[way, used, depth:stop].ravel()] = 0
+        small_sums = dims * int(np.abs(self.matrix).max(initial=0)) * int(np.abs(asked).max(initial=0)) < 1 << 24
+        kind = np.float32 if small_sums else np.float64  # in which sums of integers are exact
+        weights = np.concatenate((np.maximum(asked, 0), np.minimum(asked, 0)), 1).astype(kind)
+        value, lists = self.value.astype(kind), np.arange(2 * dims)[:, None]
+        read, unread = np.zeros((2 * dims, n), kind), np.ones((2 * dims, n), kind)
+        floors, going, depth = floors.copy(), np.arange(len(asked)), 0
+        for stop in np.unique(np.ceil(n * STOPS).astype(int)):
+            entries = self.item[:, depth:stop]
+            read[lists, entries], unread[lists, entries] = value[:, depth:stop], 0
             depth = stop
-            bounds[used, 0] = weight * self.last[way, used, at]
-            upper, lower = (total[:, None] + unmet.reshape(n, dims) @ bounds).T
-            least = max(floor, np.partition(lower, n - k)[n - k]) if n >= k else floor
-            open_ = upper >= least
-            if np.count_nonzero(open_) <= RESOLVE:
-                break
-        open_ = np.flatnonzero(open_)
-        return self.ids[open_], self.matrix[open_] @ asked
+            own = weights[going]
+            known = own @ read
+            upper = known + (own * value[:, stop - 1]) @ unread
+            if n >= k:
+                lower = known + (own * value[:, -1]) @ unread
+                floors[going] = np.maximum(floors[going], np.partition(lower, n - k, axis=1)[:, n - k])
+            open_ = upper >= floors[going, None]
+            ends = (np.count_nonzero(open_, axis=1) <= RESOLVE) | (stop == n)
+            for at in np.flatnonzero(ends):
+                rows = np.flatnonzero(open_[at])
+                yield int(going[at]), self.ids[rows], self.matrix[rows] @ asked[going[at]]
+            going = going[~ends]
+            if not len(going):
+                return
 
 
 class Top:
@@ -124,6 +126,17 @@ def by_length(ids: np.ndarray, vectors: pa.Array, scale: int) -> Iterator[tuple[
         yield places, matrix.astype(np.int64)
 
 
+def growing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, from ``FIRST`` rows to ``BLOCK``."""
+    rows = FIRST
+    for batch in small(batches, 1 << 30):
+        at = 0
+        while at < batch.num_rows:
+            yield batch.slice(at, rows)
+            at += rows
+            rows = min(2 * rows, BLOCK)
+
+
 def _block(questions: DataFrame, n: int, no: int, scale: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """``ids`` of a block of questions, and ``places, matrix`` of them by length."""
     found = questions.filter(F.pmod(F.xxhash64("id", "vector"), F.lit(n)) == no).toArrow()
@@ -149,7 +162,7 @@ def exact_top_k(questions: DataFrame, items: DataFrame, k: int, scale: int, item
         def best(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, by_size = shared.value
             tops = [Top(k + 1) for _ in ids]  # with the question's own row
-            for batch in small(batches, BLOCK):
+            for batch in growing(batches):
                 own = batch.column(0).to_numpy()
                 for places, matrix in by_length(own, batch.column(1), scale):
                     wanted, vectors = by_size.get(matrix.shape[1], ((), None))
@@ -158,8 +171,11 @@ def exact_top_k(questions: DataFrame, items: DataFrame, k: int, scale: int, item
                     if matrix.shape[1] * int(np.abs(matrix).max(initial=0)) * int(np.abs(vectors).max(initial=0)) >= EXACT:
                         raise ValueError("components are too large for exact scores")
                     lists = Lists(own[places], matrix)
-                    for q, v in zip(wanted.tolist(), vectors, strict=True):
-                        tops[q].add(*lists.best(v, k + 1, tops[q].floor))
+                    for at in range(0, len(wanted), TOGETHER):
+                        some = wanted[at : at + TOGETHER]
+                        floors = np.array([tops[q].floor for q in some])
+                        for no, found, scores in lists.best(vectors[at : at + TOGETHER], k + 1, floors):
+                            tops[some[no]].add(found, scores)
             self_scores = np.zeros(len(ids), np.int64)
             for wanted, vectors in by_size.values():
                 self_scores[wanted] = (vectors * vectors).sum(1)
