@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,24 @@ from lodestone.operators.rows import top_k
 
 #: Questions that one pass over the corpus answers; their vectors are what is broadcast.
 QUESTION_BLOCK = 4096
+#: Pairs of a row's term and a question that a task expands at a time; rows that it scores together.
+EXPANDED, SLICE = 1_000_000, 1_000
 WORD = r"[\p{L}\p{N}]+"
 #: Article numbers: figures parted by full stops.
 NUMBER = r"[0-9]+(?:\.[0-9]+)+"
 
 
+#: Bytes of the questions of a block, as they are sent to tasks.
+BLOCK_BYTES = 32 << 20
+
+
 def question_blocks(questions: DataFrame, columns: list[str], block: int = QUESTION_BLOCK) -> Iterator[list]:
-    """Rows of the question table, at most about ``block`` at a time: an id hash deals them, so a block's size is bounded."""
-    total = questions.count()
-    n = -(-total // block)
+    """Rows of the question table, at most about ``block`` and ``BLOCK_BYTES`` at a time: an id hash deals them.  Rows without an id ask nothing."""
+    asked = questions.filter(F.col(columns[0]).isNotNull()).select(*columns)
+    total, size = asked.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct(*columns))).cast("long"))).first()
+    n = max(-(-total // block), -(-(size or 0) // BLOCK_BYTES))
     for k in range(n):
-        yield questions.filter(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == k).select(*columns).collect()
+        yield asked.filter(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == k).collect()
 
 
 def vector_top_k(questions: DataFrame, items: DataFrame, k: int, dims: int | None = None) -> DataFrame:
@@ -76,21 +84,41 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+#: Rows of a batch, questions of a block and scores of the hits.
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class TermIndex:
-    """Terms of a block of questions: which questions hold each of them."""
+    """Terms of a block of questions: which questions hold each of them, and which terms each question holds."""
 
     def __init__(self, rows: list):
         self.ids = np.array([r["query_id"] for r in rows], np.int64)
-        self.sizes = np.array([len(r["terms"]) for r in rows], np.int64)
-        known: dict[str, list[int]] = {}
-        for q, r in enumerate(rows):
-            for term in r["terms"]:
-                known.setdefault(term, []).append(q)
+        self.sizes = np.array([len(r["terms"] or ()) for r in rows], np.int64)
+        known: dict[str, int] = {}
+        #: Terms of the questions, one question after another.
+        self.held = np.array([known.setdefault(term, len(known)) for r in rows for term in r["terms"] or ()], np.int64)
         self.terms = list(known)
         self.vocabulary = pa.array(self.terms, pa.string())
-        self.many = np.array([len(q) for q in known.values()], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self._post(np.ones(len(self.held), bool))
+
+    def _post(self, kept: np.ndarray) -> None:
+        """Lists of the questions that hold each term, of the places ``kept``."""
+        asker = np.repeat(np.arange(len(self.ids)), self.sizes)[kept]
+        order = np.argsort(self.held[kept], kind="stable")
+        self.holders = asker[order]
+        self.many = np.bincount(self.held[kept], minlength=len(self.terms))
         self.first = np.cumsum(self.many) - self.many
-        self.holders = np.array([q for held in known.values() for q in held], np.int64)
+
+    def rarest(self, lengths: np.ndarray, frequency: np.ndarray) -> TermIndex:
+        """The same index with the lists of each question's rarest terms alone, ``lengths`` of them."""
+        asker = np.repeat(np.arange(len(self.ids)), self.sizes)
+        order = np.lexsort((self.held, frequency[self.held], asker))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - self.starts[asker[order]]
+        out = copy(self)
+        out._post(place < np.repeat(lengths, self.sizes))
+        return out
 
     def occurrences(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, times) of the known terms in each list."""
@@ -101,11 +129,33 @@ class TermIndex:
         return keys // max(len(self.terms), 1), keys % max(len(self.terms), 1), times
 
     def summed(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Matrix of rows and questions: the weights of the terms that both hold."""
+        """Matrix of rows and questions: the weights of the terms that both hold, ``EXPANDED`` pairs at a time."""
+        out = np.zeros(n * len(self.ids))
         many = self.many[term]
-        holder = self.holders[np.repeat(self.first[term] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        key = np.repeat(row, many) * len(self.ids) + holder
-        return np.bincount(key, weights=np.repeat(weight, many), minlength=n * len(self.ids)).reshape(n, len(self.ids))
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(term):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPANDED, "right")))
+            own = many[at:to]
+            holder = self.holders[np.repeat(self.first[term[at:to]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+            np.add.at(out, np.repeat(row[at:to], own) * len(self.ids) + holder, np.repeat(weight[at:to], own))
+            at = to
+        return out.reshape(n, len(self.ids))
+
+    def shared(self, row: np.ndarray, term: np.ndarray, rows: np.ndarray, questions: np.ndarray) -> np.ndarray:
+        """How many terms the row and the question of each pair share; ``row`` and ``rows`` ascend."""
+        out, mark = np.zeros(len(rows), np.int64), np.zeros(len(self.terms), bool)
+        begin, end = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
+        for at in np.flatnonzero(np.diff(rows, prepend=-1)):
+            to = np.searchsorted(rows, rows[at], "right")
+            mine = term[begin[at] : end[at]]
+            mark[mine] = True
+            sizes, starts = self.sizes[questions[at:to]], self.starts[questions[at:to]]
+            ends = np.cumsum(sizes)
+            hit = np.concatenate(([0], np.cumsum(mark[self.held[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]], dtype=np.int64)))
+            out[at:to] = hit[ends] - hit[ends - sizes]
+            mark[mine] = False
+        return out
 
 
 class Best:
@@ -131,13 +181,13 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(self.questions[self.held[0]]), pa.array(self.held[1]), pa.array(self.held[2])], names=["query_id", "id", "score"])
 
 
-def score_blocks(questions: DataFrame, docs: DataFrame, k: int, scored: Callable[[TermIndex, list, pa.RecordBatch], np.ndarray], extra: Callable[[TermIndex], object] = lambda index: None, columns: tuple[str, ...] = ()) -> DataFrame:
+def score_blocks(questions: DataFrame, docs: DataFrame, k: int, scored: Callable[[TermIndex, tuple, pa.RecordBatch], Pairs], extra: Callable[[TermIndex], object] = lambda index: None, columns: tuple[str, ...] = ()) -> DataFrame:
     """``query_id, id, score, rank``: the k best documents of each question.
 
     ``questions(query_id, terms, *columns)`` go in blocks, as index of their
     terms, to all ``docs(id, terms, ...)``.  ``scored`` gives, for an index,
-    what ``extra`` made of it, and some documents, the matrix of their scores
-    for each question of the block, NaN for no hit.  Each task passes on its
+    what ``extra`` made of it, and some documents, the hits among these: row,
+    question of the block and score.  Each task passes on its
     best k for each question: nothing else is shuffled, whatever terms are
     common.
     """
@@ -149,13 +199,12 @@ def score_blocks(questions: DataFrame, docs: DataFrame, k: int, scored: Callable
         def best(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, asked, more = shared.value
             found = Best(index.ids, k)
-            step = max(1, 2_000_000 // max(len(index.ids), 1))
+            step = max(1, min(SLICE, EXPANDED // max(len(index.ids), 1)))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    scores = scored(index, (asked, more), part)
-                    row, question = np.nonzero(~np.isnan(scores))
-                    found.add(question, part.column("id").to_numpy()[row], scores[row, question])
+                    row, question, scores = scored(index, (asked, more), part)
+                    found.add(question, part.column("id").to_numpy()[row], scores)
             yield found.batch()
 
         part = docs.mapInArrow(best, "query_id long, id long, score double")
@@ -167,28 +216,27 @@ def score_blocks(questions: DataFrame, docs: DataFrame, k: int, scored: Callable
     return top_k(single, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def _terms(questions: DataFrame, most: int | None = None, least_chars: int = 0) -> DataFrame:
+def _terms(questions: DataFrame, least_chars: int = 0) -> DataFrame:
     terms = F.array_distinct(words(F.col("text")))
-    if most is not None:
-        terms = F.slice(terms, 1, most)
     return questions.select("query_id", F.filter(terms, lambda t: F.length(t) > least_chars).alias("terms"))
 
 
-def full_text(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, most_terms: int | None = None, title_weight: float = 1.0, body_weight: float = 0.4) -> DataFrame:
-    """``query_id, id, score, rank``: documents that hold all terms of a question (its first ``most_terms``), by a closed form of BM25F.
+def full_text(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, title_weight: float = 1.0, body_weight: float = 0.4) -> DataFrame:
+    """``query_id, id, score, rank``: documents that hold all terms of a question, by a closed form of BM25F.
 
     The title is the first line.  A term's weighted count w adds
     ``ln(1 + (N - n + 0.5) / (n + 0.5)) * 2.2 w / (w + 1.2)``; the sum over 10,
     at most 1, is the score.  One pass counts the documents n of each asked
-    term, a second one scores.
+    term.  A second one looks at documents that hold a question's rarest term,
+    and scores those that hold all.
     """
-    asked = _terms(questions, most_terms)
+    asked = _terms(questions)
     both = words(F.col(text))
     title = words(F.regexp_extract(text, r"^([^\n]*)", 1))
     rows = spread(docs.select(doc_id, text)).select(F.col(doc_id).cast("long").alias("id"), both.alias("terms"), title.alias("title"))
     total = docs.count()
 
-    def rarity(index: TermIndex) -> np.ndarray:
+    def rarity(index: TermIndex) -> tuple[np.ndarray, TermIndex]:
         vocabulary = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
 
         def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,22 +254,29 @@ def full_text(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
         counts = rows.select("terms").mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         n = np.zeros(len(index.terms))
         n[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
-        return np.log(1 + (total - n + 0.5) / (n + 0.5))
+        return np.log(1 + (total - n + 0.5) / (n + 0.5)), index.rarest(np.ones(len(index.ids), np.int64), n)
 
-    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> np.ndarray:
-        n, idf = batch.num_rows, asked[1]
+    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> Pairs:
+        idf, rarest = asked[1]
         row, term, times = index.occurrences(batch.column("terms"))
+        near_row, near_question = np.nonzero(rarest.summed(batch.num_rows, row, term, np.ones(len(row))))
+        hit = index.shared(row, term, near_row, near_question) == index.sizes[near_question]
+        near_row, near_question = near_row[hit], near_question[hit]
+        some = np.isin(row, near_row)
+        row, term, times = row[some], term[some], times[some]
         head_row, head_term, head_times = index.occurrences(batch.column("title"))
-        width = max(len(index.terms), 1)
+        width, own = max(len(index.terms), 1), np.isin(head_row, near_row)
         in_title = np.zeros(len(row), np.int64)
-        in_title[np.searchsorted(row * width + term, head_row * width + head_term)] = head_times
+        in_title[np.searchsorted(row * width + term, head_row[own] * width + head_term[own])] = head_times[own]
         weight = in_title * title_weight + (times - in_title) * body_weight
         part = idf[term] * 2.2 * weight / (weight + 1.2)
-        met = index.summed(n, row, term, np.ones(len(row)))
-        hit = (met == index.sizes) & (index.sizes > 0)
-        some = hit.any(1)[row]  # few texts hold all terms of a question
-        sums = index.summed(n, row[some], term[some], part[some])
-        return np.where(hit, np.round(np.minimum(sums / 10, 1), 6), np.nan)
+        # all terms of the question are there, so each is found in the row's
+        sizes = index.sizes[near_question]
+        ends = np.cumsum(sizes)
+        held = index.held[np.repeat(index.starts[near_question] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        at = np.searchsorted(row * width + term, np.repeat(near_row, sizes) * width + held)
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), part[at], len(sizes))
+        return near_row, near_question, np.round(np.minimum(sums / 10, 1), 6)
 
     return score_blocks(asked, rows, k, scored, rarity)
 
@@ -236,27 +291,42 @@ def trigrams(text: Column) -> Column:
 def trigram_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, threshold: float = 0.3) -> DataFrame:
     """``query_id, id, score, rank``: the k ids of highest trigram similarity (shared over all distinct trigrams), the best row of an id counting.
 
-    A row is a hit above ``threshold``, or if it contains the question, in any case.
+    A row is a hit above ``threshold``, or if it contains the question, in any
+    case.  Rows meet a question by its rarest trigrams; those that cannot share
+    enough, by the numbers of trigrams of both, are not looked at further.
     """
     asked = questions.select("query_id", trigrams(F.col("text")).alias("terms"), F.lower("text").alias("low"))
     rows = spread(docs.select(doc_id, text)).select(F.col(doc_id).cast("long").alias("id"), trigrams(F.col(text)).alias("terms"), F.lower(text).alias("low"))
     #: Trigrams of a question that a text which contains it may lack: its outer words may go on there.
     outer = 6
 
-    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> np.ndarray:
+    def rare(index: TermIndex) -> tuple[TermIndex, np.ndarray]:
+        """Lists of the trigrams of which a hit holds one at least, and how many each question has besides."""
+        n = index.sizes
+        # a hit shares more than threshold * n, or all but ``outer``
+        lengths = np.minimum(n, np.maximum(n - np.ceil(threshold * n).astype(np.int64) + 1, outer + 1))
+        return index.rarest(lengths, index.many), n - lengths
+
+    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> Pairs:
+        rarest, besides = asked[1]
         row, term, _ = index.occurrences(batch.column("terms"))
-        shared = index.summed(batch.num_rows, row, term, np.ones(len(row)))
-        own = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False)[:, None]
-        score = np.round(shared / np.maximum(own + index.sizes - shared, 1), 6)
+        own = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False)
+        first = rarest.summed(batch.num_rows, row, term, np.ones(len(row)))
+        # what is shared at most: the rare ones found and all others; s / (m + n - s) > t asks for s > t (m + n) / (1 + t)
+        most = first + besides
+        near = (first > 0) & ((most * (1 + threshold) >= threshold * (own[:, None] + index.sizes) - 1e-6) | (most >= index.sizes - outer))
+        near_row, near_question = np.nonzero(near)
+        shared = index.shared(row, term, near_row, near_question)
+        sizes = index.sizes[near_question]
+        score = np.round(shared / np.maximum(own[near_row] + sizes - shared, 1), 6)
         hit = score > threshold
-        near_row, near_question = np.nonzero(~hit & (shared >= index.sizes - outer))
         texts = batch.column("low")
-        for r, q in zip(near_row.tolist(), near_question.tolist(), strict=True):
-            low = asked[0][q][0]
-            hit[r, q] = bool(low) and low in (texts[r].as_py() or "")
-        return np.where(hit, score, np.nan)
+        for i in np.flatnonzero(~hit & (shared >= sizes - outer)).tolist():
+            low = asked[0][near_question[i]][0]
+            hit[i] = bool(low) and low in (texts[int(near_row[i])].as_py() or "")
+        return near_row[hit], near_question[hit], score[hit]
 
-    return score_blocks(asked, rows, k, scored, columns=("low",))
+    return score_blocks(asked, rows, k, scored, rare, columns=("low",))
 
 
 def phrase_search(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
@@ -283,10 +353,11 @@ def term_frequency_search(questions: DataFrame, docs: DataFrame, doc_id: str, te
     """``query_id, id, score, rank``: sum of count times length over the distinct terms longer than two characters, over 100, at most 1."""
     rows = spread(docs.select(doc_id, text)).select(F.col(doc_id).cast("long").alias("id"), words(F.col(text)).alias("terms"))
 
-    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> np.ndarray:
+    def scored(index: TermIndex, asked: tuple, batch: pa.RecordBatch) -> Pairs:
         row, term, times = index.occurrences(batch.column("terms"))
         sums = index.summed(batch.num_rows, row, term, (times * asked[1][term]).astype(float))
-        return np.where(sums > 0, np.round(np.minimum(sums / 100, 1), 6), np.nan)
+        near = np.nonzero(sums)
+        return *near, np.round(np.minimum(sums[near] / 100, 1), 6)
 
     return score_blocks(_terms(questions, least_chars=2), rows, k, scored, lambda index: np.array([len(t) for t in index.terms], np.int64))
 

@@ -79,23 +79,18 @@ def _top(body, k):
     return f"SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({body})) WHERE rank <= {k}"
 
 
-FULL_SQL = rf"""{_asked()}, {_asked("short", 3)}, split AS (SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS title, text FROM documents),
+FULL_SQL = rf"""{_asked()}, split AS (SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS title, text FROM documents),
 w AS (SELECT doc_id, unnest({WORDS_SQL.format("title")}) AS term, 1.0::DOUBLE AS w FROM split UNION ALL SELECT doc_id, unnest({WORDS_SQL.format("substr(text, length(title) + 1)")}), 0.4::DOUBLE FROM split),
 held AS (SELECT doc_id, term, sum(w) AS w FROM w WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
 idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM held GROUP BY term)"""
 _FULL = """SELECT query_id, doc_id AS id, round(least(sum(idf * 2.2 * w / (w + 1.2)) / 10, 1), 6) AS score FROM {0} JOIN held USING (term) JOIN idf USING (term)
 GROUP BY query_id, doc_id, n_terms HAVING count(*) = n_terms"""
-FULL_HITS = _top(f"""SELECT * FROM ({_FULL.format("asked")}) UNION ALL SELECT * FROM ({_FULL.format("short")})
-WHERE query_id NOT IN (SELECT query_id FROM ({_FULL.format("asked")}))""", 20)
+FULL_HITS = _top(_FULL.format("asked"), 20)
 
 
 @query(f"WITH {FULL_SQL} {FULL_HITS}")
 def rtv_4_full_text(spark, sf_dir):
-    """Documents with all terms of a question; for questions without any, those with its first three terms."""
-    questions, docs = _questions(spark, sf_dir), table(spark, sf_dir, "documents")
-    whole = stored(rt.full_text(questions, docs, "doc_id", "text", 20))
-    open_ = questions.join(whole.select("query_id"), "query_id", "left_anti")
-    return whole.unionByName(rt.full_text(open_, docs, "doc_id", "text", 20, most_terms=3))
+    return rt.full_text(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", 20)
 
 
 GRAMS_SQL = f"""list_distinct(flatten(list_transform({WORDS_SQL}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INT), 3)))))"""
@@ -459,8 +454,8 @@ def res_10_strength_vote(spark, sf_dir):
 
 @query()
 def answer_questions(spark, sf_dir):
-    """The whole path: full text and trigram lists of each question, fused, gated, cut to one citation a source."""
-    full, grams = stored(rtv_4_full_text(spark, sf_dir)), stored(rtv_5_trigram(spark, sf_dir))
+    """The whole path: full text (or, for few hits, term frequency) and trigram lists of each question, fused, gated, cut to one citation a source."""
+    full, grams = stored(rtv_12_fallback(spark, sf_dir)), stored(rtv_5_trigram(spark, sf_dir))
     fused_lists = fs.reciprocal_rank_fusion(full, grams)
     scored = fs.adaptive_score(fused_lists, full).select("query_id", "id", "score")
     gated = fs.candidate_gate(scored)
