@@ -6,8 +6,8 @@ source.  When the block is full it is spilled as a run: cut into hash shards,
 sorted by term and passed on in segments.  A shard's task gets the segments of
 all runs in order of their first terms, so it opens a segment when the merge
 arrives there, and merges the open ones with a heap into frequencies.  What is
-shuffled are counts, a third of all rows in one source or one word in every
-document add no more than a number to a run.
+shuffled are counts: a third of all rows in one source, or one word in every
+document, add no more than a number to a run.
 
 A term's share in a source is an integer, ``1 + floor(10 ** 9 * (count +
 smoothing) / (N + smoothing * V))``, over the V terms that its language keeps.
@@ -30,6 +30,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,11 @@ from lodestone.llm.store import stored
 #: Bytes of a block of postings, and what an entry counts besides its term.
 BLOCK_BYTES, ENTRY_BYTES = 96 << 20, 120
 #: Terms and bytes of a segment; bytes of a text that are split into terms at a time.
-SEGMENT_TERMS, SEGMENT_BYTES, PART_BYTES = 512, 256 << 10, 1 << 20
-#: Sums of source pairs that a task holds; rows of frequencies that one task corrects them by.
-TILE, TASK_ROWS = 1 << 20, 200_000
-UNIT = 1_000_000_000
+SEGMENT_TERMS, SEGMENT_BYTES, PART_BYTES = 4096, 256 << 10, 1 << 20
+#: Sums of source pairs that a task holds; counts of terms that one task corrects them by, about.
+TILE, TASK_ENTRIES = 1 << 20, 500_000
+#: Of shares; and counts from which the product exceeds a long.
+UNIT, LARGEST = 1_000_000_000, 9_000_000_000
 #: A-Z to lower case; what is ASCII and no letter parts terms.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -92,41 +94,48 @@ class Block:
             self.bytes += grown * ENTRY_BYTES + min(grown * max(map(len, distinct)), len(text))
 
     def spill(self) -> Iterator[pa.RecordBatch]:
-        """The block as a run: segments in order of (shard, language, term)."""
+        """The block as a run: segments in order of (shard, term), a language at a time."""
         for language in sorted(self.documents):
-            postings: dict[bytes, list[tuple[bytes, int]]] = {}
-            for source, counts in sorted(self.counts[language].items()):
-                for term, n in counts.items():
-                    postings.setdefault(term, []).append((source, n))
-            dealt: dict[int, list[bytes]] = {}
-            salt = zlib.crc32(language)
-            for term in postings:
-                dealt.setdefault(zlib.crc32(term, salt) % self.shards, []).append(term)
-            documents = self.documents[language]
-            for shard in sorted(dealt):
-                for terms in segments(sorted(dealt[shard])):
-                    lists = [postings[t] for t in terms]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([shard], pa.int32()), pa.array([language], pa.binary()), pa.array([terms[0]], pa.binary()), pa.array([terms], pa.list_(pa.binary())),
-                        pa.array([[documents[t] for t in terms]], pa.list_(pa.int64())), pa.array([[len(p) for p in lists]], pa.list_(pa.int32())),
-                        pa.array([[s for p in lists for s, _ in p]], pa.list_(pa.binary())), pa.array([[n for p in lists for _, n in p]], pa.list_(pa.int64())),
-                    ], names=["shard", "lang", "first", "terms", "documents", "sizes", "sources", "counts"])
+            documents, salt = self.documents[language], zlib.crc32(language)
+            terms = sorted(documents)
+            shards = np.fromiter((zlib.crc32(term, salt) for term in terms), np.uint32, len(terms)) % self.shards
+            order = np.argsort(shards, kind="stable")
+            shards, terms = shards[order].tolist(), [terms[i] for i in order.tolist()]
+            place = dict(zip(terms, range(len(terms)), strict=True))
+            names = sorted(self.counts[language])
+            held = [self.counts[language][name] for name in names]
+            sizes = [len(c) for c in held]
+            at = np.fromiter(map(place.__getitem__, chain.from_iterable(held)), np.int64, sum(sizes))
+            n = np.fromiter(chain.from_iterable(c.values() for c in held), np.int64, sum(sizes))
+            order = np.argsort(at, kind="stable")
+            source, n = np.repeat(np.arange(len(names)), sizes)[order], n[order]
+            entries = np.bincount(at, minlength=len(terms))
+            ends = np.cumsum(entries)
+            for first, last in segments(shards, terms):
+                mine = terms[first:last]
+                begin, end = ends[first] - entries[first], ends[last - 1]
+                own, inside = np.unique(source[begin:end], return_inverse=True)
+                columns = (
+                    ([shards[first]], pa.int32()), ([language], pa.binary()), ([mine[0]], pa.binary()), ([mine], pa.list_(pa.binary())), ([list(map(documents.__getitem__, mine))], pa.list_(pa.int64())),
+                    ([entries[first:last]], pa.list_(pa.int32())), ([[names[i] for i in own]], pa.list_(pa.binary())), ([inside], pa.list_(pa.int32())), ([n[begin:end]], pa.list_(pa.int64())),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["shard", "lang", "first", "terms", "documents", "sizes", "names", "sources", "counts"])
         self.clear()
 
 
-def segments(terms: list[bytes]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for term in terms:
-        if held and (len(held) >= SEGMENT_TERMS or size + len(term) > SEGMENT_BYTES):
-            yield held
-            held, size = [], 0
-        held.append(term)
+def segments(shards: list[int], terms: list[bytes]) -> Iterator[tuple[int, int]]:
+    """``first, last`` of the slices that make a segment each."""
+    first = size = 0
+    for i, (shard, term) in enumerate(zip(shards, terms, strict=True)):
+        if i > first and (shard != shards[first] or i - first >= SEGMENT_TERMS or size + len(term) > SEGMENT_BYTES):
+            yield first, i
+            first, size = i, 0
         size += len(term)
-    if held:
-        yield held
+    if terms:
+        yield first, len(terms)
 
 
-RUN = "shard int, lang binary, first binary, terms array<binary>, documents array<bigint>, sizes array<int>, sources array<binary>, counts array<bigint>"
+RUN = "shard int, lang binary, first binary, terms array<binary>, documents array<bigint>, sizes array<int>, names array<binary>, sources array<int>, counts array<bigint>"
 
 
 def runs(docs: DataFrame, shards: int, lang: str = "lang", source: str = "source", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -135,7 +144,7 @@ def runs(docs: DataFrame, shards: int, lang: str = "lang", source: str = "source
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(shards)
         for batch in small(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), strict=True):
                 block.add(*row)
                 if block.bytes >= block_bytes:
                     yield from block.spill()
@@ -145,129 +154,172 @@ def runs(docs: DataFrame, shards: int, lang: str = "lang", source: str = "source
     return docs.select(*plain).mapInArrow(read, RUN)
 
 
-def merged(segments: Iterable[dict]) -> Iterator[tuple[bytes, bytes, int, dict[bytes, int]]]:
-    """``language, term, documents, counts by source`` from segments that come in order of (shard, language, first term)."""
-    heap: list = []
-    key, documents, counts = None, 0, {}
-
-    def drain(until: tuple | None):
-        nonlocal key, documents, counts
-        while heap and (until is None or heap[0][0] < until):
-            at, no, segment, i, j = heap[0]
-            if at != key:
-                if key is not None:
-                    yield (*key[1:], documents, counts)
-                key, documents, counts = at, 0, {}
-            documents += segment["documents"][i]
-            end = j + segment["sizes"][i]
-            for s, n in zip(segment["sources"][j:end], segment["counts"][j:end], strict=True):
-                counts[s] = counts.get(s, 0) + n
-            if i + 1 < len(segment["terms"]):
-                heapq.heapreplace(heap, ((*at[:2], segment["terms"][i + 1]), no, segment, i + 1, end))
+class Segment:
+    """A segment that the merge has opened, and where it stands in it."""
+
+    def __init__(self, row: dict):
+        self.terms = row["terms"].to_numpy(zero_copy_only=False).tolist()
+        self.documents = row["documents"].to_numpy().tolist()
+        self.sizes = row["sizes"].to_numpy()
+        self.ends = np.cumsum(self.sizes)
+        self.names = row["names"].to_numpy(zero_copy_only=False).tolist()
+        self.sources, self.counts = row["sources"].to_numpy(), row["counts"].to_numpy()
+        self.at = 0
+        #: Numbers of the terms passed since the last table, by their places in it.
+        self.passed: list[int] = []
+
+
+class Merge:
+    """Heap-merge of the runs of a shard: terms in order, with the sums of their postings."""
+
+    def __init__(self, fewest: int, most: int = 10_000):
+        self.fewest, self.most = fewest, most
+        self.heap: list = []
+        self.used: list[Segment] = []
+        self.terms: list[bytes] = []
+        self.documents: list[int] = []
+
+    def open(self, no: int, segment: Segment) -> None:
+        heapq.heappush(self.heap, (segment.terms[0], no, segment))
+        self.used.append(segment)
+
+    def advance(self, until: bytes | None) -> Iterator[tuple[list[bytes], list[list[bytes]], list[np.ndarray]]]:
+        """``terms, names, counts`` of what is complete once all terms below ``until`` have passed."""
+        while self.heap and (until is None or self.heap[0][0] < until):
+            term, no, segment = self.heap[0]
+            if not self.terms or self.terms[-1] != term:
+                if len(self.terms) >= self.most:
+                    yield self.table()
+                self.terms.append(term)
+                self.documents.append(0)
+            self.documents[-1] += segment.documents[segment.at]
+            segment.passed.append(len(self.terms) - 1)
+            segment.at += 1
+            if segment.at < len(segment.terms):
+                heapq.heapreplace(self.heap, (segment.terms[segment.at], no, segment))
             else:
-                heapq.heappop(heap)
-
-    for no, segment in enumerate(segments):
-        first = (segment["shard"], segment["lang"], segment["first"])
-        yield from drain(first)
-        heapq.heappush(heap, (first, no, segment, 0, 0))
-    yield from drain(None)
-    if key is not None:
-        yield (*key[1:], documents, counts)
-
-
-def frequencies(docs: DataFrame, fewest: int = 30, shards: int | None = None, **names) -> DataFrame:
-    """``lang, term, source, n, total, head``: occurrences of each term of at least ``fewest`` documents, of its language in all, and 1 on one row of a term; the empty term has a row for each group."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 4 * partitions
+                heapq.heappop(self.heap)
+        if until is None and self.terms:
+            yield self.table()
+
+    def table(self) -> tuple[list[bytes], list[list[bytes]], list[np.ndarray]]:
+        """Sums the postings of the terms that have passed; those of too few documents are left out."""
+        names = sorted({name for s in self.used for name in s.names})
+        number = {name: i for i, name in enumerate(names)}
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in self.used:
+            if s.passed:
+                first = s.at - len(s.passed)
+                begin, end = s.ends[first] - s.sizes[first], s.ends[s.at - 1]
+                own = np.array([number[name] for name in s.names])[s.sources[begin:end]]
+                keys.append(np.repeat(s.passed, s.sizes[first : s.at]) * len(names) + own)
+                counts.append(s.counts[begin:end])
+                s.passed = []
+        self.used = [s for s in self.used if s.at < len(s.terms)]
+        found, where = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.zeros(len(found), np.int64)
+        np.add.at(sums, where, np.concatenate(counts))
+        ends = np.searchsorted(found, np.arange(1, len(self.terms) + 1) * len(names)).tolist()
+        out: tuple[list, list, list] = ([], [], [])
+        begin = 0
+        for term, documents, end in zip(self.terms, self.documents, ends, strict=True):
+            if documents >= self.fewest or not term:
+                out[0].append(term)
+                out[1].append([names[i] for i in (found[begin:end] % len(names)).tolist()])
+                out[2].append(sums[begin:end])
+            begin = end
+        self.terms, self.documents = [], []
+        return out
+
+
+def merged(rows: Iterable[dict], fewest: int) -> Iterator[tuple[bytes, list[bytes], list[list[bytes]], list[np.ndarray]]]:
+    """``language, terms, sources, counts`` from segments that come in order of (shard, language, first term)."""
+    at, merge = None, Merge(fewest)
+    for no, row in enumerate(rows):
+        if (row["shard"], row["lang"]) != at:
+            for table in merge.advance(None):
+                yield at[1], *table
+            at = (row["shard"], row["lang"])
+        else:
+            for table in merge.advance(row["first"]):
+                yield at[1], *table
+        merge.open(no, Segment(row))
+    for table in merge.advance(None):
+        yield at[1], *table
+
+
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of the batches; lists stay Arrow arrays."""
+    for batch in small(batches, 64):
+        for i in range(batch.num_rows):
+            yield {name: c[i].values if pa.types.is_list(c.type) else c[i].as_py() for name, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def frequencies(docs: DataFrame, fewest: int = 30, **names) -> DataFrame:
+    """``lang, term, sources, counts``: the sources that hold each term of at least ``fewest`` documents and how often; the empty term counts the documents of each source."""
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spilled = stored(runs(docs, shards, **names), "runs")
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[] for _ in range(6)]
-
-        def batch() -> pa.RecordBatch:
-            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "term", "source", "n", "total", "head"])
-            for c in columns:
-                c.clear()
-            return out
-
-        for language, term, documents, counts in merged(s for b in small(batches, 64) for s in b.to_pylist()):
-            if term and documents < fewest:
-                continue
-            total, head = sum(counts.values()), 1
-            for source, n in counts.items():
-                for c, value in zip(columns, (language, term, source, n, total, head), strict=True):
-                    c.append(value)
-                head = 0
-            if len(columns[0]) >= 10_000:
-                yield batch()
-        yield batch()
-
-    ordered = spilled.repartition(min(shards, partitions), "shard").sortWithinPartitions("shard", "lang", "first")
-    found = ordered.mapInArrow(merge, "lang binary, term binary, source binary, n bigint, total bigint, head int")
-    return stored(found.select(*(F.col(c).cast("string").alias(c) for c in ("lang", "term", "source")), "n", "total", "head"), "frequencies")
+        for language, terms, sources, counts in merged(rows_of(batches), fewest):
+            columns = [pa.array([language] * len(terms), pa.binary()), pa.array(terms, pa.binary()), pa.array(sources, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "sources", "counts"])
+
+    ordered = spilled.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "first")
+    found = ordered.mapInArrow(merge, "lang binary, term binary, sources array<binary>, counts array<bigint>")
+    plain = [F.col("lang").cast("string").alias("lang"), F.col("term").cast("string").alias("term"), F.col("sources").cast("array<string>").alias("sources"), "counts"]
+    return stored(found.select(*plain), "frequencies")
 
 
 def share(count: Column, total: Column, terms: Column, smoothing: int) -> Column:
-    """The integer share of a term."""
-    more = (count + smoothing).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return 1 + F.call_function("div", more, (total + smoothing * terms).cast("decimal(20,0)"))
+    """The integer share of a term; in decimals where the product exceeds a long."""
+    parts = total + smoothing * terms
+    wide = (count + smoothing).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
+    return 1 + F.when(count < LARGEST, F.call_function("div", (count + smoothing) * UNIT, parts)).otherwise(F.call_function("div", wide, parts.cast("decimal(20,0)")))
 
 
 def _groups(found: DataFrame, smoothing: int) -> DataFrame:
-    """``lang, source, no, n_sources, total, terms, lang_total, absent``: a row for each occurring group, numbered within its language."""
+    """``lang, source, no, n_sources, total, terms, lang_total, n_rows``: a row for each occurring group, numbered within its language."""
     kept = found.filter("term <> ''")
-    by_lang = kept.groupBy("lang").agg(F.sum("head").alias("terms"), F.sum(F.col("head") * F.col("total")).alias("lang_total"), F.count(F.lit(1)).alias("n_rows"))
-    by_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    numbered = found.filter("term = ''").select("lang", "source").join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left").na.fill(0)
+    by_group = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("total"))
+    by_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
+    occurring = found.filter("term = ''").select("lang", F.explode("sources").alias("source"))
+    numbered = occurring.join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left").na.fill(0)
     own = Window.partitionBy("lang")
-    out = numbered.withColumns({"no": F.row_number().over(own.orderBy("source")) - 1, "n_sources": F.count(F.lit(1)).over(own)})
-    absent = F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.col("terms"), smoothing)).otherwise(0)
-    return stored(out.withColumn("absent", absent), "groups")
+    return stored(numbered.withColumns({"no": F.row_number().over(own.orderBy("source")) - 1, "n_sources": F.count(F.lit(1)).over(own), "lang_total": F.sum("total").over(own)}), "groups")
+
 
+def pair_sums(kept: DataFrame, groups: DataFrame, smoothing: int) -> DataFrame:
+    """``lang, no, other, value``: the distance of each two sources of a language, from ``kept(lang, term, sources, counts)``.
 
-def pair_sums(priced: DataFrame, groups: DataFrame) -> DataFrame:
-    """``lang, no, other, value``: the distance of each two sources of a language, from ``priced(lang, term, no, p)``."""
+    A language's sources are cut into tiles and its terms dealt to some tasks
+    each; a task gets the language's sources first and then a term a row.
+    """
     rows = lambda n: F.greatest(F.lit(1), F.floor(F.lit(TILE) / n)).cast("int")  # noqa: E731  sources of a tile
-    about = groups.groupBy("lang").agg(F.max("n_sources").alias("n"), F.max("terms").alias("terms"), F.max("n_rows").alias("n_rows"), F.transform(F.array_sort(F.collect_list(F.struct("no", "absent"))), lambda x: x["absent"]).alias("absent"))
-    about = about.withColumns({"tiles": F.ceil(F.col("n") / rows(F.col("n"))).cast("int"), "salts": F.greatest(F.lit(1), F.ceil(F.col("n_rows") / TASK_ROWS)).cast("int")})
+    ordered = F.array_sort(F.collect_list(F.struct("no", "source", "total")))
+    about = groups.groupBy("lang").agg(F.max("n_sources").alias("n"), F.max("terms").alias("terms"), ordered.alias("o"))
+    about = about.select("lang", "n", "terms", F.col("o.source").alias("sources"), F.col("o.total").alias("totals"))
+    about = about.withColumns({"tiles": F.ceil(F.col("n") / rows(F.col("n"))).cast("int"), "salts": F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("terms") / TASK_ENTRIES)).cast("int")})
     ranges = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
     heads = about.select("*", ranges).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    none = lambda kind: F.lit(None).cast(kind)
-    heads = heads.select("lang", "tile", "salt", none("string").alias("term"), F.col("terms").alias("no"), rows(F.col("n")).cast("long").alias("p"), "absent")
-    lines = priced.join(about.select("lang", "tiles", "salts"), "lang").select("*", ranges)
-    lines = lines.select("lang", "tile", F.pmod(F.xxhash64("term"), "salts").cast("int").alias("salt"), "term", F.col("no").cast("long").alias("no"), "p", none("array<bigint>").alias("absent"))
+    heads = heads.select("lang", "tile", "salt", rows(F.col("n")).alias("rows"), "terms", "sources", F.col("totals").alias("counts"))
+    salt = F.pmod(F.xxhash64("term"), "salts").cast("int").alias("salt")
+    lines = kept.join(about.select("lang", "tiles", "salts"), "lang").select("*", ranges).select("lang", "tile", salt, F.lit(0).alias("rows"), F.lit(0).cast("long").alias("terms"), "sources", "counts")
 
     def correct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = term = tile = None
-        held: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if held:
-                tile.add(np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64))
-                held.clear()
-
-        for batch in small(batches, 4096):
-            for lang, number, salt, own, no, p, absent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, number, salt) != at:
-                    close()
-                    if tile is not None:
-                        yield from tile.batches(at[0])
-                    at, term = (lang, number, salt), None
-                    tile = Tile(np.array(absent, np.int64), number * p, p, no if salt == 0 else 0)
-                    continue
-                if own != term:
-                    close()
-                    term = own
-                held.append((no, p))
-        close()
+        tile = None
+        for row in rows_of(batches):
+            if row["rows"]:
+                if tile is not None:
+                    yield from tile.batches()
+                tile = Tile(row["lang"], row["sources"].to_pylist(), row["counts"].to_numpy(), row["terms"], smoothing, row["tile"] * row["rows"], row["rows"], row["salt"] == 0)
+            else:
+                tile.add(row["sources"].to_pylist(), row["counts"].to_numpy())
         if tile is not None:
-            yield from tile.batches(at[0])
+            yield from tile.batches()
 
     keys = ["lang", "tile", "salt"]
-    dealt = heads.unionByName(lines).repartition(*keys).sortWithinPartitions(*keys, F.col("term").asc_nulls_first(), "no")
+    dealt = heads.unionByName(lines).repartition(*keys).sortWithinPartitions(*keys, F.desc("rows"))
     sums = dealt.mapInArrow(correct, "lang string, no int, other int, value bigint")
     return sums.groupBy("lang", "no", "other").agg(F.sum("value").alias("value"))
 
@@ -275,14 +327,25 @@ def pair_sums(priced: DataFrame, groups: DataFrame) -> DataFrame:
 class Tile:
     """Sums of absolute differences between some sources of a language and all of them."""
 
-    def __init__(self, absent: np.ndarray, first: int, rows: int, terms: int):
-        self.absent, self.first = absent, first
-        self.own = absent[first : first + rows]
-        self.plain = np.abs(self.own[:, None] - absent[None, :])
-        self.sums = terms * self.plain
-
-    def add(self, holders: np.ndarray, shares: np.ndarray) -> None:
-        """Correct the sums by a term that ``holders`` hold: all rows where a column holds it, then rows that hold it where none does."""
+    def __init__(self, lang: str, sources: list[str], totals: np.ndarray, terms: int, smoothing: int, first: int, rows: int, whole: bool):
+        self.lang, self.smoothing, self.first = lang, smoothing, first
+        self.number = {name: i for i, name in enumerate(sources)}
+        self.parts = totals + smoothing * terms
+        self.absent = self.shares(np.zeros(len(totals), np.int64), self.parts) if terms else np.zeros(len(totals), np.int64)
+        self.own = self.absent[first : first + rows]
+        self.plain = np.abs(self.own[:, None] - self.absent[None, :])
+        # one of the tasks that share a tile's terms begins with the distances that all terms would add if none were there
+        self.sums = self.plain * (terms if whole else 0)
+
+    def shares(self, counts: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        if counts.max(initial=0) >= LARGEST:
+            counts = counts.astype(object)
+        return (1 + (counts + self.smoothing) * UNIT // parts).astype(np.int64)
+
+    def add(self, names: list[str], counts: np.ndarray) -> None:
+        """Correct the sums by a term: all rows where a column holds it, then rows that hold it where none does."""
+        holders = np.array([self.number[name] for name in names])
+        shares = self.shares(counts, self.parts[holders])
         now = self.absent.copy()
         now[holders] = shares
         mine = now[self.first : self.first + len(self.own)]
@@ -292,7 +355,7 @@ class Tile:
         more[:, holders] = 0
         self.sums[inside] += more
 
-    def batches(self, lang: str, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    def batches(self, most: int = 100_000) -> Iterator[pa.RecordBatch]:
         rows, columns = self.sums.shape
         step = max(1, most // max(columns, 1))
         for at in range(0, rows, step):
@@ -300,18 +363,20 @@ class Tile:
             no, other = (x.ravel() for x in np.indices(part.shape))
             no = no + at + self.first
             apart = no != other
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * int(apart.sum()), pa.string()), pa.array(no[apart].astype(np.int32)), pa.array(other[apart].astype(np.int32)), pa.array(part.ravel()[apart])], names=["lang", "no", "other", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * int(apart.sum()), pa.string()), pa.array(no[apart].astype(np.int32)), pa.array(other[apart].astype(np.int32)), pa.array(part.ravel()[apart])], names=["lang", "no", "other", "value"])
 
 
 def audit(docs: DataFrame, fewest: int = 30, smoothing: int = 5, most_terms: int = 50, **names) -> DataFrame:
     """``lang, source, part, item, value, rank``: the distances of a source from each other one of its language (``pair``) and the terms it uses more than the language (``term``, the first ``most_terms``)."""
     found = frequencies(docs, fewest, **names)
-    groups = _groups(found, smoothing)
-    kept = found.filter("term <> ''").join(groups.select("lang", "source", "no", F.col("total").alias("group_total"), "terms", "lang_total"), ["lang", "source"])
-    priced = kept.select("lang", "source", "term", "no", share(F.col("n"), F.col("group_total"), F.col("terms"), smoothing).alias("p"), share(F.col("total"), F.col("lang_total"), F.col("terms"), smoothing).alias("q"))
+    groups, kept = _groups(found, smoothing), found.filter("term <> ''")
+    whole = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+    single = kept.select("lang", "term", whole.alias("n_lang"), F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("lang", "term", "n_lang", F.col("x.sources").alias("source"), F.col("x.counts").alias("n"))
+    joined = single.join(groups.select("lang", "source", "total", "terms", "lang_total"), ["lang", "source"])
+    priced = joined.withColumns({"p": share(F.col("n"), F.col("total"), F.col("terms"), smoothing), "q": share(F.col("n_lang"), F.col("lang_total"), F.col("terms"), smoothing)})
     above = priced.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     named = lambda no, name: groups.select("lang", F.col("no").alias(no), F.col("source").alias(name))
-    pairs = pair_sums(priced.select("lang", "term", "no", "p"), groups).join(named("no", "source"), ["lang", "no"]).join(named("other", "item"), ["lang", "other"])
+    pairs = pair_sums(kept, groups, smoothing).join(named("no", "source"), ["lang", "no"]).join(named("other", "item"), ["lang", "other"])
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     first = above.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_terms)

@@ -49,6 +49,7 @@ def brute_top(rows, k, scale):
 def test_top_k_matches_brute_force(odd_vectors, monkeypatch, block, resolve, questions):
     df, rows = odd_vectors
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "FIRST", min(block, 5))
     monkeypatch.setattr(topk, "RESOLVE", resolve)
     found = topk.exact_top_k(df.filter("vec_id % 50 = 0"), df, 5, 256, block=questions)
     assert Counter(map(tuple, found.collect())) == brute_top(rows, 5, 256)
@@ -57,13 +58,17 @@ def test_top_k_matches_brute_force(odd_vectors, monkeypatch, block, resolve, que
 def test_lists_find_the_best_without_reading_all():
     rng = np.random.default_rng(5)
     matrix = np.floor(256 * rng.normal(0, 0.125, (3000, 64))).astype(np.int64)
-    lists = topk.Lists(np.arange(3000), matrix)
-    for q in matrix[:40]:
-        order = np.lexsort((np.arange(3000), -(matrix @ q)))[:6]
-        for floor in (-np.inf, float((matrix @ q)[order[-1]])):
-            ids, scores = lists.best(q, 6, floor)
-            assert (scores == matrix[ids] @ q).all() and set(order) <= set(ids.tolist())
-        assert len(ids) <= topk.RESOLVE  # reading went on until few could qualify
+    asked = matrix[:40]
+    orders = [np.lexsort((np.arange(3000), -(matrix @ q)))[:6] for q in asked]
+    best = np.array([(matrix @ q)[o[-1]] for q, o in zip(asked, orders, strict=True)])
+    for times in (1, 1000):  # sums beyond single precision
+        lists, least = topk.Lists(np.arange(3000), matrix * times), best * times * times
+        for floors in (np.full(40, -np.inf), least.astype(float)):
+            found = {no: (ids, scores) for no, ids, scores in lists.best(asked * times, 6, floors)}
+            assert sorted(found) == list(range(40))
+            for no, (ids, scores) in found.items():
+                assert (scores == lists.matrix[ids] @ asked[no] * times).all() and set(orders[no]) <= set(ids.tolist())
+                assert len(ids) <= topk.RESOLVE  # reading went on until few could qualify
 
 
 def test_too_large_components_are_refused(spark):
@@ -147,14 +152,15 @@ def odd_documents():
     return rows + rows[:10]
 
 
-@pytest.mark.parametrize(("block", "segment", "part", "tile", "task"), [(1 << 20, 512, 1 << 20, 1 << 20, 200_000), (3000, 3, 50, 6, 7)])
+@pytest.mark.parametrize(("block", "segment", "part", "tile", "task"), [(1 << 20, 512, 1 << 20, 1 << 20, 500_000), (3000, 3, 50, 6, 7)])
 def test_audit_matches_brute_force(spark, odd_documents, monkeypatch, block, segment, part, tile, task):
     """Small limits give many runs, segments, parts, tiles and salts."""
     monkeypatch.setattr(divergence, "SEGMENT_TERMS", segment)
     monkeypatch.setattr(divergence, "PART_BYTES", part)
     monkeypatch.setattr(divergence, "TILE", tile)
-    monkeypatch.setattr(divergence, "TASK_ROWS", task)
+    monkeypatch.setattr(divergence, "TASK_ENTRIES", task)
     docs = spark.createDataFrame([(*r, "x", "y") for r in odd_documents], "text string, lang string, source string, term string, n string").repartition(3)
+    monkeypatch.setattr(divergence, "LARGEST", task)  # beyond which products are wide
     for fewest, smoothing, most in ((5, 5, 4), (10_000, 5, 50)):
         found = divergence.audit(docs, fewest, smoothing, most, block_bytes=block)
         assert Counter(map(tuple, found.collect())) == brute_audit(odd_documents, fewest, smoothing, most)
@@ -163,12 +169,12 @@ def test_audit_matches_brute_force(spark, odd_documents, monkeypatch, block, seg
 def test_blocks_spill_and_runs_merge(spark):
     block = divergence.Block(4)
     for i in range(200):
-        block.add(b"en", b"s%d" % (i % 3), b"word%d common " % (i % 17) * 5)
-    rows = [s for b in block.spill() for s in b.to_pylist()]
+        block.add(b"en", b"s%d" % (i % 3), b"word%c common " % (97 + i % 17) * 5)
+    rows = list(divergence.rows_of(block.spill()))
     assert not block.bytes and [(s["shard"], s["lang"], s["first"]) for s in rows] == sorted((s["shard"], s["lang"], s["first"]) for s in rows)
     twice = sorted(rows + rows, key=lambda s: (s["shard"], s["lang"], s["first"]))
-    found = {term: (n, counts) for _, term, n, counts in divergence.merged(twice)}
-    assert found[b"common"] == (400, {b"s0": 670, b"s1": 670, b"s2": 660}) and found[b""][0] == 400
+    found = {t: dict(zip(s, n.tolist(), strict=True)) for _, *table in divergence.merged(twice, 400) for t, s, n in zip(*table, strict=True)}
+    assert found == {b"common": {b"s0": 670, b"s1": 670, b"s2": 660}, b"": {b"s0": 134, b"s1": 134, b"s2": 132}}
 
 
 def test_a_long_text_is_counted_in_parts():
