@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import parse as ps
 from lodestone.operators import chunk as ck
 from lodestone.operators import lexicon as lx
+from lodestone.operators import sections
 from lodestone.operators.rows import first_per_key
+from lodestone.operators.sections import Grammar
 from lodestone.plans.registry import query, table
 from lodestone.plans.report_queries import CHUNKS_SQL, chunks
 
@@ -297,3 +299,49 @@ def chk_10_statistics(spark, sf_dir):
         F.count(F.lit(1)).alias("chunks"), F.sum(n).alias("chars"), F.round(F.avg(n), 2).alias("mean_chars"),
         F.count_distinct(F.sha2("body", 256)).alias("distinct_chunks"),
     )
+
+
+#: Statutes made of the documents: of every nine lines the first is a chapter's heading, the second an article's, four are clauses, two are labelled, the last goes on.
+STATUTE = Grammar(article=r"^([0-9]+) article\.\s*(.*)$", chapter=r"^CHAPTER [0-9]+\.", reference=r"(?i)\bversion\s+[0-9]+(?:\.[0-9]+)*", amendment=r"(?i)license", suffix=r"(?:ing|ed)$", stop=("the", "and"))
+STATUTE_SQL = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+s AS (SELECT doc_id, i, i // 9 + 1 AS k, i % 9 AS m, CASE i % 9 WHEN 0 THEN 'CHAPTER ' || (i // 9 + 1) || '. ' WHEN 1 THEN (i // 9 + 1) || ' article. ' WHEN 6 THEN 'a) ' WHEN 7 THEN 'b) ' WHEN 8 THEN '- ' ELSE (i // 9 + 1) || '.' || (i % 9 - 1) || ' ' END || line AS line FROM l),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS size,
+  CASE m WHEN 0 THEN 'chapter' WHEN 1 THEN 'article' WHEN 6 THEN 'subclause' WHEN 7 THEN 'subclause' WHEN 8 THEN NULL ELSE 'clause' END AS kind FROM s),
+n AS (SELECT *, row_number() OVER w - 1 AS node, CASE kind WHEN 'article' THEN CAST(k AS VARCHAR) WHEN 'clause' THEN k || '.' || (m - 1) WHEN 'subclause' THEN k || '.4.' || CASE m WHEN 6 THEN 'a' ELSE 'b' END ELSE '' END AS no,
+  coalesce(CASE kind WHEN 'chapter' THEN start + length(line) WHEN 'article' THEN min(CASE WHEN kind = 'article' THEN start END) OVER after - 1 WHEN 'clause' THEN min(CASE WHEN kind IN ('article', 'clause') THEN start END) OVER after - 1
+    ELSE min(CASE WHEN kind IN ('article', 'clause', 'subclause') THEN start END) OVER after - 1 END, size) AS stop
+  FROM o WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i), after AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+tree AS (SELECT doc_id, CAST(node AS INT) AS node, CAST(CASE kind WHEN 'clause' THEN last_value(CASE WHEN kind = 'article' THEN node END IGNORE NULLS) OVER u WHEN 'subclause' THEN last_value(CASE WHEN kind = 'clause' THEN node END IGNORE NULLS) OVER u ELSE -1 END AS INT) AS parent,
+  kind, no, CAST(i AS INT) AS first_line, CAST(start AS INT) AS char_start, CAST(stop AS INT) AS char_end FROM n WINDOW u AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+def statutes(spark, sf_dir):
+    def marked(line, i):
+        k, m = F.floor(i / 9) + 1, i % 9
+        mark = F.when(m == 0, F.concat(F.lit("CHAPTER "), k, F.lit(". "))).when(m == 1, F.concat(k, F.lit(" article. "))).when(m == 6, "a) ").when(m == 7, "b) ").when(m == 8, "- ")
+        return F.concat(mark.otherwise(F.concat(k, F.lit("."), m - 1, F.lit(" "))), line)
+
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), marked), "\n").alias("text"), F.concat(F.lit("Act of "), "source").alias("title"))
+
+
+@query(f"WITH {STATUTE_SQL} SELECT * FROM tree")
+def chk_3_section_tree(spark, sf_dir):
+    """Chapters, articles, clauses and labelled parts of each statute, with what they stand in and where."""
+    return sections.tree_table(statutes(spark, sf_dir), STATUTE).drop("path", "chapter")
+
+
+@query(f"""WITH {STATUTE_SQL}, whole AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM s GROUP BY doc_id)
+SELECT doc_id, no, sha256(substr(text, char_start + 1, char_end - char_start)) AS own FROM tree JOIN whole USING (doc_id) WHERE kind IN ('clause', 'subclause')""")
+def prs_12_subsections(spark, sf_dir):
+    """The numbered parts of each statute with their texts."""
+    parts = F.filter(F.col("nodes"), lambda n: n["kind"].isin("clause", "subclause"))
+    docs = statutes(spark, sf_dir)
+    nodes = sections.tree_table(docs, STATUTE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "no", "char_start", "char_end")).alias("nodes"))
+    cut = docs.join(nodes, "doc_id").select("doc_id", "text", F.explode(parts).alias("n"))
+    return cut.select("doc_id", "n.no", F.sha2(F.substring("text", F.col("n.char_start") + 1, F.col("n.char_end") - F.col("n.char_start")), 256).alias("own"))
+
+
+@query()
+def chk_10_chunk_rows(spark, sf_dir):
+    """Statutes end to end: a row for each chunk with its place in the tree and the text, what it refers to, its words, hash and id."""
+    return sections.chunk_rows(statutes(spark, sf_dir), STATUTE, law="title")
