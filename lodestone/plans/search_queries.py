@@ -12,12 +12,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse_space, snippet
+from lodestone.operators import boosts as bo
 from lodestone.operators import fuse as fs
 from lodestone.operators import lexicon as lx
 from lodestone.operators import retrieve as rt
 from lodestone.operators.rows import best_by_key, first_per_key, keep_unless_empty, ranked, top_k
 from lodestone.plans.registry import query, stored, table
 from lodestone.plans.report_queries import CHUNKS_SQL, chunks
+from lodestone.plans.text_queries import sql_sentence
 
 
 def _cos(a, b, dims=""):
@@ -374,6 +376,73 @@ def fus_14_track_rerank(spark, sf_dir):
     return top_k(rows.select("query_id", "id", F.round(score, 6).alias("score")), fs.QUERY, fs.best(), 6)
 
 
+#: The texts of hits and of their questions (documents themselves), with a question's signal words: the different ones of its first eight of six letters or more.
+_SIGNALS_SQL = f"list_distinct(list_slice(list_filter({WORDS_SQL.format('text')}, lambda w: length(w) >= 6), 1, 8))"
+PAIR_SQL = f"""{HITS}, t AS (SELECT d.doc_id, d.lang, d.source, e.label, lower(regexp_extract(d.text, '^([^\\n]*)', 1)) AS title, lower(d.text) AS low, length(d.text) AS chars, {_SIGNALS_SQL.replace("text", "d.text")} AS signals FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+pairs AS (SELECT h.query_id, h.id, h.score, d.low, d.title, d.lang, d.label = q.label AS preferred, d.source = q.source AS canonical, q.chars > 2000 AS broad, len(q.signals) AS signals_asked, len(list_filter(q.signals, lambda w: contains(d.low, w))) AS n
+  FROM hits h JOIN t d ON h.id = d.doc_id JOIN t q ON h.query_id = q.doc_id)"""
+
+
+def question_pairs(spark, sf_dir):
+    """Hits of the questions that are documents, as ``PAIR_SQL`` says."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    signals = F.array_distinct(F.slice(F.filter(rt.words(F.col("text")), lambda w: F.length(w) >= 6), 1, 8))
+    t = table(spark, sf_dir, "documents").join(labels, "doc_id").select("doc_id", "lang", "source", "label", F.lower(F.regexp_extract("text", r"^([^\n]*)", 1)).alias("title"), F.lower("text").alias("low"), F.length("text").alias("chars"), signals.alias("signals"))
+    asked = t.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("label").alias("q_label"), F.col("source").alias("q_source"), (F.col("chars") > 2000).alias("broad"), "signals")
+    rows = hits(spark, sf_dir).join(t.drop("signals").withColumnRenamed("doc_id", "id"), "id").join(asked, "query_id")
+    n = F.size(F.filter("signals", lambda w: F.contains(F.col("low"), w)))
+    return rows.select("query_id", "id", "score", "low", "title", "lang", (F.col("label") == F.col("q_label")).alias("preferred"), (F.col("source") == F.col("q_source")).alias("canonical"), "broad", F.size("signals").alias("signals_asked"), n.alias("n"))
+
+
+@query(f"""WITH {PAIR_SQL}, s1 AS (SELECT *, score + CASE WHEN preferred THEN 0.12 + broad::INT * 0.12 WHEN canonical THEN 0.06 + broad::INT * 0.06 ELSE 0 END + CASE WHEN broad AND lang = 'en' THEN 0.06 ELSE 0 END AS s FROM pairs),
+s2 AS (SELECT *, s * CASE WHEN broad AND NOT preferred AND NOT canonical THEN 0.76 ELSE 1 END * CASE WHEN length(title) < 30 AND NOT preferred THEN CASE WHEN broad THEN 0.5 ELSE 0.72 END ELSE 1 END AS s2 FROM s1),
+s3 AS (SELECT *, s2 + CASE WHEN contains(title, 'tion') THEN 0.18 ELSE 0 END + CASE WHEN contains(title, 'heit') THEN 0.12 ELSE 0 END AS s3 FROM s2),
+s4 AS (SELECT *, CASE WHEN n > 0 THEN s3 + least(n * 0.05, 0.15) WHEN signals_asked > 0 THEN s3 * 0.72 ELSE s3 END * CASE WHEN contains(low, 'license') THEN 0.55 ELSE 1 END AS s4 FROM s3)
+""" + _top("SELECT query_id, id, round(greatest(0, least(1, s4)), 6)::DOUBLE AS score FROM s4", 20))
+def fus_12_rule_boosts(spark, sf_dir):
+    rows = question_pairs(spark, sf_dir)
+    preferred, canonical, broad, low = F.col("preferred"), F.col("canonical") & ~F.col("preferred"), F.col("broad"), (F.length("title") < 30) & ~F.col("preferred")
+    seen = bo.evidence_of(
+        preferred=preferred, broad_preferred=preferred & broad, canonical=canonical, broad_canonical=canonical & broad, broad_clause=broad & (F.col("lang") == "en"), broad_other=broad & ~preferred & ~F.col("canonical"),
+        low_authority=low & ~broad, broad_low_authority=low & broad, topic_law=F.contains("title", F.lit("tion")), topic_article=F.contains("title", F.lit("heit")), signals=F.col("n"),
+        no_signal=(F.col("signals_asked") > 0) & (F.col("n") == 0), boilerplate=F.contains("low", F.lit("license")),
+    )
+    scored = rows.select("query_id", "id", F.round(bo.folded(F.col("score"), seen, bo.BOOSTS), 6).alias("score"))
+    return top_k(scored, fs.QUERY, fs.best(), 20)
+
+
+#: Terms by which the track of a text is told.
+TRACKS = {"a": ("heit", "keit", "schz", "eaux", "tzung"), "b": ("ción", "mente", "ingth", "tions", "elle")}
+_TRACK_COUNT = lambda low, t: " + ".join(f"contains({low}, '{x}')::INT" for x in TRACKS[t])
+
+
+@query(f"""WITH {PAIR_SQL}, c AS (SELECT p.*, q.low AS q_low, {_TRACK_COUNT("p.low", "a")} AS f, {_TRACK_COUNT("p.low", "b")} AS g, {_TRACK_COUNT("q.low", "a")} AS qf, {_TRACK_COUNT("q.low", "b")} AS qg FROM pairs p JOIN t q ON p.query_id = q.doc_id),
+k AS (SELECT *, CASE WHEN f > g THEN 'a' WHEN g > f THEN 'b' ELSE 'unknown' END AS track, CASE WHEN qf > qg + 0.6 THEN 'a' WHEN qg > qf + 0.6 THEN 'b' ELSE 'neutral' END AS preference FROM c),
+m AS (SELECT *, CASE preference WHEN 'a' THEN f WHEN 'b' THEN g ELSE 0 END AS mine, CASE preference WHEN 'a' THEN g WHEN 'b' THEN f ELSE 0 END AS other FROM k),
+s1 AS (SELECT *, (score + CASE WHEN preferred THEN 0.05 ELSE 0 END + least(n * 0.03, 0.12)) * CASE WHEN signals_asked > 0 AND n = 0 THEN 0.82 ELSE 1 END AS s FROM m),
+s2 AS (SELECT *, ((s + CASE WHEN track = preference THEN 0.18 ELSE 0 END) * CASE WHEN preference <> 'neutral' AND track <> 'unknown' AND track <> preference THEN 0.68 ELSE 1 END + least(mine * 0.04, 0.12)) * CASE WHEN other > 0 THEN 0.9 ELSE 1 END + CASE WHEN preference = 'neutral' AND track <> 'unknown' THEN 0.08 ELSE 0 END AS s2 FROM s1),
+r AS (SELECT query_id, id, track, preference, round(greatest(0, least(1, s2)), 6)::DOUBLE AS score FROM s2), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM r),
+w AS (SELECT *, count(*) FILTER (track = 'a') OVER q AS all_a, count(*) FILTER (track = 'b') OVER q AS all_b, count(*) FILTER (track = 'a' AND place <= 6) OVER q AS n_a, count(*) FILTER (track = 'b' AND place <= 6) OVER q AS n_b,
+  coalesce(sum(score) FILTER (track = 'a' AND place <= 6) OVER q, 0) AS s_a, coalesce(sum(score) FILTER (track = 'b' AND place <= 6) OVER q, 0) AS s_b FROM o WINDOW q AS (PARTITION BY query_id)),
+x AS (SELECT *, CASE WHEN preference = 'a' THEN CASE WHEN all_a >= 3 THEN 'a' END WHEN preference = 'b' THEN CASE WHEN all_b >= 3 THEN 'b' END WHEN n_b >= 3 AND n_b >= n_a + 2 AND s_b >= round(s_a * 1.35, 9) THEN 'b' WHEN n_a >= 3 AND n_a >= n_b + 2 AND s_a >= round(s_b * 1.35, 9) THEN 'a' END AS kept FROM w)
+""" + _top("SELECT query_id, id, score FROM x WHERE kept IS NULL OR track = kept OR track = 'unknown'", 20))
+def fus_14_track_evidence(spark, sf_dir):
+    """Cases by what they share with the question and by track, which terms in both texts tell; hits of the other track go where one clearly leads."""
+    rows = question_pairs(spark, sf_dir)
+    lexicon = spark.createDataFrame([(t, x) for t, xs in TRACKS.items() for x in xs], "track string, term string")
+    counts = bo.track_counts(table(spark, sf_dir, "documents"), lexicon, ("a", "b"), "doc_id")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    own = counts.select(F.col("doc_id").alias("id"), "first", "second")
+    asked = counts.select(F.col("doc_id").alias("query_id"), F.col("first").alias("q_first"), F.col("second").alias("q_second"))
+    joined = rows.join(own, "id", "left").join(asked, "query_id", "left").withColumns({c: zero(c) for c in ("first", "second", "q_first", "q_second")})
+    named = joined.withColumns({
+        "track": bo.leaning(F.col("first"), F.col("second"), ("a", "b"), "unknown"), "preference": bo.leaning(F.col("q_first"), F.col("q_second"), ("a", "b"), "neutral", 0.6),
+        "topic": F.col("preferred").cast("int"), "signal": F.col("n"),
+    })
+    scored = named.withColumn("score", F.round(bo.folded(F.col("score"), bo.track_evidence(), bo.TRACK_RULES), 6)).select("query_id", "id", "score", "track", "preference")
+    return top_k(bo.one_track(scored).select("query_id", "id", "score"), fs.QUERY, fs.best(), 20)
+
+
 @query(f"""WITH {HITS}, j AS (SELECT query_id, id, score, rank, source, substr(text, 1, 80) AS snippet FROM hits JOIN documents ON id = doc_id)
 SELECT query_id, source, id, snippet, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM j) WHERE k = 1""")
 def res_1_citations(spark, sf_dir):
@@ -452,7 +521,20 @@ def res_10_strength_vote(spark, sf_dir):
     return winner.join(top, "query_id").select("query_id", "label", strength.alias("strength"))
 
 
-@query()
+#: A mean score of exactly a limit may fall to either side in floating point; six digits decide on both sides.
+ANSWER_SQL = rf"""WITH {FULL_SQL}, pf AS ({FULL_HITS}), {TF_SQL}, sf AS ({TF_HITS}), {TRIGRAM_SQL}, g AS ({_top("SELECT * FROM found", 20)}),
+nf AS (SELECT query_id, (SELECT count(*) FROM pf WHERE pf.query_id = b.query_id) AS np, (SELECT count(*) FROM sf WHERE sf.query_id = b.query_id) AS ns FROM (SELECT item_id AS query_id FROM benchmark) b),
+f AS (SELECT pf.* FROM pf JOIN nf USING (query_id) WHERE np >= 3 OR np >= ns UNION ALL SELECT sf.* FROM sf JOIN nf USING (query_id) WHERE NOT (np >= 3 OR np >= ns)),
+fu AS (SELECT query_id, id, coalesce(f.score, 0)::DOUBLE AS v, coalesce(g.score, 0)::DOUBLE AS k, round(coalesce(1 / (60 + f.rank), 0) + coalesce(1 / (60 + g.rank), 0), 9) AS r FROM f FULL JOIN g USING (query_id, id)),
+m AS (SELECT query_id, round(avg(score), 6) AS mean FROM f GROUP BY query_id),
+a AS (SELECT query_id, id, round(CASE WHEN mean IS NULL THEN least(greatest(k, 0.5), 1) WHEN mean < 0.2 THEN greatest(k * 1.5, v * 0.5, least(r * 15, 1)) WHEN mean < 0.5 THEN greatest(k * 1.3, v, least(r * 12, 1)) ELSE greatest(v * 1.1, k, least(r * 10, 1)) END, 9) AS score FROM fu LEFT JOIN m USING (query_id)),
+gated AS ({_top("SELECT * FROM a WHERE score >= 0.03", 30)}),
+j AS (SELECT gated.*, source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM gated JOIN documents ON id = doc_id),
+c AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, score, source, {sql_sentence("flat", 240)} AS snippet FROM c"""
+
+
+@query(ANSWER_SQL)
 def answer_questions(spark, sf_dir):
     """The whole path: full text (or, for few hits, term frequency) and trigram lists of each question, fused, gated, cut to one citation a source."""
     full, grams = stored(rtv_12_fallback(spark, sf_dir)), stored(rtv_5_trigram(spark, sf_dir))

@@ -94,14 +94,14 @@ def txt_7_personal_data(spark, sf_dir):
     return docs.unionByName(turns).select("kind", "id", "turn", tx.has_personal_data(F.col("text")).alias("risky"))
 
 
-def _sql_sentence(column, most):
+def sql_sentence(column, most):
     sentence = rf"regexp_extract(substr({column}, 1, {most}), '(?s)^(.*[.!?\n\x{{3002}}])', 1)"
     words = f"regexp_extract(substr({column}, 1, {most}), '(?s)^(.*) ', 1)"
     cut = f"CASE WHEN length({sentence}) - 1 > {most * 0.5} THEN {sentence} WHEN length({words}) > {most * 0.4} THEN {words} ELSE substr({column}, 1, {most}) END"
     return f"CASE WHEN length({column}) <= {most} THEN {column} ELSE {TRIM.format(cut)} END"
 
 
-@query(f"SELECT doc_id, {_sql_sentence('text', 500)} AS cut, {_sql_sentence('text', 240)} AS snippet FROM documents")
+@query(f"SELECT doc_id, {sql_sentence('text', 500)} AS cut, {sql_sentence('text', 240)} AS snippet FROM documents")
 def txt_8_truncate_sentence(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.truncate_at_sentence(F.col("text"), 500).alias("cut"), tx.snippet(F.col("text")).alias("snippet"))
 
@@ -110,7 +110,7 @@ def txt_8_truncate_sentence(spark, sf_dir):
     rf"""
 WITH a AS (SELECT doc_id, {sql_chain("text", _BOILER)} AS t FROM documents),
 b AS (SELECT doc_id, trim(regexp_replace({sql_chain("t", tx.MASKS)}, '\s+', ' ', 'g')) AS t FROM a)
-SELECT doc_id, {_sql_sentence("t", 600)} AS clean FROM b
+SELECT doc_id, {sql_sentence("t", 600)} AS clean FROM b
 """
 )
 def txt_9_sanitize(spark, sf_dir):
