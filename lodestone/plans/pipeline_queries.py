@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators import quality
 from lodestone.operators.evaluate import answer_quality, citation_accuracy, faithfulness, latency_summary, regression_gate, run_summary
 from lodestone.operators.ingest import failing_stage, fail_fast, pending, prepare_for_model, resized
 from lodestone.operators.rows import replace_children, top_k, upsert
@@ -336,6 +337,41 @@ def evl_6_answer_quality(spark, sf_dir):
     return answer_quality(rows, ["conv_id", "turn"], text, share, F.when(text.rlike("https?://"), 1.0).otherwise(0.55), F.length(text), 1000, ["idiot"])
 
 
+#: Sources and laws of a reply are made of the words it could cite; hosts, leaks and endings are those of the test tables.
+HOSTS = {"law": "law.example", "case": "case.example"}
+LEAKS, UNFINISHED = (r"(?i)\bretrieval\b", r"(?i)\bthe der\b"), r"(?:the|und|la|de|of)\.?$"
+
+
+@query(rf"""WITH {REPLIES_SQL}, r AS (SELECT *, list_slice(list_sort(cited), 1, 5) AS w FROM replies),
+i AS (SELECT conv_id, turn, text, n, list_transform(w, lambda x: struct_pack(type := CASE WHEN length(x) % 2 = 0 THEN 'law' ELSE 'case' END, url := CASE WHEN contains(n, x) OR length(x) > 10 THEN 'https://' || CASE WHEN length(x) % 2 = 0 THEN 'www.law' ELSE 'case' END || '.example/' || x ELSE x END)) AS sources,
+  list_transform(list_slice(w, 1, 3), lambda x: struct_pack(title := x, url := CASE WHEN length(x) > 9 THEN 'https://law.example/' || x ELSE ' ' END, article_no := CASE WHEN contains(x, 'e') THEN '1' ELSE '' END)) AS laws,
+  CASE WHEN len(cited) > 0 THEN len(list_filter(cited, lambda x: contains(n, x))) / len(cited) END AS quality, turn > 5 AS timed_out, length(text) > 1800 AS slow, regexp_matches(text, '{NO_INFO}') AS none, length(text) * 40 AS ms FROM r),
+m AS (SELECT *, len(sources) = 0 AND len(laws) = 0 AS bare, CASE WHEN len(sources) = 0 THEN 0.75 ELSE len(list_filter(sources, lambda s: regexp_extract(s.url, '^https?://([^/:?#\s]+)', 1) IN (s.type || '.example', 'www.' || s.type || '.example'))) / len(sources) END AS valid,
+  CASE WHEN len(laws) = 0 THEN 0.75 ELSE len(list_filter(laws, lambda x: trim(x.title) <> '' AND trim(x.url) <> '')) / len(laws) END AS known, CASE WHEN len(laws) = 0 THEN 0.75 ELSE len(list_filter(laws, lambda x: x.article_no <> '')) / len(laws) END AS article,
+  length(n) < 80 AS short, regexp_matches(text, '{"|".join(LEAKS)}') AS leak, regexp_matches(n, '{UNFINISHED}') AS ending, regexp_matches(n, '{NO_INFO}') AS said_none, ms > 25000 AS late FROM i),
+p AS (SELECT *, CASE WHEN timed_out THEN greatest(0.45, coalesce(quality, 0.45)) WHEN none THEN 1 WHEN quality IS NOT NULL THEN quality WHEN bare THEN 0.45 ELSE 0.7 END AS a, CASE WHEN bare THEN 0.55 ELSE valid * 0.45 + known * 0.35 + article * 0.2 END AS b,
+  1 - 0.35 * short::INT - 0.35 * said_none::INT - 0.25 * leak::INT - 0.2 * ending::INT AS c, CASE WHEN late THEN 25000 / ms ELSE 1 END AS d FROM m)
+SELECT conv_id, turn, {", ".join(f"round(greatest(0, least(1, round({x}, 9))), 3)::DOUBLE AS {y}" for x, y in (("a", "retrieval"), ("b", "citation"), ("c", "faithfulness"), ("d", "latency"), ("a * 0.3 + b * 0.25 + c * 0.3 + d * 0.15", "overall")))},
+array_to_string(list_filter([CASE WHEN timed_out THEN 'retrieval_timeout_fallback' END, CASE WHEN NOT timed_out AND NOT none AND quality < 0.5 THEN 'low_retrieval_quality' END, CASE WHEN NOT timed_out AND NOT none AND quality IS NULL AND bare THEN 'no_retrieval_signal' END, CASE WHEN bare THEN 'no_citations' END,
+CASE WHEN NOT bare AND valid < 0.8 THEN 'invalid_source_url' END, CASE WHEN NOT bare AND article < 0.5 THEN 'weak_article_citation' END, CASE WHEN short THEN 'answer_too_short' END, CASE WHEN said_none THEN 'no_info_answer' END, CASE WHEN leak THEN 'internal_word_leak' END, CASE WHEN ending THEN 'possibly_incomplete_sentence' END,
+CASE WHEN late THEN 'latency_budget_exceeded' END, CASE WHEN slow THEN 'generation_timeout_fallback' END], lambda x: x IS NOT NULL), ',') AS issues FROM p""")
+def evl_6_answer_metrics(spark, sf_dir):
+    """All metrics and issues of each reply; its length stands for its latency."""
+    words = F.slice(F.array_sort("cited"), 1, 5)
+    even = lambda w: F.length(w) % 2 == 0
+    address = lambda w: F.when(F.contains(F.col("n"), w) | (F.length(w) > 10), F.concat(F.lit("https://"), F.when(even(w), "www.law").otherwise("case"), F.lit(".example/"), w)).otherwise(w)
+    source = lambda w: F.struct(F.when(even(w), "law").otherwise("case").alias("type"), address(w).alias("url"))
+    law = lambda w: F.struct(w.alias("title"), F.when(F.length(w) > 9, F.concat(F.lit("https://law.example/"), w)).otherwise(" ").alias("url"), F.when(F.contains(w, F.lit("e")), "1").otherwise("").alias("article_no"))
+    rows = replies(spark, sf_dir)
+    share = F.when(F.size("cited") > 0, F.size(F.filter("cited", lambda c: F.contains(F.col("n"), c))) / F.size("cited"))
+    answers = rows.select(
+        "conv_id", "turn", F.col("text").alias("answer"), F.transform(words, source).alias("sources"), F.transform(F.slice(words, 1, 3), law).alias("laws"), share.alias("retrieval_overall"), (F.col("turn") > 5).alias("retrieval_timed_out"),
+        (F.length("text") > 1800).alias("generation_timed_out"), F.when(F.col("text").rlike(NO_INFO), "no-info").otherwise("context").alias("mode"), (F.length("text") * 40).alias("latency_ms"), F.lit(25_000).alias("budget_ms"),
+    )
+    found = quality.answer_metrics(answers, ["conv_id", "turn"], HOSTS, LEAKS, NO_INFO, UNFINISHED)
+    return found.withColumn("issues", F.array_join("issues", ","))
+
+
 @query(rf"""WITH {REPLIES_SQL}, v AS (SELECT *, lower(text) AS t, CASE WHEN turn > 3 THEN ['la', 'der', 'the'] ELSE ['que', 'die', 'of'] END AS must, list_concat(['idiot', 'pathetic'], CASE WHEN turn = 1 THEN ['zu zu'] ELSE [] END) AS forbidden,
 len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{{3,}}', 0))) AS laws, CASE WHEN turn > 3 THEN 3 ELSE 1 END AS least, len(list_filter(cited, lambda c: contains(n, c))) / greatest(len(cited), 1) AS share FROM replies),
 i AS (SELECT conv_id, turn, list_filter([CASE WHEN len(list_filter(must, lambda w: contains(t, w))) = 0 THEN 'must_contain' END, CASE WHEN len(list_filter(forbidden, lambda w: contains(t, w))) > 0 THEN 'forbidden' END,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.parse import all_matches
 from lodestone.operators import lexicon as lx
+from lodestone.operators import quality
 from lodestone.operators import questions as qs
 from lodestone.operators.fuse import occurrences
 from lodestone.operators.retrieve import words
@@ -261,6 +262,24 @@ def res_9_grounding(spark, sf_dir):
     return joined.select("conv_id", "turn", F.size(F.array_except("named", F.coalesce("allowed", none))).cast("long").alias("ungrounded"))
 
 
+_REFS_SQL = r"list_distinct(regexp_extract_all({0}, '[0-9]+(?:\.[0-9]+)+', 0))"
+
+
+@query(f"""WITH {HITS}, h AS (SELECT query_id, greatest(score, 0.1) AS s, unnest({_REFS_SQL.format("text")}) AS article FROM hits JOIN documents ON id = doc_id WHERE rank <= 6),
+u AS (SELECT query_id, article, round(sum(s), 9) AS s FROM h GROUP BY query_id, article), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, article) AS place FROM u),
+a AS (SELECT query_id, string_agg(article, '|' ORDER BY place) AS allowed, list(article) AS l FROM k WHERE place <= 4 GROUP BY query_id),
+q AS (SELECT doc_id AS query_id, {_REFS_SQL.format("text")} AS said FROM documents WHERE doc_id IN (SELECT query_id FROM hits))
+SELECT query_id, coalesce(allowed, '') AS allowed, array_to_string(list_sort(list_filter(said, lambda x: NOT list_contains(coalesce(l, []), x))), '|') AS ungrounded FROM q LEFT JOIN a USING (query_id)""")
+def res_9_allowed_articles(spark, sf_dir):
+    """Numbers that the best hits of a question back, by their scores; documents that ask stand for answers, whose other numbers are flagged."""
+    refs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)+"), F.lit(0)))
+    found = hits(spark, sf_dir)
+    allowed = quality.allowed_articles(with_text(spark, sf_dir, found), "query_id", refs, F.col("score"), F.col("rank"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text").join(found.select("query_id").distinct(), "query_id", "left_semi")
+    rows = quality.ungrounded(asked.select("query_id", refs.alias("refs")), "query_id", F.col("refs"), allowed)
+    return rows.select("query_id", F.array_join("allowed", "|").alias("allowed"), F.array_join(F.array_sort("ungrounded"), "|").alias("ungrounded"))
+
+
 @query(r"""SELECT conv_id, turn, len(string_split(text, chr(10))) AS sections, len(regexp_extract_all(text, '[.!?](?:\s|$)', 0)) AS sentences, array_to_string(list_filter([CASE WHEN len(string_split(text, chr(10))) < 2 THEN 'one_section' END,
 CASE WHEN len(regexp_extract_all(text, '[.!?](?:\s|$)', 0)) < 3 THEN 'few_sentences' END, CASE WHEN length(text) > 2000 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS issues FROM conversations WHERE role = 'assistant'""")
 def res_11_sections(spark, sf_dir):

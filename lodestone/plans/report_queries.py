@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import cache
+from lodestone.functions import text as tx
+from lodestone.operators import cache, quality
 from lodestone.operators.rows import upsert
 from lodestone.plans.registry import query, table
 
@@ -260,6 +261,31 @@ def cnv_9_cache_eligibility(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("reason"))
 
 
+_RISKY_SQL = " OR ".join(f"regexp_matches(text, '{p}')" for p in tx.RISKS)
+
+
+@query(rf"""WITH h AS (SELECT conv_id, turn, role, text, {QUESTION_SQL.format("text")} AS form, coalesce(lag(role) OVER w, '') AS before, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT *, CASE WHEN regexp_matches(text, '[A-Z]') THEN 'legal' ELSE 'non_legal' END AS scope, CASE WHEN length(text) % 7 = 0 THEN 'unknown' ELSE 'other' END AS intent, turn > 5 AS skipped, CASE WHEN turn > 3 THEN 'reuse' ELSE 'full_refresh' END AS carry, before = 'system' AS early FROM h WHERE role = 'user'),
+l AS (SELECT *, len(list_distinct(regexp_extract_all(lower(coalesce(reply, '')), '[a-z]{{9,}}', 0))) AS chunks, len(regexp_extract_all(coalesce(reply, ''), '
+', 0)) AS sources, len(regexp_extract_all(coalesce(reply, ''), '[A-Z][a-z]{{3,}}', 0)) AS laws, length(reply) / 1000 AS quality FROM q)
+SELECT conv_id, turn, CASE WHEN scope <> 'legal' THEN 'non_legal_scope' WHEN intent = 'unknown' THEN 'unknown_intent' WHEN skipped THEN 'follow_up_or_retrieval_skipped' WHEN carry <> 'full_refresh' THEN 'not_full_refresh' WHEN early THEN 'early_response'
+WHEN length(form) < 12 OR {_RISKY_SQL} THEN 'question_not_cache_eligible_or_pii' END AS reason,
+coalesce(quality, 0) >= 0.55 OR (chunks >= 2 AND sources >= 1 AND laws >= 1) AS eligible, CASE WHEN coalesce(quality, 0) >= 0.55 THEN 'quality_score' WHEN chunks >= 2 AND sources >= 1 AND laws >= 1 THEN 'grounded_context' ELSE 'low_quality_and_sparse_context' END AS kept_for FROM l""")
+def cnv_9_eligibility_rules(spark, sf_dir):
+    """Whether each question may be looked up, and whether what was found may be kept; the reply's length stands for its quality."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumns({"before": F.coalesce(F.lag("role").over(w), F.lit("")), "reply": F.lead("text").over(w)}).filter("role = 'user'")
+    said, text = F.coalesce("reply", F.lit("")), F.col("text")
+    every = lambda pattern: F.size(F.regexp_extract_all(said, F.lit(pattern), F.lit(0)))
+    reason = quality.lookup_reason(
+        F.when(text.rlike("[A-Z]"), "legal").otherwise("non_legal"), F.when(F.length(text) % 7 == 0, "unknown").otherwise("other"), F.col("turn") > 5, F.when(F.col("turn") > 3, "reuse").otherwise("full_refresh"),
+        F.col("before") == "system", question_form(text), tx.has_personal_data(text),
+    )
+    words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(said), F.lit("[a-z]{9,}"), F.lit(0))))
+    kept = quality.storable(F.length("reply") / 1000, words, every("\n"), every("[A-Z][a-z]{3,}"))
+    return rows.select("conv_id", "turn", reason.alias("reason"), kept.alias("k")).select("conv_id", "turn", "reason", "k.eligible", F.col("k.reason").alias("kept_for"))
+
+
 @query("""SELECT c_custkey, coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority), '') AS providers, max(o_orderkey) AS latest
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
 def cnv_10_providers(spark, sf_dir):
