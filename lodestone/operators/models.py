@@ -122,21 +122,25 @@ def indexed_top_k(questions: DataFrame, items: DataFrame, k: int, cells: int | N
 
 
 def cross_encoder_blend(hits: DataFrame, question: str, text: str, scorer: Callable[[list[str], list[str]], np.ndarray], n: int = 10) -> DataFrame:
-    """``query_id, id, score, rank``: the first n hits rescored as 0.6 old + 0.4 model; a batch whose model fails keeps its scores."""
+    """``query_id, id, score, model_failed, rank``: the first n hits rescored as 0.6 old + 0.4 model.
+
+    A batch whose model fails, or gives another number of scores, keeps its old
+    ones, and its rows say so in ``model_failed``, to be counted.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = batch.column("score").to_numpy()
             try:
                 new = np.clip(scorer(batch.column(question).to_pylist(), batch.column(text).to_pylist()), 0, 1)
-                scores = np.round(0.6 * old + 0.4 * new, 6)
+                scores, failed = np.round(0.6 * old + 0.4 * new.reshape(old.shape), 6), False
             except Exception:  # noqa: BLE001  any failure of a plugged-in model
-                scores = old
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(scores)], names=["query_id", "id", "score"])
+                scores, failed = old, True
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(scores), pa.array([failed] * len(old))], names=["query_id", "id", "score", "model_failed"])
 
     first = hits.filter(F.col("rank") <= n).select("query_id", "id", "score", question, text)
-    blended = first.mapInArrow(run, "query_id long, id long, score double")
-    rest = hits.filter(F.col("rank") > n).select("query_id", "id", "score")
+    blended = first.mapInArrow(run, "query_id long, id long, score double, model_failed boolean")
+    rest = hits.filter(F.col("rank") > n).select("query_id", "id", "score", F.lit(False).alias("model_failed"))
     return top_k(blended.unionByName(rest), ["query_id"], [F.desc("score"), F.col("id")], 1 << 30)
 
 

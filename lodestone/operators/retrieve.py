@@ -370,11 +370,52 @@ def article_lookup(numbers: DataFrame, texts: DataFrame, article: Column, law: C
     """
     held = texts.select(id.alias("id"), law.alias("law"), article.alias("article"), F.substring(text, 1, 60).alias("head"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))).alias("number"))
     met = held.join(numbers.select("number").distinct(), "number").withColumn("score", F.when(F.col("article") == F.col("number"), 1.0).otherwise(0.6))
+    return _first_articles(met, first, most)
+
+
+def _first_articles(met: DataFrame, first: int, most: int) -> DataFrame:
     order = [F.desc("score"), F.col("id")]
     single = top_k(top_k(met, ["number"], order, first, "place"), ["number", "law", "article", "head"], order, 1, "copy")
     return top_k(single, ["number"], order, most).select("number", "id", "score", "rank")
 
 
+def article_search(numbers: DataFrame, texts: DataFrame, article: Column, law: Column, text: Column, id: Column, first: int = 10, most: int = 5) -> DataFrame:
+    """``number, id, score, rank``: as ``article_lookup``, and 0.1 for texts in which all figures of the number stand as words.
+
+    A number is contained wherever its characters stand, also within a longer
+    one.  Numbers meet texts by the texts' own numbers, their parts and their
+    words of figures; texts are not shuffled.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    # every run of figures and stops within a text's numbers that could be asked for: from any character to any other
+    lengths = sorted(r[0] for r in numbers.select(F.length("number")).distinct().collect())
+    cuts = lambda n: F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda k: F.when(F.length(n) >= k, F.transform(F.sequence(F.lit(1), F.length(n) - k + 1), lambda i: F.substring(n, i, k))).otherwise(F.array().cast("array<string>"))))
+    words_of = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[0-9]+\b"), F.lit(0)))
+    about = texts.select(id.alias("id"), law.alias("law"), article.alias("article"), F.substring(text, 1, 60).alias("head"), F.array_distinct(F.flatten(F.transform(tokens, cuts))).alias("runs"), words_of.alias("figures"))
+    asked = numbers.select("number").distinct()
+    same = about.select("id", F.col("article").alias("number"), F.lit(1.0).alias("score")).join(asked, "number", "left_semi")
+    within = about.select("id", F.explode("runs").alias("number"), F.lit(0.6).alias("score")).join(asked, "number", "left_semi")
+    parts = asked.select("number", F.explode(F.array_distinct(F.split("number", r"\."))).alias("figure"))
+    needed = parts.groupBy("number").agg(F.count(F.lit(1)).alias("needed"))
+    met = about.select("id", F.explode("figures").alias("figure")).join(parts, "figure").groupBy("id", "number").agg(F.count(F.lit(1)).alias("met")).join(needed, "number").filter("met = needed")
+    found = same.unionByName(within).unionByName(met.select("id", "number", F.lit(0.1).alias("score"))).groupBy("id", "number").agg(F.max("score").alias("score"))
+    return _first_articles(found.join(about.drop("runs", "figures"), "id"), first, most)
+
+
+def focused_clauses(hits: DataFrame, pieces: DataFrame, terms: DataFrame, documents: int = 6, most: int = 24, within: str = "doc_id", text: str = "text", order: tuple[str, ...] = ("chunk_index",)) -> DataFrame:
+    """``query_id, <within>, <order>, score``: pieces of the ``documents`` best hit by a question that hold some of its ``terms``, up to ``most``, by 0.72 and 0.08 a term, at most 0.97.
+
+    Only pieces of documents that are hit are looked at.
+    """
+    near = hits.filter(F.col("rank") <= documents).select("query_id", F.col("id").alias(within)).distinct()
+    rows = pieces.join(near.select(within).distinct(), within, "left_semi").join(near, within).join(terms.select("query_id", "terms"), "query_id")
+    low = F.lower(text)
+    n = F.size(F.filter("terms", lambda t: F.contains(low, t)))
+    scored = rows.select("query_id", within, *order, n.alias("n")).filter("n > 0")
+    first = top_k(scored, ["query_id"], [F.desc("n"), F.col(within), *map(F.col, order)], most, "place")
+    return first.select("query_id", within, *order, F.round(F.least(0.72 + 0.08 * F.col("n"), F.lit(0.97)), 6).alias("score"))
+
+
 def fallback(primary: DataFrame, secondary: DataFrame, fewest: int = 1) -> DataFrame:
     """Hits of ``primary`` for questions with at least ``fewest``; for the others the larger of the two lists."""
     n = lambda hits, name: hits.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))

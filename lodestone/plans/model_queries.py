@@ -8,7 +8,7 @@ from lodestone.functions import text as tx
 from lodestone.operators import models
 from lodestone.operators.chunk import windows
 from lodestone.plans.registry import query, scratch, table
-from lodestone.plans.search_queries import _vectors, hits, with_text
+from lodestone.plans.search_queries import HITS, _vectors, hits, with_text
 from lodestone.plans.text_queries import sql_chain
 from lodestone.sources import html
 from lodestone.streaming import ingest
@@ -40,9 +40,16 @@ def rtv_2_index_top_k(spark, sf_dir):
     return models.indexed_top_k(items.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), items, 10)
 
 
-@query()
+_SPLIT_SQL = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH {HITS}, w AS (SELECT doc_id, {_SPLIT_SQL.format("text")} AS ws FROM documents),
+j AS (SELECT h.query_id, h.id, h.rank, h.score, len(list_intersect(q.ws, d.ws)) / greatest(len(q.ws), 1) AS model FROM hits h JOIN w d ON h.id = d.doc_id JOIN w q ON h.query_id = q.doc_id),
+s AS (SELECT query_id, id, CASE WHEN rank <= 10 THEN round(0.6 * score + 0.4 * model, 6) ELSE score END AS score FROM j)
+SELECT query_id, id, score, false AS model_failed, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s""")
 def fus_6_cross_encoder(spark, sf_dir):
-    asked = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("question"))
+    """Documents that ask are whole texts; the model shares their words with each hit's."""
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     rows = with_text(spark, sf_dir, hits(spark, sf_dir)).join(asked, "query_id")
     return models.cross_encoder_blend(rows, "question", "text", models.word_overlap)
 

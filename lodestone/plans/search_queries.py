@@ -142,6 +142,21 @@ def rtv_8_article_lookup(spark, sf_dir):
     return rt.article_lookup(numbers, docs, F.get(found, F.lit(0)), F.col("source"), F.col("text"), F.col("doc_id"))
 
 
+@query(rf"""WITH d AS (SELECT doc_id AS id, source AS law, {_NUMBERS_SQL}[1] AS article, substr(text, 1, 60) AS head, text, regexp_extract_all(text, '\b[0-9]+\b', 0) AS figures FROM documents WHERE regexp_matches(text, '[0-9]')),
+n AS (SELECT DISTINCT unnest({_NUMBERS_SQL}) AS number FROM documents),
+s AS (SELECT number, id, law, article, head, CASE WHEN article = number THEN 1.0 WHEN contains(text, number) THEN 0.6 ELSE 0.1 END::DOUBLE AS score FROM n, d
+  WHERE article = number OR contains(text, number) OR len(list_filter(string_split(number, '.'), lambda p: NOT list_contains(figures, p))) = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, id) AS place FROM s),
+c AS (SELECT *, row_number() OVER (PARTITION BY number, law, article, head ORDER BY score DESC, id) AS copy FROM p WHERE place <= 10)
+SELECT number, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, id) AS rank FROM c WHERE copy = 1) WHERE rank <= 5""")
+def rtv_8_article_search(spark, sf_dir):
+    """Every number that any document holds is asked for: as article, anywhere in a text, or by its figures."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]"))
+    found = F.regexp_extract_all("text", F.lit(rt.NUMBER), F.lit(0))
+    numbers = docs.select(F.explode(found).alias("number")).distinct()
+    return rt.article_search(numbers, docs, F.get(found, F.lit(0)), F.col("source"), F.col("text"), F.col("doc_id"))
+
+
 @query("""SELECT p_partkey, p_name, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey WHERE contains(lower(p_name), 'red') GROUP BY p_partkey, p_name ORDER BY p_name, p_partkey LIMIT 100""")
 def rtv_9_title_search(spark, sf_dir):
     named = table(spark, sf_dir, "part").filter(F.contains(F.lower("p_name"), F.lit("red"))).select("p_partkey", "p_name")
@@ -224,6 +239,20 @@ def rtv_16_focused(spark, sf_dir):
     return found.withColumn("n", n).filter("n > 0").select("query_id", "id", F.round(F.least(0.72 + 0.08 * F.col("n"), F.lit(0.97)), 6).alias("score"))
 
 
+_FOCUS_SQL = f"list_slice(list_filter({WORDS_SQL.format('text')}, lambda w: length(w) >= 6), 1, 4)"
+
+
+@query(f"""WITH {HITS}, {CHUNKS_SQL}, q AS (SELECT doc_id AS query_id, list_distinct({_FOCUS_SQL}) AS terms FROM documents),
+n AS (SELECT h.query_id, c.doc_id, c.chunk_index, len(list_filter(terms, lambda t: contains(lower(c.text), t))) AS n FROM hits h JOIN chunks c ON h.id = c.doc_id JOIN q ON h.query_id = q.query_id WHERE h.rank <= 6),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id, chunk_index) AS place FROM n WHERE n > 0)
+SELECT query_id, doc_id, chunk_index, round(least(0.72 + 0.08 * n, 0.97), 6)::DOUBLE AS score FROM k WHERE place <= 24""")
+def rtv_16_focused_clauses(spark, sf_dir):
+    """Chunks of the six documents best hit by a question that hold some of its first words of six letters."""
+    terms = F.array_distinct(F.slice(F.filter(rt.words(F.col("text")), lambda w: F.length(w) >= 6), 1, 4))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), terms.alias("terms"))
+    return rt.focused_clauses(hits(spark, sf_dir), chunks(spark, sf_dir), asked)
+
+
 @query(f"""WITH {HITS} SELECT query_id, count(*) FILTER (label = 3 AND rank <= 10) AS preferred, count(*) FILTER (label = 3 AND rank <= 10) >= 1 AND max(score) >= 0.3 AS strong
 FROM hits JOIN embeddings ON id = vec_id GROUP BY query_id""")
 def rtv_17_coverage(spark, sf_dir):

@@ -128,6 +128,8 @@ def test_a_failing_cross_encoder_changes_nothing(spark):
         raise RuntimeError
 
     same = models.cross_encoder_blend(hits, "q", "t", broken).orderBy("rank").collect()
-    assert [(r["id"], r["score"]) for r in same] == [(1, 0.5), (2, 0.4)]
+    assert [(r["id"], r["score"], r["model_failed"]) for r in same] == [(1, 0.5, True), (2, 0.4, True)]
+    short = models.cross_encoder_blend(hits, "q", "t", lambda q, t: np.zeros(len(q) + 1))
+    assert short.filter("model_failed").count() == 2
     new = models.cross_encoder_blend(hits, "q", "t", models.word_overlap).orderBy("rank").collect()
-    assert [(r["id"], r["score"]) for r in new] == [(2, 0.64), (1, 0.3)]
+    assert [(r["id"], r["score"], r["model_failed"]) for r in new] == [(2, 0.64, False), (1, 0.3, False)]

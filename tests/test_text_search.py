@@ -109,3 +109,23 @@ def test_common_terms_cost_no_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (whole >= 75).all() and (shared == whole[near]).all() and peak < 300e6
+
+
+def test_articles_are_found_by_number_content_and_figures(spark):
+    from pyspark.sql import functions as F
+
+    texts = [(1, "Article 14.7 says", "14.7", "a"), (2, "as in 114.75 above", None, "a"), (3, "7 days, 14 hours", None, "b"), (4, "14 hours", None, "b"), (5, "see 14.7", "3.1", "a"), (6, "see 14.7", "3.1", "a"), (7, None, None, "c")]
+    docs = spark.createDataFrame(texts, "d long, t string, article string, law string")
+    numbers = spark.createDataFrame([("14.7",), ("99.9",)], "number string")
+    found = retrieve.article_search(numbers, docs, F.col("article"), F.col("law"), F.col("t"), F.col("d"))
+    assert sorted(map(tuple, found.collect())) == [("14.7", 1, 1.0, 1), ("14.7", 2, 0.6, 2), ("14.7", 3, 0.1, 4), ("14.7", 5, 0.6, 3)]  # 6 is a copy of 5
+    assert {r["id"] for r in retrieve.article_search(numbers, docs, F.col("article"), F.col("law"), F.col("t"), F.col("d"), first=2).collect()} == {1, 2}
+
+
+def test_focused_clauses_come_from_hit_documents(spark):
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 7), (2, 11, 1)], "query_id long, id long, rank int")
+    pieces = spark.createDataFrame([(10, 0, "Wine and bread"), (10, 1, "water"), (11, 0, "wine"), (12, 0, "wine bread"), (13, 0, "wine")], "doc_id long, chunk_index long, text string")
+    terms = spark.createDataFrame([(1, ["wine", "bread"]), (2, ["water"])], "query_id long, terms array<string>")
+    found = retrieve.focused_clauses(hits, pieces, terms)
+    assert sorted(map(tuple, found.collect())) == [(1, 10, 0, 0.88), (1, 11, 0, 0.8)]
+    assert retrieve.focused_clauses(hits, pieces, terms, most=1).count() == 1
