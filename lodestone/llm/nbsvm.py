@@ -1,9 +1,9 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text is a set of n-grams: byte 1- to 3-grams, and n-grams over two sequences
-that tell of recurrence: whether each word pair stood in the text before (n-grams
-of ``ORDERS`` such pairs), and the 2-gram of a word and the same word again, by
-how often it is seen (``COUNTS``).  Indicators are scaled by
+A text is a set of indicators: its byte 1- to 3-grams, and the limits that two
+counters of recurrence reach, which are no n-grams: the longest run of word
+pairs that stood in the text before (``ORDERS``), and how many words are
+followed by themselves (``COUNTS``).  Indicators are scaled by
 the log ratio of their smoothed shares in the two classes, and a linear
 hinge-loss model is fitted to the scaled vectors by dual coordinate descent.  A
 logistic curve fitted on a fold that the model did not see turns margins into
@@ -35,7 +35,7 @@ from lodestone.llm.batches import small
 
 #: Hashed n-gram space.
 DIMS = 1 << 18
-#: Orders of the n-grams of recurring word pairs, and numbers of words repeated at once from which on there is an indicator.
+#: Counters: limits of the longest run of word pairs that stood in the text before, and of the number of words repeated at once; each limit reached is an indicator.
 ORDERS, COUNTS = (1, 2, 4, 8, 16, 32, 64), (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 
@@ -47,7 +47,7 @@ class Featurizer:
 
     @staticmethod
     def recurrences(raw: bytes) -> list[int]:
-        """Numbers of the n-grams over the recurrence of word pairs and of words."""
+        """Numbers of the limits that the two counters of recurrence reach."""
         words = raw.split()
         if len(words) < 2:
             return []

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import heapq
 import random
 import struct
 import unicodedata
@@ -98,6 +99,49 @@ def test_differencing_is_a_partition():
             assert sum(lengths[i] for i in m) <= 200
 
 
+def plain_differencing(lengths, windows):
+    """Sums of Karmarkar-Karp multiway differencing with all windows written out."""
+    heap = [(-n, i, [0] * (windows - 1) + [n]) for i, n in enumerate(lengths)]
+    heapq.heapify(heap)
+    for tie in range(len(lengths), 2 * len(lengths) - 1):
+        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        merged = sorted(x + y for x, y in zip(a, reversed(b), strict=True))
+        heapq.heappush(heap, (merged[0] - merged[-1], tie, merged))
+    return heap[0][2] if heap else [0] * windows
+
+
+def test_differencing_is_karmarkar_karp():
+    rnd = random.Random(13)
+    better = 0
+    for _ in range(120):
+        lengths = [rnd.randint(1, 128) for _ in range(rnd.randint(0, 60))]
+        windows = rnd.choice((1, 2, 3, 7, 20))
+        sums, _ = pack.differencing(lengths, windows)
+        assert sums == plain_differencing(lengths, windows)
+        greedy = [0] * windows
+        for n in sorted(lengths, reverse=True):
+            greedy[greedy.index(min(greedy))] += n
+        better += max(greedy) - min(greedy) > sums[-1] - sums[0]
+    assert better > 30  # a fill of the emptiest window would not pass
+
+
+def test_features_match_plainly_counted_ones():
+    rnd = random.Random(14)
+    texts = ["", None, "a", "ab", "é", "word word word", "a b a b a b", "\n".join(["the same line"] * 9), *(" ".join(rnd.choice(["aa", "b", "c", "dé"]) for _ in range(rnd.randint(1, 90))) for _ in range(40))]
+    features = nbsvm.Featurizer()
+    for text in texts:
+        raw = (text or "").encode()
+        want = {b + 1 for b in raw} | {0x10000 + x + (y << 8) for x, y in zip(raw, raw[1:])} | {0x20000 + ((x + (y << 8) + (z << 16)) * 2654435761 % (1 << 32) >> 15) for x, y, z in zip(raw, raw[1:], raw[2:])}
+        words = raw.split()
+        pairs, seen, run, longest = list(zip(words, words[1:])), set(), 0, 0
+        for pair in pairs:
+            run = run + 1 if pair in seen else 0
+            longest, _ = max(longest, run), seen.add(pair)
+        twice = sum(x == y for x, y in pairs)
+        want |= {512 + k for k, n in enumerate(nbsvm.ORDERS) if longest >= n} | {512 + len(nbsvm.ORDERS) + k for k, n in enumerate(nbsvm.COUNTS) if twice >= n}
+        assert set(features(text).tolist()) == want
+
+
 def test_packing_holds_each_id_once(spark, data, odd, none):
     library = Tokenizer.from_file(BYTES)
     for docs, waste in ((spark.read.parquet(f"{data}/documents.parquet").repartition(1), 0.03), (odd, 1)):
