@@ -285,6 +285,36 @@ def chunk_rows(docs: DataFrame, grammar: Grammar, doc_id: str = "doc_id", text:
     return hashed.withColumn("chunk_id", stable_uuid(F.concat_ws(":", F.col(doc_id).cast("string"), F.col("chunk_index").cast("string"), "content_hash")))
 
 
+ARTICLE = "article_no string, title string, chapter string, body string, numbers array<string>, texts array<string>, references array<string>, amendments array<string>"
+
+
+def article_rows(docs: DataFrame, grammar: Grammar, doc_id: str = "doc_id", text: str = "text", related: int = 5) -> DataFrame:
+    """``<doc_id>`` and the columns of ``ARTICLE``: each article whole, with its title, the numbers and texts of its clauses and labelled parts, ``related`` references and its amendment lines."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        title, reference, amendment = re.compile(grammar.article), re.compile(grammar.reference), re.compile(grammar.amendment)
+        for batch in batches:
+            rows, at = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                nodes = section_tree(t, grammar) if t else []
+                owner: dict[int, int] = {}
+                parts: dict[int, list[Node]] = {}
+                for k, n in enumerate(nodes):
+                    owner[k] = k if n.kind == "article" else owner.get(n.parent, -1)
+                    if n.kind in ("clause", "subclause"):
+                        parts.setdefault(owner[k], []).append(n)
+                for k, n in enumerate(nodes):
+                    if n.kind == "article":
+                        body, own = t[n.start : n.end], parts.get(k, [])
+                        named = distinct(re.sub(r"\s+", " ", m[0]) for m in reference.finditer(body))[:related]
+                        amended = [x.strip() for x in body.split("\n") if amendment.search(x)][:MOST_AMENDMENTS]
+                        at.append(i)
+                        rows.append((n.no, (title.match(n.title)[2] or "").strip(), n.chapter, body, [x.no for x in own], [t[x.start : x.end] for x in own], named, amended))
+            yield _batch(batch.column(0), doc_id, at, rows, ARTICLE)
+
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, {ARTICLE}")
+
+
 def _batch(ids: pa.Array, doc_id: str, at: list[int], rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     fields = [f.split() for f in schema.split(", ")]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import parse as ps
 from lodestone.operators import chunk as ck
 from lodestone.operators import lexicon as lx
+from lodestone.operators import references as rf
 from lodestone.operators import sections
+from lodestone.operators.references import Wording
 from lodestone.operators.rows import first_per_key
 from lodestone.operators.sections import Grammar
 from lodestone.plans.registry import query, table
@@ -304,7 +306,7 @@ def chk_10_statistics(spark, sf_dir):
 #: Statutes made of the documents: of every nine lines the first is a chapter's heading, the second an article's, four are clauses, two are labelled, the last goes on.
 STATUTE = Grammar(article=r"^([0-9]+) article\.\s*(.*)$", chapter=r"^CHAPTER [0-9]+\.", reference=r"(?i)\bversion\s+[0-9]+(?:\.[0-9]+)*", amendment=r"(?i)license", suffix=r"(?:ing|ed)$", stop=("the", "and"))
 STATUTE_SQL = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-s AS (SELECT doc_id, i, i // 9 + 1 AS k, i % 9 AS m, CASE i % 9 WHEN 0 THEN 'CHAPTER ' || (i // 9 + 1) || '. ' WHEN 1 THEN (i // 9 + 1) || ' article. ' WHEN 6 THEN 'a) ' WHEN 7 THEN 'b) ' WHEN 8 THEN '- ' ELSE (i // 9 + 1) || '.' || (i % 9 - 1) || ' ' END || line AS line FROM l),
+s AS (SELECT doc_id, i, i // 9 + 1 AS k, i % 9 AS m, CASE i % 9 WHEN 0 THEN 'CHAPTER ' || (i // 9 + 1) || '. ' WHEN 1 THEN (i // 9 + 1) || ' article. ' WHEN 6 THEN 'a) ' WHEN 7 THEN 'b) ' WHEN 8 THEN '- see article ' || (i // 9) || ' and ' || (i // 9 + 1) || '.2, this article, Law 2001/' || (10 + i // 9 % 90) || ' article 3 and 4.1; this law, article 2. ' ELSE (i // 9 + 1) || '.' || (i % 9 - 1) || ' ' END || line AS line FROM l),
 o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS size,
   CASE m WHEN 0 THEN 'chapter' WHEN 1 THEN 'article' WHEN 6 THEN 'subclause' WHEN 7 THEN 'subclause' WHEN 8 THEN NULL ELSE 'clause' END AS kind FROM s),
 n AS (SELECT *, row_number() OVER w - 1 AS node, CASE kind WHEN 'article' THEN CAST(k AS VARCHAR) WHEN 'clause' THEN k || '.' || (m - 1) WHEN 'subclause' THEN k || '.4.' || CASE m WHEN 6 THEN 'a' ELSE 'b' END ELSE '' END AS no,
@@ -318,7 +320,7 @@ tree AS (SELECT doc_id, CAST(node AS INT) AS node, CAST(CASE kind WHEN 'clause'
 def statutes(spark, sf_dir):
     def marked(line, i):
         k, m = F.floor(i / 9) + 1, i % 9
-        mark = F.when(m == 0, F.concat(F.lit("CHAPTER "), k, F.lit(". "))).when(m == 1, F.concat(k, F.lit(" article. "))).when(m == 6, "a) ").when(m == 7, "b) ").when(m == 8, "- ")
+        mark = F.when(m == 0, F.concat(F.lit("CHAPTER "), k, F.lit(". "))).when(m == 1, F.concat(k, F.lit(" article. "))).when(m == 6, "a) ").when(m == 7, "b) ").when(m == 8, F.concat(F.lit("- see article "), k - 1, F.lit(" and "), k, F.lit(".2, this article, Law 2001/"), 10 + (k - 1) % 90, F.lit(" article 3 and 4.1; this law, article 2. ")))
         return F.concat(mark.otherwise(F.concat(k, F.lit("."), m - 1, F.lit(" "))), line)
 
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), marked), "\n").alias("text"), F.concat(F.lit("Act of "), "source").alias("title"))
@@ -345,3 +347,32 @@ def prs_12_subsections(spark, sf_dir):
 def chk_10_chunk_rows(spark, sf_dir):
     """Statutes end to end: a row for each chunk with its place in the tree and the text, what it refers to, its words, hash and id."""
     return sections.chunk_rows(statutes(spark, sf_dir), STATUTE, law="title")
+
+
+@query(f"""WITH {STATUTE_SQL}, whole AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM s GROUP BY doc_id),
+t AS (SELECT tree.*, substr(text, char_start + 1, char_end - char_start) AS own, sum((kind = 'article')::INT) OVER (PARTITION BY doc_id ORDER BY node) AS g FROM tree JOIN whole USING (doc_id))
+SELECT doc_id, max(no) FILTER (kind = 'article') AS article_no, sha256(max(own) FILTER (kind = 'article')) AS body, coalesce(string_agg(no || ' ' || sha256(own), '|' ORDER BY node) FILTER (kind IN ('clause', 'subclause')), '') AS parts
+FROM t WHERE g > 0 AND kind <> 'chapter' GROUP BY doc_id, g""")
+def prs_16_articles(spark, sf_dir):
+    """Each article of each statute whole, with its numbered parts."""
+    rows = sections.article_rows(statutes(spark, sf_dir), STATUTE)
+    parts = F.zip_with("numbers", "texts", lambda n, t: F.concat(n, F.lit(" "), F.sha2(t, 256)))
+    return rows.select("doc_id", "article_no", F.sha2("body", 256).alias("body"), F.array_join(parts, "|").alias("parts"))
+
+
+_MENTION_SQL = Wording.mention
+
+
+@query(rf"""WITH {STATUTE_SQL}, whole AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM s GROUP BY doc_id),
+a AS (SELECT tree.doc_id, node, '2001/' || (10 + doc_id % 90) AS law, no AS article, regexp_extract_all(substr(text, char_start + 1, char_end - char_start), '{_MENTION_SQL}', 0) AS l FROM tree JOIN whole USING (doc_id) WHERE kind = 'article'),
+m AS (SELECT doc_id, node, law, article, unnest(l) AS said, generate_subscripts(l, 1) AS i FROM a),
+k AS (SELECT *, lower(said) LIKE 'law%' AS names, lower(said) LIKE 'this%' AS own, regexp_extract(said, '([0-9]+(?:\.[0-9]+)*)$', 1) AS number FROM m),
+f AS (SELECT *, coalesce(last_value(CASE WHEN names THEN regexp_extract(said, '([0-9]{{4}}/[0-9]{{2,3}})', 1) WHEN own THEN law END IGNORE NULLS) OVER (PARTITION BY doc_id, node ORDER BY i), law) AS now FROM k),
+e AS (SELECT doc_id, node, law, article, i, CASE WHEN own THEN law ELSE now END AS to_law, CASE WHEN own THEN article ELSE split_part(number, '.', 1) END AS to_article, CASE WHEN NOT own AND contains(number, '.') THEN number ELSE '' END AS to_clause FROM f WHERE NOT names AND lower(said) <> 'this law'),
+u AS (SELECT doc_id, node, law, article, to_law, to_article, to_clause, min(i) AS i FROM e GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, node ORDER BY i) AS place FROM u)
+SELECT DISTINCT law, article, to_law, to_article, to_clause, (to_law, to_article) IN (SELECT (law, article) FROM a) AS resolved FROM c WHERE place <= 12 AND (law <> to_law OR article <> to_article)""")
+def prs_13_resolved_edges(spark, sf_dir):
+    """References between the articles of all statutes; several documents are versions of one law."""
+    rows = sections.article_rows(statutes(spark, sf_dir), STATUTE)
+    law = F.concat(F.lit("2001/"), 10 + F.col("doc_id") % 90)
+    return rf.edges(rows.select(law.alias("law"), F.col("article_no").alias("article"), "body"), "body")
