@@ -17,6 +17,37 @@ def failing_stage(html: Column, least: int = 900, most: int = 20_000) -> Column:
     return F.struct(stage.alias("stage"), F.coalesce(stage == "fetch", F.lit(False)).alias("retriable"))
 
 
+#: Values that must match: shortest page, text and title.
+LEAST_HTML, LEAST_TEXT, LEAST_TITLE = 120, 120, 3
+
+
+def page_fault(html: Column, status: Column, text: Column, title: Column, external_id: Column, chunks: Column, kept: Column, embedded: Column, least_html: int = LEAST_HTML, least_text: int = LEAST_TEXT) -> Column:
+    """``struct(stage, reason, retriable)``: the first check that a page fails on its way to the index, null if none.
+
+    The page's length and status, the length of its text, its title and id, the
+    number of its chunks, of those that are no duplicates, and of those that
+    got a vector.  Nulls count as empty or 0; only a status is worth another try.
+    """
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    blank = lambda c: size(F.btrim(c)) == 0
+
+    def failed(stage: str, *reason: str | Column, retriable: bool = False) -> Column:
+        said = F.concat(*(F.lit(r) if isinstance(r, str) else r.cast("string") for r in reason))
+        return F.struct(F.lit(stage).alias("stage"), said.alias("reason"), F.lit(retriable).alias("retriable"))
+
+    return (
+        F.when(size(html) < least_html, failed("fetch-validate", "HTML response too short (", size(html), f" < {least_html})"))
+        .when(~number(status).between(200, 299), failed("fetch-validate", "Unexpected HTTP status code: ", number(status), retriable=True))
+        .when(size(text) < least_text, failed("parse-validate", "Parsed text too short (", size(text), f" < {least_text})"))
+        .when(size(F.btrim(title)) < LEAST_TITLE, failed("parse-validate", "Missing parsed title"))
+        .when(blank(external_id), failed("parse-validate", "Missing parsed externalId"))
+        .when(number(chunks) == 0, failed("chunk", "Chunking produced zero chunks"))
+        .when(number(kept) == 0, failed("chunk", "All chunks were dropped as duplicates"))
+        .when(number(embedded) != number(kept), failed("embed-validate", "Embedded chunk count mismatch (", number(embedded), " != ", number(kept), ")"))
+    )
+
+
 def fail_fast(attempts: DataFrame, key: str, order: list[str], failed: Column, streak: int = 5, rate: float = 0.3, after: int = 10) -> DataFrame:
     """``key, attempt, reason``: the first attempt at which a run of failures or the error rate says stop."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import quality
 from lodestone.operators.evaluate import answer_quality, citation_accuracy, faithfulness, latency_summary, regression_gate, run_summary
-from lodestone.operators.ingest import failing_stage, fail_fast, pending, prepare_for_model, resized
+from lodestone.operators.ingest import failing_stage, fail_fast, page_fault, pending, prepare_for_model, resized
 from lodestone.operators.rows import replace_children, top_k, upsert
 from lodestone.operators.store import Store, cascade, upsert_documents
 from lodestone.plans.registry import query, scratch, table
 from lodestone.plans.report_queries import CHUNKS_SQL, chunks
 from lodestone.plans.search_queries import HITS, OTHER, hits, labelled
+from lodestone.plans.text_queries import STRIP_SQL
 from lodestone.sources.jsonl import validated
 from lodestone.sources.pages import page_files
 
@@ -184,6 +185,31 @@ def ing_1_stage_validation(spark, sf_dir):
     return pages.select("page_id", "html", failing_stage(F.col("html")).alias("f")).select("page_id", F.col("f.stage").alias("stage"), F.col("f.retriable").alias("retriable"))
 
 
+@query(rf"""WITH p AS (SELECT page_id, html, trim(regexp_replace({STRIP_SQL}, '\s+', ' ', 'g')) AS text, regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_extract(url, '/([0-9]+)(?:/|\.html)?(?:[?#].*)?$', 1) AS id,
+  CASE WHEN contains(url, 'spam') THEN 503 WHEN contains(url, 'm.') AND contains(url, '#') THEN 404 ELSE 200 END AS status FROM pages),
+c AS (SELECT page_id, CAST(greatest(ceil((length(text) - 120) / 480), CASE WHEN text <> '' THEN 1 ELSE 0 END) AS BIGINT) AS chunks, CASE WHEN page_id = min(page_id) OVER (PARTITION BY text) THEN 1 ELSE 0 END AS first FROM p),
+f AS (SELECT p.*, chunks, chunks * first AS kept, CASE WHEN length(title) % 9 = 0 THEN 0 ELSE chunks * first END AS embedded FROM p JOIN c USING (page_id)),
+s AS (SELECT *, CASE WHEN length(html) < 900 THEN 1 WHEN status <> 200 THEN 2 WHEN length(text) < 400 THEN 3 WHEN length(trim(title)) < 3 THEN 4 WHEN id = '' THEN 5 WHEN chunks = 0 THEN 6 WHEN kept = 0 THEN 7 WHEN embedded <> kept THEN 8 END AS n FROM f)
+SELECT page_id, ['fetch-validate', 'fetch-validate', 'parse-validate', 'parse-validate', 'parse-validate', 'chunk', 'chunk', 'embed-validate'][n] AS stage,
+['HTML response too short (' || length(html) || ' < 900)', 'Unexpected HTTP status code: ' || status, 'Parsed text too short (' || length(text) || ' < 400)', 'Missing parsed title', 'Missing parsed externalId', 'Chunking produced zero chunks', 'All chunks were dropped as duplicates',
+'Embedded chunk count mismatch (' || embedded || ' != ' || kept || ')'][n] AS reason, n = 2 AS retriable FROM s WHERE n IS NOT NULL""")
+def ing_1_page_faults(spark, sf_dir):
+    """Pages that fail on their way, with stage and reason; status and vectors follow from the address and the title."""
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "html", tx.collapse_space(tx.strip_html(F.col("html"))).alias("text"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"),
+        F.regexp_extract("url", r"/([0-9]+)(?:/|\.html)?(?:[?#].*)?$", 1).alias("external_id"),
+        F.when(F.contains(url, F.lit("spam")), 503).when(F.contains(url, F.lit("m.")) & F.contains(url, F.lit("#")), 404).otherwise(200).alias("status"),
+    )
+    counted = pages.withColumn("chunks", F.greatest(F.ceil((F.length("text") - 120) / 480), F.when(F.col("text") != "", 1).otherwise(0)).cast("long"))
+    # which page is the first of equal ones is told by hashes, combined before they are shuffled
+    first = counted.groupBy(F.sha2("text", 256)).agg(F.min("page_id").alias("page_id")).select("page_id", F.lit(1).alias("first"))
+    rows = counted.join(first, "page_id", "left").withColumn("kept", F.col("chunks") * F.coalesce("first", F.lit(0)))
+    embedded = F.when(F.length("title") % 9 == 0, 0).otherwise(F.col("kept"))
+    fault = page_fault(F.col("html"), F.col("status"), F.col("text"), F.col("title"), F.col("external_id"), F.col("chunks"), F.col("kept"), embedded, 900, 400)
+    return rows.select("page_id", fault.alias("f")).filter("f is not null").select("page_id", "f.*")
+
+
 STAGE_SQL = """CASE WHEN length(html) < {0} THEN 'fetch' WHEN NOT contains(html, '<article>') THEN 'parse' WHEN regexp_extract(html, '<title>([^<]*)', 1) = '' THEN 'title' WHEN length(html) > 20000 THEN 'chunk' END"""
 
 

@@ -38,16 +38,16 @@ def txt_2_whitespace(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.collapse_space(F.col("text")).alias("collapsed"), tx.truncate_text(F.col("text")).alias("cut"))
 
 
-_STRIP = "html"
+STRIP_SQL = "html"
 for _block in ("script", "style", "form", "nav", "header", "footer"):
-    _STRIP = rf"regexp_replace({_STRIP}, '(?is)<{_block}[^>]*>.*?</{_block}>', ' ', 'g')"
-_STRIP = rf"regexp_replace(regexp_replace({_STRIP}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', '', 'g')"
+    STRIP_SQL = rf"regexp_replace({STRIP_SQL}, '(?is)<{_block}[^>]*>.*?</{_block}>', ' ', 'g')"
+STRIP_SQL = rf"regexp_replace(regexp_replace({STRIP_SQL}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', '', 'g')"
 
 
 @query(
     f"""
 SELECT page_id, stripped, length(html) AS html_chars, length(stripped) AS text_chars, len(string_split(stripped, chr(10))) AS n_lines
-FROM (SELECT page_id, html, {_STRIP} AS stripped FROM pages)
+FROM (SELECT page_id, html, {STRIP_SQL} AS stripped FROM pages)
 """
 )
 def txt_3_strip_html(spark, sf_dir):
