@@ -4,14 +4,17 @@ Three streams read the same files, each with its own checkpoint and file sink,
 so a batch that is killed runs again without a row twice.  None of them reads
 what was written before:
 
-* ``versions`` appends a narrow row for each valid delivery of a document;
+* ``versions`` appends a narrow row for each delivery of a document, without a
+  hash where its text is not valid;
 * ``chunks`` keeps the hashes of contents in a RocksDB state store, in which
   they expire ``keep`` after they came, and cuts contents that it does not know;
 * ``dead_letters`` appends what fails a stage, with stage and reason.
 
-A document that comes again with another text gets a new version; readers
-(``documents``, ``chunk_table``) take the latest version of each document and
-the chunks of the contents that these name.  A content that comes again after
+A document that comes again with another text gets a new version, and one whose
+latest text is not valid has none any more; readers (``documents``,
+``chunk_table``) take the latest version of each document and the chunks of the
+contents that these name.  A content of which cleaning leaves nothing is a
+version without chunks, and a dead letter.  A content that comes again after
 its state has expired is cut again, and readers take its first copy.
 
 The time of a delivery is that of its batch, which a rerun repeats, so nothing
@@ -82,11 +85,12 @@ def sinks(rows: DataFrame, keep: str, least: int = LEAST) -> dict[str, DataFrame
     """What each sink is fed with."""
     marked = rows.withColumn("fault", fault(F.col("doc_id"), F.col("text"), least))
     valid = marked.filter("fault is null").withColumn("content_hash", F.sha2("text", 256))
+    hashed = F.when(F.coalesce(F.col("fault.stage") != "parse-validate", F.lit(True)), F.sha2("text", 256))
     # only hashes that the state does not hold go on, so that known contents are not cleaned
     fresh = valid.select("content_hash", "arrived", "text").withWatermark("arrived", keep).dropDuplicatesWithinWatermark(["content_hash"])
     return {
         "dead_letters": marked.filter("fault is not null").select("doc_id", "fault.stage", "fault.reason", "arrived"),
-        "versions": valid.select("doc_id", "content_hash", "arrived", "landed"),
+        "versions": marked.filter("doc_id is not null").select("doc_id", hashed.alias("content_hash"), "arrived", "landed"),
         "chunks": windows(fresh.withColumn("text", clean(F.col("text")))),
     }
 
@@ -107,9 +111,9 @@ def held(spark: SparkSession, target: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, target: str) -> DataFrame:
-    """``doc_id, content_hash, arrived``: the latest version of each document."""
+    """``doc_id, content_hash, arrived``: the latest version of each document; none if its latest delivery is not valid."""
     latest = F.max(F.struct("arrived", "landed", "content_hash")).alias("v")
-    return held(spark, target, "versions").groupBy("doc_id").agg(latest).select("doc_id", "v.content_hash", "v.arrived")
+    return held(spark, target, "versions").groupBy("doc_id").agg(latest).select("doc_id", "v.content_hash", "v.arrived").filter("content_hash is not null")
 
 
 def chunk_table(spark: SparkSession, target: str) -> DataFrame:

@@ -66,6 +66,26 @@ def test_changed_documents_replace_their_chunks(spark, tmp_path):
     assert letters == {(3, "parse-validate", "Parsed text too short (5 < 20)", 2), (None, "parse-validate", "Missing parsed externalId", 1)}
 
 
+def test_a_document_whose_latest_text_is_not_valid_is_gone(spark, tmp_path):
+    draft, kept = "Draft. Eser thed nt of.", "a text that stays as it is"
+    deliver(spark, tmp_path, (1, draft), (2, kept))
+    deliver(spark, tmp_path, (1, draft.removeprefix("Draft. ")))
+    versions, chunks = taken(spark, tmp_path)
+    assert set(versions) == {2} and chunks == [kept]
+    deliver(spark, tmp_path, (1, draft))  # it comes back
+    versions, chunks = taken(spark, tmp_path)
+    assert set(versions) == {1, 2} and chunks == [draft, kept]
+
+
+def test_a_content_without_chunks_is_a_version(spark, tmp_path):
+    """As in the SQL of the versions, which asks for the text's length alone."""
+    deliver(spark, tmp_path, (1, "the old text of a document"), (2, "a text that stays as it is"))
+    deliver(spark, tmp_path, (1, "All rights reserved. " * 3))
+    versions, chunks = taken(spark, tmp_path)
+    assert set(versions) == {1, 2} and chunks == ["a text that stays as it is"]
+    assert [r["stage"] for r in ingest.dead_letters(spark, f"{tmp_path}/out").collect()] == ["chunk"]
+
+
 def test_a_killed_batch_runs_again_without_a_row_twice(spark, tmp_path):
     deliver(spark, tmp_path, (1, "the first text of a document"), (2, "another text of a document"))
     deliver(spark, tmp_path, (1, "the second text of a document"), (3, "too short"))
