@@ -19,6 +19,12 @@ def clamp(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(score, F.lit(low)), F.lit(high))
 
 
+def rounded(score: Column, digits: int = 6) -> Column:
+    """A score from 0 on rounded as its SQL does, by its scaled value; ``F.round`` goes by the digits of the double, which may lie just below a half."""
+    scale = 10.0**digits
+    return F.floor(score * scale + 0.5) / scale
+
+
 def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, constant: int = 60) -> DataFrame:
     """``query_id, id, vector_score, keyword_score, rrf_score, source, rank``: sum of 1 / (constant + rank) over both lists."""
     v = vector.select("query_id", "id", F.col("score").alias("vs"), (1 / (constant + F.col("rank"))).alias("vr"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import boosts
+from lodestone.operators import fuse as fs
 from lodestone.operators.boosts import Rule
 
 
@@ -53,3 +54,11 @@ def test_one_track_stays(spark):
     assert kept(spark, ["b", "b", "b", "a", "a"], "neutral") == "01234"  # not two more
     assert kept(spark, ["b", "b", "b", "a", u], "neutral", [0.2, 0.2, 0.2, 0.9, 0.1]) == "01234"  # not by score
     assert kept(spark, ["a", "a", "a", u, u, u, "b", "b"], "neutral") == "012345"  # those beyond six do not count
+
+
+def test_scores_are_rounded_as_in_sql(spark, duck):
+    """The product of a rule that is a half of the sixth digit, but for the last bit of the double."""
+    scores = [0.27607349999999997, 0.2760735, 0.2760734, 0.5, 0.0, 1.0, None]
+    rows = spark.createDataFrame([(x,) for x in scores], "score double").select(fs.rounded(F.col("score")).alias("score")).collect()
+    assert [r["score"] for r in rows] == [duck.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchall()[0][0] for x in scores]
+    assert rows[0]["score"] == 0.276074
